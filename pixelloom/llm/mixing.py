@@ -143,8 +143,8 @@ def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", wei
     extra = lambda k: F.coalesce(F.array_contains("_extra", place(k)), F.lit(False))
     plans = plans.withColumn("_extra", F.array().cast(f"array<{slim.select(place('_key')).schema[0].dataType.simpleString()}>"))
     for _ in range(ROUNDS):
-        near = with_plan(slim, plans).filter((F.col("_gap") > NEAR * F.col("target")) & ~chosen("_key") & ~extra("_key") & (F.col("size") > 0) & (F.col("size") <= F.col("_gap")))
-        near = near.groupBy("_pattern").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("d"), F.col("_h"), F.col("_key"), F.col("size"))).alias("_x"))
+        near = with_plan(slim, plans).filter((F.col("_gap") > NEAR * F.col("target")) & ~chosen("_key") & ~extra("_key") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_gap")))
+        near = near.groupBy("_pattern").agg(F.min(F.struct((F.col("size") > F.col("_gap")).alias("o"), F.abs(F.col("_gap") - F.col("size")).alias("d"), F.col("_h"), F.col("_key"), F.col("size"))).alias("_x"))
         found = near.collect()  # a row for each pattern at most
         if not found:
             break
