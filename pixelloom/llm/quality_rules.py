@@ -70,14 +70,14 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def ordered_rules(counted: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
+def ordered_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
     """Rules by rejection per cost, highest first; ties by name.
 
-    Both are estimated on at most sample_rows rows (a documented bound; the order changes how much
-    work the cascade does, never which documents it keeps): one aggregate gives all rejection rates,
-    and the cost of a rule is the time its predicate takes over the stored sample.
+    Both are estimated on a sample with base counts: one aggregate gives all rejection rates, and the
+    cost of a rule is the time its predicate takes over the stored sample. The order changes how much
+    work the cascade does, never which documents it keeps.
     """
-    sample = stored(counted.limit(sample_rows), "rule-sample")
+    sample = stored(sample, "rule-sample")
     rates = sample.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.coalesce(r.rejects, F.lit(False)).cast("double")).alias(f"r{i}") for i, r in enumerate(rules))).first()
     if not rates["n"]:
         return sorted(rules, key=lambda r: r.name)
@@ -101,13 +101,15 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     """Every input row with the base counts, base_failed, kept and rejected_by.
 
     Null and empty texts have no words and fail the base; repeated rows are judged one by one; an
-    empty table gives an empty result. Input columns named like an output column are replaced.
+    empty table gives an empty result. Rules are ordered on a seeded sample of about sample_rows rows.
+    Input columns named like an output column are replaced.
     """
     lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(WORD))).cast("long")
     counted = with_base_counts(docs, text).withColumn("_n_lines", lines)
     rules = default_rules() if rules is None else rules
     if rules:
-        rules = ordered_rules(with_base_counts(docs.select(text), text).withColumn("_n_lines", lines), rules, sample_rows)
+        share = min(1.0, sample_rows / max(docs.count(), 1))
+        rules = ordered_rules(with_base_counts(docs.select(text).sample(share, seed=7), text).withColumn("_n_lines", lines), rules)
     named = F.when(base_failed(), F.lit("base")).otherwise(cascade(rules) if rules else F.lit(None).cast("string"))
     return counted.withColumns({"base_failed": base_failed(), "rejected_by": named}).withColumn("kept", F.col("rejected_by").isNull()).drop("_n_lines")
 

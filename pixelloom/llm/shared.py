@@ -66,7 +66,7 @@ def blocks(column, limit: int = 1 << 20):
     if not len(column):
         return
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if column.type == "binary" else "")
     _, offs, data = column.buffers()
     offs = np.frombuffer(offs, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
