@@ -12,7 +12,7 @@ from .shared import blocks, crc_of, hashed_words, mixed, powers
 BITS = 18
 #: At most so many labelled rows are learnt from (a documented bound), in so many parallel parts.
 TRAIN_ROWS, PARTS, EPOCHS = 12_000, 4, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.05, 0.0
 
 # Kinds of bytes for word shapes: upper case, lower case and beyond ASCII, digits; others stand for themselves.
 _KIND = np.arange(256, dtype=np.uint8)
