@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, mixing, quality_rules, sharding
-
-
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+import corpus_pipeline
 
+from . import chat_format, decontamination, jaccard_join, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_hilbert_sharding": sharding.op8_hilbert_sharding,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_license_scan": license_scan.op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op3_decontamination": decontamination.OP3_SQL,
+    "op6_chat_format": chat_format.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
 }
