@@ -24,8 +24,13 @@ N_SHARDS = 40
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+    """Documents that the quality rules keep.
+
+    The verdict is exploded rather than filtered: a filter would be pushed below the projections that
+    build the counts, which would copy their expressions into each other.
+    """
+    judged = quality_rules(docs.select(*COLUMNS))
+    return judged.withColumn("_kept", F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).select(*COLUMNS)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
