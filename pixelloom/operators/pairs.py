@@ -22,20 +22,19 @@ def cosine_pairs(table: DataFrame, least: float, key: str = "vec_id", vec: str =
     rows = table.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).filter("k is not null and v is not null")
     n = max(1, -(-rows.count() // BLOCK_ROWS))
     own = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-    left = own.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.lit(n - 1))))
-    right = own.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    left = own.select(F.col("k").alias("ka"), F.col("v").alias("va"), F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(n - 1))).alias("j"))
+    right = own.select(F.col("k").alias("kb"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        s = np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
+        s = np.stack(x["va"].to_numpy()) @ np.stack(y["vb"].to_numpy()).T
         p, q = np.nonzero(s >= least)
-        a, b = x["k"].to_numpy()[p], y["k"].to_numpy()[q]
-        keep = a < b if x["own"].iloc[0] == y["own"].iloc[0] else np.ones(len(a), bool)
+        a, b = x["ka"].to_numpy()[p], y["kb"].to_numpy()[q]
+        keep = a < b if x["i"].iloc[0] == x["j"].iloc[0] else np.ones(len(a), bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[p, q][keep]})
 
-    cols = ["k", "v", "own", "i", "j"]
-    return left.select(cols).groupBy("i", "j").cogroup(right.select(cols).groupBy("i", "j")).applyInPandas(product, "a long, b long, score double")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(product, "a long, b long, score double")
 
 
 def hamming_pairs(table: DataFrame, most: int, key: str = "vec_id", hash_col: str = "hash") -> DataFrame:

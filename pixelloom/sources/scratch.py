@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -18,8 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _release(spark: SparkSession) -> None:
+    """What came before a written table is not read again: lets Spark's cleaner drop those shuffle files, which it does when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
