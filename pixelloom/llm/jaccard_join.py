@@ -105,22 +105,33 @@ def _prefix_pass(n: int, percent: int, hot):
     return run
 
 
-def _arrays_pass(n: int):
-    """(id, n, signature, values): sorted shingle hashes, and their bitmap of parities: bit i tells whether an odd number of hashes falls on i."""
+def _signature_pass(n: int):
+    """(id, n, signature): bitmap of parities: bit i tells whether an odd number of a set's hashes falls on i."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for first, offsets, data in blocks(texts):
+            for first, offsets, data in blocks(batch.column(1)):
                 rows = len(offsets) - 1
                 docs, values = shingle_sets(data, offsets, n)
                 bits = np.zeros((rows, 64 * SIGNATURE), dtype=np.uint8)
                 np.bitwise_xor.at(bits, (docs, (values % np.uint64(64 * SIGNATURE)).astype(np.int64)), 1)
                 packed = np.packbits(bits, axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * SIGNATURE), pa.array(packed.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(np.bincount(docs, minlength=rows).astype(np.int64)), lists], names=["id", "n", "signature"])
+
+    return run
+
+
+def _arrays_pass(n: int):
+    """(id, values): sorted shingle hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for first, offsets, data in blocks(batch.column(1)):
+                rows = len(offsets) - 1
+                docs, values = shingle_sets(data, offsets, n)
                 at = np.searchsorted(docs, np.arange(rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, rows), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * SIGNATURE), pa.array(packed.ravel())), pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)))], names=["id", "n", "signature", "values"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)))], names=["id", "values"])
 
     return run
 
@@ -149,14 +160,16 @@ def _possible(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links. Bit counts first, on the slim columns; then the sorted arrays."""
-    sig = arrays.select("id", "n", "signature")
-    x, y = (sig.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab")
+def _links(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links. Bit counts first, on slim rows; then the sorted arrays of what is left."""
+    x, y = (signatures.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab")
     apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     # Every differing bit needs an element of one set alone: 2 * overlap <= na + nb - apart.
     bound = (100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb"))
     likely = stored(pairs.join(x, "a").join(y, "b").filter(_possible(F.col("na"), F.col("nb"), percent) & bound).select("a", "b"), "jaccard-likely")
+    ids = stored(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
+    kind = texts.schema["id"].dataType.simpleString()
+    arrays = stored(texts.join(ids, "id", "left_semi").mapInArrow(_arrays_pass(shingle), f"id {kind}, values array<long>"), "jaccard-arrays")
     u, v = (arrays.select(F.col("id").alias(k), F.col("values").alias(f"v{k}")) for k in "ab")
     return stored(likely.join(u, "a").join(v, "b").mapInArrow(_verify(percent), likely.schema), "jaccard-links")
 
@@ -201,9 +214,9 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     starred = member.join(lead, "tile").filter((F.col("id") != F.col("lead")) & _possible(F.col("n"), F.col("lead_n"), percent))
     starred = stored(starred.groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.count(F.lit(1)).alias("c")).select("a", "b"), "jaccard-starred")
     wanted = stored(member.select("id").distinct(), "jaccard-wanted")
-    arrays = slim.join(wanted, "id", "left_semi").mapInArrow(_arrays_pass(shingle), f"id {kind}, n long, signature array<long>, values array<long>")
-    arrays = stored(arrays, "jaccard-arrays")
-    links = _links(starred, arrays, percent)
+    texts = stored(slim.join(wanted, "id", "left_semi"), "jaccard-texts")
+    signatures = stored(texts.mapInArrow(_signature_pass(shingle), f"id {kind}, n long, signature array<long>"), "jaccard-signatures")
+    links = _links(starred, texts, signatures, shingle, percent)
     # Rows that share a key but not their sets.
     double = sets.filter("n > 0").join(reps, ["n", "d1", "d2"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     links = stored(links.union(double), "jaccard-star-links")
@@ -214,7 +227,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     l, r = (rest.select("tile", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("part").alias(f"p{k}")) for k in "ab")
     cross = l.join(r, "tile").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _possible(F.col("na"), F.col("nb"), percent))
     done = stored(cross.select("a", "b").distinct().join(starred, ["a", "b"], "left_anti"), "jaccard-cross")
-    links = links.union(_links(done, arrays, percent))
+    links = links.union(_links(done, texts, signatures, shingle, percent))
     parts = connected_components(links)
     named = reps.join(parts, reps["rep"] == parts["id"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(named, ["n", "d1", "d2"], "left")
