@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import file_queries, raster_queries, vector_queries
+
+_GROUPS = (vector_queries, raster_queries, file_queries)
+QUERIES = {name: f for g in _GROUPS for name, f in g.QUERIES.items()}
+SQL = {name: sql for g in _GROUPS for name, sql in g.SQL.items()}

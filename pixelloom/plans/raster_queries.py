@@ -6,20 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cyclic_similarity
 from ..operators import masks, raster
+from .registry import registry
 from .vector_queries import emb
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 _PX = "px AS (SELECT vec_id AS image, ((p - 1) % 8)::BIGINT AS x, ((p - 1) // 8)::BIGINT AS y, v FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings))"

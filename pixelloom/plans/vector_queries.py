@@ -8,19 +8,9 @@ from ..functions.vectors import average_hash, calibrated_similarity, difference_
 from ..operators import calibration, preference, search, tagging
 from ..operators.components import connected_components
 from ..operators.pairs import cosine_pairs, hamming_pairs
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def emb(spark, d):
