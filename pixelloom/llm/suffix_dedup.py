@@ -119,21 +119,63 @@ def _reaches_pass(length: int):
     return run
 
 
+def _triggers_of(h: np.ndarray, offsets: np.ndarray, length: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the trigger, number of starts) of each reach: its least hash among the places that all of its strings cover."""
+    count = np.diff(offsets) - length + 1
+    key = np.append((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
+    lo = offsets[:-1] + count - 1
+    hi = offsets[:-1] + length - w + 1
+    least = np.minimum.reduceat(key, np.stack([lo, hi], axis=1).ravel())[::2]
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), count
+
+
+def _contexts_pass(length: int, w: int):
+    """(c, id, lo, left, right): hashes of the trigger with g bytes before it (left = g) or after it (right = g), for g in quarters of what a string can reach."""
+    steps = [round((length - w) * q / 4) for q in (1, 2, 3, 4)]
+
+    def run(batches):
+        for batch in batches:
+            ids, lows = batch.column("id"), batch.column("lo")
+            for first, offsets, data in blocks(batch.column("reach")):
+                h = rolling_hash(data, w)
+                at, _ = _triggers_of(h, offsets, length, w)
+                for g in steps:
+                    for side in (0, 1):
+                        room = at - offsets[:-1] if side == 0 else offsets[1:] - at - w
+                        row = np.flatnonzero(room >= g)
+                        lo, hi = (at[row] - g, at[row] + 1) if side == 0 else (at[row], at[row] + g + 1)
+                        c = spans_hash(h, lo, hi, _BASE if side == 0 else _BASE2)
+                        took = pa.array(first + row)
+                        size = [pa.array(np.full(len(row), v, np.int32)) for v in ((g, 0) if side == 0 else (0, g))]
+                        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), ids.take(took), lows.take(took), *size], names=["c", "id", "lo", "left", "right"])
+
+    return run
+
+
 def _suffixes_pass(length: int, w: int):
-    """(s1, s2, id, at): the suffixes of the reaches, cut to `length` bytes, as 128-bit hashes with their places in the corpus."""
+    """(s1, s2, id, at): the suffixes of the reaches, cut to `length` bytes, as 128-bit hashes with their places in the corpus.
+
+    Only suffixes that reach less than a quarter step beyond the contexts which another phrase shares.
+    """
+    span = length - w
+    step = span - round(span * 3 / 4) + 1
 
     def run(batches):
         for batch in batches:
             ids, lows = batch.column("id"), batch.column("lo").to_numpy()
+            left, right = batch.column("left").to_numpy(), batch.column("right").to_numpy()
             for first, offsets, data in blocks(batch.column("reach")):
                 h = rolling_hash(data, w)
-                count = np.diff(offsets) - length + 1
+                at, count = _triggers_of(h, offsets, length, w)
                 row = np.repeat(np.arange(len(count)), count)
                 inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                before = at[row] - offsets[row] - inner
+                keep = (before < left[first + row] + step) & (span - before < right[first + row] + step)
+                row, inner = row[keep], inner[keep]
                 lo = offsets[row] + inner
                 s1, s2 = (spans_hash(h, lo, lo + length - w + 1, base) for base in (_BASE, _BASE2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), ids.slice(first, len(count)).take(pa.array(row)), pa.array(lows[first + row] + inner)], names=["s1", "s2", "id", "at"]
+                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), ids.take(pa.array(first + row)), pa.array(lows[first + row] + inner)], names=["s1", "s2", "id", "at"]
                 )
 
     return run
@@ -179,11 +221,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, w: int = 32, key: str = "
     2. Phrases whose trigger comes once in the corpus hold no repeated string and are dropped.
     3. Dictionary: of equal phrases (with the `length` - 1 bytes that follow), the first stays; all strings
        of the others are repeats.
-    4. Dictionary phrases that share a trigger but differ are sorted by their suffixes, to a depth of
-       `length` bytes, which is as deep as the question goes: suffixes that agree to that depth are
-       neighbours in corpus order, and each but the first of such a run is a repeat. Sorting is
-       Spark's aggregation by the 128-bit hash of the suffix, so no suffix array of the whole corpus
-       is ever in one place.
+    4. Dictionary phrases that share a trigger but differ: what they share around it bounds the suffixes
+       that can repeat. These are sorted to a depth of `length` bytes, which is as deep as the question
+       goes: suffixes that agree to that depth are neighbours in corpus order, and each but the first of
+       such a run is a repeat. Sorting is Spark's aggregation by the 128-bit hash of the suffix, so no
+       suffix array of the whole corpus is ever in one place.
 
     Null and empty texts have no bytes. Rows that share a key count as one text: a string is no repeat
     of itself at the same start, and repeated rows get the same result. Null keys come first.
@@ -205,6 +247,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, w: int = 32, key: str = "
     own = parts.withColumnRenamed("id", "part_id")
     reaches = slim.join(own, slim["id"].eqNullSafe(own["part_id"])).drop("part_id").mapInArrow(_reaches_pass(length), f"id {kind}, lo long, reach binary")
     reaches = stored(reaches, "suffix-reaches")
+    # What a phrase shares with another one around the trigger bounds the suffixes that can be repeats.
+    contexts = reaches.mapInArrow(_contexts_pass(length, w), f"c long, id {kind}, lo long, left int, right int")
+    common = stored(contexts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c"), "suffix-contexts")
+    bounds = contexts.join(common, "c", "left_semi").groupBy("id", "lo").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    bounds = stored(bounds.withColumnRenamed("id", "bound_id").withColumnRenamed("lo", "bound_lo"), "suffix-bounds")
+    reaches = stored(reaches.join(bounds, reaches["id"].eqNullSafe(bounds["bound_id"]) & (reaches["lo"] == bounds["bound_lo"])).drop("bound_id", "bound_lo"), "suffix-bounded")
     suffixes = reaches.mapInArrow(_suffixes_pass(length, w), f"s1 long, s2 long, id {kind}, at long")
     runs = suffixes.groupBy("s1", "s2").agg(F.min(F.struct("id", "at")).alias("f"), F.max(F.struct("id", "at")).alias("l")).filter("f <> l")
     runs = stored(runs.select("s1", "s2", F.col("f.id").alias("id0"), F.col("f.at").alias("at0")), "suffix-runs")
