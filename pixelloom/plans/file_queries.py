@@ -22,12 +22,12 @@ def files(spark, d):
 
 
 _FILES = "files AS (SELECT doc_id AS id, source || '/' || lang AS name, strlen(text)::BIGINT AS size, text AS content, source AS folder, substring(source, 4)::INT % 2 = 0 AS ref FROM documents)"
-_IS_REF = F.substring("folder", 4, 10).cast("int") % 2 == 0
 
 
 def _sides(spark, d):
     f = files(spark, d)
-    return f.filter(~_IS_REF), f.filter(_IS_REF)
+    is_ref = F.substring("folder", 4, 10).cast("int") % 2 == 0
+    return f.filter(~is_ref), f.filter(is_ref)
 
 
 @query("dedup_size_key", f"WITH {_FILES} SELECT id FROM files WHERE NOT ref AND size IN (SELECT size FROM files WHERE ref)")
