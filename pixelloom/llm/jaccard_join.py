@@ -16,7 +16,7 @@ from .shared import blocks, hashed_words, mixed, stored
 #: candidates there are, never which links are found, so this list may be bounded.
 HOT_TOKENS = 1 << 18
 HOT_IN_BLOCK, HOT_TOTAL, BLOCK = 3, 16, 4 << 20
-#: 64-bit words of a parity bitmap.
+#: 64-bit words of the smallest parity bitmap; a bitmap has at least as many bits as its set has hashes.
 SIGNATURE = 16
 
 _MULT = mixed(np.arange(101, 133, dtype=np.uint64))
@@ -106,18 +106,20 @@ def _prefix_pass(n: int, percent: int, hot):
 
 
 def _signature_pass(n: int):
-    """(id, n, signature): bitmap of parities: bit i tells whether an odd number of a set's hashes falls on i."""
+    """(id, n, signature): bitmap of parities: bit i tells whether an odd number of a set's hashes falls on i. Its length is a power of two, so a longer one folds onto a shorter."""
 
     def run(batches):
         for batch in batches:
             for first, offsets, data in blocks(batch.column(1)):
                 rows = len(offsets) - 1
                 docs, values = shingle_sets(data, offsets, n)
-                bits = np.zeros((rows, 64 * SIGNATURE), dtype=np.uint8)
-                np.bitwise_xor.at(bits, (docs, (values % np.uint64(64 * SIGNATURE)).astype(np.int64)), 1)
-                packed = np.packbits(bits, axis=1).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * SIGNATURE), pa.array(packed.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(np.bincount(docs, minlength=rows).astype(np.int64)), lists], names=["id", "n", "signature"])
+                size = np.bincount(docs, minlength=rows).astype(np.int64)
+                width = np.maximum(SIGNATURE, 2 ** np.ceil(np.log2(np.maximum(size, 1) / 64)).astype(np.int64).clip(0))
+                base = np.concatenate([[0], np.cumsum(width)])
+                place = 64 * base[docs] + (values & (64 * width[docs] - 1).astype(np.uint64)).astype(np.int64)
+                parity = (np.bincount(place, minlength=64 * int(base[-1])) & 1).astype(np.uint8)
+                lists = pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(np.packbits(parity).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(size), lists], names=["id", "n", "signature"])
 
     return run
 
@@ -163,7 +165,10 @@ def _possible(na: Column, nb: Column, percent: int) -> Column:
 def _links(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links. Bit counts first, on slim rows; then the sorted arrays of what is left."""
     x, y = (signatures.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    # Sizes within the length bound differ by less than a factor of two, so one fold makes the bitmaps equal in length.
+    half = lambda c: F.floor(F.size(c) / 2).cast("int")
+    folded = lambda c, d: F.when(F.size(c) > F.size(d), F.zip_with(F.slice(c, 1, half(c)), F.slice(c, half(c) + 1, half(c)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     # Every differing bit needs an element of one set alone: 2 * overlap <= na + nb - apart.
     bound = (100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb"))
     likely = stored(pairs.join(x, "a").join(y, "b").filter(_possible(F.col("na"), F.col("nb"), percent) & bound).select("a", "b"), "jaccard-likely")
