@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -19,15 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _release(spark: SparkSession) -> None:
-    """What came before a written table is not read again: lets Spark's cleaner drop those shuffle files, which it does when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors.
+
+    Shuffle files of the write are not needed once the table is there; Spark is told to drop them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
