@@ -78,7 +78,7 @@ def _triggers_pass(length: int, w: int):
 
 
 def _phrases_pass(length: int, w: int):
-    """The parse: (k, e, id, lo, n) for every phrase, k and e being a digest of 128 bits of its whole reach."""
+    """The parse: (k, e, id, lo, n, fresh) for every phrase, k and e being a digest of 128 bits of its whole reach; fresh: the text has no equal phrase before it."""
 
     def run(batches):
         for batch in batches:
@@ -88,8 +88,12 @@ def _phrases_pass(length: int, w: int):
                 if not len(doc):
                     continue
                 e = spans_hash(h, start, start + count + length - w, _BASE)
+                order = np.lexsort((e, k, doc))  # stable: equal phrases of a text stay in order
+                a, b = order[1:], order[:-1]
+                fresh = np.ones(len(doc), dtype=bool)
+                fresh[a] = (doc[a] != doc[b]) | (k[a] != k[b]) | (e[a] != e[b])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.view(np.int64)), pa.array(e.view(np.int64)), ids.slice(first, len(offsets) - 1).take(pa.array(doc)), pa.array((start - offsets[doc]).astype(np.int64)), pa.array(count.astype(np.int32))], names=["k", "e", "id", "lo", "n"]
+                    [pa.array(k.view(np.int64)), pa.array(e.view(np.int64)), ids.slice(first, len(offsets) - 1).take(pa.array(doc)), pa.array((start - offsets[doc]).astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(fresh)], names=["k", "e", "id", "lo", "n", "fresh"]
                 )
 
     return run
@@ -234,29 +238,30 @@ def remove_repeats(docs: DataFrame, length: int = 100, w: int = 32, key: str = "
     kind = slim.schema["id"].dataType.simpleString()
     triggers = slim.select("text").mapInArrow(_triggers_pass(length, w), "k long, n long")
     shared = stored(triggers.groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1").select("k"), "suffix-triggers")
-    parse = slim.mapInArrow(_phrases_pass(length, w), f"k long, e long, id {kind}, lo long, n int")
-    parse = stored(parse.join(shared, "k", "left_semi"), "suffix-parse")
-    firsts = stored(parse.groupBy("k", "e").agg(F.min(F.struct("id", "lo", "n")).alias("f"), F.count(F.lit(1)).alias("c")), "suffix-dictionary")
-    again = stored(firsts.filter("c > 1").select("k", "e", F.col("f.id").alias("id0"), F.col("f.lo").alias("lo0")), "suffix-again")
-    copies = parse.join(again, ["k", "e"]).filter(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("lo") == F.col("lo0"))))
-    spans = copies.select("id", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
+    parse = slim.mapInArrow(_phrases_pass(length, w), f"k long, e long, id {kind}, lo long, n int, fresh boolean")
+    # Key tables are the built sides of hash joins: the many phrases are not sorted.
+    parse = stored(parse.join(shared.hint("shuffle_hash"), "k", "left_semi"), "suffix-parse")
+    firsts = stored(parse.groupBy("k", "e").agg(F.min("id").alias("id0"), F.max(F.col("id").isNull()).alias("null0"), F.count(F.lit(1)).alias("c")), "suffix-dictionary")
+    firsts = firsts.withColumn("id0", F.when(~F.col("null0"), F.col("id0"))).drop("null0")  # a null key comes first
+    several = stored(firsts.groupBy("k").agg(F.count(F.lit(1)).alias("entries")).filter("entries > 1").select("k", F.lit(True).alias("several")), "suffix-several")
+    firsts = stored(firsts.join(several, "k", "left").filter("c > 1 or several"), "suffix-firsts")
+    marked = stored(parse.join(firsts.hint("shuffle_hash"), ["k", "e"]).withColumn("first", F.col("fresh") & F.col("id").eqNullSafe(F.col("id0"))).filter("not first or several").select("id", "lo", "n", "first"), "suffix-marked")
+    spans = marked.filter("not first").select("id", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
     # Dictionary phrases with a trigger in common.
-    several = stored(firsts.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "suffix-several")
-    parts = firsts.join(several, "k", "left_semi").groupBy(F.col("f.id").alias("id")).agg(F.collect_list(F.struct(F.col("f.lo").alias("lo"), F.col("f.n").alias("n"))).alias("parts"))
-    parts = stored(parts, "suffix-parts")
+    parts = stored(marked.filter("first").groupBy("id").agg(F.collect_set(F.struct("lo", "n")).alias("parts")), "suffix-parts")
     own = parts.withColumnRenamed("id", "part_id")
     reaches = slim.join(own, slim["id"].eqNullSafe(own["part_id"])).drop("part_id").mapInArrow(_reaches_pass(length), f"id {kind}, lo long, reach binary")
     reaches = stored(reaches, "suffix-reaches")
     # What a phrase shares with another one around the trigger bounds the suffixes that can be repeats.
     contexts = reaches.mapInArrow(_contexts_pass(length, w), f"c long, id {kind}, lo long, left int, right int")
     common = stored(contexts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c"), "suffix-contexts")
-    bounds = contexts.join(common, "c", "left_semi").groupBy("id", "lo").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    bounds = contexts.join(common.hint("shuffle_hash"), "c", "left_semi").groupBy("id", "lo").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     bounds = stored(bounds.withColumnRenamed("id", "bound_id").withColumnRenamed("lo", "bound_lo"), "suffix-bounds")
     reaches = stored(reaches.join(bounds, reaches["id"].eqNullSafe(bounds["bound_id"]) & (reaches["lo"] == bounds["bound_lo"])).drop("bound_id", "bound_lo"), "suffix-bounded")
     suffixes = reaches.mapInArrow(_suffixes_pass(length, w), f"s1 long, s2 long, id {kind}, at long")
     runs = suffixes.groupBy("s1", "s2").agg(F.min(F.struct("id", "at")).alias("f"), F.max(F.struct("id", "at")).alias("l")).filter("f <> l")
     runs = stored(runs.select("s1", "s2", F.col("f.id").alias("id0"), F.col("f.at").alias("at0")), "suffix-runs")
-    later = suffixes.join(runs, ["s1", "s2"]).filter(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("at") == F.col("at0"))))
+    later = suffixes.join(runs.hint("shuffle_hash"), ["s1", "s2"]).filter(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("at") == F.col("at0"))))
     spans = spans.union(later.select("id", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
     listed = stored(spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans").withColumnRenamed("id", "span_id")
     joined = slim.join(listed, slim["id"].eqNullSafe(listed["span_id"]), "left").drop("span_id")
