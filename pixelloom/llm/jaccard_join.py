@@ -207,7 +207,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     reps = stored(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-reps")
     tokens = slim.mapInArrow(_prefix_pass(shingle, percent, hot), f"token long, id {kind}, n long")
     shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "jaccard-shared")
-    listed = stored(tokens.join(shared, "token", "left_semi"), "jaccard-listed")
+    listed = stored(tokens.join(shared.hint("shuffle_hash"), "token", "left_semi"), "jaccard-listed")  # the many tokens are not sorted
     # Only one of equal sets, and tokens that still have two texts.
     only = reps.select(F.col("rep").alias("id"), "copies").filter("id is not null").groupBy("id").agg(F.sum("copies").alias("copies"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
