@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir, stored  # noqa: F401
@@ -24,6 +24,31 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows, those with the least hash of the key (ties: least key): the same on every run.
+
+    Counting first lets all but about twice as many go before the limit, so that a partition sends few.
+    """
+    n = df.count()
+    order = F.xxhash64(key)
+    if n > 4 * rows:
+        df = df.filter(F.pmod(order, F.lit(1 << 40)) < int((1 << 40) * (2 * rows / n)))
+    return df.orderBy(F.pmod(order, F.lit(1 << 40)), key).limit(rows)
+
+
+def most_frequent(counts: DataFrame, n: str, rows: int) -> DataFrame:
+    """The rows with the highest counts, at most `rows`: all of whole classes of counts (an eighth of a power of two wide), so that nothing is sorted and what is returned has a fixed bound."""
+    kind = F.floor(F.log2(n) * 8).cast("int")
+    sizes = sorted(((r["k"], r["c"]) for r in counts.groupBy(kind.alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)  # a row for each class
+    least, total = None, 0
+    for k, c in sizes:
+        total += c
+        if total > rows:
+            break
+        least = k
+    return counts.filter(kind >= least) if least is not None else counts.limit(0)
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
