@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import blocks, hashed_words, mixed, stored
+from .shared import blocks, hashed_words, mixed, most_frequent, stored
 
 #: Tokens that many texts share go last in the global order. The order only decides how many
 #: candidates there are, never which links are found, so this list may be bounded.
@@ -202,7 +202,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     kind = slim.schema["id"].dataType.simpleString()
     first = stored(slim.mapInArrow(_sets_pass(shingle), f"kind int, id {kind}, n long, d1 long, d2 long"), "jaccard-sets")
     sets = first.filter("kind = 0").drop("kind")
-    heavy = first.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("times")).filter(F.col("times") >= HOT_TOTAL).orderBy(F.desc("times"), "d1").limit(HOT_TOKENS)
+    heavy = stored(first.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("times")).filter(F.col("times") >= HOT_TOTAL), "jaccard-hot")
+    heavy = most_frequent(heavy, "times", HOT_TOKENS)
     hot = spark.sparkContext.broadcast(np.sort(heavy.select("d1").toPandas()["d1"].to_numpy(np.int64).view(np.uint64)))  # at most 2 MB
     reps = stored(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-reps")
     tokens = slim.mapInArrow(_prefix_pass(shingle, percent, hot), f"token long, id {kind}, n long")
