@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, crc_of, hashed_words, mixed, powers
+from .shared import blocks, crc_of, hashed_sample, hashed_words, mixed, powers
 
 BITS = 18
 #: At most so many labelled rows are learnt from (a documented bound), in so many parallel parts.
@@ -125,7 +125,7 @@ def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     held = crc_of(F.col("doc_id")) % 3 == 1
-    chosen = labels.filter(~held & F.col("quality").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    chosen = hashed_sample(labels.filter(~held & F.col("quality").isNotNull()), "doc_id", TRAIN_ROWS)
     sample = docs.join(F.broadcast(chosen), "doc_id")  # TRAIN_ROWS rows at most are broadcast
     weights = train_classifier(sample, label="quality", order=F.xxhash64("doc_id"))
     out = score(docs, weights)
