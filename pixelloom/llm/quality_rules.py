@@ -14,7 +14,7 @@ SYMBOLS = r"[#*$%&|<>]"
 
 
 def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of every whole text.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_exclaims and n_distinct (words), all long, of every whole text.
 
     A null or empty text counts 0 everywhere. Columns of these names that the input has are replaced.
     """
@@ -37,6 +37,9 @@ def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": F.char_length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": F.size(covered),
+        "n_lines": F.size("_lines"),
+        "n_exclaims": F.char_length(F.regexp_replace(body, r"[^!]+", "")),
+        "n_distinct": F.size(F.array_distinct("_words")),
     }
     return out.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words", "_lines", "_three", "_some", "_placed")
 
@@ -66,7 +69,9 @@ def default_rules() -> list[Rule]:
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("short_words", F.col("word_chars") < 2 * n),
         Rule("long_words", F.col("word_chars") > 25 * n),
-        Rule("duplicate_lines", 4 * F.col("n_dup_lines") > F.col("_n_lines")),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
+        Rule("shouting", 2 * F.col("n_exclaims") > n),
+        Rule("few_different_words", 3 * F.col("n_distinct") < n),
     ]
 
 
@@ -104,14 +109,13 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     empty table gives an empty result. Rules are ordered on a seeded sample of about sample_rows rows.
     Input columns named like an output column are replaced.
     """
-    lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(WORD))).cast("long")
-    counted = with_base_counts(docs, text).withColumn("_n_lines", lines)
+    counted = with_base_counts(docs, text)
     rules = default_rules() if rules is None else rules
     if rules:
         share = min(1.0, sample_rows / max(docs.count(), 1))
-        rules = ordered_rules(with_base_counts(docs.select(text).sample(share, seed=7), text).withColumn("_n_lines", lines), rules)
+        rules = ordered_rules(with_base_counts(docs.select(text).sample(share, seed=7), text), rules)
     named = F.when(base_failed(), F.lit("base")).otherwise(cascade(rules) if rules else F.lit(None).cast("string"))
-    return counted.withColumns({"base_failed": base_failed(), "rejected_by": named}).withColumn("kept", F.col("rejected_by").isNull()).drop("_n_lines")
+    return counted.withColumns({"base_failed": base_failed(), "rejected_by": named}).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -136,13 +140,13 @@ WITH w AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-         len(lines) AS n_lines
+         len(lines) AS n_lines, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_exclaims, len(list_distinct(words)) AS n_distinct
   FROM w LEFT JOIN r USING (rid)
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-            OR 4 * n_dup_lines > n_lines) AS kept
+            OR 2 * n_dup_lines > n_lines OR 2 * n_exclaims > n_words OR 3 * n_distinct < n_words) AS kept
 FROM f
 """
