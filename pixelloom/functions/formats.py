@@ -65,19 +65,35 @@ def checked(content: Column, extension: Column) -> Column:
     return F.struct(empty.alias("empty"), fmt.alias("format"), matches.alias("matches"), cut.alias("truncated"), (~empty & matches & ~cut).alias("ok"))
 
 
-#: Substrings that name a generator, first match wins.
-GENERATORS = [("midjourney", "Midjourney"), ("stable diffusion", "Stable Diffusion"), ("dall-e", "DALL-E"), ("firefly", "Firefly"), ("comfyui", "ComfyUI")]
-
-
-def generator(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
-    out = F
-    for part, name in rules or GENERATORS:
-        out = out.when(F.contains(F.lower(text), F.lit(part)), F.lit(name))
-    return out.otherwise(F.lit(None).cast("string"))
+#: A generator and the sets of substrings (case ignored) of which one must be there whole; the first that fits wins.
+GENERATORS = [
+    ("SwarmUI", [["sui_image_params"]]),
+    ("ComfyUI", [['"class_type"'], ['"workflow"']]),
+    ("Automatic1111", [["negative prompt:"], ["steps:", "sampler:"]]),
+]
+#: The name for JSON with a prompt of an unknown tool.
+UNKNOWN_GENERATOR = "Bildgenerator"
+
+
+def generator(text: Column) -> Column:
+    """Name of the tool that wrote a metadata text; empty where nothing tells."""
+    low, out = F.lower(text), F
+    has = lambda part: F.contains(low, F.lit(part))
+    for name, sets in GENERATORS:
+        fits = F.lit(False)
+        for parts in sets:
+            whole = F.lit(True)
+            for part in parts:
+                whole = whole & has(part)
+            fits = fits | whole
+        out = out.when(fits, F.lit(name))
+    return out.when(F.startswith(F.ltrim(text), F.lit("{")) & has('"prompt"'), F.lit(UNKNOWN_GENERATOR)).otherwise(F.lit(""))
 
 
 def model_name(json: Column) -> Column:
-    return F.coalesce(F.get_json_object(json, "$.sui_image_params.model"), F.get_json_object(json, "$.model"))
+    """The model of the image parameters if these are there, else of the whole document; null without one or for damaged JSON."""
+    inner = F.startswith(F.get_json_object(json, "$.sui_image_params"), F.lit("{"))
+    return F.when(inner, F.get_json_object(json, "$.sui_image_params.model")).otherwise(F.get_json_object(json, "$.model"))
 
 
 def has_provenance(content: Column, most: int = 512 * 1024) -> Column:

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import natural_key
+from ..functions.text import file_name, natural_key
+
+
+#: Names of the folders that sorted-out files go to.
+TRIAGE_FOLDERS = ["kein_Fav", "KI_Fehler", "Doppelt", "Besonders", "Wasserzeichen"]
+
+
+def in_triage(folder: Column) -> Column:
+    """Whether a folder is one that sorted-out files go to; case is ignored."""
+    return F.lower(file_name(F.rtrim(folder, F.lit("/\\")))).isin([n.lower() for n in TRIAGE_FOLDERS])
 
 
 def existing(rows: DataFrame, scan: DataFrame, key: str = "path") -> DataFrame:
