@@ -20,7 +20,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op3_decontamination": decontamination.OP3_SQL,
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
