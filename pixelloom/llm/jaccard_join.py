@@ -14,8 +14,8 @@ from .shared import blocks, hashed_words, mixed, most_frequent, stored
 
 #: Tokens that many texts share go last in the global order. The order only decides how many
 #: candidates there are, never which links are found, so this list may be bounded.
-HOT_TOKENS = 1 << 18
-HOT_IN_BLOCK, HOT_TOTAL, BLOCK = 3, 16, 4 << 20
+HOT_TOKENS = 1 << 20
+HOT_IN_BLOCK, HOT_TOTAL, HOT_LISTED, BLOCK = 3, 16, 3, 4 << 20
 #: 64-bit words of the smallest parity bitmap; a bitmap has at least as many bits as its set has hashes.
 SIGNATURE = 16
 
@@ -81,10 +81,10 @@ def _sets_pass(n: int):
 
 
 def _prefix_pass(n: int, percent: int, hot):
-    """(token, id, n): the n - ceil(percent n / 100) + 1 tokens of a set that come first in the global order. Sets that are similar enough share one of them."""
+    """(token, id, n, pos): the n - ceil(percent n / 100) + 1 tokens of a set that come first in the global order: by how many texts are known to hold them (classes of hot tokens, 0 for others), then by hash. Sets that are similar enough share one of them."""
 
     def run(batches):
-        known = hot.value
+        known, classes = hot.value
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first, offsets, data in blocks(texts):
@@ -94,13 +94,13 @@ def _prefix_pass(n: int, percent: int, hot):
                     continue
                 size = np.bincount(docs, minlength=rows).astype(np.int64)
                 if len(known):
-                    is_hot = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-                    order = np.lexsort((values, is_hot, docs))
+                    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                    order = np.lexsort((values, np.where(known[at] == values, classes[at], 0), docs))
                     docs, values = docs[order], values[order]
-                rank = np.arange(len(docs)) - np.searchsorted(docs, docs)
-                take = rank < (size - (percent * size + 99) // 100 + 1)[docs]
-                docs, values = docs[take], values[take]
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), ids.slice(first, rows).take(pa.array(docs)), pa.array(size[docs])], names=["token", "id", "n"])
+                pos = np.arange(len(docs)) - np.searchsorted(docs, docs)
+                take = pos < (size - (percent * size + 99) // 100 + 1)[docs]
+                docs, values, pos = docs[take], values[take], pos[take]
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), ids.slice(first, rows).take(pa.array(docs)), pa.array(size[docs]), pa.array(pos.astype(np.int32))], names=["token", "id", "n", "pos"])
 
     return run
 
@@ -162,6 +162,19 @@ def _possible(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
+def _reachable(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """Positional bound: what comes from a common token on is enough for the overlap. Where a pair's first common token fails, later ones fail too."""
+    return (100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb)
+
+
+def _hot(tokens: DataFrame):
+    """Sorted hot tokens and their classes (from 1) out of (token, times): at most HOT_TOKENS of 9 bytes."""
+    found = most_frequent(tokens, "times", HOT_TOKENS).toPandas()
+    token = found["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return tokens.sparkSession.sparkContext.broadcast((token[order], (1 + np.log2(found["times"].to_numpy(np.float64)[order])).astype(np.uint8)))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links. Bit counts first, on slim rows; then the sorted arrays of what is left."""
     x, y = (signatures.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab")
@@ -191,7 +204,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     - Tiles: a token and a band of set sizes. In a tile every member is compared with one leader, which
       joins groups of near copies without listing their pairs; then members of different components
       are compared with each other, so that no link between components is lost.
-    - A pair is compared by length, by bit counts of parity bitmaps (an upper bound of the overlap),
+    - A pair is compared by length and place of the common token, by bit counts of parity bitmaps (an upper bound of the overlap),
       then exactly.
 
     Null or empty texts have no shingles and link with nothing. Rows that share a key are one document.
@@ -202,22 +215,24 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     kind = slim.schema["id"].dataType.simpleString()
     first = stored(slim.mapInArrow(_sets_pass(shingle), f"kind int, id {kind}, n long, d1 long, d2 long"), "jaccard-sets")
     sets = first.filter("kind = 0").drop("kind")
-    heavy = stored(first.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("times")).filter(F.col("times") >= HOT_TOTAL), "jaccard-hot")
-    heavy = most_frequent(heavy, "times", HOT_TOKENS)
-    hot = spark.sparkContext.broadcast(np.sort(heavy.select("d1").toPandas()["d1"].to_numpy(np.int64).view(np.uint64)))  # at most 2 MB
+    heavy = stored(first.filter("kind = 1").groupBy(F.col("d1").alias("token")).agg(F.sum("n").alias("times")).filter(F.col("times") >= HOT_TOTAL), "jaccard-heavy")
     reps = stored(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-reps")
-    tokens = slim.mapInArrow(_prefix_pass(shingle, percent, hot), f"token long, id {kind}, n long")
-    shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "jaccard-shared")
+    listing = lambda hot: slim.mapInArrow(_prefix_pass(shingle, percent, hot), f"token long, id {kind}, n long, pos int")
+    counted = lambda tokens: tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    # What a first order lists too often is put further back in the second.
+    often = stored(counted(listing(_hot(heavy))).filter(F.col("times") >= HOT_LISTED), "jaccard-often")
+    tokens = listing(_hot(stored(heavy.union(often).groupBy("token").agg(F.max("times").alias("times")), "jaccard-hot")))
+    shared = stored(counted(tokens).filter("times > 1").select("token"), "jaccard-shared")
     listed = stored(tokens.join(shared.hint("shuffle_hash"), "token", "left_semi"), "jaccard-listed")  # the many tokens are not sorted
     # Only one of equal sets, and tokens that still have two texts.
     only = reps.select(F.col("rep").alias("id"), "copies").filter("id is not null").groupBy("id").agg(F.sum("copies").alias("copies"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    member = listed.join(only, "id").dropDuplicates(["token", "id", "n"]).withColumn("band", F.explode(F.array(band, band + 1)))
-    member = stored(member.withColumn("tile", F.xxhash64("token", "band")).select("tile", "id", "n", "copies"), "jaccard-members")
-    lead = member.groupBy("tile").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("copies", -F.col("id"), "n")).alias("m")).filter("c > 1")
-    lead = stored(lead.select("tile", (-F.col("m.col2")).alias("lead"), F.col("m.n").alias("lead_n")), "jaccard-leaders")
+    member = listed.join(only, "id").dropDuplicates(["token", "id", "n", "pos"]).withColumn("band", F.explode(F.array(band, band + 1)))
+    member = stored(member.withColumn("tile", F.xxhash64("token", "band")).select("tile", "id", "n", "pos", "copies"), "jaccard-members")
+    lead = member.groupBy("tile").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("copies", -F.col("id"), "n", "pos")).alias("m")).filter("c > 1")
+    lead = stored(lead.select("tile", (-F.col("m.col2")).alias("lead"), F.col("m.n").alias("lead_n"), F.col("m.pos").alias("lead_pos")), "jaccard-leaders")
     member = stored(member.join(lead.select("tile"), "tile", "left_semi"), "jaccard-tiles")
-    starred = member.join(lead, "tile").filter((F.col("id") != F.col("lead")) & _possible(F.col("n"), F.col("lead_n"), percent))
+    starred = member.join(lead, "tile").filter((F.col("id") != F.col("lead")) & _possible(F.col("n"), F.col("lead_n"), percent) & _reachable(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"), percent))
     starred = stored(starred.groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.count(F.lit(1)).alias("c")).select("a", "b"), "jaccard-starred")
     wanted = stored(member.select("id").distinct(), "jaccard-wanted")
     texts = stored(slim.join(wanted, "id", "left_semi"), "jaccard-texts")
@@ -227,11 +242,11 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     double = sets.filter("n > 0").join(reps, ["n", "d1", "d2"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     links = stored(links.union(double), "jaccard-star-links")
     parts = connected_components(links)
-    named = stored(member.join(parts, "id", "left").select("tile", "id", "n", F.coalesce("component", "id").alias("part")), "jaccard-parts")
+    named = stored(member.join(parts, "id", "left").select("tile", "id", "n", "pos", F.coalesce("component", "id").alias("part")), "jaccard-parts")
     mixed_tiles = stored(named.groupBy("tile").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("tile"), "jaccard-mixed")
     rest = stored(named.join(mixed_tiles, "tile", "left_semi"), "jaccard-rest")
-    l, r = (rest.select("tile", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("part").alias(f"p{k}")) for k in "ab")
-    cross = l.join(r, "tile").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _possible(F.col("na"), F.col("nb"), percent))
+    l, r = (rest.select("tile", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"q{k}"), F.col("part").alias(f"p{k}")) for k in "ab")
+    cross = l.join(r, "tile").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _possible(F.col("na"), F.col("nb"), percent) & _reachable(F.col("na"), F.col("qa"), F.col("nb"), F.col("qb"), percent))
     done = stored(cross.select("a", "b").distinct().join(starred, ["a", "b"], "left_anti"), "jaccard-cross")
     links = links.union(_links(done, texts, signatures, shingle, percent))
     parts = connected_components(links)
