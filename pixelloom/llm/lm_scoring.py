@@ -13,9 +13,9 @@ from .shared import blocks, crc_of, hashed_words, mixed, most_frequent, stored
 
 END, BEGIN = (int(x) for x in mixed(np.array([77, 78], dtype=np.uint64)))
 ADD = 0.1
-#: Contexts whose counts are at hand everywhere: at most so many of the most frequent words.
+#: Words whose counts are at hand everywhere: at most so many of the most frequent ones. Counts of other contexts come by a join.
 FREQUENT = 1 << 17
-#: Smoothing mass of a context: this share of a frequent context's count, a constant for others.
+#: Smoothing mass of a context: this share of its count, a constant for BEGIN and for words that no training text has.
 SHARE, CONSTANT = 1.0, 8.0
 SHARD_TOKENS, CHUNK = 2_000_000, 4 << 20
 _PAIR = np.uint64(int(mixed(np.array([79], dtype=np.uint64))[0]) | 1)
@@ -169,6 +169,37 @@ def _unpacked(blob: bytes, kinds: str) -> list[np.ndarray]:
 _KINDS = "u8 u4 u8 u4 u4 u2 u4"
 
 
+def _shard_of(word: np.ndarray, context: np.ndarray, hot: np.ndarray, n_shards: int) -> np.ndarray:
+    """The shard of each pair: by its word, or by the whole pair if the word is hot."""
+    shard = ((word >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
+    if len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, word), len(hot) - 1)] == word
+        shard = np.where(is_hot, (mixed(word + context * _PAIR) % np.uint64(n_shards)).astype(np.int64), shard)
+    return shard
+
+
+def _wanted_pass(n_shards: int, hot, shared):
+    """(word, shard): the contexts of a chunk whose counts are not at hand, and the shards that hold pairs of them."""
+
+    def run(batches):
+        frequent = shared.value[2]
+        for batch in batches:
+            for _, offsets, data in _chunks(batch.column("text")):
+                _, word, before = tokens_of(data, offsets)
+                rare = before != BEGIN
+                if len(frequent):
+                    rare &= frequent[np.minimum(np.searchsorted(frequent, before), len(frequent) - 1)] != before
+                word, before = word[rare], before[rare]
+                shard = _shard_of(word, before, hot.value, n_shards)
+                order = np.lexsort((shard, before))
+                before, shard = before[order], shard[order]
+                new = np.ones(len(before), dtype=bool)
+                new[1:] = (before[1:] != before[:-1]) | (shard[1:] != shard[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(before[new].view(np.int64)), pa.array(shard[new].astype(np.int32))], names=["word", "shard"])
+
+    return run
+
+
 def _pairs_pass(n_shards: int, hot):
     """Deals the (word, context) pairs of a chunk of texts to shards: by word, but the pairs of a hot word one by one."""
 
@@ -191,10 +222,7 @@ def _pairs_pass(n_shards: int, hot):
                 train = (~held[first : first + rows]).astype(np.uint32)
                 trained = np.add.reduceat(train[doc], p)
                 pw, pc = word[p], before[p]
-                shard = ((pw >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
-                if len(known):
-                    is_hot = known[np.minimum(np.searchsorted(known, pw), len(known) - 1)] == pw
-                    shard = np.where(is_hot, (mixed(pw + pc * _PAIR) % np.uint64(n_shards)).astype(np.int64), shard)
+                shard = _shard_of(pw, pc, known, n_shards)
                 held_by = np.bincount(entry_pair, minlength=len(p)).astype(np.uint32)
                 e_first = np.cumsum(held_by, dtype=np.int64) - held_by
                 by_shard = np.argsort(shard, kind="stable")
@@ -226,20 +254,34 @@ def _chunks(column):
 
 
 def _shard_pass(shared):
-    """Builds a shard's trie from the pairs of all chunks and answers the same pairs: sums for each text of a chunk."""
+    """Builds a shard's trie from the pairs of all chunks and answers the same pairs: sums for each text of a chunk.
 
-    def run(table: pa.Table) -> pa.Table:
+    The second table has the training counts of the shard's contexts that are not among the frequent words.
+    """
+
+    def run(table: pa.Table, rare: pa.Table) -> pa.Table:
         n_all, v_all, frequent, frequent_n = shared.value
         floor = ADD / (n_all + ADD * (v_all + 1))
         prior = lambda c: c / (n_all + ADD * (v_all + 1)) + floor
 
+        other = rare.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(other)
+        other, other_n = other[order], rare.column("n").to_numpy()[order].astype(np.float64)
+
+        def looked_up(words, keys, values):
+            at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
+            return (keys[at] == words, values[at]) if len(keys) else (np.zeros(len(words), bool), np.zeros(len(words)))
+
         def known(words):
-            at = np.minimum(np.searchsorted(frequent, words), max(len(frequent) - 1, 0))
-            return (frequent[at] == words, frequent_n[at]) if len(frequent) else (np.zeros(len(words), bool), np.zeros(len(words)))
+            return looked_up(words, frequent, frequent_n)
 
-        def mass(words):
-            there, n = known(words)
-            return np.where(there & (words != END), SHARE * n, CONSTANT)  # END stands for BEGIN, which comes as often
+        def mass_of(words, n):
+            return np.where((n > 0) & (words != END), SHARE * n, CONSTANT)  # END stands for BEGIN, which comes as often
+
+        def mass(contexts):
+            there, n = known(contexts)
+            also, m = looked_up(contexts, other, other_n)
+            return mass_of(contexts, np.where(there, n, np.where(also, m, 0)))
 
         def totals(words, sums):
             there, n = known(words)
@@ -268,7 +310,7 @@ def _shard_pass(shared):
             top = trie.log_mass(rank[of], cb)
             missing = np.isnan(top)
             top[missing] = np.log10(mass(cb[missing]) * prior(n_word[of[missing]]))
-            value = top - np.log10(n_word + mass(cw))[of]
+            value = top - np.log10(n_word + mass_of(cw, n_word))[of]
             e = np.repeat(np.arange(len(cb)), n_entry)
             ew = of[e]
             base = np.bincount(doc, times * np.log10(n_word + ADD)[ew], minlength=rows)
@@ -301,9 +343,11 @@ def lm_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text"
     Tokens are words (A-Z in lower case) and one end for each text; the model learns from rows that are
     not held out. base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens. score adds
     log10 of P(w | u) = (c(u, w) + m(u) P(w)) / (c(u) + m(u)), which sums to one for every context u:
-    P(w) is the base, m(u) the smoothing mass.
+    P(w) is the base, m(u) the smoothing mass: c(u), whatever the size of the input, and 8 for the
+    begin of a text and for words that no training text has.
 
-    1. Words are counted over the training rows: N, V, and the counts of the most frequent words.
+    1. Words are counted over the training rows: N, V, and the counts of the most frequent words. Each
+       shard gets the counts of its other contexts by a join with the stored word counts.
     2. Chunks of texts send their distinct pairs (w, u), with training counts and the texts that hold them,
        to shards, by w; pairs of words that would overfill a shard are dealt one by one.
     3. A shard merges the counts into a trie of Elias-Fano levels and looks its pairs up: first w, then
@@ -330,7 +374,9 @@ def lm_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text"
     shared = spark.sparkContext.broadcast((n_all, v_all, frequent, frequent_n.astype(np.float64)))
     lists = f"ids array<{kind}>, held array<boolean>, tokens array<long>"
     dealt = slim.mapInArrow(_pairs_pass(n_shards, hot), f"chunk long, shard int, rows int, blob binary, {lists}")
-    sums = dealt.groupBy("shard").applyInArrow(_shard_pass(shared), f"chunk long, sums binary, {lists}")
+    wanted = slim.select("text").mapInArrow(_wanted_pass(n_shards, hot, shared), "word long, shard int").distinct()
+    rare = wanted.join(words.hint("shuffle_hash"), "word").select("shard", "word", "n")
+    sums = dealt.groupBy("shard").cogroup(rare.groupBy("shard")).applyInArrow(_shard_pass(shared), f"chunk long, sums binary, {lists}")
     norm = float(np.log10(n_all + ADD * (v_all + 1)))
     out = sums.groupBy("chunk").applyInArrow(_sum_pass(norm), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

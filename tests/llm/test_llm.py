@@ -343,6 +343,26 @@ def test_lm_scores_against_brute_force(docs, rows, empty):
     assert {r.train_tokens for r in lm_scoring.lm_scores(docs, F.lit(True)).collect()} == {0}
 
 
+@pytest.mark.parametrize("frequent", [0, 40])
+def test_lm_mass_is_the_count_of_every_context(docs, rows, monkeypatch, frequent):
+    """The model does not change when its words are more than those whose counts are at hand everywhere."""
+    held = crc_of(F.col("doc_id")) % 3 == 0
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, held).collect()}
+    tok = [(r[0], words(r[1]) + [None], zlib.crc32(str(r[0]).encode()) % 3 == 0) for r in rows]
+    one, two = Counter(), Counter()
+    for _, w, out in tok:
+        if not out:
+            one.update(w)
+            two.update(zip([0, *w], w))
+    n, v = sum(one.values()), len(one)
+    assert v > 2 * frequent
+    mass = lambda u: one[u] if u != 0 and one[u] else 8
+    for k, w, _ in tok:
+        want = sum(math.log10((two[u, x] + mass(u) * (one[x] + 0.1) / (n + 0.1 * (v + 1))) / ((one[None] if u == 0 else one[u]) + mass(u))) for u, x in zip([0, *w], w))
+        assert abs(got[k].score - want) <= 0.02 * len(w)
+
+
 def test_elias_fano_finds_all(spark):
     rng = np.random.default_rng(1)
     v = np.unique(rng.integers(0, 1 << 44, 5000, dtype=np.uint64))
