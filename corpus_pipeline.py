@@ -34,25 +34,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest doc_id. Texts without words stand alone."""
-    docs = docs.select(*COLUMNS)
-    classes = jaccard_classes(docs)
-    goes = stored(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
-    kept = docs.join(goes, "doc_id", "left_anti")
-    # Rows that repeat a doc_id are one document; equal rows stay once.
-    return kept.dropDuplicates(["doc_id"]) if _repeats(docs) else kept
+    """One row of each class of near duplicates: the one with the smallest doc_id (null last; ties by a hash of the row).
 
-
-def _repeats(docs: DataFrame) -> bool:
-    return docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count() > 0
+    Rows are told apart by a number of their own, written with them, so that rows without doc_id and rows
+    that share one are judged each by its own text. Texts without words stand alone; equal rows stay once.
+    """
+    rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    classes = stored(jaccard_classes(rows, key="_row"), "pipeline-classes")
+    wordless = F.when(F.col("n_shingles") == 0, F.to_json(F.struct(*COLUMNS)))
+    slim = rows.join(classes, "_row").select("_row", "doc_id", F.xxhash64(*COLUMNS).alias("_hash"), F.sha2(wordless, 256).alias("_equal"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_class"))
+    first = slim.groupBy("_class", "_equal").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "_row")).alias("m"))
+    return rows.join(stored(first.select(F.col("m._row").alias("_row")), "pipeline-near"), "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    docs = docs.select(*COLUMNS)
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = stored(found.filter("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
-    return docs.withColumn("_row", F.col("doc_id")).join(hit.withColumnRenamed("doc_id", "_hit"), F.col("_row").eqNullSafe(F.col("_hit")), "left_anti").select(*COLUMNS)
+    """Documents without any window of a benchmark item. The text alone decides, so rows are matched by its digest."""
+    docs = docs.select(*COLUMNS).withColumn("_digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_digest")
+    hit = stored(found.filter("contaminated").select("_digest").distinct(), "pipeline-contaminated")
+    return docs.join(hit, "_digest", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -430,6 +430,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == len(steps[4][1])
 
 
+def test_pipeline_stages_judge_rows_not_ids(spark, tmp_path):
+    """Rows without doc_id and rows that share one are kept or dropped each by its own text."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    a, b, c, d, e, bad = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6))
+    row = lambda k, t: (k, t, "en", "s", len(t or ""))
+    rows = [row(None, a), row(None, b), row(None, b), row(7, c), row(7, d), row(8, e), row(None, e), row(9, e), row(9, a), row(5, " "), row(5, " "), row(None, " ")]
+    for more in ([], [row(11, bad), row(11, bad)]):
+        near = cp.keep_one_of_near(spark, spark.createDataFrame(rows + more, SCHEMA).repartition(3), "").collect()
+        want = [row(9, a), row(None, b), row(7, c), row(7, d), row(8, e), row(5, " "), row(None, " "), *more[:1]]
+        assert sorted(map(str, map(tuple, near))) == sorted(map(str, want))
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    dirty = [row(None, bad), row(7, bad + " x")]
+    clean = cp.drop_contaminated(spark, spark.createDataFrame([*rows, row(None, None), *dirty], SCHEMA), str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, clean))) == sorted(map(str, [*rows, row(None, None)]))
+
+
 def test_extra_columns_with_clashing_names(spark, rows):
     more = "doc_id long, text string, lang string, source string, n_chars long, size long, n_words long, curve long, shard int, score double, kept boolean, copies long, id long, word string"
     df = spark.createDataFrame([(*r, 1, 2, 3, 4, 0.5, True, 6, 7, "w") for r in rows[:20]], more)
