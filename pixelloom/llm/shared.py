@@ -85,7 +85,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return found
 
 
-def blocks(column, limit: int = 1 << 20):
+def blocks(column, limit: int = 1 << 18):
     """Yields (first row, offsets, bytes) of runs of rows of about limit bytes; a longer text is a run of its own. Null counts as empty."""
     column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     if not len(column):
