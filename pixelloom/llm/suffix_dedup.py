@@ -231,9 +231,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, w: int = 32, key: str = "
        such a run is a repeat. Sorting is Spark's aggregation by the 128-bit hash of the suffix, so no
        suffix array of the whole corpus is ever in one place.
 
-    Null and empty texts have no bytes. Rows that share a key count as one text: a string is no repeat
-    of itself at the same start, and repeated rows get the same result. Null keys come first.
+    Null and empty texts have no bytes. Rows are judged each by its own text: of rows that share a key, or
+    have none, the one with the smaller digest of its text counts as earlier, and null keys come first. Only rows equal in
+    key and text are one text: they get the same result, as a string is no repeat of itself at the same start.
+    A text is parsed in one task, at some 60 bytes of memory a byte.
     """
+    if docs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter(F.col(key).isNull() | (F.col("c") > 1)).limit(1).count():
+        body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        own = docs.select(F.struct(F.col(key).alias("key"), F.sha2(body.cast("binary"), 256).alias("digest")).alias("_key"), body.alias("_text"))
+        return _repeats_removed(own, length, w, "_key", "_text").select(F.col("_key.key").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return _repeats_removed(docs, length, w, key, text)
+
+
+def _repeats_removed(docs: DataFrame, length: int, w: int, key: str, text: str) -> DataFrame:
+    """remove_repeats for keys that tell texts apart."""
     slim = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     triggers = slim.select("text").mapInArrow(_triggers_pass(length, w), "k long, n long")
