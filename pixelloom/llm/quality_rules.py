@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, stored, words_of
+from .shared import WORD, hashed_sample, stored, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
+#: Words of a window in which different words are counted.
+WINDOW = 100
 
 
-def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_exclaims and n_distinct (words), all long, of every whole text.
+def with_base_counts(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long, of every whole text; keep: also _words and _lines, the arrays that rules read.
 
     A null or empty text counts 0 everywhere. Columns of these names that the input has are replaced.
     """
@@ -37,19 +38,22 @@ def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": F.char_length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": F.size(covered),
-        "n_lines": F.size("_lines"),
-        "n_exclaims": F.char_length(F.regexp_replace(body, r"[^!]+", "")),
-        "n_distinct": F.size(F.array_distinct("_words")),
     }
-    return out.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words", "_lines", "_three", "_some", "_placed")
+    out = out.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_three", "_some", "_placed")
+    return out if keep else out.drop("_words", "_lines")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected where `rejects` is true. cost and rejected are estimated on a sample."""
+    """A document is rejected where `rejects` is true; it may read the base counts, the text, and the arrays _words and _lines, and is evaluated only where no rule before it rejects.
+
+    work: what the rule reads of a document beyond the base counts, in characters or array elements, plus 1 for
+    the comparison. cost is its mean on a sample and rejected the share of the sample that the rule rejects.
+    """
 
     name: str
     rejects: Column
+    work: Column | None = None
     cost: float = 1.0
     rejected: float = 0.0
 
@@ -62,36 +66,39 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def default_rules() -> list[Rule]:
-    """Rules beside the base: whole-number ratios, so that every engine decides alike."""
-    n = F.col("n_words")
+def default_rules(text: str = "text") -> list[Rule]:
+    """Rules beside the base: whole-number ratios, so that every engine decides alike.
+
+    few_different_words adds up the different words of every WINDOW words, so it does not depend on how long a text is.
+    """
+    n, body = F.col("n_words"), F.coalesce(F.col(text), F.lit(""))
+    different = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / WINDOW).cast("int")), F.lit(0), lambda s, i: s + F.size(F.array_distinct(F.slice("_words", i * WINDOW + 1, F.lit(WINDOW)))))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("short_words", F.col("word_chars") < 2 * n),
         Rule("long_words", F.col("word_chars") > 25 * n),
-        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
-        Rule("shouting", 2 * F.col("n_exclaims") > n),
-        Rule("few_different_words", 3 * F.col("n_distinct") < n),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.size("_lines")),
+        Rule("shouting", 2 * F.char_length(F.regexp_replace(body, r"[^!]+", "")) > n, F.char_length(body)),
+        Rule("few_different_words", (n > 0) & (3 * different < n), F.size("_words")),
     ]
 
 
 def ordered_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """Rules by rejection per cost, highest first; ties by name.
+    """Rules by rejection per cost on a sample with base counts and arrays, highest first; ties by cost, then name.
 
-    Both are estimated on a sample with base counts: one aggregate gives all rejection rates, and the
-    cost of a rule is the time its predicate takes over the stored sample. The order changes how much
+    One aggregate gives rates and costs, over the rows that pass the base, as only those reach the rules.
+    Cost is counted work, not time, so the order is the same on every run. It changes how much
     work the cascade does, never which documents it keeps.
     """
-    sample = stored(sample, "rule-sample")
-    rates = sample.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.coalesce(r.rejects, F.lit(False)).cast("double")).alias(f"r{i}") for i, r in enumerate(rules))).first()
-    if not rates["n"]:
+    # Not a filter: it would be pushed below the projections that build the counts and copy their expressions into each other.
+    reached = lambda x: F.avg(F.when(F.col("_reached"), x.cast("double")))
+    costs = [reached(F.lit(1) + (F.lit(0) if r.work is None else r.work)).alias(f"c{i}") for i, r in enumerate(rules)]
+    rates = [reached(F.coalesce(r.rejects, F.lit(False))).alias(f"r{i}") for i, r in enumerate(rules)]
+    found = sample.withColumn("_reached", ~base_failed()).agg(F.count_if("_reached").alias("n"), *costs, *rates).first()
+    if not found["n"]:
         return sorted(rules, key=lambda r: r.name)
-    measured = []
-    for i, r in enumerate(rules):
-        began = time.perf_counter()
-        sample.agg(F.count_if(r.rejects)).first()
-        measured.append(replace(r, cost=time.perf_counter() - began, rejected=rates[f"r{i}"]))
-    return sorted(measured, key=lambda r: (-r.rank, r.name))
+    measured = [replace(r, cost=found[f"c{i}"], rejected=found[f"r{i}"]) for i, r in enumerate(rules)]
+    return sorted(measured, key=lambda r: (-r.rank, r.cost, r.name))
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -106,16 +113,17 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     """Every input row with the base counts, base_failed, kept and rejected_by.
 
     Null and empty texts have no words and fail the base; repeated rows are judged one by one; an
-    empty table gives an empty result. Rules are ordered on a seeded sample of about sample_rows rows.
-    Input columns named like an output column are replaced.
+    empty table gives an empty result. Rules are ordered on at most sample_rows rows, chosen by a hash of the whole row, so
+    reruns and other partitions choose alike. Input columns named like an output column are replaced.
+    A text is judged in one task; its words and three-word windows take some 30 bytes of memory a byte.
     """
-    counted = with_base_counts(docs, text)
-    rules = default_rules() if rules is None else rules
+    counted = with_base_counts(docs, text, keep=True)
+    rules = default_rules(text) if rules is None else rules
     if rules:
-        share = min(1.0, sample_rows / max(docs.count(), 1))
-        rules = ordered_rules(with_base_counts(docs.select(text).sample(share, seed=7), text), rules)
+        chosen = hashed_sample(docs.select(F.col(text).alias(text), F.xxhash64(*docs.columns).alias("_key")), "_key", sample_rows)
+        rules = ordered_rules(with_base_counts(stored(chosen, "rule-sample"), text, keep=True), rules)
     named = F.when(base_failed(), F.lit("base")).otherwise(cascade(rules) if rules else F.lit(None).cast("string"))
-    return counted.withColumns({"base_failed": base_failed(), "rejected_by": named}).withColumn("kept", F.col("rejected_by").isNull())
+    return counted.withColumns({"base_failed": base_failed(), "rejected_by": named}).drop("_words", "_lines").withColumn("kept", F.col("rejected_by").isNull())
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -140,13 +148,14 @@ WITH w AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-         len(lines) AS n_lines, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_exclaims, len(list_distinct(words)) AS n_distinct
+         len(lines) AS n_lines, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_exclaims,
+         list_sum(list_transform(range(0, (len(words) + 99) // 100), lambda i: len(list_distinct(words[i * 100 + 1:i * 100 + 100])))) AS n_different
   FROM w LEFT JOIN r USING (rid)
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-            OR 2 * n_dup_lines > n_lines OR 2 * n_exclaims > n_words OR 3 * n_distinct < n_words) AS kept
+            OR 2 * n_dup_lines > n_lines OR 2 * n_exclaims > n_words OR coalesce(3 * n_different < n_words, false)) AS kept
 FROM f
 """

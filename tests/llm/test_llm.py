@@ -123,6 +123,16 @@ def test_suffix_dedup_edges(spark, empty):
     assert sorted((r.doc_id is None, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()) == [(False, 150, 1), (True, 149, 1)]
 
 
+def test_suffix_dedup_judges_rows_not_keys(spark):
+    """Rows that share a key, or have none, lose only what really repeats."""
+    rng = random.Random(4)
+    new = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, rows = new(400), []
+    rows = [(1, a), (7, a), (7, new(400)), (None, "z" * 150), (None, new(400)), (7, "-" * 50 + a[100:300]), (1, a)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(0, 150, 50 - 1 + 100), (0, 400, 0), (1, 400, 0), (1, 400, 0), (7, 250, 200), (7, 400, 0), (7, 400, 400)]
+
+
 # 3
 
 
@@ -241,6 +251,30 @@ def test_jaccard_chains_and_hot_groups(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows, 4, 85)
 
 
+def test_jaccard_judges_rows_not_keys(spark):
+    """Null, repeated and textual keys: every row counts by its own text."""
+    w = [f"w{i}" for i in range(100)]
+    near = " ".join(w[:97] + ["x", "y", "z"])
+    rows = [(None, " ".join(w)), ("b", near), ("c", "quite other words than those of the rest"), ("b", "still other words that nobody else has got"), (None, "alone and without any key at all")]
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "k string, t string"), 4, 85, "k", "t").collect()
+    assert sorted((r.k or "", r.n_shingles, r.component_id or "") for r in got) == [("", 4, ""), ("", 97, "b"), ("b", 5, "b"), ("b", 97, "b"), ("c", 5, "c")]
+
+
+def test_jaccard_large_tiles_are_dealt_to_blocks(spark, monkeypatch):
+    """Many texts that share their rarest tokens and hardly link: blocks of a tile find what one block finds."""
+    rng = random.Random(12)
+    base = [f"b{j}" for j in range(60)]
+    rows = []
+    for i in range(90):
+        x = list(base)
+        for _ in range(rng.randint(1, 4)):
+            x[rng.randrange(60)] = f"c{rng.randrange(40)}"
+        rows.append((i, " ".join(x)))
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", 8)
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows, 4, 85)
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
@@ -285,9 +319,26 @@ def test_quality_rules_brute_force(docs, rows, empty):
 
 
 def test_rules_are_ordered_by_rejection_per_cost(spark):
-    df = quality_rules.with_base_counts(spark.range(200).select(F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text")))
-    rules = [quality_rules.Rule("never", F.lit(False)), quality_rules.Rule("always", F.col("n_words") > 0)]
-    assert [r.name for r in quality_rules.ordered_rules(df, rules)] == ["always", "never"]
+    words_ = F.concat(F.lit("a b c "), F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), 60))
+    df = quality_rules.with_base_counts(spark.range(200).select(F.concat(words_, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: i.cast("string")), " ")).alias("text")), keep=True)
+    rules = [quality_rules.Rule("never", F.lit(False)), quality_rules.Rule("dear", F.size("_words") > 0, F.size("_words")), quality_rules.Rule("cheap", F.col("n_words") > 0)]
+    assert [r.name for r in quality_rules.ordered_rules(df, rules)] == ["cheap", "dear", "never"]
+
+
+def test_rules_after_a_rejection_are_not_evaluated(spark):
+    """A later rule that would raise an error is never reached."""
+    df = spark.range(50).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(80)), lambda i: (i * 7919 + F.col("id")).cast("string")), " ").alias("text"))
+    rules = [quality_rules.Rule("all", F.col("n_words") > 0), quality_rules.Rule("zz_raises", F.raise_error(F.lit("reached")).cast("boolean"))]
+    out = quality_rules.with_base_counts(df, keep=True).select(quality_rules.cascade(rules).alias("by")).collect()
+    assert {r.by for r in out} == {"all"}
+
+
+def test_long_clean_text_is_kept(spark):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(1, " ".join(rng.choice(vocab) for _ in range(200_000))), (2, "spam spam eggs " * 60 + " ".join(rng.choice(vocab) for _ in range(170)))], "doc_id long, text string")
+    got = {r.doc_id: r.rejected_by for r in quality_rules.quality_rules(df).collect()}
+    assert got[1] is None and got[2] is not None
 
 
 # 8
