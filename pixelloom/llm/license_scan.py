@@ -2,61 +2,158 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences in normal form (lower case, runs of other characters than
-#: letters and digits as one blank), by identifier.
+#: Known licence sentences by identifier. "..." at the end: the sentence may go on; in the middle: words in between.
 SENTENCES = {
-    "mit-ref": "released under the mit license",
-    "apache2-ref": "licensed under the apache license version 2 0",
-    "gpl3-ref": "this work is licensed under the gnu general public license version 3",
-    "ccbync4-ref": "licensed under cc by nc 4 0",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "notice-kept": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": "the software is provided as is without warranty of any kind express or implied",
-    "apache2-use": "you may not use this file except in compliance with the license",
-    "apache2-copy": "you may obtain a copy of the license at",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "gpl-useful": "this program is distributed in the hope that it will be useful but without any warranty",
-    "bsd-redistribute": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "mit-ref": "released under the MIT license",
+    "apache2-ref": "licensed under the Apache License, Version 2.0",
+    "gpl3-ref": "this work is licensed under the GNU General Public License version 3",
+    "ccbync4-ref": "licensed under CC BY-NC 4.0",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-apache2": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "mit-grant": "Permission is hereby granted, free of charge, to ...",
+    "mit-notice": "The above copyright notice and this permission notice ...",
+    "mit-as-is": 'The software is provided "as is", without warranty ...',
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this ...",
+    "isc-as-is": 'The software is provided "as is" and the ...',
+    "apache2-header": "Licensed under the Apache License, Version 2.0 (the ...",
+    "apache2-copy": "You may obtain a copy of the License ...",
+    "apache2-terms": "Terms and conditions for use, reproduction, and distribution",
+    "apache2-license": '"License" shall mean the terms and conditions for ...',
+    "apache2-licensor": '"Licensor" shall mean the copyright owner or entity ...',
+    "bsd-conditions": "Redistribution and use in source and binary forms ...",
+    "bsd-source": "Redistributions of source code must retain the above ...",
+    "bsd-binary": "Redistributions in binary form must reproduce the above ...",
+    "bsd-names": "Neither the name of ...",
+    "bsd-as-is": "This software is provided ...",
+    "gpl2-free": "This program is free software; you can redistribute ... either version 2 of the License ...",
+    "gpl3-free": "This program is free software: you can redistribute ... either version 3 of the License ...",
+    "gpl-useful": "This program is distributed in the hope that ...",
+    "gpl-verbatim": "Everyone is permitted to copy and distribute verbatim ...",
+    "gpl2-freedom": "The licenses for most software are designed to ...",
+    "gpl3-freedom": "The licenses for most software and other practical ...",
+    "mpl2-form": "This Source Code Form is subject to the ... Mozilla Public License ...",
+    "unlicense": "This is free and unencumbered software released into ...",
 }
-#: Ordered rules: a licence, then the identifiers that must follow each other in a document.
+#: Sentences that are also found inside longer ones.
+REFERENCES = ["mit-ref", "apache2-ref", "gpl3-ref", "ccbync4-ref"]
+#: Ordered rules, each a licence and the identifiers that must follow each other in a document.
 RULES = [
     ("MIT", ["mit-ref"]),
     ("Apache-2.0", ["apache2-ref"]),
     ("GPL-3.0", ["gpl3-ref"]),
     ("CC-BY-NC-4.0", ["ccbync4-ref"]),
-    ("MIT", ["mit-grant", "notice-kept", "as-is"]),
-    ("Apache-2.0", ["apache2-ref", "apache2-use", "apache2-copy"]),
-    ("GPL", ["gpl-free", "gpl-useful"]),
-    ("BSD", ["bsd-redistribute"]),
+    ("MIT", ["spdx-mit"]),
+    ("Apache-2.0", ["spdx-apache2"]),
+    ("BSD-2-Clause", ["spdx-bsd2"]),
+    ("BSD-3-Clause", ["spdx-bsd3"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
+    ("Apache-2.0", ["apache2-header", "apache2-copy"]),
+    ("Apache-2.0", ["apache2-terms", "apache2-license", "apache2-licensor"]),
+    ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is"]),
+    ("BSD-2-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-as-is"]),
+    ("GPL-2.0", ["gpl2-free", "gpl-useful"]),
+    ("GPL-3.0", ["gpl3-free", "gpl-useful"]),
+    ("GPL-2.0", ["gpl-verbatim", "gpl2-freedom"]),
+    ("GPL-3.0", ["gpl-verbatim", "gpl3-freedom"]),
+    ("MPL-2.0", ["mpl2-form"]),
+    ("Unlicense", ["unlicense"]),
 ]
-#: Every known sentence holds one of these, so a text without any has no known sentence.
-ANCHORS = "(?i)licens|permission|warranty|redistribut"
-SENTENCE_END = r"[.!?;]+(?:\s+|$)|\n+"
+#: A sentence ends at . ! ? before white space, or at a line without letters and digits; a single line break may only wrap it.
+SENTENCE_END = r"[.!?]+(?:[ \t\n\r\f]+|$)|\n[^\p{L}\p{Nd}\n]*\n"
+
+
+def normal(sentence: str) -> str:
+    """Normal form: lower case, runs of other characters than letters and decimal digits as one blank."""
+    return " ".join("".join(c if c.isalpha() or c.isdecimal() else " " for c in sentence.lower()).split())
 
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{Nd}]+", " "))
 
 
-def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+def parsed(sentences: dict[str, str]) -> list[tuple[str, list[str], bool]]:
+    """(identifier, parts in order, whether the sentence may go on) of every sentence with a word."""
+    out = []
+    for name, s in sentences.items():
+        parts = [p for p in map(normal, s.split("...")) if p]
+        if parts:
+            out.append((name, parts, s.rstrip().endswith("...")))
+    return out
+
+
+def anchors(sentences: list[str]) -> str:
+    """Pattern of a few words of which every sentence has one: again and again the word (of four letters at least if there is one) that most sentences lack."""
+    left, found = [set(s.split()) for s in sentences], []
+    while left:
+        words = sorted({w for s in left for w in s}, key=lambda w: (len(w) < 4, -sum(w in s for s in left), -len(w), w))
+        found.append(words[0])
+        left = [s for s in left if words[0] not in s]
+    return "(?iu)" + "|".join(map(re.escape, found))
+
+
+def license_scan(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, references: list[str] | None = None
+) -> DataFrame:
     """Per input row: key, n_sentences known, sequence (identifiers in order), licenses (sorted, distinct), license_list (comma-joined).
 
-    A rule matches where its identifiers follow each other in the sequence of known sentences.
-    Null and empty texts hold none; repeated rows are scanned one by one.
+    Sentences are cut at punctuation and blank lines and compared in normal form, so wrapped lines, comment marks and quotes
+    don't matter. A sentence that isn't known is looked at line by line, for licence lines that follow others without a stop. A known sentence
+    that ends in "..." is recognised by its opening words (and what it names after them); one listed in `references` also inside a longer sentence.
+    Of several known sentences that fit, references come last and otherwise the longer opening wins. A rule matches where its identifiers follow each other
+    in the sequence of known sentences.
+
+    Only texts with a word of a known sentence are cut at all. Null and empty texts hold none; repeated rows are scanned one by one; a
+    long text is scanned in one task, in time linear in its length. Every row is judged by itself, so there are no ties.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    # A literal map of fixed size: no join, no shuffle.
-    known = F.create_map(*(F.lit(x) for name, s in sentences.items() for x in (s, name)))
+    known = parsed(SENTENCES if sentences is None else sentences)
+    rules = RULES if rules is None else rules
+    within = set(REFERENCES if sentences is None and references is None else references or [])
     body = F.col(text)
-    parts = F.when(body.rlike(ANCHORS), F.split(body, SENTENCE_END)).otherwise(F.array().cast("array<string>"))
-    ids = F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
-    found = docs.select(F.col(key), ids.alias("sequence"))
+    none = F.array().cast("array<string>")
+    if not known:
+        found = docs.select(F.col(key), none.alias("sequence"))
+    else:
+        # Literal maps of fixed size: no join, no shuffle.
+        whole = {p[0]: name for name, p, more in known if len(p) == 1 and not more}
+        opening: dict[int, dict[str, list]] = {}
+        for name, p, more in known:
+            if more or len(p) > 1:
+                opening.setdefault(len(p[0].split()), {}).setdefault(p[0], []).append((name, p[1:]))
+
+        def identified(s: Column) -> Column:
+            """Identifier of a normalised sentence, null if it is unknown."""
+            tries = [F.try_element_at(F.create_map(*(F.lit(x) for kv in whole.items() for x in kv)), s)] if whole else []
+            for n in sorted(opening, reverse=True):
+                head = F.substring_index(s, " ", n)
+                plain = {k: v[0][0] for k, v in opening[n].items() if not v[0][1]}
+                if plain:
+                    tries.append(F.try_element_at(F.create_map(*(F.lit(x) for kv in plain.items() for x in kv)), head))
+                for k, entries in opening[n].items():
+                    for name, rest in entries:
+                        if rest:
+                            tries.append(F.when((head == k) & F.like(s, F.lit("%" + "%".join(rest) + "%")), F.lit(name)))
+            tries += [F.when(F.contains(F.concat(F.lit(" "), s, F.lit(" ")), F.lit(f" {p[0]} ")), F.lit(name)) for name, p, _ in known if name in within]
+            return F.coalesce(*tries)
+
+        def of_sentence(s: Column) -> Column:
+            own = F.transform(F.array(s), lambda x: identified(normalised(x)))
+            lines = F.transform(F.split(s, "\n"), lambda x: identified(normalised(x)))
+            return F.when(own[0].isNotNull(), own).otherwise(lines)
+
+        parts = F.when(body.rlike(anchors([p[0] for _, p, _ in known])), F.split(body, SENTENCE_END)).otherwise(none)
+        ids = F.filter(F.flatten(F.transform(F.coalesce(parts, none), of_sentence)), lambda x: x.isNotNull())
+        found = docs.select(F.col(key), ids.alias("sequence"))
     joined = F.concat(F.lit(","), F.array_join("sequence", ","), F.lit(","))
-    names = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(joined.contains("," + ",".join(seq) + ","), F.lit(name)) for name, seq in rules)), lambda x: x.isNotNull())))
-    return found.withColumn("licenses", names).withColumn("license_list", F.array_join("licenses", ",")).withColumn("n_sentences", F.size("sequence").cast("long"))
+    hits = F.filter(F.array(*(F.when(joined.contains("," + ",".join(seq) + ","), F.lit(name)) for name, seq in rules)), lambda x: x.isNotNull()) if rules else none
+    return found.withColumn("licenses", F.array_sort(F.array_distinct(hits))).withColumn("license_list", F.array_join("licenses", ",")).withColumn("n_sentences", F.size("sequence").cast("long"))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -64,15 +161,33 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     return license_scan(docs).select("doc_id", "n_sentences", F.array_join("sequence", ",").alias("sentence_ids"), "license_list")
 
 
-_VALUES = ", ".join(f"('{name}', '{s}')" for name, s in SENTENCES.items())
+def _values() -> str:
+    """(id, opening, words of it or 0 for a whole sentence, what follows as a pattern, found inside or not, order of preference)."""
+    rows = []
+    for name, p, more in parsed(SENTENCES):
+        n = len(p[0].split()) if more or len(p) > 1 else 0
+        rows.append((name, p[0], n, "%" + "%".join(p[1:]) + "%" if len(p) > 1 else "%", 0, -n if n else -1000))
+        if name in REFERENCES:
+            rows.append((name, p[0], 0, "%", 1, 1000))
+    return ", ".join(f"('{a}', '{b}', {c}, '{d}', {e}, {f})" for a, b, c, d, e, f in rows)
+
+
 _RULES = ", ".join(f"('{name}', ',{','.join(seq)},')" for name, seq in RULES)
+_FITS = "CASE WHEN k.inside = 1 THEN contains(' ' || x.s || ' ', ' ' || k.s || ' ') WHEN k.n = 0 THEN x.s = k.s ELSE (x.s = k.s OR starts_with(x.s, k.s || ' ')) AND x.s LIKE k.rest END"
+_NORMAL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
 OP10_SQL = rf"""
-WITH known(id, s) AS (VALUES {_VALUES}), rules(license, seq) AS (VALUES {_RULES}), d AS (
-  SELECT row_number() OVER () AS rid, doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?;]+(?:\s+|$)|\n+') AS parts FROM documents
+WITH k(id, s, n, rest, inside, pref) AS (VALUES {_values()}), rules(license, seq) AS (VALUES {_RULES}), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_split_to_array(coalesce(text, ''), '{SENTENCE_END}') AS parts FROM documents
 ), p AS (
-  SELECT rid, i, trim(regexp_replace(lower(parts[i]), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')) AS s FROM (SELECT rid, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)
+  SELECT rid, i, 0 AS j, parts[i] AS raw, {_NORMAL.format('parts[i]')} AS s FROM (SELECT rid, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)
+), a AS (
+  SELECT rid, i, j, arg_min(id, pref) AS id FROM p x JOIN k ON {_FITS} GROUP BY ALL
+), ln AS (
+  SELECT rid, i, j, {_NORMAL.format('raw')} AS s FROM (SELECT rid, i, unnest(string_split(raw, chr(10))) AS raw, generate_subscripts(string_split(raw, chr(10)), 1) AS j FROM p ANTI JOIN a USING (rid, i))
+), b AS (
+  SELECT rid, i, j, arg_min(id, pref) AS id FROM ln x JOIN k ON {_FITS} GROUP BY ALL
 ), q AS (
-  SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM p JOIN known USING (s) GROUP BY rid
+  SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY i, j) AS ids FROM (FROM a UNION ALL FROM b) GROUP BY rid
 ), l AS (
   SELECT rid, string_agg(license, ',' ORDER BY license) AS license_list
   FROM (SELECT DISTINCT rid, license FROM q JOIN rules ON contains(',' || ids || ',', seq)) GROUP BY rid
