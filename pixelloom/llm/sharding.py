@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
@@ -56,24 +56,60 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return F.element_at(F.transform(F.array(coded), interleaved), 1)
 
 
-def _ordinal(text: Column) -> Column:
-    """The first six bytes as a number: keeps the byte order of short strings."""
-    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def _in_order(df: DataFrame, *order: Column, name: str) -> tuple[DataFrame, dict[int, int]]:
+    """df in a range-partitioned sort, written with _part and _place (from 0 within the part); and the rows of every part."""
+    mono = F.monotonically_increasing_id()
+    placed = stored(df.orderBy(*order).withColumn("_part", F.shiftright(mono, 33)).withColumn("_place", mono.bitwiseAND(F.lit((1 << 33) - 1))), name)
+    return placed, {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
+
+
+def _starts(spark, sizes: dict[int, int], column: str) -> DataFrame:
+    """(_part, column): the sum over the parts before, a row for each partition."""
+    before, total = [], 0
+    for part, n in sorted(sizes.items()):
+        before.append((part, total))
+        total += n
+    return spark.createDataFrame(before, f"_part long, {column} long")
+
 
+def string_cuts(docs: DataFrame, value: Column, cells: int) -> list[str]:
+    """At most cells - 1 whole values that cut the order of strings into cells of like weight.
+
+    A value weighs its rows, but no more than a cell's share, so a hot value does not take the cells of the others.
+    Values are counted, sorted and summed up by Spark; only the cuts and a row for each partition come to the driver.
+    """
+    counts = stored(docs.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n")).filter("v is not null"), "curve-values")
+    most = counts.agg(F.sum("n").alias("n")).first()["n"]
+    if not most:
+        return []
+    placed, _ = _in_order(counts.withColumn("n", F.least("n", F.lit(-(-most // cells)))), F.col("v"), name="curve-sorted")
+    sums = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.sum("n").alias("n")).collect()}  # a row for each partition
+    total = sum(sums.values())
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_start")
+    celled = placed.join(F.broadcast(_starts(docs.sparkSession, sums, "_start")), "_part").withColumn("_cell", F.expr("0L") + F.floor(before * cells / total))
+    return sorted(r["v"] for r in celled.groupBy("_cell").agg(F.min("v").alias("v")).collect())[1:]  # at most `cells` rows
 
-def _cell(value: Column, cuts: list[float]) -> Column:
-    """Number of cuts that are not above the value."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x <= value))
+
+def _cell(value: Column, cuts: list, kind: str) -> Column:
+    """Number of cuts that are not above the value; 0 for null."""
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast(f"array<{kind}>"), lambda x: x <= value)), F.lit(0))
 
 
 def with_curve(docs: DataFrame, dims: dict[str, Column], bits: int = 5) -> DataFrame:
-    """Adds `curve`. Each dimension is cut into 2**bits cells at its approximate quantiles, so cells hold like numbers of rows; null is the lowest value."""
+    """Adds `curve`. Each dimension is cut into 2**bits cells that hold like numbers of rows: numbers at their approximate quantiles, strings by their order as whole values (a hot value counts as one cell). Null is the lowest value."""
     cells = 1 << bits
-    named = {f"_d{i}": F.coalesce(c.cast("double"), F.lit(-1.0)) for i, c in enumerate(dims.values())}
+    named = {f"_d{i}": c for i, c in enumerate(dims.values())}
     out = docs.withColumns(named)
-    steps = [i / cells for i in range(1, cells)]
-    cuts = out.agg(*(F.percentile_approx(k, F.array(*map(F.lit, steps)), F.lit(2000)).alias(k) for k in named)).first()
-    quantised = [_cell(F.col(k), sorted(set(cuts[k] or []))) for k in named]
+    texts = [k for k, t in out.select(*named).dtypes if t == "string"]
+    numbers = [k for k in named if k not in texts]
+    steps = F.array(*(F.lit(i / cells) for i in range(1, cells)))
+    found = out.agg(*(F.percentile_approx(F.coalesce(F.col(k).cast("double"), F.lit(-1.0)), steps, F.lit(2000)).alias(k) for k in numbers)).first() if numbers else {}
+    quantised = []
+    for k in named:
+        if k in texts:
+            quantised.append(_cell(F.col(k), string_cuts(out, F.col(k), cells), "string"))
+        else:
+            quantised.append(_cell(F.coalesce(F.col(k).cast("double"), F.lit(-1.0)), sorted(set(found[k] or [])), "double"))
     return out.withColumn("curve", hilbert_index(quantised, bits)).drop(*named)
 
 
@@ -83,21 +119,16 @@ def shard_by_curve(docs: DataFrame, n_shards: int = 40, text: str = "text", key:
     Law `rows`: the rows of two shards differ by one at most, and slots count from 0 without gaps.
     Ties on the curve go by text checksum (so equal texts are neighbours), then key. A global rank
     comes from a range-partitioned sort: rows of earlier partitions plus the place in the own one; no
-    task sees more than its range. Null texts have size 16; an empty table has no shards.
+    task sees more than its range. Null texts have size 16, null sources and
+    languages come first; rows equal in all of this are interchangeable; an empty table has no shards. A text is only measured, so its length does not matter.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     if dims is None:
-        dims = {"source": _ordinal(F.col("source")), "lang": _ordinal(F.col("lang")), "size": F.octet_length(body).cast("double")}
+        dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.octet_length(body).cast("double")}
     cols = {"size": (F.octet_length(body) + 16).cast("long"), "text_crc32": F.crc32(body.cast("binary")).cast("long")}
     slim = with_curve(docs, dims, bits).select(F.col(key), F.col("curve"), *(v.alias(k) for k, v in cols.items()))
-    ranged = slim.orderBy("curve", "text_crc32", F.col(key).asc_nulls_last(), F.xxhash64(key, "size"))
-    mono = F.monotonically_increasing_id()
-    placed = stored(ranged.withColumn("_part", F.shiftright(mono, 33)).withColumn("_place", mono.bitwiseAND(F.lit((1 << 33) - 1))), "curve-order")
-    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
-    before, total = {}, 0
-    for part, n in counts:
-        before[part], total = total, total + n
-    starts = placed.sparkSession.createDataFrame(list(before.items()), "_part long, _start long")
+    placed, counts = _in_order(slim, F.col("curve"), F.col("text_crc32"), F.col(key).asc_nulls_last(), F.xxhash64(key, "size"), name="curve-order")
+    starts, total = _starts(docs.sparkSession, counts, "_start"), sum(counts.values())
     n = max(total, 1)
     rank = F.col("_start") + F.col("_place")
     shard = F.expr(f"((_start + _place) * {n_shards}L) div {n}L")

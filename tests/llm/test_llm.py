@@ -367,6 +367,55 @@ def test_shards_are_even_and_gapless(docs, rows, empty):
     assert sharding.shard_by_curve(empty, 5).count() == 0
 
 
+def hilbert(cells, bits):
+    """Brute force: the index of a cell along the curve, by the published loops."""
+    x, n = list(cells), len(cells)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        t ^= (q - 1) if x[-1] & q else 0
+        q >>= 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_against_brute_force(spark):
+    """Sources with a long common prefix are told apart, and every row stands where a sort of all rows puts it."""
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randint(0, 40), rng.choice(["de", "en", None]), None if i % 29 == 0 else "https://site-" + "ab"[rng.random() < 0.3] + str(rng.randrange(4))) for i in range(300)]
+    out = sharding.shard_by_curve(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5), 7, bits=4).collect()
+
+    def cells(values):
+        count = Counter(v for v in values if v is not None)
+        share = -(-sum(count.values()) // 16)
+        weight = {v: min(c, share) for v, c in count.items()}
+        total, at, low = sum(weight.values()), 0, {}
+        for v in sorted(weight):
+            low.setdefault(at * 16 // total, v)
+            at += weight[v]
+        cuts = sorted(low.values())[1:]
+        return lambda v: 0 if v is None else sum(c <= v for c in cuts)
+
+    sizes = sorted(len(r[1]) for r in rows)
+    cuts = sorted({sizes[math.ceil(len(sizes) * i / 16) - 1] for i in range(1, 16)})
+    source, lang = cells([r[3] for r in rows]), cells([r[2] for r in rows])
+    curve = {r[0]: hilbert((source(r[3]), lang(r[2]), sum(c <= len(r[1]) for c in cuts)), 4) for r in rows}
+    assert {r.doc_id: r.curve for r in out} == curve and len({source(f"https://site-{a}{b}") for a in "ab" for b in range(4)}) == 8
+    order = sorted(rows, key=lambda r: (curve[r[0]], zlib.crc32(r[1].encode()), r[0]))
+    want = {r[0]: (i * 7 // 300, i - -(-(i * 7 // 300) * 300 // 7)) for i, r in enumerate(order)}
+    assert {r.doc_id: (r["shard"], r.slot) for r in out} == want
+
+
 # 9
 
 
