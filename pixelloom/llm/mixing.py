@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, stored
 
 SEED = 20
-#: What is left of a quota is filled document by document until it is under this share of the target, at most so many times.
-NEAR, ROUNDS = 0.0005, 12
-#: Membership patterns are few (sets of sources that occur together); more than this is refused.
-MAX_PATTERNS = 20_000
+#: A quota is filled as soon as this share of its target, or less, is left.
+NEAR = 0.0005
+#: Plans have a row for each membership pattern; up to so many are broadcast, more are joined by a shuffle.
+BROADCAST_PATTERNS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -87,80 +89,103 @@ def min_cost_flow(sizes: list[int], members: list[list[int]], quotas: list[int],
     return [sum(arcs[k][1] for k in first[p] if arcs[k][0] == out) for p in range(n_p)]
 
 
+def flows(sizes: list[int], members: list[list[int]], quotas: list[int], epochs: int = 3) -> list[int]:
+    """min_cost_flow, with the patterns set apart whose sources are in no other pattern: their flow is plain."""
+    uses = Counter(s for m in members for s in m)
+    shared = [p for p, m in enumerate(members) if len(m) > 1 or any(uses[s] > 1 for s in m)]
+    out = [min(epochs * n, sum(quotas[s] for s in m)) for n, m in zip(sizes, members, strict=True)]
+    at = {s: i for i, s in enumerate(sorted({s for p in shared for s in members[p]}))}
+    part = min_cost_flow([sizes[p] for p in shared], [[at[s] for s in members[p]] for p in shared], [quotas[s] for s in at], epochs)
+    for p, f in zip(shared, part, strict=True):
+        out[p] = f
+    return out
+
+
 def _ordered(names: set) -> list:
     """Sources by code point, null last."""
     return sorted(names, key=lambda x: (x is None, x or ""))
 
 
-def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = SEED) -> DataFrame:
+def place(docs: DataFrame, seed: int = SEED) -> Column:
+    """Seeded place of a row, from 0 to 2**62 - 1: a hash of the whole row."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *docs.columns), 2)
+
+
+def mix(docs: DataFrame, members: Column, size: Column, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = SEED) -> DataFrame:
     """Every input row with size, source_size, target (of its first source), copies and taken = copies * size.
 
     members: array of the sources that a row belongs to (a null element is a source, last in order).
     Weights repeat over the sources by code point. Documents are aggregated by membership pattern, the
-    flow gives each pattern its tokens; a pattern takes all its documents as often as that fills, then
-    whole documents in seeded order as far as they fit, then the one document that comes nearest to
-    what is left. The order depends on seed and key alone, so reruns agree. Rows with equal key, size
-    and pattern are taken alike. Documents of size 0 and empty tables take nothing.
+    flow gives each pattern its tokens. A pattern takes all its documents as often as that fills; what is left is a gap that
+    whole documents fill in seeded order: as far as they fit, then again those that still fit into what
+    is left, until that is next to nothing or no document fits; then one more document if that comes nearer.
+
+    Rows are placed by a hash of all their columns, so reruns and other partitions agree; only rows equal in every column are taken
+    alike. Documents of size 0 (null, empty and blank texts) and empty tables take nothing. Input columns named
+    like an output column are replaced. The driver holds a row for each pattern, some 300 bytes.
     """
     spark = docs.sparkSession
-    seeded = F.xxhash64(F.lit(seed), F.col(key))
-    pattern = F.array_sort(F.array_distinct(members))
-    cols = {"size": size, "_pattern": pattern, "_h": seeded, "_bucket": F.shiftrightunsigned(seeded, 52).cast("int")}
+    cols = {"_mix_place": place(docs, seed), "_mix_pattern": F.array_sort(F.array_distinct(members)), "size": size}
     tagged = docs.withColumns(cols)
-    slim = stored(tagged.select(F.col(key).alias("_key"), *cols), "mix-sizes")
-    buckets = stored(slim.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("n")), "mix-buckets")
-    per = buckets.groupBy("_pattern").agg(F.sum("n").alias("n")).orderBy(F.col("_pattern").cast("string")).limit(MAX_PATTERNS + 1).collect()
-    if len(per) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    names = _ordered({s for r in per for s in r["_pattern"]})
+    slim = stored(tagged.select(*cols), "mix-sizes")
+    per = [(r["_mix_pattern"], int(r["n"])) for r in slim.groupBy("_mix_pattern").agg(F.sum("size").alias("n")).collect()]
+    per.sort(key=lambda r: [(s is None, s or "") for s in r[0]])
+    names = _ordered({s for r, _ in per for s in r})
     at = {s: i for i, s in enumerate(names)}
-    member = [[at[s] for s in r["_pattern"]] for r in per]
-    sizes = [int(r["n"]) for r in per]
-    of_source = [sum(n for n, m in zip(sizes, member, strict=True) if i in m) for i in range(len(names))]
+    member = [[at[s] for s in r] for r, _ in per]
+    sizes = [n for _, n in per]
+    of_source = [0] * len(names)
+    for n, m in zip(sizes, member, strict=True):
+        for i in m:
+            of_source[i] += n
     targets = water_filled(of_source, [weights[i % len(weights)] for i in range(len(names))], most) if sum(sizes) else [0.0] * len(names)
-    flows = min_cost_flow(sizes, member, [round(t) for t in targets], most)
-    plan = [(r["_pattern"], of_source[m[0]] if m else 0, float(targets[m[0]]) if m else 0.0, f // n if n else 0, f % n if n else 0) for r, m, n, f in zip(per, member, sizes, flows, strict=True)]
-    kinds = docs.select(pattern.alias("_pattern")).schema["_pattern"].dataType.simpleString()
-    # One row for each pattern, at most MAX_PATTERNS: safe to broadcast.
-    plans = spark.createDataFrame(plan, f"_pattern {kinds}, source_size long, target double, _full long, _rest long")
-
-    def with_plan(df: DataFrame, more: DataFrame) -> DataFrame:
-        more = more.withColumnRenamed("_pattern", "_pattern2")
-        return df.join(F.broadcast(more), df["_pattern"].eqNullSafe(more["_pattern2"]), "left").drop("_pattern2")
-
-    # The bucket in which the seeded order reaches what is left: 4096 sums for each pattern at most.
-    w = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = with_plan(buckets.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0))), plans)
-    cut = cut.filter((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("n"))).select("_pattern", F.col("_bucket").alias("_edge"), "_before")
-    plans = _joined(plans, cut.collect(), cut.schema, spark)
-    # Within that bucket, the last document that fits.
-    edge = with_plan(slim, plans).filter(F.col("_bucket") == F.col("_edge"))
-    w = Window.partitionBy("_pattern").orderBy("_h", F.col("_key"), "size").rowsBetween(Window.unboundedPreceding, 0)
-    fits = edge.withColumn("_sum", F.col("_before") + F.sum("size").over(w)).filter(F.col("_sum") <= F.col("_rest")).groupBy("_pattern").agg(F.max("_sum").alias("_got"), F.max(F.struct("_h", "_key")).alias("_last"))
-    plans = _joined(plans, fits.collect(), fits.schema, spark).withColumn("_gap", F.col("_rest") - F.coalesce("_got", "_before"))
-    place = lambda k: F.struct(F.col("_h"), F.col(k).alias("_key"))
-    chosen = lambda k: F.coalesce((F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & (place(k) <= F.col("_last"))), F.lit(False))
-    extra = lambda k: F.coalesce(F.array_contains("_extra", place(k)), F.lit(False))
-    plans = plans.withColumn("_extra", F.array().cast(f"array<{slim.select(place('_key')).schema[0].dataType.simpleString()}>"))
-    for _ in range(ROUNDS):
-        near = with_plan(slim, plans).filter((F.col("_gap") > NEAR * F.col("target")) & ~chosen("_key") & ~extra("_key") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_gap")))
-        near = near.groupBy("_pattern").agg(F.min(F.struct((F.col("size") > F.col("_gap")).alias("o"), F.abs(F.col("_gap") - F.col("size")).alias("d"), F.col("_h"), F.col("_key"), F.col("size"))).alias("_x"))
-        found = near.collect()  # a row for each pattern at most
-        if not found:
-            break
-        plans = _joined(plans, found, near.schema, spark)
-        plans = plans.withColumn("_extra", F.when(F.col("_x").isNull(), F.col("_extra")).otherwise(F.array_append("_extra", F.struct("_x._h", "_x._key"))))
-        plans = plans.withColumn("_gap", F.col("_gap") - F.coalesce("_x.size", F.lit(0))).drop("_x")
-        plans = spark.createDataFrame(plans.collect(), plans.schema)
-    out = with_plan(tagged, plans)
-    copies = F.when(F.col("size") > 0, F.col("_full") + chosen(key).cast("int") + extra(key).cast("int")).otherwise(F.lit(0))
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("_pattern", "_h", "_bucket", "_full", "_rest", "_edge", "_before", "_got", "_last", "_gap", "_extra")
-
-
-def _joined(plans: DataFrame, rows: list, schema, spark) -> DataFrame:
-    """Adds to the plans (a row for each pattern) what was found for some of them."""
-    more = spark.createDataFrame(rows, schema).withColumnRenamed("_pattern", "_pattern3")
-    return plans.join(F.broadcast(more), plans["_pattern"].eqNullSafe(more["_pattern3"]), "left").drop("_pattern3")
+    flow = flows(sizes, member, [round(t) for t in targets], most)
+    gaps = [f % n if n else 0 for f, n in zip(flow, sizes, strict=True)]
+    stops: list[list[tuple[int, int]]] = [[] for _ in per]  # documents up to this size are taken up to this place
+    extra: list[int | None] = [None] * len(per)
+    kind = slim.schema["_mix_pattern"].dataType.simpleString()
+
+    def joined(df: DataFrame, rows: list, columns: str) -> DataFrame:
+        plan = spark.createDataFrame(rows, f"_mix_of {kind}, _mix_stops array<struct<size: long, place: long>>, {columns}")
+        plan = F.broadcast(plan) if len(rows) <= BROADCAST_PATTERNS else plan
+        return df.join(plan, df["_mix_pattern"].eqNullSafe(plan["_mix_of"]), "left" if columns.startswith("source") else "inner").drop("_mix_of")
+
+    taken = F.exists("_mix_stops", lambda x: (F.col("size") <= x["size"]) & (F.col("_mix_place") <= x["place"]))
+    bucket = F.shiftright("_mix_place", 50)  # 4096 of them
+    number = {tuple(r): i for i, (r, _) in enumerate(per)}
+    goal = [max(NEAR * (targets[m[0]] if m else 0), 0) for m in member]
+    open_ = [i for i, g in enumerate(gaps) if g > goal[i]]
+    while open_:
+        fits = joined(slim, [(per[i][0], stops[i], gaps[i]) for i in open_], "_gap long").filter((F.col("size") > 0) & (F.col("size") <= F.col("_gap")) & ~taken)
+        sums = stored(fits.groupBy("_mix_pattern", "_gap", bucket.alias("_bucket")).agg(F.sum("size").alias("n")), "mix-buckets")
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("_mix_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # The bucket in which the seeded order fills the gap, or the last one; then the last document in it that fits.
+        edge = sums.withColumn("_before", before).filter(F.col("_before") <= F.col("_gap")).groupBy("_mix_pattern").agg(F.max_by(F.struct("_bucket", "_before"), "_bucket").alias("e")).collect()
+        edges = [(r["_mix_pattern"], stops[number[tuple(r["_mix_pattern"])]], gaps[number[tuple(r["_mix_pattern"])]], r["e"]["_bucket"], r["e"]["_before"]) for r in edge]
+        near = joined(slim, edges, "_gap long, _edge long, _before long").filter((F.col("size") > 0) & (F.col("size") <= F.col("_gap")) & ~taken & (bucket == F.col("_edge")))
+        w = Window.partitionBy("_mix_pattern").orderBy("_mix_place").rangeBetween(Window.unboundedPreceding, 0)
+        got = near.withColumn("_sum", F.col("_before") + F.sum("size").over(w)).filter(F.col("_sum") <= F.col("_gap")).groupBy("_mix_pattern").agg(F.max("_sum").alias("got"), F.max("_mix_place").alias("place"))
+        last = {tuple(r["_mix_pattern"]): (r["got"], r["place"]) for r in got.collect()}  # a row for each pattern at most
+        left = []
+        for pattern, _, gap, edge_bucket, edge_before in edges:
+            i = number[tuple(pattern)]
+            n, until = last.get(tuple(pattern), (edge_before, (edge_bucket << 50) - 1))
+            if n:
+                stops[i].append((gap, until))
+                gaps[i] -= n
+                if gaps[i] > goal[i]:
+                    left.append(i)
+        open_ = left
+    open_ = [i for i, g in enumerate(gaps) if g > goal[i]]
+    if open_:
+        over = joined(slim, [(per[i][0], stops[i], gaps[i]) for i in open_], "_gap long").filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("_gap")) & ~taken)
+        for r in over.groupBy("_mix_pattern").agg(F.min(F.struct("size", "_mix_place")).alias("m")).collect():  # a row for each pattern at most
+            extra[number[tuple(r["_mix_pattern"])]] = r["m"]["_mix_place"]
+    plan = [(r, stops[i], of_source[m[0]] if m else 0, float(targets[m[0]]) if m else 0.0, flow[i] // n if n else 0, extra[i]) for i, ((r, n), m) in enumerate(zip(per, member, strict=True))]
+    out = joined(tagged.drop("source_size", "target"), plan, "source_size long, target double, _mix_full long, _mix_extra long")
+    once = taken | F.coalesce(F.col("_mix_place") == F.col("_mix_extra"), F.lit(False))
+    copies = F.when(F.col("size") > 0, F.col("_mix_full") + once.cast("int")).otherwise(F.lit(0))
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("_mix_pattern", "_mix_place", "_mix_stops", "_mix_full", "_mix_extra")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -201,6 +201,67 @@ def test_mixing_meets_targets(spark, docs, rows, empty):
     assert mixing.mix(empty, F.array("source"), mixing.word_count(F.col("text"))).count() == 0
 
 
+def test_flow_is_cheapest():
+    """Brute force over all whole-number flows of three patterns and two sources."""
+    rng = random.Random(6)
+    for _ in range(40):
+        sizes, members = [rng.randint(0, 3) for _ in range(3)], [[0], [0, 1], [1]]
+        quotas = [rng.randint(0, 7), rng.randint(0, 7)]
+        cost = lambda p, f: sum(k // sizes[p] for k in range(f)) if sizes[p] else 0
+        best = min(((-a - b - c - d, cost(0, a) + cost(1, b + c) + cost(2, d)) for a in range(3 * sizes[0] + 1) for b in range(3 * sizes[1] + 1) for c in range(3 * sizes[1] + 1 - b) for d in range(3 * sizes[2] + 1) if a + b <= quotas[0] and c + d <= quotas[1]))
+        got = mixing.flows(sizes, members, quotas)
+        assert (-sum(got), sum(cost(p, f) for p, f in enumerate(got))) == best
+    assert mixing.flows([4, 5], [[0], [1]], [9, 20]) == [9, 15]
+
+
+def filled(rows, gap, goal):
+    """Brute force of the gap of a pattern: (place, size) of the documents that fill it."""
+    chosen, left = set(), sorted(r for r in rows if r[1] > 0)
+    while gap > goal:
+        got = 0
+        for p, n in [r for r in left if r not in chosen and r[1] <= gap]:
+            if got + n > gap:
+                break
+            got += n
+            chosen.add((p, n))
+        if not got:
+            break
+        gap -= got
+    if gap > goal:
+        over = [(n, p) for p, n in left if (p, n) not in chosen and n < 2 * gap]
+        chosen |= {(p, n) for n, p in [min(over)]} if over else set()
+    return chosen
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_mix_of_overlapping_sources_against_brute_force(spark, monkeypatch, broadcast):
+    """Documents of several sources, shared and null ids, one very long text."""
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", broadcast)
+    rng = random.Random(11)
+    rows = [(None if i % 9 == 0 else i // 2, rng.choice([0, 3, 10, 40, 90]) + i % 5, rng.choice([["a"], ["a", "b"], ["b"], ["c"], ["c", None], [None], ["d"]])) for i in range(400)] + [(1000, 3000, ["c"])]
+    df = spark.createDataFrame(rows, "doc_id long, words long, sources array<string>").repartition(4)
+    out = mixing.mix(df, F.col("sources"), F.col("words"))
+    got = out.withColumn("place", mixing.place(df)).collect()
+    assert len(got) == len(rows)
+    order = lambda p: sorted(set(p), key=lambda x: (x is None, x or ""))
+    groups = {}
+    for r in got:
+        groups.setdefault(tuple(order(r.sources)), []).append(r)
+    keys = sorted(groups, key=lambda k: [(x is None, x or "") for x in k])
+    names = order({x for k in keys for x in k})
+    sizes = [sum(r.words for r in groups[k]) for k in keys]
+    of = [sum(n for n, k in zip(sizes, keys, strict=True) if x in k) for x in names]
+    targets = mixing.water_filled(of, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    flow = mixing.min_cost_flow(sizes, [[names.index(x) for x in k] for k in keys], [round(t) for t in targets])
+    for k, n, f in zip(keys, sizes, flow, strict=True):
+        t = targets[names.index(k[0])]
+        once = filled([(r.place, r.words) for r in groups[k]], f % n, mixing.NEAR * t)
+        for r in groups[k]:
+            assert r.copies == (f // n + ((r.place, r.words) in once) if r.words else 0)
+            assert (r.source_size, round(r.target, 6)) == (of[names.index(k[0])], round(t, 6))
+        assert abs(sum(r.taken for r in groups[k]) - f) <= max(mixing.NEAR * t, 4)
+
+
 # 5
 
 
