@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -18,117 +21,104 @@ FREQUENT = 1 << 17
 #: Smoothing mass of a context: this share of its count, a constant for BEGIN and for words that no training text has.
 SHARE, CONSTANT = 1.0, 8.0
 SHARD_TOKENS, CHUNK = 2_000_000, 4 << 20
+LOW_BITS, LOW_MASK = np.uint64(48), np.uint64((1 << 48) - 1)
 _PAIR = np.uint64(int(mixed(np.array([79], dtype=np.uint64))[0]) | 1)
 
 
 class EliasFano:
-    """A sorted sequence of numbers: high parts in unary, low parts (a whole number of bytes) in place.
+    """A sorted sequence of numbers in a file: high parts in unary, low parts of a whole number of bytes, packed.
 
-    All parts are views of one buffer, laid out as they would be in a memory-mapped file.
+    The file is memory-mapped, so low parts are read where they lie; only the select directory of the unary part is made on
+    opening, 8 bytes for each value of the high part.
     """
 
-    def __init__(self, values: np.ndarray, low_bytes: int):
-        self.n, self.low_bits = len(values), 8 * low_bytes
-        high = values >> np.uint64(self.low_bits) if self.low_bits < 64 else np.zeros(len(values), np.uint64)
-        bits = np.zeros(self.n + (int(high[-1]) if self.n else 0) + 1, dtype=bool)
+    def __init__(self, high: np.ndarray, low: np.ndarray, low_bytes: int, path: str):
+        self.n, self.low_bytes = len(high), low_bytes
+        n_bits = self.n + (int(high[-1]) if self.n else 0) + 1
+        bits = np.zeros(n_bits, dtype=bool)
         bits[high.astype(np.int64) + np.arange(self.n)] = True
-        low = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :low_bytes]
-        self.buffer = np.concatenate([np.packbits(bits), np.ascontiguousarray(low).ravel()])
-        self._open(len(bits), low_bytes)
-
-    def _open(self, n_bits: int, low_bytes: int) -> None:
+        low = np.ascontiguousarray(low.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :low_bytes]
+        with open(path, "wb") as f:
+            f.write(np.packbits(bits).tobytes())
+            f.write(np.ascontiguousarray(low).tobytes())
         cut = (n_bits + 7) // 8
-        bits = np.unpackbits(self.buffer[:cut], count=n_bits)
-        self.zeros = np.flatnonzero(bits == 0).astype(np.int64)  # select directory, made when a level is opened
-        low = np.zeros((self.n, 8), dtype=np.uint8)
-        low[:, :low_bytes] = self.buffer[cut:].reshape(self.n, low_bytes)
-        self.low = low.view("<u8").ravel()
+        mapped = np.memmap(path, np.uint8, "r")
+        self.zeros = np.flatnonzero(np.unpackbits(mapped[:cut], count=n_bits) == 0)
+        self.low = mapped[cut:].reshape(self.n, low_bytes)
+
+    def low_at(self, rank: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rank), 8), dtype=np.uint8)
+        out[:, : self.low_bytes] = self.low[rank]
+        return out.view("<u8").ravel()
 
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks [from, to) of the numbers with this high part."""
         high = high.astype(np.int64)
-        inside = high < len(self.zeros)
-        h = np.minimum(high, len(self.zeros) - 1)
+        inside = (high >= 0) & (high < len(self.zeros))
+        h = np.where(inside, high, 0)
         to = self.zeros[h] - h
         start = np.where(h > 0, self.zeros[np.maximum(h - 1, 0)] - h + 1, 0)
         return np.where(inside, start, 0), np.where(inside, to, 0)
 
-    def find(self, values: np.ndarray, buckets=None) -> np.ndarray:
-        """Rank of each value, or -1: successor search by halving within the bucket of its high part."""
-        if not self.n or not len(values):
-            return np.full(len(values), -1, np.int64)
-        mask = np.uint64((1 << self.low_bits) - 1)
-        lo, hi = self.bucket(values >> np.uint64(self.low_bits)) if buckets is None else buckets
-        end, want = hi, values & mask
-        lo, hi = lo.copy(), hi.copy()
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi) >> 1
-            less = open_ & (self.low[np.minimum(mid, self.n - 1)] < want)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        at = np.minimum(lo, self.n - 1)
-        return np.where((lo < end) & (self.low[at] == want), at, -1)
+    def find(self, high: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """Rank of each number given by its high and low part, or -1: successor search by halving within the bucket of the high part."""
+        found = np.full(len(high), -1, np.int64)
+        if not self.n or not len(high):
+            return found
+        lo, hi = self.bucket(high)
+        open_ = np.flatnonzero(lo < hi)
+        end = hi.copy()
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self.low_at(mid) < want[open_]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
+        there = np.flatnonzero(lo < end)
+        there = there[self.low_at(lo[there]) == want[there]]
+        found[there] = lo[there]
+        return found
 
 
 class Trie:
-    """Level 1: words with exact counts. Level 2: the contexts seen before each word, found relative to
+    """Level 1: words, as leading 16 bits and 6 bytes, with counts. Level 2: the contexts seen before each word, found relative to
     it: the high part of an entry is the word's rank, so unary high parts are the monotone pointers from
-    words to their contexts. Each entry holds the logarithm of its smoothed mass in 8 bits."""
+    words to their contexts; the low part has 6 bytes of the context's hash. Each entry holds the logarithm of its smoothed mass in 8 bits.
+    All levels are memory-mapped files of `folder`; nothing is kept beside them."""
 
-    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, totals, prior, mass):
+    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, totals, prior, mass, folder: str):
         """Sorted pairs with their counts; totals(words, sums), prior(counts), mass(contexts) give word counts, P(word) and smoothing mass."""
         new = np.ones(len(word), dtype=bool)
         new[1:] = word[1:] != word[:-1]
         first = np.flatnonzero(new)
         words = word[first]
-        # Words are hashes, uniform over 64 bits: top bits enough for about one word a bucket.
-        self.shift = np.uint64(64 - max(1, int(np.ceil(np.log2(len(words) + 2)))))
-        self.words = words
-        self.count = totals(words, np.add.reduceat(count, first) if len(first) else count)
+        counts = totals(words, np.add.reduceat(count, first) if len(first) else count)
         rank = np.cumsum(new) - 1
-        value = np.log10(count + mass(context) * prior(self.count)[rank])
+        value = np.log10(count + mass(context) * prior(counts)[rank])
         self.low, high = (float(value.min()), float(value.max())) if len(value) else (0.0, 0.0)
         self.step = max((high - self.low) / 255, 1e-9)
-        self.code = np.rint((value - self.low) / self.step).astype(np.uint8)
-        self.prefix = EliasFano(words >> self.shift, 0)  # level 1 by its leading bits; the words themselves decide
-        starts = np.append(first, len(word))
-        self.spans = starts[:-1], starts[1:]
-        # The leading 5 bytes of the context are the low part; contexts of one word that agree in them are neighbours.
-        self.level2 = EliasFano((rank.astype(np.uint64) << np.uint64(40)) | (context >> np.uint64(24)), 5)
-        self.context = context
+        self.level1 = EliasFano(words >> LOW_BITS, words & LOW_MASK, 6, f"{folder}/words")
+        self.level2 = EliasFano(rank, context >> np.uint64(16), 6, f"{folder}/contexts")
+        self.count, self.code = (_mapped(f"{folder}/{name}", x) for name, x in (("counts", counts), ("codes", np.rint((value - self.low) / self.step).astype(np.uint8))))
 
     def word_rank(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(words), -1, np.int64)
-        lo, hi = self.prefix.bucket(words >> self.shift)
-        found = np.full(len(words), -1, np.int64)
-        for d in range(int((hi - lo).max(initial=0))):
-            at = np.minimum(lo + d, len(self.words) - 1)
-            found = np.where((lo + d < hi) & (self.words[at] == words), at, found)
-        return found
+        return self.level1.find(words >> LOW_BITS, words & LOW_MASK)
 
     def log_mass(self, rank: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Quantised logarithm for the contexts below the words of these ranks; NaN where there is none."""
         out = np.full(len(rank), np.nan)
         at = np.flatnonzero(rank >= 0)
-        if len(at):
-            key = (rank[at].astype(np.uint64) << np.uint64(40)) | (context[at] >> np.uint64(24))
-            place = self.level2.find(key)
-            n = len(self.context)
-            for _ in range(4):  # entries that agree in the stored part are neighbours
-                wrong = (place >= 0) & (self.context[np.maximum(place, 0)] != context[at])
-                if not wrong.any():
-                    break
-                after = np.minimum(place + 1, n - 1)
-                place = np.where(wrong, np.where((place + 1 < n) & (self.context[after] >> np.uint64(24) == context[at] >> np.uint64(24)), after, -1), place)
-            good = place >= 0
-            out[at[good]] = self.low + self.step * self.code[place[good]]
+        place = self.level2.find(rank[at], context[at] >> np.uint64(16))
+        good = place >= 0
+        out[at[good]] = self.low + self.step * self.code[place[good]]
         return out
 
 
+def _mapped(path: str, x: np.ndarray) -> np.ndarray:
+    x.tofile(path)
+    return np.memmap(path, x.dtype, "r") if len(x) else x
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray):
     """(document, token, token before) in order; every text ends with END and begins after BEGIN."""
     doc, h, _, _ = hashed_words(data, offsets)
@@ -143,12 +133,18 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray):
 
 
 def _counts_pass(batches):
-    """(word, n) of the training texts."""
+    """(word, n) of the training texts; and, without a word, the number of tokens of the other texts."""
     for batch in batches:
-        found = [tokens_of(data, offsets)[1] for _, offsets, data in blocks(batch.column(0))]
+        held, found, other = batch.column(1).to_numpy(zero_copy_only=False), [], 0
+        for first, offsets, data in blocks(batch.column(0)):
+            doc, word, _ = tokens_of(data, offsets)
+            out = held[first : first + len(offsets) - 1][doc]
+            other += int(out.sum())
+            found.append(word[~out])
         if found:
             word, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([other], pa.int64())], names=["word", "n"])
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -227,8 +223,8 @@ def _pairs_pass(n_shards: int, hot):
                 e_first = np.cumsum(held_by, dtype=np.int64) - held_by
                 by_shard = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[by_shard], np.arange(n_shards + 1))
-                blobs = []
-                for s in range(n_shards):
+                blobs, held_shards = [], np.flatnonzero(np.diff(cuts))  # only shards that get something, every text has an end
+                for s in held_shards:
                     at = by_shard[cuts[s] : cuts[s + 1]]
                     w, n_context = np.unique(pw[at], return_counts=True)
                     n_entry = held_by[at]
@@ -239,8 +235,8 @@ def _pairs_pass(n_shards: int, hot):
                 name = (part << 32) | chunk
                 chunk += 1
                 own = ids.slice(first, rows)
-                lists = [pa.ListArray.from_arrays(pa.array(np.array([0, rows] + [rows] * (n_shards - 1), np.int32)), x) for x in (own, pa.array(held[first : first + rows]), pa.array(tokens.astype(np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n_shards, name)), pa.array(np.arange(n_shards, dtype=np.int32)), pa.array(np.full(n_shards, rows, np.int32)), pa.array(blobs, pa.binary()), *lists], names=["chunk", "shard", "rows", "blob", "ids", "held", "tokens"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.array([0] + [rows] * len(blobs), np.int32)), x) for x in (own, pa.array(held[first : first + rows]), pa.array(tokens.astype(np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), name)), pa.array(held_shards.astype(np.int32)), pa.array(np.full(len(blobs), rows, np.int32)), pa.array(blobs, pa.binary()), *lists], names=["chunk", "shard", "rows", "blob", "ids", "held", "tokens"])
 
     return run
 
@@ -298,12 +294,19 @@ def _shard_pass(shared):
         new = np.ones(len(w), dtype=bool)
         new[1:] = (w[1:] != w[:-1]) | (b[1:] != b[:-1])
         first = np.flatnonzero(new)
-        trie = Trie(w[first], b[first], np.add.reduceat(c, first) if len(first) else c, totals, prior, mass)
-        del word, context, count, seen, order, w, b, c, new, first
+        folder = tempfile.mkdtemp(prefix="trie-")  # the task's own scratch files, gone when it ends
+        try:
+            trie = Trie(w[first], b[first], np.add.reduceat(c, first) if len(first) else c, totals, prior, mass, folder)
+            del word, context, count, seen, order, w, b, c, new, first
+            return answered(table, chunks, trie, known, mass, mass_of, prior)
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
+
+    def answered(table, chunks, trie, known, mass, mass_of, prior) -> pa.Table:
         sums = []
         for (cw, n_context, cb, _, n_entry, doc, times), rows in zip(chunks, table.column("rows").to_pylist(), strict=True):
             rank = trie.word_rank(cw)
-            n_word = np.where(rank >= 0, trie.count[np.maximum(rank, 0)], 0) if len(trie.words) else np.zeros(len(cw), np.int64)
+            n_word = np.where(rank >= 0, trie.count[np.maximum(rank, 0)], 0) if len(trie.count) else np.zeros(len(cw), np.int64)
             there, n = known(cw)  # a hot word's pairs are in many shards, its count is the same in all
             n_word = np.where(there, n, n_word).astype(np.int64)
             of = np.repeat(np.arange(len(cw)), n_context)
@@ -361,16 +364,17 @@ def lm_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     slim = docs.select(F.col(key).alias("id"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    counted = slim.filter(~F.col("held_out")).select("text").mapInArrow(_counts_pass, "word long, n long")
-    words = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    counted = slim.select("text", "held_out").mapInArrow(_counts_pass, "word long, n long")
+    counts = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    words = counts.filter("word is not null")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("n"), F.count("word").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
-    n_shards = max(6, -(-n_all // SHARD_TOKENS))
+    n_shards = max(6, -(-int(total["all"]) // SHARD_TOKENS))  # of all tokens: held-out pairs are dealt too
     top = most_frequent(words, "n", FREQUENT).toPandas()  # at most 2 MB
     order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
     frequent, frequent_n = top["word"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
     # Fewer than 8 * n_shards words can have so many tokens; all of them are among the frequent ones up to 16,384 shards.
-    hot = spark.sparkContext.broadcast(frequent[frequent_n > max(n_all / (8 * n_shards), 1)])
+    hot = spark.sparkContext.broadcast(frequent[frequent_n > max(int(total["all"]) / (8 * n_shards), 1)])
     shared = spark.sparkContext.broadcast((n_all, v_all, frequent, frequent_n.astype(np.float64)))
     lists = f"ids array<{kind}>, held array<boolean>, tokens array<long>"
     dealt = slim.mapInArrow(_pairs_pass(n_shards, hot), f"chunk long, shard int, rows int, blob binary, {lists}")

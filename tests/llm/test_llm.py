@@ -524,13 +524,22 @@ def test_lm_mass_is_the_count_of_every_context(docs, rows, monkeypatch, frequent
         assert abs(got[k].score - want) <= 0.02 * len(w)
 
 
-def test_elias_fano_finds_all(spark):
+def test_elias_fano_finds_all(tmp_path):
     rng = np.random.default_rng(1)
     v = np.unique(rng.integers(0, 1 << 44, 5000, dtype=np.uint64))
-    ef = lm_scoring.EliasFano(v, 4)
-    assert (ef.find(v) == np.arange(len(v))).all()
+    cut = lambda x: (x >> np.uint64(32), x & np.uint64(0xFFFFFFFF))
+    ef = lm_scoring.EliasFano(*cut(v), 4, str(tmp_path / "level"))
+    assert isinstance(ef.low.base, np.memmap) or isinstance(ef.low, np.memmap)
+    assert (ef.find(*cut(v)) == np.arange(len(v))).all()
     other = np.setdiff1d(rng.integers(0, 1 << 45, 5000, dtype=np.uint64), v)
-    assert (ef.find(other) == -1).all()
+    assert (ef.find(*cut(other)) == -1).all()
+    assert (lm_scoring.EliasFano(*cut(v[:0]), 4, str(tmp_path / "none")).find(*cut(other)) == -1).all()
+
+
+def test_lm_without_training_rows_is_dealt_to_many_shards(docs, rows, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 500)
+    got = lm_scoring.lm_scores(docs, F.lit(True)).collect()
+    assert len(got) == len(rows) and all(r.n_known == 0 and math.isfinite(r.score) for r in got)
 
 
 # 10
