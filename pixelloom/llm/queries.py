@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat_format, decontamination, jaccard_join, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_hilbert_sharding": sharding.op8_hilbert_sharding,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_license_scan": license_scan.op10_license_scan,
-    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op2_suffix_dedup": suffix_dedup.OP2_SQL,
