@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import blocks, hashed_words, mixed, most_frequent, stored
+from .shared import blocks, hashed_words, mixed, most_frequent, released, stored
 
 #: Tokens that many texts share go last in the global order. The order only decides how many
 #: candidates there are, never which links are found, so this list may be bounded.
@@ -19,7 +19,7 @@ HOT_IN_BLOCK, HOT_TOTAL, HOT_LISTED, BLOCK = 3, 16, 3, 4 << 20
 #: Rows of a block of a tile, and 64-bit words of bitmaps that are compared at once.
 TILE_ROWS, TILE_WORDS = 1024, 1 << 21
 #: 64-bit words of the smallest parity bitmap; a bitmap has at least as many bits as its set has hashes.
-SIGNATURE = 16
+SIGNATURE = 4
 
 _MULT = mixed(np.arange(101, 133, dtype=np.uint64))
 
@@ -352,17 +352,21 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     counted = lambda tokens: tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
     # What a first order lists too often is put further back in the second, by its exact count.
     often = stored(counted(listing(_hot(heavy))).filter(F.col("times") >= HOT_LISTED), "jaccard-often")
-    tokens = stored(listing(_hot(stored(heavy.union(often).groupBy("token").agg(F.max("times").alias("times")), "jaccard-hot"))), "jaccard-tokens")
+    hot = stored(heavy.union(often).groupBy("token").agg(F.max("times").alias("times")), "jaccard-hot")
+    tokens = stored(listing(_hot(hot)), "jaccard-tokens")
     shared = stored(counted(tokens).filter("times > 1").select("token"), "jaccard-shared")
     listed = stored(tokens.join(shared.hint("shuffle_hash"), "token", "left_semi"), "jaccard-listed")  # the many tokens are not sorted
+    released(heavy, often, hot, tokens, shared)
     # Only one of equal sets, and tokens that still have two texts.
     only = reps.select(F.col("rep").alias("id"), "copies")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     member = listed.join(only, "id").withColumn("band", F.explode(F.array(band, band + 1)))
     member = stored(member.withColumn("tile", F.xxhash64("token", "band")).select("tile", "id", "n", "pos", "copies"), "jaccard-members")
+    released(listed)
     lead = member.groupBy("tile").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(-F.col("copies"), "id", "n", "pos")).alias("m")).filter("c > 1")
     lead = stored(lead.select("tile", F.col("m.id").alias("lead"), F.col("m.n").alias("lead_n"), F.col("m.pos").alias("lead_pos")), "jaccard-leaders")
-    member = stored(member.join(lead.select("tile"), "tile", "left_semi"), "jaccard-tiles")
+    members, member = member, stored(member.join(lead.select("tile"), "tile", "left_semi"), "jaccard-tiles")
+    released(members)
     starred = member.join(lead, "tile").filter((F.col("id") != F.col("lead")) & _possible(F.col("n"), F.col("lead_n"), percent) & _reachable(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"), percent))
     starred = starred.groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.count(F.lit(1)).alias("c")).select("a", "b")
     wanted = stored(member.select("id").distinct(), "jaccard-wanted")
@@ -371,12 +375,14 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     links = _links(stored(_likely(starred, signatures, percent), "jaccard-likely"), texts, shingle, percent)
     parts = connected_components(links)
     named = stored(member.join(parts, "id", "left").select("tile", "id", "n", "pos", F.coalesce("component", "id").alias("part")), "jaccard-parts")
+    released(member, lead)
     several = stored(named.groupBy("tile").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("c")).filter("p < q").select("tile", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("split")), "jaccard-mixed")
     # A tile of many rows is dealt to sides; every pair of sides is a block.
     dealt = named.join(several, "tile").withColumn("side", F.pmod(F.xxhash64("id"), F.col("split")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
     dealt = dealt.select("tile", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "pos", "part").join(signatures, "id")
     cross = dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side").mapInArrow(_tile_pass(percent), f"a {kind}, b {kind}")
     cross = stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-cross")
+    released(named, several, signatures)
     links = links.union(_links(cross, texts, shingle, percent))
     parts = connected_components(links)
     named = reps.join(parts, reps["rep"] == parts["id"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))

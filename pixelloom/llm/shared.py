@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_dir, stored  # noqa: F401
+from ..sources.scratch import released, shared_dir, stored  # noqa: F401
 
 #: White space that separates words: blank and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
