@@ -90,13 +90,8 @@ def parsed(sentences: dict[str, str]) -> list[tuple[str, list[str], bool]]:
 
 
 def anchors(sentences: list[str]) -> str:
-    """Pattern of a few words of which every sentence has one: again and again the word (of four letters at least if there is one) that most sentences lack."""
-    left, found = [set(s.split()) for s in sentences], []
-    while left:
-        words = sorted({w for s in left for w in s}, key=lambda w: (len(w) < 4, -sum(w in s for s in left), -len(w), w))
-        found.append(words[0])
-        left = [s for s in left if words[0] not in s]
-    return "(?iu)" + "|".join(map(re.escape, found))
+    """Pattern of words of which every sentence has one: its longest, as long words are rare in other texts."""
+    return "(?iu)" + "|".join(sorted({re.escape(max(sorted(s.split()), key=len)) for s in sentences}))
 
 
 def license_scan(
