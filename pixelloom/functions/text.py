@@ -115,3 +115,19 @@ def stem(word: Column, known: Column) -> Column:
         cut = F.when(F.endswith(word, F.lit(end)) & (F.char_length(word) >= 3 + len(end)), F.substring(word, F.lit(1), F.char_length(word) - len(end)))
         tries += [cut, plain(cut)]
     return F.coalesce(*(F.when(t.isNotNull(), F.try_element_at(known, t)) for t in tries))
+
+
+#: Character references of HTML, the ampersand last so that nothing is decoded twice.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def html_decoded(html: Column) -> Column:
+    """Character references decoded, white space collapsed and trimmed."""
+    for name, char in ENTITIES:
+        html = F.replace(html, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(html, r"[ \t\n\x0B\f\r]+", " "))
+
+
+def counts_as_text(confidence: Column, text: Column) -> Column:
+    """Has text and is no pseudo line."""
+    return F.coalesce(F.char_length(F.trim(text)) > 0, F.lit(False)) & ~pseudo_line(confidence, text)

@@ -1,35 +1,11 @@
-"""Byte-pair token ids of texts with a public tokenizer file."""
+"""Column functions over the vocabularies of public tokenizers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def bpe_encoder(path: str, begin: int | None = None, end: int | None = None, length: int | None = None) -> Callable[[Column], Column]:
-    """A column function from text to token ids, with begin and end ids around and cut or padded (with 0) to `length` if given. The file must be readable on all executors; null texts stay null."""
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        out = []
-        for text, found in zip(texts, t.encode_batch(texts.fillna("").tolist(), add_special_tokens=False), strict=True):
-            ids = found.ids
-            if length is not None:
-                ids = ids[: length - (begin is not None) - (end is not None)]
-            ids = [*([begin] if begin is not None else []), *ids, *([end] if end is not None else [])]
-            out.append(None if text is None else ids + [0] * ((length or 0) - len(ids)))
-        return pd.Series(out)
-
-    return encode
-
-
 def in_vocabulary(word: Column, vocabulary) -> Column:
     """Whether a word is whole in a vocabulary of words that end in </w> (a small, fixed array)."""
     return F.array_contains(F.array(*map(F.lit, vocabulary)), F.concat(F.lower(word), F.lit("</w>")))

@@ -60,3 +60,33 @@ def latest(catalogue: DataFrame, updates: DataFrame, key: str, stamp: str) -> Da
     """Upsert: the newest row of each key."""
     both = catalogue.unionByName(updates)
     return both.groupBy(F.lower(key).alias("_k")).agg(F.max_by(F.struct(*both.columns), stamp).alias("r")).select("r.*")
+
+
+def predicates(rows: DataFrame, moved: Column, parent: Column) -> DataFrame:
+    """One row: any_moved, all_moved, and whether all rows share one parent folder (case ignored)."""
+    some = F.coalesce(moved, F.lit(False))
+    return rows.agg(F.bool_or(some).alias("any_moved"), F.bool_and(some).alias("all_moved"), (F.count_distinct(F.lower(parent)) == 1).alias("one_folder"))
+
+
+def catalogue_totals(folders: DataFrame, there: DataFrame, key: str = "path") -> DataFrame:
+    """One row: catalogued folders that exist, the sum of their images, and how many are missing."""
+    marked = folders.join(there.select(key).distinct().withColumn("_there", F.lit(True)), key, "left")
+    is_there = F.col("_there").isNotNull()
+    return marked.agg(F.count_if(is_there).alias("existing"), F.coalesce(F.sum(F.when(is_there, F.col("images"))), F.lit(0)).alias("images"), F.count_if(~is_there).alias("missing"))
+
+
+def findings_summary(findings: DataFrame, visible: Column, metadata: Column) -> DataFrame:
+    """One row: all findings, those with a visible mark, with metadata hints, and with either."""
+    return findings.agg(F.count(F.lit(1)).alias("total"), F.count_if(visible).alias("visible"), F.count_if(metadata).alias("metadata"), F.count_if(visible | metadata).alias("any"))
+
+
+def distinct_ignoring_case(rows: DataFrame, column: str) -> DataFrame:
+    """(key, shown): one row for each value when case is ignored, shown as its first spelling in code point order; nulls are left out."""
+    return rows.filter(F.col(column).isNotNull()).groupBy(F.lower(column).alias("key")).agg(F.min(column).alias("shown"))
+
+
+def undo_plan(moved: DataFrame, there: DataFrame, origin: str = "origin") -> DataFrame:
+    """Moved rows with an action: back to their origin, or refused where something is there already (case ignored)."""
+    taken = there.select(F.lower(origin).alias("_taken")).distinct()
+    marked = moved.join(taken, F.lower(moved[origin]) == taken["_taken"], "left")
+    return marked.withColumn("action", F.when(F.col("_taken").isNotNull(), F.lit("refuse")).otherwise(F.lit("move"))).drop("_taken")

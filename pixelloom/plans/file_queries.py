@@ -75,10 +75,10 @@ def folder_totals(spark, d):
     return totals(files(spark, d))
 
 
-@query("list_lookup_join", "WITH l AS (SELECT doc_id AS row_id, source || '/' || doc_id AS path, source AS name FROM documents WHERE doc_id % 3 = 0), h AS (SELECT doc_id AS hit, source || '/' || doc_id AS path, source AS name FROM documents WHERE doc_id < 300) SELECT hit, path, coalesce((SELECT min(row_id) FROM l WHERE l.path = h.path), (SELECT min(row_id) FROM l WHERE l.name = h.name))::BIGINT AS row_id FROM h")
+@query("list_lookup_join", "WITH l AS (SELECT doc_id AS row_id, source || '/' || doc_id AS path, source AS name FROM documents WHERE doc_id % 3 = 0), h AS (SELECT doc_id AS hit, source || '/' || doc_id AS path, source AS name FROM documents) SELECT hit, path, coalesce((SELECT min(row_id) FROM l WHERE l.path = h.path), (SELECT min(row_id) FROM l WHERE l.name = h.name))::BIGINT AS row_id FROM h")
 def list_lookup_join(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("name"))
-    return dedup.lookup(docs.filter("doc_id < 300").withColumnRenamed("doc_id", "hit"), docs.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "row_id"))
+    return dedup.lookup(docs.withColumnRenamed("doc_id", "hit"), docs.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "row_id"))
 
 
 @query("hits_join_order", "SELECT doc_id, row_number() OVER (ORDER BY quality DESC, doc_id)::BIGINT AS ord, n_chars FROM labels JOIN documents USING (doc_id) ORDER BY ord LIMIT 40")
@@ -205,22 +205,22 @@ TERMS = {"the": "der", "of": "von", "and": "und", "in of": "in von", "of the": "
 @query("translate_terms")
 def translate_terms(spark, d):
     phrases = F.create_map(*(F.lit(x) for kv in TERMS.items() for x in kv))
-    tokens = text.query_tokens(F.substring("text", 1, 120))
-    return table(spark, d, "documents").select("doc_id", text.terms_translated(tokens, phrases).alias("translated"))
+    tokens = text.query_tokens(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.terms_translated(tokens, phrases).alias("translated"))
 
 
-@query("query_tokens", r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(trim(left(text, 200))), '\s+'), lambda t: trim(t, '.,;:!?"''')), lambda t: t <> ''), '|') AS tokens FROM documents""")
+@query("query_tokens", r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(trim(text)), '\s+'), lambda t: trim(t, '.,;:!?"''')), lambda t: t <> ''), '|') AS tokens FROM documents""")
 def query_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(text.query_tokens(F.substring("text", 1, 200)), "|").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.query_tokens(F.col("text")), "|").alias("tokens"))
 
 
 _CONF = "CASE WHEN turn % 4 = 3 THEN NULL ELSE (conv_id % 10 + 1) / 11.0 END"
 
 
-@query("ocr_pseudo_lines", f"SELECT conv_id, turn, coalesce(({_CONF}) IS NOT NULL AND (({_CONF}) < 0.85 OR length(regexp_replace(left(text, 4), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) < 3), false) AS pseudo FROM conversations")
+@query("ocr_pseudo_lines", f"SELECT conv_id, turn, coalesce(({_CONF}) IS NOT NULL AND (({_CONF}) < 0.85 OR length(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) < 3), false) AS pseudo FROM conversations")
 def ocr_pseudo_lines(spark, d):
     conf = F.when(F.col("turn") % 4 == 3, None).otherwise((F.col("conv_id") % 10 + 1) / 11.0)
-    return table(spark, d, "conversations").select("conv_id", "turn", text.pseudo_line(conf, F.substring("text", 1, 4)).alias("pseudo"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.pseudo_line(conf, F.col("text")).alias("pseudo"))
 
 
 @query("ocr_merge_lines", r"WITH p AS (SELECT a.conv_id, a.text AS old, b.text AS more FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1), l AS (SELECT conv_id, old, unnest(string_split(more, chr(10))) AS line, generate_subscripts(string_split(more, chr(10)), 1) AS i FROM p), f AS (SELECT conv_id, lower(trim(line)) AS k, trim(min_by(line, i)) AS line, min(i) AS i FROM l WHERE trim(line) <> '' AND NOT contains(lower(old), lower(trim(line))) GROUP BY 1, 2) SELECT p.conv_id, coalesce(string_agg(f.line, '|' ORDER BY f.i), '') AS fresh FROM p LEFT JOIN f USING (conv_id) GROUP BY p.conv_id")
@@ -372,3 +372,58 @@ def foreign_rows(spark, d):
 def new_since_start(spark, d):
     e = table(spark, d, "events")
     return e.select("user_id").distinct().join(e.filter("event_id < 500").select("user_id").distinct(), "user_id", "left_anti")
+
+
+# Lists, catalogues and findings.
+@query("list_predicates", "SELECT bool_or(doc_id % 3 = 0) AS any_moved, bool_and(doc_id % 3 = 0) AS all_moved, count(DISTINCT lower(source)) = 1 AS one_folder FROM documents")
+def list_predicates(spark, d):
+    return lists.predicates(table(spark, d, "documents"), F.col("doc_id") % 3 == 0, F.col("source"))
+
+
+@query("catalogue_totals", f"WITH {_FILES}, c AS (SELECT folder, count(*) AS images FROM files GROUP BY folder) SELECT count(*) FILTER (images % 2 = 0)::BIGINT AS existing, coalesce(sum(images) FILTER (images % 2 = 0), 0)::BIGINT AS images, count(*) FILTER (images % 2 = 1)::BIGINT AS missing FROM c")
+def catalogue_totals(spark, d):
+    folders = files(spark, d).groupBy("folder").agg(F.count(F.lit(1)).alias("images"))
+    return lists.catalogue_totals(folders, folders.filter("images % 2 = 0").select("folder"), "folder")
+
+
+@query("findings_summary", 'SELECT count(*)::BIGINT AS total, count(*) FILTER (quality = 1)::BIGINT AS visible, count(*) FILTER (toxic = 1)::BIGINT AS metadata, count(*) FILTER (quality = 1 OR toxic = 1)::BIGINT AS "any" FROM labels')
+def findings_summary(spark, d):
+    return lists.findings_summary(table(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query("distinct_ignoring_case", "SELECT lower(v) AS folder, min(v) AS shown FROM (SELECT source AS v FROM documents UNION ALL SELECT upper(source) FROM documents UNION ALL SELECT lang FROM documents) WHERE v IS NOT NULL GROUP BY 1")
+def distinct_ignoring_case(spark, d):
+    docs = table(spark, d, "documents")
+    every = docs.select(F.col("source").alias("v")).union(docs.select(F.upper("source"))).union(docs.select("lang"))
+    return lists.distinct_ignoring_case(every, "v").select(F.col("key").alias("folder"), "shown")
+
+
+@query("reference_outside_folder", f"WITH {_FILES} SELECT id FROM files WHERE NOT (lower(folder || '/' || name) LIKE 'src1/%')")
+def reference_outside_folder(spark, d):
+    ref = files(spark, d).withColumn("path", F.concat("folder", F.lit("/"), "name"))
+    return ref.filter(~text.under_root(F.col("path"), "SRC1")).select("id")
+
+
+@query("query_row_resolution", "WITH h AS (SELECT page_id, url, regexp_extract(url, '[^/]*$') AS name FROM pages), q AS (SELECT CASE WHEN page_id % 2 = 0 THEN url ELSE 'x/' || name END AS path, name, page_id AS q FROM h) SELECT q, coalesce((SELECT min(page_id) FROM h WHERE h.url = q.path), (SELECT min(page_id) FROM h WHERE h.name = q.name))::BIGINT AS row_id FROM q")
+def query_row_resolution(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.col("url").alias("path"), text.file_name(F.col("url")).alias("name"))
+    asked = rows.select(F.col("page_id").alias("hit"), F.when(F.col("page_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("x/"), F.col("name"))).alias("path"), "name")
+    return dedup.lookup(asked, rows.withColumnRenamed("page_id", "row_id")).select(F.col("hit").alias("q"), "row_id")
+
+
+@query("html_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""")
+def html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", text.html_decoded(F.col("html")).alias("text"))
+
+
+@query("counts_as_text", f"SELECT conv_id, turn, length(trim(text)) > 0 AND NOT coalesce(({_CONF}) IS NOT NULL AND (({_CONF}) < 0.85 OR length(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) < 3), false) AS is_text FROM conversations")
+def counts_as_text(spark, d):
+    conf = F.when(F.col("turn") % 4 == 3, None).otherwise((F.col("conv_id") % 10 + 1) / 11.0)
+    return table(spark, d, "conversations").select("conv_id", "turn", text.counts_as_text(conf, F.col("text")).alias("is_text"))
+
+
+@query("undo_plan", "SELECT doc_id, CASE WHEN 'n' || doc_id % 50 IN (SELECT 'n' || doc_id FROM documents WHERE doc_id % 7 = 0) THEN 'refuse' ELSE 'move' END AS action FROM documents")
+def undo_plan(spark, d):
+    docs = table(spark, d, "documents")
+    moved = docs.select("doc_id", F.concat(F.lit("N"), (F.col("doc_id") % 50).cast("string")).alias("origin"))
+    return lists.undo_plan(moved, docs.filter("doc_id % 7 = 0").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("origin"))).select("doc_id", "action")

@@ -1,21 +1,7 @@
-from pathlib import Path
-
-import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.functions import tokens
 
-FILE = Path("/opt/tokenizers/word_bpe_49k.json")
-
-
-@pytest.mark.skipif(not FILE.exists(), reason="the tokenizer file is not here")
-def test_bpe(spark):
-    enc = tokens.bpe_encoder(str(FILE), 49406, 49407, 12)
-    df = spark.createDataFrame([("a photo of a dog",), (None,), ("",)], "t string").coalesce(1)
-    ids = [r.v for r in df.select(enc(F.col("t")).alias("v")).collect()]
-    assert ids[0][0] == 49406 and 49407 in ids[0] and len(ids[0]) == 12
-    assert ids[1] is None and ids[2] == [49406, 49407] + [0] * 10
-
 
 def test_whole_words(spark):
     df = spark.createDataFrame([("Dog",), ("dogs",)], "t string")
