@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Punctuation that is trimmed off tokens.
 TRIMMED = ".,;:!?\"'"
 
 
@@ -93,12 +94,12 @@ def new_lines(text: Column, more: Column) -> Column:
 
 
 def terms_translated(tokens: Column, phrases: Column, longest: int = 3) -> Column:
-    """Greedy translation of a token array with a map from phrases to phrases: the longest known phrase first, unknown tokens kept."""
+    """Greedy translation of a token array with a map from phrases to phrases: the longest known phrase first, then the stem of a token, unknown tokens kept."""
     empty = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
         taken = F.struct((acc.skip - 1).alias("skip"), acc.out.alias("out"))
-        best = F.struct(F.lit(0).alias("skip"), F.array_append(acc.out, F.get(tokens, i)).alias("out"))
+        best = F.struct(F.lit(0).alias("skip"), F.array_append(acc.out, F.coalesce(stem(F.get(tokens, i), phrases), F.get(tokens, i))).alias("out"))
         for n in range(1, longest + 1):
             known = F.try_element_at(phrases, F.array_join(F.slice(tokens, i + 1, n), " "))
             best = F.when((i + n <= F.size(tokens)) & known.isNotNull(), F.struct(F.lit(n - 1).alias("skip"), F.array_append(acc.out, known).alias("out"))).otherwise(best)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, natural_key
+from .order_stats import numbered
 
 
 #: Names of the folders that sorted-out files go to.
@@ -46,8 +47,8 @@ def next_in_order(names: DataFrame, after: str, name: str = "name") -> DataFrame
 
 
 def chunked(rows: DataFrame, order: Column, size: int = 5) -> DataFrame:
-    """Rows of `size` for a shown list, which the screen bounds."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    """Adds the number of the chunk of `size` rows that a row falls into in the given order."""
+    return numbered(rows, order).withColumn("chunk", F.floor(F.col("position") / size)).drop("position")
 
 
 def marked_totals(hits: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order_stats import cumulated, holds
+
 
 def learn(fields: DataFrame) -> DataFrame:
     """(p, n, total, squares): mergeable sums of each pixel."""
@@ -52,9 +54,9 @@ def best_match(values: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def leave_one_out(fields: DataFrame) -> DataFrame:
-    """(field, value): correlation of each field with the mask of all others, whose sums are the totals less its own."""
-    w = Window.partitionBy("p")
-    out = fields.withColumn("n", F.count(F.lit(1)).over(w) - 1).withColumn("total", F.sum("v").over(w) - F.col("v")).withColumn("squares", F.sum(F.col("v") * F.col("v")).over(w) - F.col("v") * F.col("v"))
+    """(field, value): correlation of each field with the mask of all others, whose sums are the totals less its own. The totals are one row for each pixel."""
+    v = F.col("v")
+    out = fields.join(F.broadcast(learn(fields)), "p").withColumn("n", F.col("n") - 1).withColumn("total", F.col("total") - v).withColumn("squares", F.col("squares") - v * v)
     mean = F.col("total") / F.col("n")
     out = out.withColumn("mean", mean).withColumn("variance", F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)))
     typical = out.groupBy("field").agg(F.greatest(upper_median(F.col("variance")), F.lit(1e-6)).alias("typical"), F.avg("mean").alias("centre"))
@@ -64,20 +66,23 @@ def leave_one_out(fields: DataFrame) -> DataFrame:
 
 
 def threshold(values: DataFrame, share: float = 0.75, low: float = 0.10, high: float = 0.9) -> DataFrame:
-    """One row: threshold from the value at 10 % of the sorted ones, separability from the one at half."""
-    s = F.array_sort(F.collect_list("value"))
-    out = values.agg(s.alias("s")).filter(F.size("s") > 0)
-    at = lambda q: F.get("s", F.floor(F.size("s") * q).cast("int"))
-    return out.select(F.least(F.lit(high), F.greatest(F.lit(low), at(0.10) * share)).alias("threshold"), at(0.5).alias("separability"))
+    """One row: threshold from the value at 10 % of the sorted ones, separability from the one at half; none without values."""
+    at = lambda q: F.max(F.when(holds(F.floor(F.col("total") * q)), F.col("value")))
+    out = cumulated(values, "value").agg(at(0.10).alias("tenth"), at(0.5).alias("separability")).filter("tenth is not null")
+    return out.select(F.least(F.lit(high), F.greatest(F.lit(low), F.col("tenth") * share)).alias("threshold"), "separability")
 
 
 def largest_gap(values: DataFrame, trim: float = 0.10) -> DataFrame:
-    """One row: the widest gap between neighbouring values within the middle, and where it is cut."""
-    s = values.agg(F.array_sort(F.collect_list("value")).alias("s"))
-    lo, hi = F.floor(F.size("s") * trim).cast("int"), F.ceil(F.size("s") * (1 - trim)).cast("int") - 2
-    gaps = F.transform(F.sequence(lo, hi), lambda i: F.struct((F.get("s", i + 1) - F.get("s", i)).alias("gap"), (-i).alias("at"), ((F.get("s", i + 1) + F.get("s", i)) / 2).alias("cut")))
-    best = F.array_max(gaps)
-    return s.filter(hi >= lo).select(best.gap.alias("gap"), best.cut.alias("cut"), (1 - best["at"]).cast("long").alias("below"))
+    """One row: the widest gap between neighbouring values within the middle, where it is cut, and how many values lie below; the first of equal gaps."""
+    lo, hi = F.floor(F.col("total") * trim), F.ceil(F.col("total") * (1 - trim)) - 2
+    last = F.col("before") + F.col("n") - 1
+    first = F.greatest(F.col("before"), lo)
+    # The last of equal values has the gap to the next value; those before it have none.
+    gap = lambda size, at, cut: F.struct(size.alias("gap"), (-at).alias("at"), cut.alias("cut"))
+    wide = F.when(F.col("next").isNotNull() & last.between(lo, hi), gap(F.col("next") - F.col("value"), last, (F.col("next") + F.col("value")) / 2))
+    none = F.when(first <= F.least(last - 1, hi), gap(F.col("value") - F.col("value"), first, F.col("value")))
+    best = cumulated(values, "value").agg(F.max(F.greatest(wide, none)).alias("b")).filter("b is not null")
+    return best.select("b.gap", "b.cut", (1 - F.col("b.at")).cast("long").alias("below"))
 
 
 def images_needed(separability: Column, n: Column, proven: float = 0.15) -> Column:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from .order_stats import numbered
 
 
 def side_sums(table: DataFrame, *keys: str, bad: str = "bad", vec: str = "embedding") -> DataFrame:
@@ -74,5 +75,5 @@ def blended(own: np.ndarray | None, pooled: np.ndarray | None, n_small: int) ->
 
 
 def positions(rated: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Adds the rank; for lists that are shown, which one folder bounds."""
-    return rated.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rating"), key)))
+    """Adds the rank, from 1, by rating and then by key."""
+    return numbered(rated, -F.col("rating"), key).withColumn("position", F.col("position") + 1)

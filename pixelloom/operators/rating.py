@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-def upper_median_of(values: Column) -> Column:
-    """Element n div 2 of the sorted positive values of an array."""
-    s = F.array_sort(F.filter(values, lambda v: v > 0))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+from .order_stats import cumulated, holds
 
 
 def medians(table: DataFrame, folder: str, value: str) -> DataFrame:
-    """(folder, median, compared). A folder's positive values are ranked by one window; only the middle one is kept."""
-    pos = table.filter(F.col(value) > 0)
-    w = Window.partitionBy(folder).orderBy(value)
-    ranked = pos.withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(folder)))
-    return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2)).select(folder, F.col(value).alias("median"), F.col("_n").alias("compared"))
+    """(folder, median, compared): element n div 2 of a folder's sorted positive values, found by counts of equal values; no row without a folder."""
+    ranked = cumulated(table.filter(F.col(value) > 0).select(folder, value), value, folder)
+    return ranked.filter(holds(F.floor(F.col("total") / 2))).select(folder, F.col(value).alias("median"), F.col("total").alias("compared"))
 
 
 def verdict(value: Column, median: Column, compared: Column, ratio: float, least: int = 10) -> Column:
@@ -37,9 +36,30 @@ def rated(table: DataFrame, folder: str, value: str, ratio: float, floor: float
 
 
 def running_medians(table: DataFrame, folder: str, value: str, order: str) -> DataFrame:
-    """Adds the upper median of the positive values seen so far in each folder; for folders that are looked through one by one."""
-    w = Window.partitionBy(folder).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return table.withColumn("running_median", upper_median_of(F.collect_list(value).over(w)))
+    """Adds the upper median of the positive values seen so far in each folder, null before the first; rows without a folder are one folder.
+
+    A folder is looked through in order, so it is one task's work, but it is read in batches, and only its positive
+    values stay in memory, as two heaps. Select the needed columns before: all of them go through Arrow.
+    """
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, low, high = None, [], []
+        for batch in batches:
+            out = []
+            for f, v in zip(batch.column(folder).to_pylist(), batch.column("_value").to_pylist(), strict=True):
+                if current != (f,):
+                    current, low, high = (f,), [], []
+                if v is not None and v > 0:
+                    heapq.heappush(high, v)
+                    heapq.heappush(low, -heapq.heappop(high))
+                    if len(low) > (len(low) + len(high)) // 2:
+                        heapq.heappush(high, -heapq.heappop(low))
+                out.append(high[0] if high else None)
+            names = [n for n in batch.schema.names if n != "_value"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.float64())], names=[*names, "running_median"])
+
+    dealt = table.withColumn("_value", F.col(value).cast("double")).repartition(folder).sortWithinPartitions(folder, order)
+    return dealt.mapInArrow(seen, T.StructType([*table.schema.fields, T.StructField("running_median", T.DoubleType())]))
 
 
 def bytes_per_pixel(length: Column, width: Column, height: Column) -> Column:

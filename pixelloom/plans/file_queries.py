@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, text
 from ..operators import dedup, incremental, lists, rating, timeline
+from ..operators.order_stats import numbered
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -35,10 +36,14 @@ def dedup_size_key(spark, d):
     return dedup.with_possible_reference(*_sides(spark, d)).select("id")
 
 
-@query("dedup_size_name_key", f"WITH {_FILES} SELECT id FROM files f WHERE id % 3 = 1 AND EXISTS (SELECT 1 FROM files r WHERE r.id % 3 = 0 AND r.size = f.size AND lower(r.name) = lower(f.name))")
+def _by_lang(spark, d):
+    """Both sides with the language as the name, so that names meet across folders."""
+    return (f.withColumn("name", F.substring_index("name", "/", -1)) for f in _sides(spark, d))
+
+
+@query("dedup_size_name_key", f"WITH {_FILES} SELECT id FROM files f WHERE NOT ref AND EXISTS (SELECT 1 FROM files r WHERE r.ref AND r.size = f.size AND lower(split_part(r.name, '/', 2)) = lower(split_part(f.name, '/', 2)))")
 def dedup_size_name_key(spark, d):
-    f = files(spark, d)
-    return dedup.with_possible_reference(f.filter("id % 3 = 1"), f.filter("id % 3 = 0"), same_name=True).select("id")
+    return dedup.with_possible_reference(*_by_lang(spark, d), same_name=True).select("id")
 
 
 @query("dedup_sha256", "SELECT sha256(text) AS sha, count(*)::BIGINT AS members, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -51,10 +56,9 @@ def dedup_against_reference(spark, d):
     return dedup.duplicates_by_hash(*_sides(spark, d))
 
 
-@query("dedup_name_only", f"WITH {_FILES}, n AS (SELECT lower(name) AS k, min(id) AS rid FROM files WHERE id % 3 = 0 GROUP BY 1) SELECT f.id, n.rid AS reference_id, f.size, r.size AS reference_size, f.size <> r.size AS differing FROM files f JOIN n ON lower(f.name) = n.k JOIN files r ON r.id = n.rid WHERE f.id % 3 = 1")
+@query("dedup_name_only", f"WITH {_FILES}, n AS (SELECT lower(split_part(name, '/', 2)) AS k, min(id) AS rid FROM files WHERE ref GROUP BY 1) SELECT f.id, n.rid AS reference_id, f.size, r.size AS reference_size, f.size <> r.size AS differing FROM files f JOIN n ON lower(split_part(f.name, '/', 2)) = n.k JOIN files r ON r.id = n.rid WHERE NOT f.ref")
 def dedup_name_only(spark, d):
-    f = files(spark, d)
-    return dedup.duplicates_by_name(f.filter("id % 3 = 1"), f.filter("id % 3 = 0"))
+    return dedup.duplicates_by_name(*_by_lang(spark, d))
 
 
 @query("dedup_marked_bytes", "SELECT count(*) FILTER (quality = 1 AND toxic = 0)::BIGINT AS n_marked, coalesce(sum(strlen(text)) FILTER (quality = 1 AND toxic = 0), 0)::BIGINT AS marked_bytes FROM documents JOIN labels USING (doc_id)")
@@ -75,19 +79,17 @@ def folder_totals(spark, d):
     return totals(files(spark, d))
 
 
-@query("list_lookup_join", "WITH l AS (SELECT doc_id AS row_id, source || '/' || doc_id AS path, source AS name FROM documents WHERE doc_id % 3 = 0), h AS (SELECT doc_id AS hit, source || '/' || doc_id AS path, source AS name FROM documents) SELECT hit, path, coalesce((SELECT min(row_id) FROM l WHERE l.path = h.path), (SELECT min(row_id) FROM l WHERE l.name = h.name))::BIGINT AS row_id FROM h")
+@query("list_lookup_join", "WITH l AS (SELECT doc_id AS row_id, source || '/' || doc_id AS path, lang AS name FROM documents WHERE substring(source, 4)::INT % 2 = 0), h AS (SELECT doc_id AS hit, source || '/' || doc_id AS path, lang AS name FROM documents) SELECT hit, path, coalesce((SELECT min(row_id) FROM l WHERE l.path = h.path), (SELECT min(row_id) FROM l WHERE l.name = h.name))::BIGINT AS row_id FROM h")
 def list_lookup_join(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("name"))
-    return dedup.lookup(docs.withColumnRenamed("doc_id", "hit"), docs.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "row_id"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("name"), "source")
+    listed = docs.filter(F.substring("source", 4, 10).cast("int") % 2 == 0)
+    return dedup.lookup(docs.withColumnRenamed("doc_id", "hit"), listed.withColumnRenamed("doc_id", "row_id"))
 
 
-@query("hits_join_order", "SELECT doc_id, row_number() OVER (ORDER BY quality DESC, doc_id)::BIGINT AS ord, n_chars FROM labels JOIN documents USING (doc_id) ORDER BY ord LIMIT 40")
+@query("hits_join_order", "SELECT doc_id, row_number() OVER (ORDER BY quality DESC, doc_id)::BIGINT AS ord, n_chars FROM labels JOIN documents USING (doc_id)")
 def hits_join_order(spark, d):
-    from pyspark.sql import Window
-
-    top = table(spark, d, "labels").orderBy(F.desc("quality"), "doc_id").limit(40)
-    ranked = top.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("quality"), "doc_id")).cast("long"))  # 40 rows
-    return table(spark, d, "documents").join(F.broadcast(ranked), "doc_id").select("doc_id", "ord", "n_chars")
+    hits = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", "quality", "n_chars")
+    return numbered(hits, -F.col("quality"), "doc_id").select("doc_id", (F.col("position") + 1).alias("ord"), "n_chars")
 
 
 def _paths(spark, d, name):
@@ -104,10 +106,10 @@ def vanished_anti(spark, d):
     return lists.vanished(_paths(spark, d, "documents"), _paths(spark, d, "labels")).select("doc_id")
 
 
-@query("move_plan", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'keep' WHEN lower('n' || doc_id % 50) IN (SELECT 'n' || doc_id FROM documents WHERE doc_id < 25) THEN 'skip' ELSE 'move' END AS action FROM documents")
+@query("move_plan", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'keep' WHEN lower('n' || doc_id % 50) IN (SELECT 'n' || doc_id FROM labels) THEN 'skip' ELSE 'move' END AS action FROM documents")
 def move_plan(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("N"), (F.col("doc_id") % 50).cast("string")).alias("name"))
-    target = table(spark, d, "documents").filter("doc_id < 25").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"))
+    target = table(spark, d, "labels").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"))
     return lists.move_plan(docs, target, F.col("doc_id") % 4 == 0).select("doc_id", "action")
 
 
@@ -131,10 +133,8 @@ _NAT = "list_transform(regexp_extract_all(lower(url), '\\d+|\\D+'), lambda r: CA
 
 @query("natural_sort", f"SELECT page_id, row_number() OVER (ORDER BY {_NAT}, page_id)::BIGINT AS ord FROM pages")
 def natural_sort(spark, d):
-    from pyspark.sql import Window
-
-    key = text.natural_key(F.col("url"))
-    return table(spark, d, "pages").select("page_id", F.row_number().over(Window.orderBy(key, "page_id")).cast("long").alias("ord"))
+    pages = table(spark, d, "pages").select("page_id", text.natural_key(F.col("url")).alias("name_key"))
+    return numbered(pages, "name_key", "page_id").select("page_id", (F.col("position") + 1).alias("ord"))
 
 
 @query("next_in_order", f"WITH n AS (SELECT url, {_NAT} AS k FROM pages), r AS (SELECT k FROM n JOIN pages USING (url) WHERE page_id = 10) SELECT url AS next_name FROM n, r WHERE n.k > r.k ORDER BY n.k, url LIMIT 1")
@@ -223,11 +223,11 @@ def ocr_pseudo_lines(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.pseudo_line(conf, F.col("text")).alias("pseudo"))
 
 
-@query("ocr_merge_lines", r"WITH p AS (SELECT a.conv_id, a.text AS old, b.text AS more FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1), l AS (SELECT conv_id, old, unnest(string_split(more, chr(10))) AS line, generate_subscripts(string_split(more, chr(10)), 1) AS i FROM p), f AS (SELECT conv_id, lower(trim(line)) AS k, trim(min_by(line, i)) AS line, min(i) AS i FROM l WHERE trim(line) <> '' AND NOT contains(lower(old), lower(trim(line))) GROUP BY 1, 2) SELECT p.conv_id, coalesce(string_agg(f.line, '|' ORDER BY f.i), '') AS fresh FROM p LEFT JOIN f USING (conv_id) GROUP BY p.conv_id")
+@query("ocr_merge_lines", r"WITH p AS (SELECT a.conv_id, a.turn, a.text AS old, b.text AS more FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), l AS (SELECT conv_id, turn, old, unnest(string_split(more, chr(10))) AS line, generate_subscripts(string_split(more, chr(10)), 1) AS i FROM p), f AS (SELECT conv_id, turn, lower(trim(line)) AS k, trim(min_by(line, i)) AS line, min(i) AS i FROM l WHERE trim(line) <> '' AND NOT contains(lower(old), lower(trim(line))) GROUP BY 1, 2, 3) SELECT p.conv_id, p.turn, coalesce(string_agg(f.line, '|' ORDER BY f.i), '') AS fresh FROM p LEFT JOIN f USING (conv_id, turn) GROUP BY p.conv_id, p.turn")
 def ocr_merge_lines(spark, d):
     c = table(spark, d, "conversations")
-    a, b = (c.filter(F.col("turn") == k).select("conv_id", F.col("text").alias(n)) for k, n in ((0, "old"), (1, "more")))
-    return a.join(b, "conv_id").select("conv_id", F.array_join(text.new_lines(F.col("old"), F.col("more")), "|").alias("fresh"))
+    both = c.select("conv_id", "turn", F.col("text").alias("old")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("more")), ["conv_id", "turn"])
+    return both.select("conv_id", "turn", F.array_join(text.new_lines(F.col("old"), F.col("more")), "|").alias("fresh"))
 
 
 # Times.
@@ -251,9 +251,12 @@ def month_band(spark, d):
     return out.select(F.date_format("month", "yyyy-MM").alias("month"), "n", F.round("height", 6).alias("height"), "year_start")
 
 
-@query("month_band_single", "SELECT '' AS month, 0::BIGINT AS n FROM events WHERE false")
+@query("month_band_single", "SELECT count(DISTINCT date_trunc('month', ts))::BIGINT AS months, 0::BIGINT AS bars FROM events")
 def month_band_single(spark, d):
-    return timeline.month_band(table(spark, d, "events")).select(F.date_format("month", "yyyy-MM").alias("month"), "n")
+    """A single month has no band."""
+    events = table(spark, d, "events")
+    bars = timeline.month_band(events).agg(F.count(F.lit(1)).alias("bars"))  # one row
+    return events.agg(F.count_distinct(F.trunc("ts", "month")).alias("months")).crossJoin(F.broadcast(bars))
 
 
 @query("timespan_summary", "SELECT count(*)::BIGINT AS n, strftime(min(ts), '%Y-%m-%d') AS first, strftime(max(ts), '%Y-%m-%d') AS last FROM events WHERE year(ts) > 1601")
@@ -277,7 +280,7 @@ def rating_absolute_floor(spark, d):
 
 @query("rating_running_median", "SELECT doc_id, list_sort(l)[len(l) // 2 + 1]::BIGINT AS running_median FROM (SELECT doc_id, list(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS l FROM documents)")
 def rating_running_median(spark, d):
-    return rating.running_medians(table(spark, d, "documents"), "source", "n_chars", "doc_id").select("doc_id", F.col("running_median").cast("long").alias("running_median"))
+    return rating.running_medians(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "source", "n_chars", "doc_id").select("doc_id", F.col("running_median").cast("long").alias("running_median"))
 
 
 @query("bytes_per_pixel", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(l_extendedprice / l_quantity / (l_linenumber + 1), 9) AS bpp FROM lineitem WHERE l_quantity > 0")
@@ -368,10 +371,10 @@ def foreign_rows(spark, d):
     return incremental.own_rows(_scan(spark, d), "SRC1").select("path")
 
 
-@query("new_since_start", "SELECT DISTINCT user_id FROM events EXCEPT SELECT user_id FROM events WHERE event_id < 500")
+@query("new_since_start", f"WITH {_FILES} SELECT sha256(content) AS sha FROM (SELECT content FROM files WHERE NOT ref EXCEPT SELECT content FROM files WHERE ref)")
 def new_since_start(spark, d):
-    e = table(spark, d, "events")
-    return e.select("user_id").distinct().join(e.filter("event_id < 500").select("user_id").distinct(), "user_id", "left_anti")
+    now, before = (f.select(F.sha2(F.col("content").cast("binary"), 256).alias("sha")).distinct() for f in _sides(spark, d))
+    return now.join(before, "sha", "left_anti")
 
 
 # Lists, catalogues and findings.

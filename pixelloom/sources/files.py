@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +29,19 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = True, extension
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, image, width, height, x, y, r, g, b) in long form. Spark decodes and stores blue first; files that do not decode have no rows."""
+    """(path, image, width, height, x, y, r, g, b) in long form. Spark decodes and stores blue first; files that do not decode have no rows.
+
+    A picture is cut into its rows before any pixel is taken, so a pixel never carries or searches the whole picture.
+    """
     img = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
-    one = img.select("origin", "width", "height", "nChannels", F.hex("data").alias("h"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
-    # Hex digits of byte k stand at 2 k + 1.
-    byte = lambda c: F.conv(F.substring(F.col("h"), (F.col("i") * F.col("nChannels") + c) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    grey = F.col("nChannels") == 1
-    return one.select(F.col("origin").alias("path"), "width", "height", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), byte(F.when(grey, 0).otherwise(2)).alias("r"), byte(F.when(grey, 0).otherwise(1)).alias("g"), byte(F.lit(0)).alias("b"))
+    stride = F.col("width") * F.col("nChannels")
+    rows = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.struct(y.alias("y"), F.substring(F.col("data"), y * stride + 1, stride).alias("bytes")))
+    row = img.select("origin", "width", "height", "nChannels", F.explode(rows).alias("row"))
+    value = lambda x, c: F.conv(F.hex(F.substring(F.col("row.bytes"), x * F.col("nChannels") + c + 1, F.lit(1))), 16, 10).cast("int")
+    at = lambda c: F.when(F.col("nChannels") == 1, 0).otherwise(c)
+    pixels = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: F.struct(x.alias("x"), value(x, at(2)).alias("r"), value(x, at(1)).alias("g"), value(x, at(0)).alias("b")))
+    one = row.select("origin", "width", "height", F.col("row.y").alias("y"), F.explode(pixels).alias("px"))
+    return one.select(F.col("origin").alias("path"), "width", "height", "px.x", "y", "px.r", "px.g", "px.b")
 
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +64,15 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Replaces a stored table; readers see the old or the new one."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(partition) if partition else w).parquet(path)
+    """Replaces a stored table. The new one is written beside it and then takes its name, so the plan may read the old table, and a failed write leaves it as it was."""
+    spark = df.sparkSession
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition) if partition else df.write).parquet(fresh)
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    store = new.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"the new table stays in {fresh}; it could not take the name {path}")
 
 
 def folder_totals(files: DataFrame) -> DataFrame:
