@@ -32,3 +32,9 @@ def refreshed(scan: DataFrame, index: DataFrame, describe: Callable[[DataFrame],
 def own_rows(index: DataFrame, root: str) -> DataFrame:
     """Rows that lie below the index file's folder; foreign rows are dropped."""
     return index.filter(F.startswith(F.lower("path"), F.lit(root.rstrip("/").lower() + "/")))
+
+
+def stale_texts(scan: DataFrame, cache: DataFrame, slanted: bool = False, full_stage: int = 4) -> DataFrame:
+    """Scanned rows whose cached text is missing or of another size or time, or was read before slanted lines were, where those are wanted."""
+    fresh = cache.filter(F.coalesce(F.col("slant_stage") >= full_stage, F.lit(False))) if slanted else cache
+    return changed(scan, fresh)

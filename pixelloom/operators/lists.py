@@ -91,3 +91,13 @@ def undo_plan(moved: DataFrame, there: DataFrame, origin: str = "origin") -> Dat
     taken = there.select(F.lower(origin).alias("_taken")).distinct()
     marked = moved.join(taken, F.lower(moved[origin]) == taken["_taken"], "left")
     return marked.withColumn("action", F.when(F.col("_taken").isNotNull(), F.lit("refuse")).otherwise(F.lit("move"))).drop("_taken")
+
+
+def quartile(position: Column, count: Column) -> Column:
+    """Quarter 1 to 4 of a list that the 0-based position lies in; null for an empty list."""
+    return F.when(count > 0, F.least(F.greatest(F.ceil((position + 1) / count * 4), F.lit(1)), F.lit(4)))
+
+
+def eighth(position: Column, count: Column) -> Column:
+    """Eighths of a list that are reached at the 0-based position, at most 8; null for an empty list."""
+    return F.when(count > 0, F.least(F.ceil((position + 1) / count * 8), F.lit(8)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .order_stats import cumulated, holds
 
 
@@ -74,7 +75,7 @@ def threshold(values: DataFrame, share: float = 0.75, low: float = 0.10, high: f
 
 def largest_gap(values: DataFrame, trim: float = 0.10) -> DataFrame:
     """One row: the widest gap between neighbouring values within the middle, where it is cut, and how many values lie below; the first of equal gaps."""
-    lo, hi = F.floor(F.col("total") * trim), F.ceil(F.col("total") * (1 - trim)) - 2
+    lo, hi = F.floor(F.col("total") * trim), F.floor(F.col("total") * (1 - trim)) - 1
     last = F.col("before") + F.col("n") - 1
     first = F.greatest(F.col("before"), lo)
     # The last of equal values has the gap to the next value; those before it have none.
@@ -96,3 +97,45 @@ def gate(old: Column, old_n: Column, new: Column, new_n: Column, proven: float =
     """Whether an extension is accepted: a proven mask stays proven, and separability grows as noise would let it."""
     expected = old * F.sqrt(old_n / new_n)
     return F.when((old >= proven) & (new < proven), F.lit(False)).otherwise(F.coalesce(new / expected >= ratio, F.lit(False)))
+
+
+def usable(separability: Column) -> Column:
+    """Masks that were ever measured take part in a check, weak ones too."""
+    return separability.isNotNull()
+
+
+def is_proven(separability: Column, proven: float = 0.15) -> Column:
+    return F.coalesce(separability >= proven, F.lit(False))
+
+
+def split(fields: DataFrame, least: int = 12, side: int = 5, apart: float = 0.10) -> DataFrame:
+    """(field, upper): fields cut in two where their match with the common mask has its widest gap; no rows unless both halves are proven.
+
+    A half needs `side` fields, and must match its own mask (without the field itself) better than the other half's
+    by `apart` on average. All fields of a half are measured.
+    """
+    one = lambda part: pattern(learn(part)).withColumn("mask", F.lit(0))
+    values = stored(match(fields, one(fields)).select("field", "value"), "split-values")
+    gap = largest_gap(values).filter("gap > 0").select("cut")  # one row
+    halves = values.crossJoin(F.broadcast(gap)).select("field", (F.col("value") > F.col("cut")).alias("upper"))
+    dealt = stored(fields.select("field", "p", "v").join(halves, "field"), "split-halves")
+    up, low = dealt.filter("upper").drop("upper"), dealt.filter("not upper").drop("upper")
+    proof = None
+    for k, (own, other) in enumerate(((up, low), (low, up))):
+        loo = leave_one_out(own).agg(F.avg("value").alias(f"own{k}"), F.count(F.lit(1)).alias(f"n{k}"))
+        foreign = match(own, one(other)).agg(F.avg("value").alias(f"foreign{k}"))
+        row = loo.crossJoin(F.broadcast(foreign))  # one row each
+        proof = row if proof is None else proof.crossJoin(F.broadcast(row))
+    kept = proof.filter(f"n0 >= {side} and n1 >= {side} and n0 + n1 >= {least} and own0 - foreign0 >= {apart} and own1 - foreign1 >= {apart}")
+    return dealt.select("field", "upper").distinct().crossJoin(F.broadcast(kept.select(F.lit(1).alias("_ok")))).drop("_ok")
+
+
+def folder_check(values: DataFrame, masks: DataFrame, hints: DataFrame) -> DataFrame:
+    """(field, mask, value, visible, metadata): the best usable mask of each image and whether its metadata hint at a generator.
+
+    masks (mask, threshold, separability); hints (field). Images with hints alone have no mask.
+    """
+    best = best_match(values, masks.filter(usable(F.col("separability"))).select("mask", "threshold"))
+    marked = hints.select("field").distinct().withColumn("_hint", F.lit(True))
+    out = best.join(marked, "field", "full")
+    return out.select("field", "mask", "value", F.coalesce("hit", F.lit(False)).alias("visible"), F.coalesce("_hint", F.lit(False)).alias("metadata"))

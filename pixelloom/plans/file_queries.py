@@ -430,3 +430,19 @@ def undo_plan(spark, d):
     docs = table(spark, d, "documents")
     moved = docs.select("doc_id", F.concat(F.lit("N"), (F.col("doc_id") % 50).cast("string")).alias("origin"))
     return lists.undo_plan(moved, docs.filter("doc_id % 7 = 0").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("origin"))).select("doc_id", "action")
+
+
+@query("stale_texts", "SELECT doc_id FROM documents WHERE doc_id % 6 < 4 OR substring(source, 4)::INT % 2 = 1")
+def stale_texts(spark, d):
+    scan = _scan(spark, d)
+    grown = F.substring("folder", 4, 10).cast("int") % 2
+    cache = scan.select("path", (F.col("size") + grown).alias("size"), "mtime", (F.col("mtime") % 6).cast("int").alias("slant_stage"))
+    return incremental.stale_texts(scan, cache, slanted=True).select(F.col("mtime").alias("doc_id"))
+
+
+@query("position_steps", "SELECT page_id, CASE WHEN q <= 0.25 THEN 1 WHEN q <= 0.5 THEN 2 WHEN q <= 0.75 THEN 3 ELSE 4 END::BIGINT AS quarter, least(ceil(q * 8), 8)::BIGINT AS eighth FROM (SELECT page_id, row_number() OVER (ORDER BY url, page_id) / count(*) OVER () AS q FROM pages)")
+def position_steps(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    total = pages.agg(F.count(F.lit(1)).alias("total"))  # one row
+    placed = numbered(pages, "url", "page_id").crossJoin(F.broadcast(total))
+    return placed.select("page_id", *(f(F.col("position"), F.col("total")).cast("long").alias(n) for n, f in (("quarter", lists.quartile), ("eighth", lists.eighth))))

@@ -189,7 +189,7 @@ def mask_gate(spark, d):
     return emb(spark, d).select("vec_id", masks.gate(o, F.lit(10.0), n, F.lit(20.0)).alias("accepted"))
 
 
-@query("mask_largest_gap", f"WITH {_LOO}, o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n, lead(value) OVER (ORDER BY value) AS nx FROM loo) SELECT round(nx - value, 5) AS gap, round((nx + value) / 2, 5) AS cut, (i + 1)::BIGINT AS below FROM o WHERE i >= floor(n * 0.10) AND i <= ceil(n * 0.9) - 2 ORDER BY nx - value DESC, i LIMIT 1")
+@query("mask_largest_gap", f"WITH {_LOO}, o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n, lead(value) OVER (ORDER BY value) AS nx FROM loo) SELECT round(nx - value, 5) AS gap, round((nx + value) / 2, 5) AS cut, (i + 1)::BIGINT AS below FROM o WHERE i >= floor(n * 0.10) AND i <= floor(n * 0.9) - 1 ORDER BY nx - value DESC, i LIMIT 1")
 def mask_largest_gap(spark, d):
     return masks.largest_gap(masks.leave_one_out(_fields(spark, d, 0))).select(F.round("gap", 5).alias("gap"), F.round("cut", 5).alias("cut"), "below")
 
@@ -205,3 +205,16 @@ def mask_best_area(spark, d):
     st = m.groupBy("mask").agg(F.stddev_pop(F.col("pattern") * F.col("weight")).alias("strength"), F.avg("weight").alias("stable"))
     best = st.agg(F.max(F.struct("strength", (-F.col("mask")).alias("neg"), "stable")).alias("b"))
     return best.select((-F.col("b.neg")).alias("area"), F.round("b.strength", 6).alias("strength"), F.round("b.stable", 5).alias("stable"))
+
+
+@query("folder_check", f"WITH {_F}, {_MASK}, {_VALUES} SELECT field, mask::BIGINT AS mask, round(value, 5) AS value, value >= th AS visible, field % 5 = 0 AS metadata FROM (SELECT *, 0.1 + 0.05 * mask AS th, row_number() OVER (PARTITION BY field ORDER BY value / (0.1 + 0.05 * mask) DESC, mask) AS r FROM val WHERE mask < 2) WHERE r = 1")
+def folder_check(spark, d):
+    measured = spark.createDataFrame([(0, 0.1, 0.2), (1, 0.1 + 0.05, 0.05), (2, 0.1 + 0.05 * 2, None)], "mask long, threshold double, separability double")
+    hints = emb(spark, d).filter(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("field"))  # what metadata say of images
+    out = masks.folder_check(masks.match(_fields(spark, d), _masks(spark, d)), measured, hints)
+    return out.select("field", "mask", F.round("value", 5).alias("value"), "visible", "metadata")
+
+
+@query("mask_split")
+def mask_split(spark, d):
+    return masks.split(_fields(spark, d).select("field", "p", "v"))

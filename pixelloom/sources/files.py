@@ -77,3 +77,37 @@ def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
 
 def folder_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+def sorted_listing(files: DataFrame, key: str = "path") -> DataFrame:
+    """Rows by path, case ignored; paths that differ in case alone by code point."""
+    return files.orderBy(F.upper(key), key)
+
+
+def indexed_folders(spark: SparkSession, root: str, index_name: str) -> DataFrame:
+    """(folder): folders below a root that hold an index file."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", index_name).load(root)
+    return found.select(folder(F.col("path")).alias("folder")).distinct()
+
+
+#: Tables that outlive a session, as columns.
+STORES = {
+    "texts": "path string, size long, mtime long, text string, language string, slant_stage int",
+    "findings": "path string, similarity float, visible boolean, mask_name string, threshold_used float, metadata_hints array<string>",
+    "masks": "name string, edge int, n int, mode int, area int, threshold float, separability float, pattern array<float>, weight array<float>, total array<double>, squares array<double>",
+    "profiles": "folder string, finished boolean, n_good int, n_bad int, sum_good array<float>, sum_bad array<float>, updated timestamp",
+    "folders": "path string, images int, updated timestamp",
+}
+
+
+def load_store(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """A stored table of STORES; empty if nothing was stored yet. Columns that an older table lacks are null."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    return spark.read.schema(STORES[kind]).parquet(path) if there else spark.createDataFrame([], STORES[kind])
+
+
+def save_store(df: DataFrame, kind: str, path: str) -> None:
+    """Writes the columns of a stored table; the old one stays until the new one is whole."""
+    columns = df.sparkSession.createDataFrame([], STORES[kind]).schema.fields
+    write_table(df.select(*(F.col(c.name).cast(c.dataType) for c in columns)), path)

@@ -32,7 +32,7 @@ def test_threshold_and_gap_equal_brute_force(spark, n):
     s = sorted(values)
     t = masks.threshold(df).first()
     assert (t.threshold, t.separability) == (min(0.9, max(0.1, s[int(n * 0.1)] * 0.75)), s[int(n * 0.5)])
-    lo, hi = int(n * 0.1), -int(-n * 0.9 // 1) - 2
+    lo, hi = int(n * 0.1), min(int(n * 0.9) - 1, n - 2)
     gaps = [(s[i + 1] - s[i], -i) for i in range(lo, hi + 1)]
     got = masks.largest_gap(df).collect()
     assert [(r.gap, r.below) for r in got] == ([(max(gaps)[0], 1 - max(gaps)[1])] if gaps else [])
@@ -48,3 +48,15 @@ def test_running_medians_equal_brute_force(spark):
         seen[f] = s
         want[i] = s[len(s) // 2] if s else None
     assert {r.id: r.running_median for r in rating.running_medians(df, "folder", "v", "id").collect()} == want
+
+
+def test_split_needs_two_marks(spark):
+    rng = random.Random(1)
+    wave = [[(-1) ** p for p in range(64)], [(-1) ** (p // 8) for p in range(64)]]
+    rows = lambda kinds: [(i, p, 2.0 * wave[k][p] + rng.gauss(0, 0.5)) for i, k in enumerate(kinds) for p in range(64)]
+    two = [0] * 14 + [1] * 8
+    got = masks.split(spark.createDataFrame(rows(two), "field long, p int, v double")).collect()
+    sides = {r.field: r.upper for r in got}
+    assert len(got) == 22 and {sides[i] for i in range(14)} == {True} and {sides[i] for i in range(14, 22)} == {False}
+    assert masks.split(spark.createDataFrame(rows([0] * 20), "field long, p int, v double")).count() == 0
+    assert masks.split(spark.createDataFrame(rows([0] * 6 + [1] * 4), "field long, p int, v double")).count() == 0

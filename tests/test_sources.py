@@ -53,3 +53,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_stores_round_trip_and_listing(spark, tmp_path):
+    at = str(tmp_path / "texts")
+    assert files.load_store(spark, "texts", at).count() == 0
+    for stage in (3, 4):
+        old = files.load_store(spark, "texts", at)
+        row = spark.createDataFrame([("/a/x.png", 5, 9, "t", "de", stage)], files.STORES["texts"])
+        files.save_store(old.unionByName(row), "texts", at)
+    assert sorted(r.slant_stage for r in files.load_store(spark, "texts", at).collect()) == [3, 4]
+    for kind in files.STORES:
+        assert files.load_store(spark, kind, str(tmp_path / "none")).columns
+    for name in ("b/i.json", "a/c/i.json", "a/other.json"):
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text("{}")
+    found = files.indexed_folders(spark, str(tmp_path / "tree"), "i.json")
+    assert sorted(r.folder.rsplit("tree/", 1)[1] for r in found.collect()) == ["a/c", "b"]
+    df = spark.createDataFrame([("b",), ("A",), ("a",)], "path string")
+    assert [r.path for r in files.sorted_listing(df).collect()] == ["A", "a", "b"]
