@@ -14,6 +14,8 @@ from .shared import blocks, mixed, powers, stored
 _BASE = 0xD6E8FEB86659FD93 | 1
 _BASE2 = 0xA0761D6478BD642F | 1
 _BYTE = mixed(np.arange(1001, 1257, dtype=np.uint64))
+#: Dictionary entries of one trigger whose suffixes are sorted in one array; a trigger with more is dealt to several.
+ENTRIES = 4096
 
 
 def rolling_hash(data: np.ndarray, w: int) -> np.ndarray:
@@ -100,25 +102,29 @@ def _phrases_pass(length: int, w: int):
 
 
 def _reaches_pass(length: int):
-    """(id, lo, bytes): what the listed phrases of a text reach over."""
+    """(id, lo, k, split, bytes): what the listed phrases of a text reach over, with their trigger and the number of arrays that its entries are dealt to."""
 
     def run(batches):
         for batch in batches:
             ids, texts, lists = batch.column("id"), batch.column("text"), batch.column("parts")
-            at, out, lo_out = [], [], []
+            def reached(rows, picked, out):
+                part = lists.flatten().take(pa.array(picked, pa.int64()))
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *(part.field(c) for c in ("lo", "k", "split")), pa.array(out, pa.binary())], names=["id", "lo", "k", "split", "reach"])
+
+            rows, picked, out, before = [], [], [], 0
             for i in range(batch.num_rows):
-                raw = texts[i].as_buffer()
-                view = memoryview(raw)
+                view = memoryview(texts[i].as_buffer())
                 part = lists[i].values
-                for lo, n in zip(part.field("lo").to_numpy(), part.field("n").to_numpy(), strict=True):
-                    at.append(i)
-                    lo_out.append(lo)
+                for j, (lo, n) in enumerate(zip(part.field("lo").to_numpy(), part.field("n").to_numpy(), strict=True)):
+                    rows.append(i)
+                    picked.append(before + j)
                     out.append(bytes(view[lo : lo + n + length - 1]))
+                before += len(part)
                 if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(lo_out, pa.int64()), pa.array(out, pa.binary())], names=["id", "lo", "reach"])
-                    at, out, lo_out = [], [], []
+                    yield reached(rows, picked, out)
+                    rows, picked, out = [], [], []
             if out:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(lo_out, pa.int64()), pa.array(out, pa.binary())], names=["id", "lo", "reach"])
+                yield reached(rows, picked, out)
 
     return run
 
@@ -156,31 +162,70 @@ def _contexts_pass(length: int, w: int):
     return run
 
 
-def _suffixes_pass(length: int, w: int):
-    """(s1, s2, id, at): the suffixes of the reaches, cut to `length` bytes, as 128-bit hashes with their places in the corpus.
+def suffix_array(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head): the suffixes that start at `at`, sorted by their first `length` bytes and then by their number; head tells where a run of suffixes of one group that agree to that depth begins."""
+    text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[at])
+    order = np.argsort(text.view(f"S{length}").ravel(), kind="stable")
+    text, group = text[order], group[order]
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (text[1:] != text[:-1]).any(axis=1) | (group[1:] != group[:-1])
+    return order, head
+
 
-    Only suffixes that reach less than a quarter step beyond the contexts which another phrase shares.
+def _suffix_arrays_pass(length: int, w: int):
+    """(id, lo, hi, s1, s2): runs of starts whose strings are repeats, with what they cover; and, with the digest of their string, starts that only other arrays of the trigger can decide.
+
+    Rows come sorted by (bucket, id, lo), so in a run of equal suffixes the first one comes first in the corpus. Only suffixes that
+    reach less than a quarter step beyond the contexts which another phrase shares are sorted: others are no repeats.
     """
     span = length - w
     step = span - round(span * 3 / 4) + 1
 
+    def decided(batch):
+        ids, lows = batch.column("id"), batch.column("lo").to_numpy()
+        left, right, split = (batch.column(c).to_numpy() for c in ("left", "right", "split"))
+        bucket, place = batch.column("bucket").to_numpy(), batch.column("place").to_numpy()
+        again = np.zeros(len(bucket), dtype=bool)  # rows equal in key and text are one text
+        again[1:] = (bucket[1:] == bucket[:-1]) & (place[1:] == place[:-1])
+        for _, offsets, data in blocks(batch.column("reach"), 1 << 40):
+            h = rolling_hash(data, w)
+            at, count = _triggers_of(h, offsets, length, w)
+            row = np.repeat(np.arange(len(count)), count)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            before = at[row] - offsets[row] - inner
+            keep = (before < left[row] + step) & (span - before < right[row] + step) & ~again[row]
+            row, inner = row[keep], inner[keep]
+            if not len(row):
+                continue
+            start = offsets[row] + inner
+            order, head = suffix_array(data, start, bucket[row], length)
+            later = np.sort(order[~head])
+            first = np.ones(len(later), dtype=bool)
+            first[1:] = (row[later[1:]] != row[later[:-1]]) | (inner[later[1:]] > inner[later[:-1]] + length)
+            begin = later[first]
+            end = later[np.append(np.flatnonzero(first)[1:] - 1, len(later) - 1)] if len(later) else later
+            none = pa.nulls(len(begin), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[begin])), pa.array(lows[row[begin]] + inner[begin]), pa.array(lows[row[end]] + inner[end] + length), none, none], names=["id", "lo", "hi", "s1", "s2"])
+            open_ = order[head]
+            open_ = open_[split[row[open_]] > 1]
+            if len(open_):
+                s1, s2 = (pa.array(spans_hash(h, start[open_], start[open_] + length - w + 1, base).view(np.int64)) for base in (_BASE, _BASE2))
+                lo = lows[row[open_]] + inner[open_]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[open_])), pa.array(lo), pa.array(lo + length), s1, s2], names=["id", "lo", "hi", "s1", "s2"])
+
     def run(batches):
+        held = None
         for batch in batches:
-            ids, lows = batch.column("id"), batch.column("lo").to_numpy()
-            left, right = batch.column("left").to_numpy(), batch.column("right").to_numpy()
-            for first, offsets, data in blocks(batch.column("reach")):
-                h = rolling_hash(data, w)
-                at, count = _triggers_of(h, offsets, length, w)
-                row = np.repeat(np.arange(len(count)), count)
-                inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                before = at[row] - offsets[row] - inner
-                keep = (before < left[first + row] + step) & (span - before < right[first + row] + step)
-                row, inner = row[keep], inner[keep]
-                lo = offsets[row] + inner
-                s1, s2 = (spans_hash(h, lo, lo + length - w + 1, base) for base in (_BASE, _BASE2))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), ids.take(pa.array(first + row)), pa.array(lows[first + row] + inner)], names=["s1", "s2", "id", "at"]
-                )
+            if not batch.num_rows:
+                continue
+            held = batch if held is None else pa.concat_batches([held, batch])
+            bucket = held.column("bucket").to_numpy()
+            other = np.flatnonzero(bucket != bucket[-1])
+            if len(other):
+                yield from decided(held.slice(0, int(other[-1]) + 1))
+                held = held.slice(int(other[-1]) + 1)
+        if held is not None:
+            yield from decided(held)
 
     return run
 
@@ -226,10 +271,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, w: int = 32, key: str = "
     3. Dictionary: of equal phrases (with the `length` - 1 bytes that follow), the first stays; all strings
        of the others are repeats.
     4. Dictionary phrases that share a trigger but differ: what they share around it bounds the suffixes
-       that can repeat. These are sorted to a depth of `length` bytes, which is as deep as the question
-       goes: suffixes that agree to that depth are neighbours in corpus order, and each but the first of
-       such a run is a repeat. Sorting is Spark's aggregation by the 128-bit hash of the suffix, so no
-       suffix array of the whole corpus is ever in one place.
+       that can repeat. The suffixes of the phrases of a trigger are sorted as bytes, to a depth of `length`, which is as
+       deep as the question goes: a phrase reaches `length` - 1 bytes beyond its last start, so a string lies whole
+       in each phrase that has it. With the parse, which says where a phrase stands first, that is corpus order to this
+       depth: suffixes that agree are neighbours, and each but the first of such a run is a repeat.
+    5. A trigger of many phrases is dealt to several arrays of some ENTRIES phrases; the heads of their
+       runs are merged by the 128-bit digest of the string. No array holds more, whatever the corpus.
 
     Null and empty texts have no bytes. Rows are judged each by its own text: of rows that share a key, or
     have none, the one with the smaller digest of its text counts as earlier, and null keys come first. Only rows equal in
@@ -254,14 +301,14 @@ def _repeats_removed(docs: DataFrame, length: int, w: int, key: str, text: str)
     parse = stored(parse.join(shared.hint("shuffle_hash"), "k", "left_semi"), "suffix-parse")
     firsts = stored(parse.groupBy("k", "e").agg(F.min("id").alias("id0"), F.max(F.col("id").isNull()).alias("null0"), F.count(F.lit(1)).alias("c")), "suffix-dictionary")
     firsts = firsts.withColumn("id0", F.when(~F.col("null0"), F.col("id0"))).drop("null0")  # a null key comes first
-    several = stored(firsts.groupBy("k").agg(F.count(F.lit(1)).alias("entries")).filter("entries > 1").select("k", F.lit(True).alias("several")), "suffix-several")
-    firsts = stored(firsts.join(several, "k", "left").filter("c > 1 or several"), "suffix-firsts")
-    marked = stored(parse.join(firsts.hint("shuffle_hash"), ["k", "e"]).withColumn("first", F.col("fresh") & F.col("id").eqNullSafe(F.col("id0"))).filter("not first or several").select("id", "lo", "n", "first"), "suffix-marked")
+    several = stored(firsts.groupBy("k").agg(F.count(F.lit(1)).alias("entries")).filter("entries > 1").select("k", F.ceil(F.col("entries") / ENTRIES).cast("int").alias("split")), "suffix-several")
+    firsts = stored(firsts.join(several, "k", "left").filter("c > 1 or split is not null"), "suffix-firsts")
+    marked = stored(parse.join(firsts.hint("shuffle_hash"), ["k", "e"]).withColumn("first", F.col("fresh") & F.col("id").eqNullSafe(F.col("id0"))).filter("not first or split is not null").select("id", "lo", "n", "first", "k", "split"), "suffix-marked")
     spans = marked.filter("not first").select("id", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
     # Dictionary phrases with a trigger in common.
-    parts = stored(marked.filter("first").groupBy("id").agg(F.collect_set(F.struct("lo", "n")).alias("parts")), "suffix-parts")
+    parts = stored(marked.filter("first").groupBy("id").agg(F.collect_set(F.struct("lo", "n", "k", "split")).alias("parts")), "suffix-parts")
     own = parts.withColumnRenamed("id", "part_id")
-    reaches = slim.join(own, slim["id"].eqNullSafe(own["part_id"])).drop("part_id").mapInArrow(_reaches_pass(length), f"id {kind}, lo long, reach binary")
+    reaches = slim.join(own, slim["id"].eqNullSafe(own["part_id"])).drop("part_id").mapInArrow(_reaches_pass(length), f"id {kind}, lo long, k long, split int, reach binary")
     reaches = stored(reaches, "suffix-reaches")
     # What a phrase shares with another one around the trigger bounds the suffixes that can be repeats.
     contexts = reaches.mapInArrow(_contexts_pass(length, w), f"c long, id {kind}, lo long, left int, right int")
@@ -269,11 +316,16 @@ def _repeats_removed(docs: DataFrame, length: int, w: int, key: str, text: str)
     bounds = contexts.join(common.hint("shuffle_hash"), "c", "left_semi").groupBy("id", "lo").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     bounds = stored(bounds.withColumnRenamed("id", "bound_id").withColumnRenamed("lo", "bound_lo"), "suffix-bounds")
     reaches = stored(reaches.join(bounds, reaches["id"].eqNullSafe(bounds["bound_id"]) & (reaches["lo"] == bounds["bound_lo"])).drop("bound_id", "bound_lo"), "suffix-bounded")
-    suffixes = reaches.mapInArrow(_suffixes_pass(length, w), f"s1 long, s2 long, id {kind}, at long")
-    runs = suffixes.groupBy("s1", "s2").agg(F.min(F.struct("id", "at")).alias("f"), F.max(F.struct("id", "at")).alias("l")).filter("f <> l")
-    runs = stored(runs.select("s1", "s2", F.col("f.id").alias("id0"), F.col("f.at").alias("at0")), "suffix-runs")
-    later = suffixes.join(runs.hint("shuffle_hash"), ["s1", "s2"]).filter(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("at") == F.col("at0"))))
-    spans = spans.union(later.select("id", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
+    # Suffix arrays of the dictionary, by trigger: a string of `length` bytes lies whole in every phrase that has it, and equal strings have equal triggers.
+    place = F.xxhash64("id", "lo")
+    dealt = reaches.withColumn("place", place).withColumn("bucket", F.xxhash64("k", F.pmod("place", F.col("split")))).drop("k")
+    sorted_ = stored(dealt.repartition("bucket").sortWithinPartitions("bucket", "id", "lo").mapInArrow(_suffix_arrays_pass(length, w), f"id {kind}, lo long, hi long, s1 long, s2 long"), "suffix-arrays")
+    # Arrays of one trigger are merged by their heads: of equal ones all but the first are repeats.
+    heads = sorted_.filter("s1 is not null")
+    runs = heads.groupBy("s1", "s2").agg(F.min(F.struct("id", "lo")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    runs = stored(runs.select("s1", "s2", F.col("f.id").alias("id0"), F.col("f.lo").alias("lo0")), "suffix-heads")
+    later = heads.join(runs.hint("shuffle_hash"), ["s1", "s2"]).filter(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("lo") == F.col("lo0"))))
+    spans = spans.union(sorted_.filter("s1 is null").select("id", "lo", "hi")).union(later.select("id", "lo", "hi"))
     listed = stored(spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans").withColumnRenamed("id", "span_id")
     joined = slim.join(listed, slim["id"].eqNullSafe(listed["span_id"]), "left").drop("span_id")
     return joined.mapInArrow(_removal_pass, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", key)

@@ -123,6 +123,28 @@ def test_suffix_dedup_edges(spark, empty):
     assert sorted((r.doc_id is None, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()) == [(False, 150, 1), (True, 149, 1)]
 
 
+def test_suffix_array_orders_suffixes():
+    rng = random.Random(8)
+    data = bytes(rng.choice(b"ab\0") for _ in range(400))
+    at = np.arange(400 - 12 + 1)
+    order, head = suffix_dedup.suffix_array(np.frombuffer(data, np.uint8), at, at * 0, 12)
+    want = sorted(at.tolist(), key=lambda i: (data[i : i + 12], i))
+    assert order.tolist() == want
+    assert head.tolist() == [k == 0 or data[i : i + 12] != data[want[k - 1] : want[k - 1] + 12] for k, i in enumerate(want)]
+
+
+def test_suffix_dedup_merges_arrays_of_a_trigger(spark, monkeypatch):
+    """One passage in many contexts: its phrases are dealt to several arrays, and nothing changes."""
+    rng = random.Random(6)
+    new = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    passage, left, right = new(140), [new(60) for _ in range(9)], [new(60) for _ in range(7)]
+    rows = [(i, new(50) + rng.choice(left)[-rng.randint(1, 60) :] + passage + rng.choice(right)[: rng.randint(1, 60)] + new(50)) for i in range(60)]
+    want = repeats([(i, t.encode()) for i, t in rows], 100)
+    monkeypatch.setattr(suffix_dedup, "ENTRIES", 4)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 def test_suffix_dedup_judges_rows_not_keys(spark):
     """Rows that share a key, or have none, lose only what really repeats."""
     rng = random.Random(4)
