@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, normalised
+from .moments import moments
 
 
 def mean_vector(table: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -22,18 +23,12 @@ def centred(table: DataFrame, vec: str = "embedding") -> DataFrame:
 
 def fit(table: DataFrame, components: int, vec: str = "embedding") -> tuple[np.ndarray, np.ndarray] | None:
     """Mean and the first components; None for fewer than three vectors. Spark sums the products of positions, the driver solves a matrix of the vectors' dimension."""
-    rows = table.select(as_double(F.col(vec)).alias("v")).filter("v is not null")
-    first = rows.limit(1).collect()
-    if not first:
+    found = moments(table, F.col(vec), F.lit(0))
+    if not found or found[0][0][0] < 3:
         return None
-    dim = len(first[0]["v"])
-    long = rows.select("v", F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), *(F.sum(F.col("x") * F.get("v", F.lit(j))).alias(f"c{j}") for j in range(dim)))
-    got = sorted(long.collect(), key=lambda r: r["i"])
-    n = got[0]["n"]
-    if n < 3:
-        return None
-    mean = np.array([r["s"] for r in got]) / n
-    cov = np.array([[r[f"c{j}"] for j in range(dim)] for r in got]) / n - np.outer(mean, mean)
+    n, total, products = found[0]
+    mean = total / n
+    cov = products / n[:, None] - np.outer(mean, mean)
     _, vectors = np.linalg.eigh(cov)
     return mean, vectors[:, ::-1][:, :components].T
 

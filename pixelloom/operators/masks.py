@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import sized, stored
 from .order_stats import cumulated, holds
 
 
@@ -42,14 +42,14 @@ def correlation(a: Column, b: Column, w: Column) -> Column:
 
 
 def match(fields: DataFrame, masks: DataFrame) -> DataFrame:
-    """(field, mask, value) of every field against every mask; masks (mask, p, pattern, weight) are few and of fixed size, the join is on the pixel."""
-    both = fields.join(F.broadcast(masks), "p")
+    """(field, mask, value) of every field against every mask; masks (mask, p, pattern, weight) are broadcast if they are few; the join is on the pixel."""
+    both = fields.join(sized(stored(masks, "masks")), "p")
     return both.groupBy("field", "mask").agg(correlation(F.col("pattern"), F.col("v"), F.col("weight")).alias("value"))
 
 
 def best_match(values: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(field, mask, value, hit): the mask with the best ratio of value to its own threshold (ties: least mask)."""
-    v = values.join(F.broadcast(thresholds), "mask")
+    v = values.join(sized(stored(thresholds, "mask-thresholds")), "mask")
     best = v.groupBy("field").agg(F.max_by(F.struct("mask", "value", "threshold"), F.struct(F.col("value") / F.col("threshold"), -F.col("mask"))).alias("m"))
     return best.select("field", F.col("m.mask").alias("mask"), F.col("m.value").alias("value"), (F.col("m.value") >= F.col("m.threshold")).alias("hit"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from .moments import moments
 from .order_stats import numbered
 
 
@@ -36,21 +37,20 @@ def as_vector(direction: DataFrame, value: str = "d", unit: bool = True) -> Data
     return one.filter(F.size("px") > 0).select(F.transform("px", lambda e: e[value] / F.col("norm") if unit else e[value]).alias("vector"))
 
 
-def ridge_direction(table: DataFrame, strength: float = 0.003, bad: str = "bad", vec: str = "embedding") -> np.ndarray | None:
+def ridge_direction(table: DataFrame, strength: float = 0.003, bad: str = "bad", vec: str = "embedding", least: int = 5) -> np.ndarray | None:
     """(C + strength I)^-1 d for the unit centroid difference d; C is the sum over both sides of the mean outer product.
 
-    The outer products are summed by Spark for each pair of positions; the driver solves a system of
-    the vectors' dimension.
+    Sums and outer products of both sides come from one pass over the rows; the driver solves a system of the
+    vectors' dimension. None for fewer than `least` vectors on a side, or for equal centroids.
     """
-    found = as_vector(centroid_direction(side_sums(table, bad=bad, vec=vec))).collect()
-    if not found:
+    found = moments(table, F.col(vec), F.col(bad).cast("boolean"))
+    if len(found) < 2 or any(n.min() < least for n, _, _ in found.values()) or len(found[0][0]) != len(found[1][0]):
         return None
-    d = np.array(found[0]["vector"])
-    long = table.select(F.col(bad).cast("boolean").alias("side"), F.col(vec).cast("array<double>").alias("v")).select("side", "v", F.posexplode("v").alias("i", "x"))
-    rows = long.groupBy("side", "i").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("x") * F.get("v", F.lit(j))).alias(f"c{j}") for j in range(len(d))))
-    c = np.zeros((len(d), len(d)))
-    for r in rows.collect():  # two rows for each position
-        c[r["i"]] += np.array([r[f"c{j}"] for j in range(len(d))]) / r["n"]
+    d = found[1][1] / found[1][0] - found[0][1] / found[0][0]
+    norm = float(np.linalg.norm(d))
+    if norm <= 0:
+        return None
+    d, c = d / norm, sum(products / n[:, None] for n, _, products in found.values())
     try:
         low = np.linalg.cholesky(c + strength * np.eye(len(d)))
     except np.linalg.LinAlgError:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from ..sources.scratch import sized, stored
 
 
 def prototypes(table: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -17,8 +18,8 @@ def prototypes(table: DataFrame, label: str = "label", vec: str = "embedding") -
 
 
 def label_scores(table: DataFrame, labels: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(key, label, score) of every row against every label vector; the vocabulary is a fixed, small table."""
-    return table.select(key, vec).crossJoin(F.broadcast(labels)).select(key, "label", dot(F.col(vec), F.col("vector")).alias("score"))
+    """(key, label, score) of every row against every label vector. Labels are broadcast if they are few, else joined block by block."""
+    return table.select(key, vec).crossJoin(sized(stored(labels, "labels"))).select(key, "label", dot(F.col(vec), F.col("vector")).alias("score"))
 
 
 def best_tag(scores: DataFrame, key: str = "vec_id", least: float = 0.0, scale: float = 100.0) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -40,6 +41,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, marked for broadcast if it has at most `rows` rows. Count a stored table, as this reads it once more."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def released(*tables: DataFrame) -> None:
     """Deletes tables that stored() wrote, once nothing that is still to run reads them."""
     for df in tables:
