@@ -13,6 +13,8 @@ BITS = 18
 #: At most so many labelled rows are learnt from (a documented bound), in so many parallel parts.
 TRAIN_ROWS, PARTS, EPOCHS = 12_000, 4, 3
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.05, 0.0
+#: Slot beyond the weights in which every part counts itself.
+PART_SLOT = (1 << BITS) + 1
 
 # Kinds of bytes for word shapes: upper case, lower case and beyond ASCII, digits; others stand for themselves.
 _KIND = np.arange(256, dtype=np.uint8)
@@ -84,23 +86,23 @@ def _train(table: pa.Table) -> pa.Table:
             n[slot] += g * g
     w = weights(np.arange(len(z)))
     at = np.flatnonzero(w)
-    return pa.table({"slot": pa.array(at), "w": pa.array(w[at])})
+    return pa.table({"slot": pa.array(np.append(at, PART_SLOT)), "w": pa.array(np.append(w[at], 1.0))})
 
 
 def train_classifier(labelled: DataFrame, text: str = "text", label: str = "label", order: Column | None = None, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights of all slots and, last, the bias, from at most `rows` rows of (text, label 0 or 1).
 
     Rows are dealt to parts by their order hash, each part runs FTRL on its own and the weights are
-    averaged, so the result does not depend on the cluster. Rows without a label are left out; with
-    no rows all weights are 0.
+    averaged over the parts that have rows, so the result does not depend on the cluster. Rows without a label
+    are left out, null texts count as empty and teach the bias alone; with no rows all weights are 0.
     """
     order = F.xxhash64(text) if order is None else order
     rows_df = labelled.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"), order.alias("order")).orderBy("order").limit(rows)
     parts = rows_df.withColumn("part", F.pmod(F.xxhash64("order"), F.lit(PARTS))).groupBy("part").applyInArrow(_train, "slot long, w double")
-    found = parts.groupBy("slot").agg((F.sum("w") / PARTS).alias("w")).toPandas()  # at most 2**18 + 1 rows
-    out = np.zeros((1 << BITS) + 1, dtype=np.float32)
+    found = parts.groupBy("slot").agg(F.sum("w").alias("w")).toPandas()  # at most 2**18 + 2 rows
+    out = np.zeros((1 << BITS) + 2)
     out[found["slot"].to_numpy(np.int64)] = found["w"].to_numpy()
-    return out
+    return (out[:-1] / max(out[PART_SLOT], 1)).astype(np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -91,6 +91,49 @@ def test_classifier_query_ranks_labels(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.9
 
 
+def test_classifier_against_plain_updates(spark):
+    """FTRL row by row over dictionaries, in the same parts and order; null and empty texts score by the bias."""
+    rng = random.Random(12)
+    good, bad = [f"word{i}" for i in range(40)], [f"BUY{i}!" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(good if i % 2 else bad, k=rng.randint(5, 30))), i % 2) for i in range(40)] + [(40, None, 1), (41, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    dealt = df.select("*", F.xxhash64("doc_id").alias("order")).select("*", F.pmod(F.xxhash64("order"), F.lit(quality_classifier.PARTS)).alias("part")).orderBy("order").collect()
+    alpha, beta, l1 = quality_classifier.ALPHA, quality_classifier.BETA, quality_classifier.L1
+
+    def features(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        _, slot, value = quality_classifier.features(raw, np.array([0, len(raw)]))
+        return dict(zip(slot.tolist(), value.tolist(), strict=True)) | {1 << quality_classifier.BITS: 1.0}
+
+    models = []
+    for part in sorted({r.part for r in dealt}):
+        z, n = {}, {}
+
+        def weight(k, z=z, n=n):
+            v = z.get(k, 0.0)
+            return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha)
+
+        for _ in range(quality_classifier.EPOCHS):
+            for r in dealt:
+                if r.part != part:
+                    continue
+                x = features(r.text)
+                w = {k: weight(k) for k in x}
+                p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+                for k, v in x.items():
+                    g = (p - r.label) * v
+                    z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha * w[k]
+                    n[k] = n.get(k, 0.0) + g * g
+        models.append({k: weight(k) for k in z})
+    got = quality_classifier.train_classifier(df, order=F.xxhash64("doc_id"))
+    want = {k: sum(m.get(k, 0.0) for m in models) / len(models) for k in set().union(*models)}
+    assert {k: float(got[k]) for k in want} == pytest.approx(want, abs=1e-4)
+    assert np.count_nonzero(got) == sum(1 for v in want.values() if v)
+    scores = {r.doc_id: r.score for r in quality_classifier.score(df, got).collect()}
+    for i, text, _ in rows:
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-sum(want.get(k, 0.0) * v for k, v in features(text).items()))), abs=1e-4)
+
+
 # 2
 
 
