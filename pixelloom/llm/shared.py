@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import released, shared_dir, stored  # noqa: F401
+from ..sources.scratch import released, shared_dir, sized, stored  # noqa: F401
 
 #: White space that separates words: blank and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -102,13 +102,13 @@ def blocks(column, limit: int = 1 << 18):
         first = last
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-    """(document index, 64-bit hash, start, end) of every word of a block."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, is_word: np.ndarray = _IS_WORD):
+    """(document index, 64-bit hash, start, end) of every word of a block; is_word tells the bytes that words are made of."""
     if lower:
         data = _LOW[data]
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = _IS_WORD[data]
+    word = is_word[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     start = word.copy()
