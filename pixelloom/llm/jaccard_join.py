@@ -208,7 +208,7 @@ def _fold(x: np.ndarray) -> np.ndarray:
 def _tile_pass(percent: int):
     """(a, b): the pairs of a tile that length, place and bitmaps leave possible, compared within the tile so that no other pair is ever made.
 
-    Rows come sorted by (tile, i, j, side). A block (i, i) compares all its rows with each other, a block (i, j) those of side i
+    Rows come sorted by (tile, i, j, side), as _blocks deals them. A block (i, i) compares all its rows with each other, a block (i, j) those of side i
     with those of side j; members of one component are not compared. A block has a bounded number of rows.
     """
 
@@ -318,6 +318,24 @@ def _by_rows(docs: DataFrame, shingle: int, percent: int, key: str, text: str) -
     return named.join(least, "component_id").select(F.col("_key").alias(key), "n_shingles", F.col("_least").alias("component_id"))
 
 
+def _blocks(named: DataFrame, rows: int) -> DataFrame:
+    """(tile, i, j, side, id, pos, part): the rows of tiles with several components, dealt to blocks of pairs that may still be links.
+
+    A tile's largest component is never compared with itself: rows of other components, the outsiders, meet each other and the
+    rows of the largest. Sides have about `rows` rows; those of the outsiders come first. An outsider is copied once for each side, a row of the largest component
+    once for each side of outsiders only, so a few outsiders among any number of near copies leave the rows as many as they were.
+    """
+    sizes = named.groupBy("tile", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("tile").agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("c")).filter("m.c < c")
+    sides = lambda c: F.ceil(c / rows).cast("int")
+    several = stored(sizes.select("tile", F.col("m.part").alias("largest"), sides(F.col("c") - F.col("m.c")).alias("out"), sides(F.col("m.c")).alias("own")), "jaccard-mixed")
+    among = F.col("part") != F.col("largest")
+    place = F.xxhash64("id")
+    side = F.when(among, F.pmod(place, F.col("out"))).otherwise(F.col("out") + F.pmod(place, F.col("own"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(among, F.col("out") + F.col("own")).otherwise(F.col("out")) - 1)
+    dealt = named.join(several, "tile").withColumn("side", side).withColumn("other", F.explode(others))
+    return dealt.select("tile", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "pos", "part")
+
+
 def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per input row: key, n_shingles, component_id (smallest key reachable over links, itself included).
 
@@ -330,8 +348,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     - Tiles: a token and a band of set sizes. In a tile every member is compared with one leader, which
       joins groups of near copies without listing their pairs. Then members of different components
       are compared inside the tile, by length, place of the common token and bit counts of parity bitmaps (an upper
-      bound of the overlap); only pairs that all of these leave possible come out. A large tile is dealt to
-      blocks of its members, each compared by a task of its own.
+      bound of the overlap); only pairs that all of these leave possible come out. The largest component of a tile is not
+      compared with itself, and a large tile is dealt to blocks, each compared by a task of its own.
     - What is left is decided exactly by intersecting sorted arrays.
 
     Keys may be of any type that has an order. Rows are judged one by one: rows whose key is null or
@@ -376,13 +394,10 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     parts = connected_components(links)
     named = stored(member.join(parts, "id", "left").select("tile", "id", "n", "pos", F.coalesce("component", "id").alias("part")), "jaccard-parts")
     released(member, lead)
-    several = stored(named.groupBy("tile").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("c")).filter("p < q").select("tile", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("split")), "jaccard-mixed")
-    # A tile of many rows is dealt to sides; every pair of sides is a block.
-    dealt = named.join(several, "tile").withColumn("side", F.pmod(F.xxhash64("id"), F.col("split")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
-    dealt = dealt.select("tile", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "pos", "part").join(signatures, "id")
-    cross = dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side").mapInArrow(_tile_pass(percent), f"a {kind}, b {kind}")
+    cross = _blocks(named, TILE_ROWS).join(signatures, "id")
+    cross = cross.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side").mapInArrow(_tile_pass(percent), f"a {kind}, b {kind}")
     cross = stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-cross")
-    released(named, several, signatures)
+    released(named, signatures)
     links = links.union(_links(cross, texts, shingle, percent))
     parts = connected_components(links)
     named = reps.join(parts, reps["rep"] == parts["id"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
