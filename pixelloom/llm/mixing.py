@@ -41,52 +41,86 @@ def water_filled(sizes: list[int], weights: list[float], most: float = 3.0) -> l
 def min_cost_flow(sizes: list[int], members: list[list[int]], quotas: list[int], epochs: int = 3) -> list[int]:
     """Tokens to take from each pattern. Pattern p supplies its size once for each epoch at cost 0, 1, 2, ... (convex: repeating costs more each time) to the sources in members[p].
 
-    Successive cheapest paths (Bellman-Ford over residual arcs). Runs on the driver over patterns and
-    sources, never over documents.
+    Only supply has a cost, so the cheapest flow is found cost level by cost level: as much as can be had without repeating, then
+    with one repetition, and so on, each level by blocking flows along shortest augmenting paths. What a pattern supplies never
+    shrinks; which of its sources gets it may change. Runs on the driver over patterns and sources, never over documents.
     """
-    n_p, n_s = len(sizes), len(quotas)
-    out, sink = n_p + n_s, n_p + n_s + 1
-    arcs: list[list] = []  # to, residual capacity, cost; the reverse arc is at index ^ 1
-    heads: list[list[int]] = [[] for _ in range(sink + 1)]
-
-    def add(a: int, b: int, room: int, cost: int) -> None:
-        heads[a].append(len(arcs))
-        arcs.append([b, room, cost])
-        heads[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-
-    for p, size in enumerate(sizes):
-        for e in range(epochs):
-            add(out, p, size, e)
-        for s in members[p]:
-            add(p, n_p + s, epochs * size, 0)
-    for s, q in enumerate(quotas):
-        add(n_p + s, sink, q, 0)
-    while True:
-        dist: list[float] = [float("inf")] * (sink + 1)
-        via = [-1] * (sink + 1)
-        dist[out], queue = 0, [out]
-        while queue:
-            after = []
-            for a in queue:
-                for k in heads[a]:
-                    b, room, cost = arcs[k]
-                    if room > 0 and dist[a] + cost < dist[b]:
-                        dist[b], via[b] = dist[a] + cost, k
-                        after.append(b)
-            queue = list(dict.fromkeys(after))
-        if via[sink] < 0:
-            break
-        path, at = [], sink
-        while at != out:
-            path.append(via[at])
-            at = arcs[via[at] ^ 1][0]
-        flow = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= flow
-            arcs[k ^ 1][1] += flow
-    first = [heads[p] for p in range(n_p)]
-    return [sum(arcs[k][1] for k in first[p] if arcs[k][0] == out) for p in range(n_p)]
+    n_p = len(sizes)
+    used, left, given = [0] * n_p, list(quotas), [[0] * len(m) for m in members]
+    # For each source the patterns that hold it, with the source's place among the pattern's members.
+    holders: list[list[tuple[int, int]]] = [[] for _ in quotas]
+    for p, m in enumerate(members):
+        for j, s in enumerate(m):
+            holders[s].append((p, j))
+    for level in range(1, epochs + 1):
+        while True:
+            # Layers, patterns at even and sources at odd depth: from patterns with supply to sources with room.
+            depth_p, depth_s = [-1] * n_p, [-1] * len(quotas)
+            layer = [p for p in range(n_p) if used[p] < level * sizes[p]]
+            for p in layer:
+                depth_p[p] = 0
+            depth, reached = 0, False
+            while layer and not reached:
+                ahead = []
+                for p in layer:
+                    for s in members[p]:
+                        if depth_s[s] < 0:
+                            depth_s[s] = depth + 1
+                            ahead.append(s)
+                reached = any(left[s] > 0 for s in ahead)
+                layer = []
+                if not reached:
+                    for s in ahead:
+                        for p, j in holders[s]:
+                            if depth_p[p] < 0 and given[p][j] > 0:
+                                depth_p[p] = depth + 2
+                                layer.append(p)
+                depth += 2
+            if not reached:
+                break
+            # One blocking flow: arcs that lead nowhere are passed over for good.
+            next_p, next_s = [0] * n_p, [0] * len(quotas)
+            for start in range(n_p):
+                while depth_p[start] == 0 and used[start] < level * sizes[start]:
+                    path: list[tuple[int, int]] = []  # (pattern, place of the source it gives to)
+                    p, end = start, -1
+                    while end < 0:
+                        if next_p[p] < len(members[p]):
+                            s = members[p][next_p[p]]
+                            if depth_s[s] != depth_p[p] + 1:
+                                next_p[p] += 1
+                                continue
+                            if left[s] > 0:
+                                path.append((p, next_p[p]))
+                                end = s
+                                continue
+                            while next_s[s] < len(holders[s]):
+                                q, j = holders[s][next_s[s]]
+                                if depth_p[q] == depth_s[s] + 1 and given[q][j] > 0:
+                                    break
+                                next_s[s] += 1
+                            else:
+                                next_p[p] += 1
+                                continue
+                            path.append((p, next_p[p]))
+                            p = q
+                        elif path:
+                            p, j = path.pop()
+                            next_s[members[p][j]] += 1
+                        else:
+                            break
+                    if end < 0:
+                        break
+                    # Each source on the way but the last hands on what it had from the next pattern.
+                    back = [holders[members[p][j]][next_s[members[p][j]]] for p, j in path[:-1]]
+                    flow = min([level * sizes[start] - used[start], left[end], *(given[q][j] for q, j in back)])
+                    for p, j in path:
+                        given[p][j] += flow
+                    for q, j in back:
+                        given[q][j] -= flow
+                    used[start] += flow
+                    left[end] -= flow
+    return used
 
 
 def flows(sizes: list[int], members: list[list[int]], quotas: list[int], epochs: int = 3) -> list[int]:
@@ -122,7 +156,7 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: tuple[float, ..
 
     Rows are placed by a hash of all their columns, so reruns and other partitions agree; only rows equal in every column are taken
     alike. Documents of size 0 (null, empty and blank texts) and empty tables take nothing. Input columns named
-    like an output column are replaced. The driver holds a row for each pattern, some 300 bytes.
+    like an output column are replaced. The driver holds a row for each pattern, some 600 bytes.
     """
     spark = docs.sparkSession
     cols = {"_mix_place": place(docs, seed), "_mix_pattern": F.array_sort(F.array_distinct(members)), "size": size}

@@ -279,6 +279,65 @@ def test_flow_is_cheapest():
     assert mixing.flows([4, 5], [[0], [1]], [9, 20]) == [9, 15]
 
 
+def flow_cost(sizes, flow):
+    """(what is taken, cost of repeating)."""
+    return sum(flow), sum(k // n for n, f in zip(sizes, flow, strict=True) for k in range(f))
+
+
+def plain_flow(sizes, members, quotas, epochs=3):
+    """Units of flow one by one along the cheapest way, by trying all ways: (taken from each pattern)."""
+    taken, given = [0] * len(sizes), [Counter() for _ in sizes]
+    left = list(quotas)
+    while True:
+        best = None
+        for p, n in enumerate(sizes):
+            if taken[p] < epochs * n:
+                # Sources that p can reach by moving what others have from one source to another.
+                seen, queue = {}, [(s, (p, s, None)) for s in members[p]]
+                while queue:
+                    s, how = queue.pop(0)
+                    if s in seen:
+                        continue
+                    seen[s] = how
+                    for q, m in enumerate(members):
+                        if given[q][s] > 0:
+                            queue += [(x, (q, x, s)) for x in m]
+                ends = [s for s in seen if left[s] > 0]
+                if ends and (best is None or taken[p] // n < best[0]):
+                    best = (taken[p] // n, p, ends[0], seen)
+        if best is None:
+            return taken
+        _, p, s, seen = best
+        left[s] -= 1
+        while s is not None:
+            q, x, before = seen[s]
+            given[q][x] += 1
+            if before is not None:
+                given[q][before] -= 1
+            s = before
+        taken[p] += 1
+
+
+def test_flow_against_single_units():
+    rng = random.Random(15)
+    for _ in range(60):
+        n_s, n_p = rng.randint(1, 4), rng.randint(1, 7)
+        members = [sorted(rng.sample(range(n_s), rng.randint(1, n_s))) for _ in range(n_p)]
+        sizes, quotas = [rng.randint(0, 6) for _ in range(n_p)], [rng.randint(0, 25) for _ in range(n_s)]
+        got, want = mixing.min_cost_flow(sizes, members, quotas), plain_flow(sizes, members, quotas)
+        assert flow_cost(sizes, got) == flow_cost(sizes, want) and all(x <= 3 * n for n, x in zip(sizes, got, strict=True))
+
+
+def test_flow_over_many_overlapping_patterns():
+    rng = random.Random(16)
+    members = [sorted(rng.sample(range(40), rng.randint(1, 5))) for _ in range(20_000)]
+    sizes = [rng.randint(1, 10**6) for _ in members]
+    of = [sum(n for n, m in zip(sizes, members, strict=True) if s in m) for s in range(40)]
+    quotas = [round(t) for t in mixing.water_filled(of, [(5, 2, 1)[i % 3] for i in range(40)])]
+    flow = mixing.min_cost_flow(sizes, members, quotas)
+    assert 0.99 * sum(quotas) <= sum(flow) <= sum(quotas) and all(f <= 3 * n for f, n in zip(flow, sizes, strict=True))
+
+
 def filled(rows, gap, goal):
     """Brute force of the gap of a pattern: (place, size) of the documents that fill it."""
     chosen, left = set(), sorted(r for r in rows if r[1] > 0)
@@ -316,8 +375,16 @@ def test_mix_of_overlapping_sources_against_brute_force(spark, monkeypatch, broa
     names = order({x for k in keys for x in k})
     sizes = [sum(r.words for r in groups[k]) for k in keys]
     of = [sum(n for n, k in zip(sizes, keys, strict=True) if x in k) for x in names]
-    targets = mixing.water_filled(of, [(5, 2, 1)[i % 3] for i in range(len(names))])
-    flow = mixing.min_cost_flow(sizes, [[names.index(x) for x in k] for k in keys], [round(t) for t in targets])
+    targets, open_, rest = {}, list(range(len(names))), sum(of)
+    while open_:  # weights share what is left; who has more than three times its size stops there
+        share = {i: rest * (5, 2, 1)[i % 3] / sum((5, 2, 1)[j % 3] for j in open_) for i in open_}
+        over = [i for i in open_ if share[i] > 3 * of[i]]
+        targets |= {i: 3 * of[i] for i in over} if over else share
+        rest -= sum(3 * of[i] for i in over)
+        open_ = [i for i in open_ if i not in over] if over else []
+    flow = mixing.min_cost_flow(sizes, [[names.index(x) for x in k] for k in keys], [round(targets[i]) for i in range(len(names))])
+    best = plain_flow(sizes, [[names.index(x) for x in k] for k in keys], [round(targets[i]) for i in range(len(names))])
+    assert flow_cost(sizes, flow) == flow_cost(sizes, best)
     for k, n, f in zip(keys, sizes, flow, strict=True):
         t = targets[names.index(k[0])]
         once = filled([(r.place, r.words) for r in groups[k]], f % n, mixing.NEAR * t)
@@ -401,6 +468,38 @@ def test_jaccard_large_tiles_are_dealt_to_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows, 4, 85)
 
 
+def test_jaccard_outsiders_alone_are_copied(spark):
+    """N near copies and five outsiders in each tile: rows of blocks grow as N, and every pair but those inside the copies meets once."""
+    for n in (300, 900, 2700):
+        named = spark.range(n + 5).select(F.lit(1).alias("tile"), "id", F.lit(9).alias("n"), F.lit(0).alias("pos"), F.when(F.col("id") < n, F.lit(0)).otherwise(F.col("id")).alias("part"))
+        dealt = jaccard_join._blocks(named.union(named.withColumn("tile", F.lit(2)).withColumn("part", F.lit(7))), 32)
+        assert dealt.filter("tile = 2").count() == 0 and n < dealt.count() <= 1.2 * n + 20
+        blocks = {}
+        for r in dealt.collect():
+            blocks.setdefault((r.i, r.j), []).append((r.side, r.id))
+        met = Counter()
+        for (i, j), rows in blocks.items():
+            for (a, x), (b, y) in itertools.combinations(sorted(rows), 2):
+                if i == j or a != b:
+                    met[min(x, y), max(x, y)] += 1
+        assert met == Counter((x, y) for y in range(n, n + 5) for x in range(y))
+
+
+def test_jaccard_many_outsiders_in_large_tiles(spark, monkeypatch):
+    """Two groups of near copies that one text joins, and many texts apart, in blocks of a few rows."""
+    rng = random.Random(21)
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", 4)
+    base, rows = [f"b{j}" for j in range(100)], []
+    for i in range(60):
+        x = list(base) if i % 3 else [*base[:90], *(f"d{j}" for j in range(10))]
+        x[rng.randrange(100)] = f"c{i}"
+        rows.append((i, " ".join(x)))
+    rows.append((60, " ".join([*base[:95], *(f"d{j}" for j in range(5))])))
+    rows += [(61 + i, " ".join([*base[: rng.randint(20, 95)], *(f"e{i}-{j}" for j in range(rng.randint(3, 60)))])) for i in range(40)]
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows, 4, 85)
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
