@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..sources.scratch import sized, stored
 from .order_stats import cumulated, holds
 
+#: Parts of a pixel's rows where masks are too many to be broadcast.
+SALTS = 32
 
-def learn(fields: DataFrame) -> DataFrame:
-    """(p, n, total, squares): mergeable sums of each pixel."""
-    return fields.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"))
+
+def learn(fields: DataFrame, *by: str) -> DataFrame:
+    """([by,] p, n, total, squares): mergeable sums of each pixel, for all groups in one pass."""
+    return fields.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"))
 
 
 def extend(mask: DataFrame, more: DataFrame) -> DataFrame:
@@ -25,13 +28,13 @@ def upper_median(c: Column) -> Column:
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
 
 
-def pattern(mask: DataFrame) -> DataFrame:
-    """(p, pattern, variance, weight): centred means, clamped population variances, weights typical / (typical + variance)."""
+def pattern(mask: DataFrame, *by: str) -> DataFrame:
+    """([by,] p, pattern, variance, weight): centred means, clamped population variances, weights typical / (typical + variance). Groups must not be null."""
     mean = F.col("total") / F.col("n")
-    m = mask.select("p", mean.alias("mean"), F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)).alias("variance"))
-    whole = m.agg(F.avg("mean").alias("centre"), F.greatest(upper_median(F.col("variance")), F.lit(1e-6)).alias("typical"))  # one row
-    out = m.crossJoin(F.broadcast(whole))
-    return out.select("p", (F.col("mean") - F.col("centre")).alias("pattern"), "variance", (F.col("typical") / (F.col("typical") + F.col("variance"))).alias("weight"))
+    m = mask.select(*by, "p", mean.alias("mean"), F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)).alias("variance"))
+    whole = m.groupBy(*by).agg(F.avg("mean").alias("centre"), F.greatest(upper_median(F.col("variance")), F.lit(1e-6)).alias("typical"))  # a row for each group
+    out = m.join(whole, list(by)) if by else m.crossJoin(F.broadcast(whole))
+    return out.select(*by, "p", (F.col("mean") - F.col("centre")).alias("pattern"), "variance", (F.col("typical") / (F.col("typical") + F.col("variance"))).alias("weight"))
 
 
 def correlation(a: Column, b: Column, w: Column) -> Column:
@@ -42,11 +45,33 @@ def correlation(a: Column, b: Column, w: Column) -> Column:
 
 
 def match(fields: DataFrame, masks: DataFrame) -> DataFrame:
-    """(field, mask, value) of every field against every mask; masks (mask, p, pattern, weight) are broadcast if they are few; the join is on the pixel."""
-    both = fields.join(sized(stored(masks, "masks")), "p")
+    """(field, mask, value) of every field against every mask (mask, p, pattern, weight).
+
+    Masks of a counted size are broadcast; beyond it rows meet by pixel and a salt of their field, so that pixels, of which there are few, are not the only keys.
+    """
+    masks = stored(masks, "masks")
+    small = sized(masks)
+    if small is masks:
+        salted = masks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = fields.withColumn("_salt", F.pmod(F.xxhash64("field"), F.lit(SALTS)).cast("int")).join(salted, ["p", "_salt"])
+    else:
+        both = fields.join(small, "p")
     return both.groupBy("field", "mask").agg(correlation(F.col("pattern"), F.col("v"), F.col("weight")).alias("value"))
 
 
+def contributions(fields: DataFrame, masks: DataFrame, least: float = 1e-9) -> DataFrame:
+    """(field, mask, p, share): what each pixel adds to the correlation of a field with a mask; the shares of a pair sum up to it, before it is bounded by -1 and 1.
+
+    No rows where the weights or the spread of either side are below `least`.
+    """
+    both = stored(fields.select("field", "p", "v").join(sized(stored(masks.select("mask", "p", "pattern", "weight"), "masks")), "p"), "contribution-pixels")
+    a, b, w = F.col("pattern"), F.col("v"), F.col("weight")
+    n, sa, sb = F.sum(w), F.sum(w * a), F.sum(w * b)
+    spread = F.sqrt(F.greatest(F.sum(w * a * a) - sa * sa / n, F.lit(0.0))) * F.sqrt(F.greatest(F.sum(w * b * b) - sb * sb / n, F.lit(0.0)))
+    whole = both.groupBy("field", "mask").agg(n.alias("_n"), (sa / n).alias("_a"), (sb / n).alias("_b"), spread.alias("_spread")).filter((F.col("_n") >= least) & (F.col("_spread") >= least))
+    return both.join(whole, ["field", "mask"]).select("field", "mask", "p", (w * (a - F.col("_a")) * (b - F.col("_b")) / F.col("_spread")).alias("share"))
+
+
 def best_match(values: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(field, mask, value, hit): the mask with the best ratio of value to its own threshold (ties: least mask)."""
     v = values.join(sized(stored(thresholds, "mask-thresholds")), "mask")
@@ -54,27 +79,76 @@ def best_match(values: DataFrame, thresholds: DataFrame) -> DataFrame:
     return best.select("field", F.col("m.mask").alias("mask"), F.col("m.value").alias("value"), (F.col("m.value") >= F.col("m.threshold")).alias("hit"))
 
 
-def leave_one_out(fields: DataFrame) -> DataFrame:
-    """(field, value): correlation of each field with the mask of all others, whose sums are the totals less its own. The totals are one row for each pixel."""
+def _without(rows: DataFrame, *by: str) -> DataFrame:
+    """([by,] field, value): correlation of each field with a mask less the field itself, from rows ([by,] field, p, v, n, total, squares)."""
     v = F.col("v")
-    out = fields.join(F.broadcast(learn(fields)), "p").withColumn("n", F.col("n") - 1).withColumn("total", F.col("total") - v).withColumn("squares", F.col("squares") - v * v)
+    out = rows.withColumn("n", F.col("n") - 1).withColumn("total", F.col("total") - v).withColumn("squares", F.col("squares") - v * v)
     mean = F.col("total") / F.col("n")
     out = out.withColumn("mean", mean).withColumn("variance", F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)))
-    typical = out.groupBy("field").agg(F.greatest(upper_median(F.col("variance")), F.lit(1e-6)).alias("typical"), F.avg("mean").alias("centre"))
-    out = out.join(typical, "field")
+    typical = out.groupBy(*by, "field").agg(F.greatest(upper_median(F.col("variance")), F.lit(1e-6)).alias("typical"), F.avg("mean").alias("centre"))
+    out = out.join(typical, [*by, "field"])
     weight = F.col("typical") / (F.col("typical") + F.col("variance"))
-    return out.groupBy("field").agg(correlation(F.col("mean") - F.col("centre"), F.col("v"), weight).alias("value"))
+    return out.groupBy(*by, "field").agg(correlation(F.col("mean") - F.col("centre"), v, weight).alias("value"))
 
 
-def threshold(values: DataFrame, share: float = 0.75, low: float = 0.10, high: float = 0.9) -> DataFrame:
-    """One row: threshold from the value at 10 % of the sorted ones, separability from the one at half; none without values."""
+def leave_one_out(fields: DataFrame, *by: str) -> DataFrame:
+    """([by,] field, value): correlation of each field with the mask of all others of its group, whose sums are the totals less its own. The totals are a row for each group and pixel."""
+    return _without(fields.select(*by, "field", "p", "v").join(sized(stored(learn(fields, *by), "mask-totals")), [*by, "p"]), *by)
+
+
+def assigned(fields: DataFrame, masks: DataFrame, sums: DataFrame, share: float = 0.6, floor: float = 0.10, least: int = 5, measured: int = 6) -> DataFrame:
+    """(folder, mask, way, worth, accepted): the mask of a catalogue that each folder of images belongs to; folders that fit none have no row.
+
+    fields: (folder, field, mode, area, p, v), masks: (mask, mode, area, n, threshold, separability), sums: (mask, p, total, squares). A field is
+    made once for each mode and area and meets all masks of that group. A group of a folder needs `least` fields.
+
+    - way "share": among proven masks the one that most fields of the folder match, by the mask's threshold (or `floor`), if that is `share` of them at least.
+    - way "gain": else, among weak masks that were measured, the one whose separability would be best if it were extended by the
+      folder: the sums of both are added, and each field is held against them less itself. Extensions of fewer than `measured` fields in all are worth nothing.
+
+    Ties go to the smaller mask. accepted tells whether the extension passes gate(); null where a proven mask is extended, which needs extended().
+    """
+    counts = fields.select("folder", "mode", "area", "field").distinct().groupBy("folder", "mode", "area").agg(F.count(F.lit(1)).alias("fields")).filter(F.col("fields") >= least)
+    known = masks.select("mask", "mode", "area", F.col("n").alias("old_n"), "threshold", "separability")
+    pairs = stored(counts.join(known, ["mode", "area"]), "assign-pairs")
+    proof = is_proven(F.col("separability"))
+    # Proven masks: how many fields match.
+    shown = pattern(sums.join(known.filter(proof).select("mask", F.col("old_n").alias("n")), "mask"), "mask").join(known.select("mask", "mode", "area"), "mask")
+    kinds = fields.join(shown.select("mask", "mode", "area", "p", "pattern", "weight"), ["mode", "area", "p"])
+    values = kinds.groupBy("folder", "mask", "field").agg(correlation(F.col("pattern"), F.col("v"), F.col("weight")).alias("value"))
+    limit = F.when(F.col("threshold") > 0, F.col("threshold")).otherwise(floor)
+    shares = values.join(pairs.select("folder", "mask", "threshold"), ["folder", "mask"]).groupBy("folder", "mask").agg(F.avg((F.col("value") >= limit).cast("double")).alias("worth")).filter(F.col("worth") >= share)
+    # Weak masks: what they would be with the folder.
+    grown = extended(fields, pairs.filter(~proof & (F.col("separability") > 0)), sums, measured).filter("after > 0")
+    ways = shares.select("folder", "mask", F.lit("share").alias("way"), "worth", F.lit(None).cast("boolean").alias("accepted")).unionByName(grown.select("folder", "mask", F.lit("gain").alias("way"), F.col("after").alias("worth"), "accepted"))
+    best = ways.groupBy("folder").agg(F.max(F.struct((F.col("way") == "share").alias("first"), "worth", (-F.col("mask")).alias("neg"), "accepted")).alias("b"))
+    return best.select("folder", (-F.col("b.neg")).alias("mask"), F.when(F.col("b.first"), "share").otherwise("gain").alias("way"), F.col("b.worth").alias("worth"), F.col("b.accepted").alias("accepted"))
+
+
+def extended(fields: DataFrame, pairs: DataFrame, sums: DataFrame, measured: int = 6) -> DataFrame:
+    """(folder, mask, before, after, n, accepted): each pair's mask if it were extended by the folder's fields of its mode and area.
+
+    pairs: (folder, mask, mode, area, fields, old_n, separability). after is the upper median of the fields' correlations with the joint sums less themselves; 0 below `measured` fields in all.
+    """
+    new = learn(fields, "folder", "mode", "area").drop("n")
+    joint = pairs.join(new, ["folder", "mode", "area"]).join(sums.select("mask", "p", F.col("total").alias("_t"), F.col("squares").alias("_s")), ["mask", "p"])
+    joint = joint.select("folder", "mask", "mode", "area", "p", (F.col("old_n") + F.col("fields")).alias("n"), (F.col("total") + F.col("_t")).alias("total"), (F.col("squares") + F.col("_s")).alias("squares"))
+    rows = fields.join(joint, ["folder", "mode", "area", "p"]).select("folder", "mask", "field", "p", "v", "n", "total", "squares")
+    after = _without(rows, "folder", "mask").groupBy("folder", "mask").agg(upper_median(F.col("value")).alias("_value"))
+    out = pairs.withColumn("n", F.col("old_n") + F.col("fields")).join(after, ["folder", "mask"])
+    after = F.when(F.col("n") >= measured, F.col("_value")).otherwise(0.0)
+    return out.select("folder", "mask", F.col("separability").alias("before"), after.alias("after"), "n", gate(F.col("separability"), F.col("old_n"), after, F.col("n")).alias("accepted"))
+
+
+def threshold(values: DataFrame, *by: str, share: float = 0.75, low: float = 0.10, high: float = 0.9) -> DataFrame:
+    """([by,] threshold, separability), a row for each group: threshold from the value at 10 % of the sorted ones, separability from the one at half; none without values."""
     at = lambda q: F.max(F.when(holds(F.floor(F.col("total") * q)), F.col("value")))
-    out = cumulated(values, "value").agg(at(0.10).alias("tenth"), at(0.5).alias("separability")).filter("tenth is not null")
-    return out.select(F.least(F.lit(high), F.greatest(F.lit(low), F.col("tenth") * share)).alias("threshold"), "separability")
+    out = cumulated(values, "value", *by).groupBy(*by).agg(at(0.10).alias("tenth"), at(0.5).alias("separability")).filter("tenth is not null")
+    return out.select(*by, F.least(F.lit(high), F.greatest(F.lit(low), F.col("tenth") * share)).alias("threshold"), "separability")
 
 
-def largest_gap(values: DataFrame, trim: float = 0.10) -> DataFrame:
-    """One row: the widest gap between neighbouring values within the middle, where it is cut, and how many values lie below; the first of equal gaps."""
+def largest_gap(values: DataFrame, *by: str, trim: float = 0.10) -> DataFrame:
+    """([by,] gap, cut, below), a row for each group: the widest gap between neighbouring values within the middle, where it is cut, and how many values lie below; the first of equal gaps."""
     lo, hi = F.floor(F.col("total") * trim), F.floor(F.col("total") * (1 - trim)) - 1
     last = F.col("before") + F.col("n") - 1
     first = F.greatest(F.col("before"), lo)
@@ -82,8 +156,8 @@ def largest_gap(values: DataFrame, trim: float = 0.10) -> DataFrame:
     gap = lambda size, at, cut: F.struct(size.alias("gap"), (-at).alias("at"), cut.alias("cut"))
     wide = F.when(F.col("next").isNotNull() & last.between(lo, hi), gap(F.col("next") - F.col("value"), last, (F.col("next") + F.col("value")) / 2))
     none = F.when(first <= F.least(last - 1, hi), gap(F.col("value") - F.col("value"), first, F.col("value")))
-    best = cumulated(values, "value").agg(F.max(F.greatest(wide, none)).alias("b")).filter("b is not null")
-    return best.select("b.gap", "b.cut", (1 - F.col("b.at")).cast("long").alias("below"))
+    best = cumulated(values, "value", *by).groupBy(*by).agg(F.max(F.greatest(wide, none)).alias("b")).filter("b is not null")
+    return best.select(*by, "b.gap", "b.cut", (1 - F.col("b.at")).cast("long").alias("below"))
 
 
 def images_needed(separability: Column, n: Column, proven: float = 0.15) -> Column:

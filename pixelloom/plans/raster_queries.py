@@ -119,25 +119,22 @@ def _corr(a: str, b: str, w: str) -> str:
     return f"CASE WHEN {va} > 1e-12 AND {vb} > 1e-12 THEN least(1.0, greatest(-1.0, (sum({w} * {a} * {b}) - {sa} * {sb} / {n}) / sqrt({va} * {vb}))) ELSE 0 END"
 
 
-@query("mask_learn", f"WITH {_F} SELECT p::BIGINT AS p, count(*)::BIGINT AS n, round(sum(v), 6) AS total, round(sum(v * v), 6) AS squares FROM f WHERE label = 0 GROUP BY p")
+@query("mask_learn", f"WITH {_F} SELECT label::BIGINT AS label, p::BIGINT AS p, count(*)::BIGINT AS n, round(sum(v), 6) AS total, round(sum(v * v), 6) AS squares FROM f GROUP BY label, p")
 def mask_learn(spark, d):
-    return masks.learn(_fields(spark, d, 0)).select(F.col("p").cast("long").alias("p"), "n", F.round("total", 6).alias("total"), F.round("squares", 6).alias("squares"))
+    return masks.learn(_fields(spark, d), "label").select(F.col("label").cast("long").alias("label"), F.col("p").cast("long").alias("p"), "n", F.round("total", 6).alias("total"), F.round("squares", 6).alias("squares"))
 
 
-@query("mask_weights", f"WITH {_F}, {_MASK} SELECT p::BIGINT AS p, round(pattern, 6) AS pattern, round(variance, 6) AS variance, round(weight, 5) AS weight FROM mask WHERE label = 0")
+@query("mask_weights", f"WITH {_F}, {_MASK} SELECT label::BIGINT AS label, p::BIGINT AS p, round(pattern, 6) AS pattern, round(variance, 6) AS variance, round(weight, 5) AS weight FROM mask")
 def mask_weights(spark, d):
-    return masks.pattern(masks.learn(_fields(spark, d, 0))).select(F.col("p").cast("long").alias("p"), F.round("pattern", 6).alias("pattern"), F.round("variance", 6).alias("variance"), F.round("weight", 5).alias("weight"))
+    return masks.pattern(masks.learn(_fields(spark, d), "label"), "label").select(F.col("label").cast("long").alias("label"), F.col("p").cast("long").alias("p"), F.round("pattern", 6).alias("pattern"), F.round("variance", 6).alias("variance"), F.round("weight", 5).alias("weight"))
 
 
-def _masks(spark, d, labels=(0, 1, 2)):
-    parts = [masks.pattern(masks.learn(_fields(spark, d, k))).select(F.lit(k).cast("long").alias("mask"), "p", "pattern", "weight") for k in labels]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+def _masks(spark, d):
+    """The masks of all labels, learnt in one pass."""
+    return masks.pattern(masks.learn(_fields(spark, d), "label"), "label").select(F.col("label").cast("long").alias("mask"), "p", "pattern", "weight")
 
 
-_VALUES = f"val AS (SELECT f.field, mask.label AS mask, {_corr('pattern', 'v', 'weight')} AS value FROM f JOIN mask ON f.p = mask.p AND mask.label IN (0, 1, 2) GROUP BY f.field, mask.label)"
+_VALUES = f"val AS (SELECT f.field, mask.label AS mask, {_corr('pattern', 'v', 'weight')} AS value FROM f JOIN mask ON f.p = mask.p GROUP BY f.field, mask.label)"
 
 
 @query("mask_correlation", f"WITH {_F}, {_MASK}, {_VALUES} SELECT field, mask::BIGINT AS mask, round(value, 5) AS value FROM val")
@@ -147,7 +144,7 @@ def mask_correlation(spark, d):
 
 @query("mask_best_match", f"WITH {_F}, {_MASK}, {_VALUES} SELECT field, mask::BIGINT AS mask, round(value, 5) AS value, value >= th AS hit FROM (SELECT *, 0.1 + 0.05 * mask AS th, row_number() OVER (PARTITION BY field ORDER BY value / (0.1 + 0.05 * mask) DESC, mask) AS r FROM val) WHERE r = 1")
 def mask_best_match(spark, d):
-    th = spark.createDataFrame([(0, 0.1), (1, 0.1 + 0.05), (2, 0.1 + 0.05 * 2)], "mask long, threshold double")
+    th = emb(spark, d).select(F.col("label").cast("long").alias("mask")).distinct().withColumn("threshold", 0.1 + F.lit(0.05) * F.col("mask"))
     out = masks.best_match(masks.match(_fields(spark, d), _masks(spark, d)), th)
     return out.select("field", "mask", F.round("value", 5).alias("value"), "hit")
 
@@ -158,25 +155,27 @@ def mask_assign_share(spark, d):
     return masks.match(_fields(spark, d), _masks(spark, d)).groupBy("mask").agg(F.round(share, 6).alias("share"), (share >= 0.6).alias("assigned"))
 
 
-_LOO = f"""{_F}, own AS (SELECT * FROM f WHERE label = 0), s AS (SELECT field, p, v, count(*) OVER w - 1 AS n, sum(v) OVER w - v AS total, sum(v * v) OVER w - v * v AS squares FROM own WINDOW w AS (PARTITION BY p)),
- a AS (SELECT field, p, v, total / n AS mean, greatest(squares / n - (total / n) * (total / n), 0) AS variance FROM s),
+_LOO = f"""{_F}, s AS (SELECT field, label, p, v, count(*) OVER w - 1 AS n, sum(v) OVER w - v AS total, sum(v * v) OVER w - v * v AS squares FROM f WINDOW w AS (PARTITION BY label, p)),
+ a AS (SELECT field, label, p, v, total / n AS mean, greatest(squares / n - (total / n) * (total / n), 0) AS variance FROM s),
  b AS (SELECT field, greatest(list_sort(list(variance))[count(*)::BIGINT // 2 + 1], 1e-6) AS typical, avg(mean) AS centre FROM a GROUP BY field),
- c AS (SELECT a.field, mean - centre AS pat, v, typical / (typical + variance) AS wt FROM a JOIN b USING (field)), loo AS (SELECT field, {_corr('pat', 'v', 'wt')} AS value FROM c GROUP BY field)"""
+ c AS (SELECT a.field, label, mean - centre AS pat, v, typical / (typical + variance) AS wt FROM a JOIN b USING (field)), loo AS (SELECT field, label, {_corr('pat', 'v', 'wt')} AS value FROM c GROUP BY field, label)"""
 
 
-@query("mask_leave_one_out", f"WITH {_LOO} SELECT field, round(value, 5) AS value FROM loo")
+@query("mask_leave_one_out", f"WITH {_LOO} SELECT label::BIGINT AS label, field, round(value, 5) AS value FROM loo")
 def mask_leave_one_out(spark, d):
-    return masks.leave_one_out(_fields(spark, d, 0)).select("field", F.round("value", 5).alias("value"))
+    return masks.leave_one_out(_fields(spark, d), "label").select(F.col("label").cast("long").alias("label"), "field", F.round("value", 5).alias("value"))
 
 
-@query("mask_loo_threshold", f"WITH {_LOO}, l AS (SELECT list_sort(list(value)) AS s FROM loo) SELECT round(least(0.9, greatest(0.10, s[floor(len(s) * 0.10)::BIGINT + 1] * 0.75)), 5) AS threshold, round(s[len(s) // 2 + 1], 5) AS separability FROM l")
+@query("mask_loo_threshold", f"WITH {_LOO}, l AS (SELECT label, list_sort(list(value)) AS s FROM loo GROUP BY label) SELECT label::BIGINT AS label, round(least(0.9, greatest(0.10, s[floor(len(s) * 0.10)::BIGINT + 1] * 0.75)), 5) AS threshold, round(s[len(s) // 2 + 1], 5) AS separability FROM l")
 def mask_loo_threshold(spark, d):
-    return masks.threshold(masks.leave_one_out(_fields(spark, d, 0))).select(F.round("threshold", 5).alias("threshold"), F.round("separability", 5).alias("separability"))
+    return masks.threshold(masks.leave_one_out(_fields(spark, d), "label"), "label").select(F.col("label").cast("long").alias("label"), F.round("threshold", 5).alias("threshold"), F.round("separability", 5).alias("separability"))
 
 
-@query("mask_extend", f"WITH {_F} SELECT p::BIGINT AS p, count(*)::BIGINT AS n, round(sum(v), 6) AS total, round(sum(v * v), 6) AS squares FROM f WHERE label IN (0, 1) GROUP BY p")
+@query("mask_extend", f"WITH {_F} SELECT p::BIGINT AS p, count(*)::BIGINT AS n, round(sum(v), 6) AS total, round(sum(v * v), 6) AS squares FROM f GROUP BY p")
 def mask_extend(spark, d):
-    out = masks.extend(masks.learn(_fields(spark, d, 0)), masks.learn(_fields(spark, d, 1)))
+    """Masks of all labels, learnt apart, as one."""
+    learnt = masks.learn(_fields(spark, d), "label")
+    out = masks.extend(learnt.filter("label % 2 = 0").drop("label"), learnt.filter("label % 2 = 1").drop("label"))
     return out.select(F.col("p").cast("long").alias("p"), "n", F.round("total", 6).alias("total"), F.round("squares", 6).alias("squares"))
 
 
@@ -189,9 +188,9 @@ def mask_gate(spark, d):
     return emb(spark, d).select("vec_id", masks.gate(o, F.lit(10.0), n, F.lit(20.0)).alias("accepted"))
 
 
-@query("mask_largest_gap", f"WITH {_LOO}, o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n, lead(value) OVER (ORDER BY value) AS nx FROM loo) SELECT round(nx - value, 5) AS gap, round((nx + value) / 2, 5) AS cut, (i + 1)::BIGINT AS below FROM o WHERE i >= floor(n * 0.10) AND i <= floor(n * 0.9) - 1 ORDER BY nx - value DESC, i LIMIT 1")
+@query("mask_largest_gap", f"WITH {_LOO}, o AS (SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY label) AS n, lead(value) OVER (PARTITION BY label ORDER BY value) AS nx FROM loo) SELECT label::BIGINT AS label, round(nx - value, 5) AS gap, round((nx + value) / 2, 5) AS cut, (i + 1)::BIGINT AS below FROM o WHERE i >= floor(n * 0.10) AND i <= floor(n * 0.9) - 1 QUALIFY row_number() OVER (PARTITION BY label ORDER BY nx - value DESC, i) = 1")
 def mask_largest_gap(spark, d):
-    return masks.largest_gap(masks.leave_one_out(_fields(spark, d, 0))).select(F.round("gap", 5).alias("gap"), F.round("cut", 5).alias("cut"), "below")
+    return masks.largest_gap(masks.leave_one_out(_fields(spark, d), "label"), "label").select(F.col("label").cast("long").alias("label"), F.round("gap", 5).alias("gap"), F.round("cut", 5).alias("cut"), "below")
 
 
 @query("mask_images_needed", "SELECT vec_id, CASE WHEN x <= 1000 THEN (CASE WHEN x <= 100 THEN ceil(x / 10) * 10 ELSE ceil(x / 50) * 50 END)::BIGINT END AS needed FROM (SELECT vec_id, 20 * pow(0.15 / ((vec_id % 30 + 1)::DOUBLE / 100), 2.0) AS x FROM embeddings)")
@@ -199,17 +198,18 @@ def mask_images_needed(spark, d):
     return emb(spark, d).select("vec_id", masks.images_needed((F.col("vec_id") % 30 + 1) / F.lit(100.0), F.lit(20.0)).alias("needed"))
 
 
-@query("mask_best_area", f"WITH {_F}, {_MASK}, st AS (SELECT label, stddev_pop(pattern * weight) AS s, avg(weight) AS w FROM mask WHERE label < 5 GROUP BY label) SELECT label::BIGINT AS area, round(s, 6) AS strength, round(w, 5) AS stable FROM st ORDER BY s DESC, label LIMIT 1")
+@query("mask_best_area", f"WITH {_F}, {_MASK}, st AS (SELECT label, stddev_pop(pattern * weight) AS s, avg(weight) AS w FROM mask GROUP BY label) SELECT label::BIGINT AS area, round(s, 6) AS strength, round(w, 5) AS stable FROM st ORDER BY s DESC, label LIMIT 1")
 def mask_best_area(spark, d):
-    m = _masks(spark, d, (0, 1, 2, 3, 4))
+    m = _masks(spark, d)
     st = m.groupBy("mask").agg(F.stddev_pop(F.col("pattern") * F.col("weight")).alias("strength"), F.avg("weight").alias("stable"))
     best = st.agg(F.max(F.struct("strength", (-F.col("mask")).alias("neg"), "stable")).alias("b"))
     return best.select((-F.col("b.neg")).alias("area"), F.round("b.strength", 6).alias("strength"), F.round("b.stable", 5).alias("stable"))
 
 
-@query("folder_check", f"WITH {_F}, {_MASK}, {_VALUES} SELECT field, mask::BIGINT AS mask, round(value, 5) AS value, value >= th AS visible, field % 5 = 0 AS metadata FROM (SELECT *, 0.1 + 0.05 * mask AS th, row_number() OVER (PARTITION BY field ORDER BY value / (0.1 + 0.05 * mask) DESC, mask) AS r FROM val WHERE mask < 2) WHERE r = 1")
+@query("folder_check", f"WITH {_F}, {_MASK}, {_VALUES} SELECT field, mask::BIGINT AS mask, round(value, 5) AS value, value >= th AS visible, field % 5 = 0 AS metadata FROM (SELECT *, 0.1 + 0.05 * mask AS th, row_number() OVER (PARTITION BY field ORDER BY value / (0.1 + 0.05 * mask) DESC, mask) AS r FROM val WHERE mask % 3 <> 2) WHERE r = 1")
 def folder_check(spark, d):
-    measured = spark.createDataFrame([(0, 0.1, 0.2), (1, 0.1 + 0.05, 0.05), (2, 0.1 + 0.05 * 2, None)], "mask long, threshold double, separability double")
+    mask = F.col("mask")
+    measured = emb(spark, d).select(F.col("label").cast("long").alias("mask")).distinct().select("mask", (0.1 + F.lit(0.05) * mask).alias("threshold"), F.when(mask % 3 != 2, 0.2).alias("separability"))
     hints = emb(spark, d).filter(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("field"))  # what metadata say of images
     out = masks.folder_check(masks.match(_fields(spark, d), _masks(spark, d)), measured, hints)
     return out.select("field", "mask", F.round("value", 5).alias("value"), "visible", "metadata")
@@ -218,3 +218,62 @@ def folder_check(spark, d):
 @query("mask_split")
 def mask_split(spark, d):
     return masks.split(_fields(spark, d).select("field", "p", "v"))
+
+
+@query("mask_contribution", f"""WITH {_F}, {_MASK}, {_VALUES}, b AS (SELECT f.field, mask.label AS mask, f.p, pattern AS a, v, weight AS w FROM f JOIN mask ON f.p = mask.p),
+ s AS (SELECT field, mask, sum(w) AS n, sum(w * a) / sum(w) AS ma, sum(w * v) / sum(w) AS mv FROM b GROUP BY ALL),
+ q AS (SELECT field, mask, sqrt(sum(w * (a - ma) * (a - ma))) * sqrt(sum(w * (v - mv) * (v - mv))) AS d FROM b JOIN s USING (field, mask) GROUP BY ALL),
+ c AS (SELECT field, mask, p, w * (a - ma) * (v - mv) / d AS share FROM b JOIN s USING (field, mask) JOIN q USING (field, mask) WHERE d >= 1e-9)
+ SELECT field, mask::BIGINT AS mask, round(max(share), 6) AS most, (count(*) FILTER (share > 0))::BIGINT AS helping, round(sum(share), 6) AS total FROM c GROUP BY field, mask""")
+def mask_contribution(spark, d):
+    """What the pixels add to each correlation: the most of one pixel, how many help, and their sum, which is the correlation."""
+    shares = masks.contributions(_fields(spark, d), _masks(spark, d))
+    out = shares.groupBy("field", "mask").agg(F.max("share").alias("most"), F.count_if(F.col("share") > 0).alias("helping"), F.sum("share").alias("total"))
+    return out.select("field", "mask", F.round("most", 6).alias("most"), "helping", F.round("total", 6).alias("total"))
+
+
+# A catalogue learnt from two thirds of each label's vectors, and folders of the others. Labels of one remainder by three have one mode and bear the same
+# planted mark, from none to strong by their remainder by four.
+_CATALOGUE = f"""{_F.replace('f AS', 'f0 AS').replace('label,', 'label, label % 3 AS mode, vec_id % 3 = 2 AS fresh,')},
+ f AS (SELECT field, label, mode, fresh, p, v + (label % 4) * 0.03::DOUBLE * sin((label % 3 + 1) * (p + 1)) AS v FROM f0),
+ s AS (SELECT field, label, p, v, count(*) OVER w - 1 AS n, sum(v) OVER w - v AS total, sum(v * v) OVER w - v * v AS squares FROM f WHERE NOT fresh WINDOW w AS (PARTITION BY label, p)),
+ a AS (SELECT field, label, p, v, total / n AS mean, greatest(squares / n - (total / n) * (total / n), 0) AS variance FROM s),
+ b AS (SELECT field, greatest(list_sort(list(variance))[count(*)::BIGINT // 2 + 1], 1e-6) AS typical, avg(mean) AS centre FROM a GROUP BY field),
+ c AS (SELECT a.field, label, mean - centre AS pat, v, typical / (typical + variance) AS wt FROM a JOIN b USING (field)), loo AS (SELECT field, label, {_corr('pat', 'v', 'wt')} AS value FROM c GROUP BY field, label),
+ l AS (SELECT label, list_sort(list(value)) AS s FROM loo GROUP BY label),
+ cat AS (SELECT label, label % 3 AS mode, (SELECT count(DISTINCT field) FROM f WHERE NOT fresh AND f.label = l.label) AS n, least(0.9, greatest(0.10, s[floor(len(s) * 0.10)::BIGINT + 1] * 0.75)) AS threshold, s[len(s) // 2 + 1] AS sep FROM l),
+ sums AS (SELECT label, p, sum(v) AS total, sum(v * v) AS squares FROM f WHERE NOT fresh GROUP BY ALL),
+ m AS (SELECT label, p, total / n AS mean, greatest(squares / n - (total / n) * (total / n), 0) AS variance FROM sums JOIN cat USING (label)),
+ t AS (SELECT label, avg(mean) AS centre, greatest(list_sort(list(variance))[count(*)::BIGINT // 2 + 1], 1e-6) AS typical FROM m GROUP BY label),
+ mask AS (SELECT label, p, mean - centre AS pattern, typical / (typical + variance) AS weight FROM m JOIN t USING (label)),
+ fold AS (SELECT label AS folder, mode, count(DISTINCT field) AS k FROM f WHERE fresh GROUP BY ALL HAVING count(DISTINCT field) >= 5),
+ pairs AS (SELECT folder, cat.label AS mask, fold.mode, k, cat.n AS old_n, threshold, sep FROM fold JOIN cat ON cat.mode = fold.mode),
+ val AS (SELECT q.folder, q.mask, f.field, {_corr('pattern', 'v', 'weight')} AS value FROM pairs q JOIN f ON f.label = q.folder AND f.fresh JOIN mask ON mask.label = q.mask AND mask.p = f.p WHERE sep >= 0.15 GROUP BY ALL),
+ shares AS (SELECT folder, mask, avg(CASE WHEN value >= threshold THEN 1.0 ELSE 0.0 END) AS worth FROM val JOIN pairs USING (folder, mask) GROUP BY ALL HAVING avg(CASE WHEN value >= threshold THEN 1.0 ELSE 0.0 END) >= 0.6),
+ fs AS (SELECT label AS folder, p, sum(v) AS total, sum(v * v) AS squares FROM f WHERE fresh GROUP BY ALL),
+ g AS (SELECT q.folder, q.mask, f.field, f.p, v, old_n + k - 1 AS n, fs.total + sums.total - v AS total, fs.squares + sums.squares - v * v AS squares
+  FROM pairs q JOIN f ON f.label = q.folder AND f.fresh JOIN fs ON fs.folder = q.folder AND fs.p = f.p JOIN sums ON sums.label = q.mask AND sums.p = f.p WHERE sep < 0.15 AND sep > 0),
+ ga AS (SELECT folder, mask, field, p, v, total / n AS mean, greatest(squares / n - (total / n) * (total / n), 0) AS variance FROM g),
+ gb AS (SELECT folder, mask, field, greatest(list_sort(list(variance))[count(*)::BIGINT // 2 + 1], 1e-6) AS typical, avg(mean) AS centre FROM ga GROUP BY ALL),
+ gc AS (SELECT folder, mask, field, mean - centre AS pat, v, typical / (typical + variance) AS wt FROM ga JOIN gb USING (folder, mask, field)),
+ gl AS (SELECT folder, mask, field, {_corr('pat', 'v', 'wt')} AS value FROM gc GROUP BY ALL),
+ gain AS (SELECT folder, mask, list_sort(list(value))[count(*)::BIGINT // 2 + 1] AS worth FROM gl GROUP BY ALL),
+ ways AS (SELECT folder, mask, 'share' AS way, worth, NULL::BOOLEAN AS accepted FROM shares UNION ALL SELECT folder, mask, 'gain', worth, worth / (sep * sqrt(old_n / (old_n + k))) >= 0.75 FROM gain JOIN pairs USING (folder, mask) WHERE worth > 0)"""
+
+
+def _catalogue(spark, d):
+    """(masks, sums, fields of the folders)."""
+    mark = (F.col("label") % 4) * F.lit(0.03) * F.sin((F.col("label") % 3 + 1) * (F.col("p") + 1))
+    f = _fields(spark, d).withColumn("mode", F.col("label") % 3).withColumn("area", F.lit(0)).withColumn("v", F.col("v") + mark)
+    old, fresh = f.filter("field % 3 <> 2"), f.filter("field % 3 = 2").withColumnRenamed("label", "folder")
+    sums = masks.learn(old, "label").withColumnRenamed("label", "mask")
+    measured = masks.threshold(masks.leave_one_out(old, "label"), "label").withColumnRenamed("label", "mask")
+    known = measured.join(sums.filter("p = 0").select("mask", "n"), "mask").select("mask", (F.col("mask") % 3).alias("mode"), F.lit(0).alias("area"), "n", "threshold", "separability")
+    return known, sums.drop("n"), fresh
+
+
+@query("mask_assignment", f"WITH {_CATALOGUE} SELECT folder::BIGINT AS folder, mask::BIGINT AS mask, way, round(worth, 5) AS worth, accepted FROM ways QUALIFY row_number() OVER (PARTITION BY folder ORDER BY way DESC, worth DESC, mask) = 1")
+def mask_assignment(spark, d):
+    known, sums, fresh = _catalogue(spark, d)
+    out = masks.assigned(fresh, known, sums)
+    return out.select(F.col("folder").cast("long").alias("folder"), F.col("mask").cast("long").alias("mask"), "way", F.round("worth", 5).alias("worth"), "accepted")
