@@ -16,7 +16,7 @@ from pixelloom.llm.decontamination import decontaminate
 from pixelloom.llm.jaccard_join import jaccard_classes
 from pixelloom.llm.mixing import mix, word_count
 from pixelloom.llm.quality_rules import quality_rules
-from pixelloom.llm.shared import shared_dir, stored
+from pixelloom.llm.shared import WORD, shared_dir, stored
 from pixelloom.llm.sharding import shard_by_curve
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,8 +41,9 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
     classes = stored(jaccard_classes(rows, key="_row"), "pipeline-classes")
-    wordless = F.when(F.col("n_shingles") == 0, F.to_json(F.struct(*COLUMNS)))
-    slim = rows.join(classes, "_row").select("_row", "doc_id", F.xxhash64(*COLUMNS).alias("_hash"), F.sha2(wordless, 256).alias("_equal"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_class"))
+    # Digests are made before the join, so that it shuffles no texts.
+    wordless = F.when(~F.coalesce(F.rlike("text", F.lit(WORD)), F.lit(False)), F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
+    slim = rows.select("_row", "doc_id", F.xxhash64(*COLUMNS).alias("_hash"), wordless.alias("_equal")).join(classes, "_row").withColumn("_class", F.when(F.col("n_shingles") > 0, F.col("component_id")))
     first = slim.groupBy("_class", "_equal").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "_row")).alias("m"))
     return rows.join(stored(first.select(F.col("m._row").alias("_row")), "pipeline-near"), "_row", "left_semi").select(*COLUMNS)
 
