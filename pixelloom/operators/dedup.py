@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def keyed(files: DataFrame, same_name: bool) -> DataFrame:
     """Adds the comparison key: size, and the lower-case name where names must agree."""
@@ -48,10 +52,46 @@ def folder_equality(left: DataFrame, right: DataFrame, content: str = "content")
     return both.agg(F.coalesce(F.sum(F.when(F.col("nr").isNull(), F.col("nl"))), F.lit(0)).alias("left_only"), F.coalesce(F.sum(F.when(F.col("nl").isNull(), F.col("nr"))), F.lit(0)).alias("right_only")).withColumn("equal", (F.col("left_only") == 0) & (F.col("right_only") == 0))
 
 
-def lookup(hits: DataFrame, listed: DataFrame) -> DataFrame:
-    """Hits (hit, path, name) matched with list rows (row_id, path, name): by path, else by name (first row wins), else unmatched; one hit for each path, in hit order."""
+def matched(hits: DataFrame, listed: DataFrame) -> DataFrame:
+    """Every hit (hit, path, name) with its list row (row_id, path, name): by path, else by name (first row wins), else null."""
     by_path = listed.groupBy(F.lower("path").alias("lp")).agg(F.min("row_id").alias("r1"))
     by_name = listed.groupBy(F.lower("name").alias("ln")).agg(F.min("row_id").alias("r2"))
-    out = hits.join(by_path, F.lower(hits["path"]) == by_path["lp"], "left").join(by_name, F.lower(hits["name"]) == by_name["ln"], "left").withColumn("row_id", F.coalesce("r1", "r2"))
+    out = hits.join(by_path, F.lower(hits["path"]) == by_path["lp"], "left").join(by_name, F.lower(hits["name"]) == by_name["ln"], "left")
+    return out.select("hit", "path", F.coalesce("r1", "r2").alias("row_id"))
+
+
+def lookup(hits: DataFrame, listed: DataFrame) -> DataFrame:
+    """matched(), with one hit for each path: the first in hit order."""
     first = Window.partitionBy(F.lower(F.col("path"))).orderBy("hit")
-    return out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("hit", "path", "row_id")
+    return matched(hits, listed).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+
+
+def content_blocks(table: DataFrame, key: str = "id", content: str = "content") -> Callable[[DataFrame, int, int], DataFrame]:
+    """A reader of blocks for equal_classes(), over a column of contents."""
+    whole = table.select(F.col(key).alias("id"), F.col(content).cast("binary").alias("_content"))
+    return lambda rows, start, length: rows.join(whole, "id").select("id", F.sha2(F.substring("_content", start + 1, length), 256).alias("digest"))
+
+
+def equal_classes(files: DataFrame, block: Callable[[DataFrame, int, int], DataFrame], first: int = 4096, growth: int = 16) -> tuple[DataFrame, list[int]]:
+    """(id, class_id, members) of files that equal another byte by byte, class_id being the least id of the class; and the bytes read in each round.
+
+    files: (id, size). Partition refinement: files of one size are one class at first; a round reads the next block of all files that still share their class
+    with another and splits classes by its digest. Blocks grow by a factor, so rounds follow the logarithm of the largest size, and
+    a file that differs early is read no further. block(rows, start, length) gives (id, digest) of a block of these files; files that it
+    can't read drop out. Files without id or size are left out, empty files of one size are equal without being read.
+    """
+    rows, start, length, read = files.select("id", "size", F.col("size").cast("string").alias("class")).dropna(), 0, first, []
+    done = None
+    while True:
+        shared = rows.groupBy("class").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("class_id")).filter("members > 1")
+        rows = stored(rows.join(shared, "class"), "equal-classes")
+        whole = rows.filter(F.col("size") <= start).select("id", "class_id", "members")
+        done = whole if done is None else done.union(whole)
+        rows = rows.filter(F.col("size") > start)
+        bytes_ = rows.agg(F.sum(F.least(F.col("size") - start, F.lit(length)))).first()[0]
+        if not bytes_:
+            return done, read
+        read.append(int(bytes_))
+        digests = block(rows.select("id"), start, length)
+        rows = rows.join(digests, "id").select("id", "size", F.sha2(F.concat_ws(" ", "class", "digest").cast("binary"), 256).alias("class"))
+        start, length = start + length, length * growth

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,3 +89,69 @@ def histogram(px: DataFrame, levels: int, low: float, high: float) -> DataFrame:
 def resampled(px: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
     """Area average onto a smaller grid with whole-number cell bounds."""
     return px.groupBy("image", F.floor(F.col("x") * new_width / width).cast("int").alias("x"), F.floor(F.col("y") * new_height / height).cast("int").alias("y")).agg(F.avg("v").alias("v"))
+
+
+# Pictures as one array of values for each image, row by row: windows are cut out of it without copying the picture for each of them.
+
+
+def bilinear(values: Column, width: int, height: int, new_width: int, new_height: int) -> Column:
+    """The picture on another grid whose corners are the old corners, by bilinear interpolation."""
+    k = F.sequence(F.lit(0), F.lit(new_width * new_height - 1))
+
+    def along(i: Column, n: int, new: int) -> tuple[Column, Column, Column]:
+        at = i * F.lit((n - 1) / (new - 1)) if new > 1 else F.lit(0.0)
+        low = F.least(F.floor(at).cast("int"), F.lit(n - 1))
+        return low, F.least(low + 1, F.lit(n - 1)), at - low
+
+    def one(i: Column) -> Column:
+        y0, y1, fy = along(F.floor(i / new_width), height, new_height)
+        x0, x1, fx = along(i % new_width, width, new_width)
+        v = lambda x, y: F.get(values, (y * width + x).cast("int"))
+        top, low = v(x0, y0) + (v(x1, y0) - v(x0, y0)) * fx, v(x0, y1) + (v(x1, y1) - v(x0, y1)) * fx
+        return top + (low - top) * fy
+
+    return F.transform(k, one)
+
+
+def crop(values: Column, width: int, x: Column | int, y: Column | int, w: int, h: int) -> Column:
+    """The window of w x h values whose upper left corner is (x, y)."""
+    x, y = (F.lit(c) if isinstance(c, int) else c for c in (x, y))
+    return F.flatten(F.transform(F.sequence(y, y + (h - 1)), lambda r: F.slice(values, (r * width + x + 1).cast("int"), F.lit(w))))
+
+
+def heat_map(values: Column, width: int, height: int, score: Callable[[Column], Column], grid: int = 4, least: int = 4) -> Column:
+    """Array of (row, col, score) of the grid x grid windows of a picture; null if a window has fewer than `least` values along a side."""
+    w, h = width // grid, height // grid
+    if w < least or h < least:
+        return F.lit(None).cast("array<struct<row: int, col: int, score: double>>")
+    places = F.sequence(F.lit(0), F.lit(grid * grid - 1))
+    return F.transform(places, lambda i: F.struct(F.floor(i / grid).cast("int").alias("row"), (i % grid).alias("col"), score(crop(values, width, (i % grid) * w, (F.floor(i / grid) * h).cast("int"), w, h)).alias("score")))
+
+
+def crop_places(width: int, height: int, share: float = 0.45, least: int = 8) -> list[tuple[int, int, int]] | None:
+    """(x, y, side) of the square windows in the middle and in the four corners, `share` of the shorter side wide; None below `least`."""
+    side = int(min(width, height) * share)
+    if side < least:
+        return None
+    right, low = width - side, height - side
+    return [(right // 2, low // 2, side), (0, 0, side), (right, 0, side), (0, low, side), (right, low, side)]
+
+
+def crops(values: Column, width: int, height: int, share: float = 0.45, least: int = 8) -> Column:
+    """Array of (area, x, y, side, values) of crop_places(), null where there are none."""
+    places = crop_places(width, height, share, least)
+    if places is None:
+        return F.lit(None).cast("array<struct<area: int, x: int, y: int, side: int, values: array<double>>>")
+    return F.array(*(F.struct(F.lit(i).alias("area"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(s).alias("side"), crop(values, width, x, y, s, s).alias("values")) for i, (x, y, s) in enumerate(places)))
+
+
+def colour_bands(px: DataFrame, n: int, height: int) -> DataFrame:
+    """(image, band, r, g, b): mean colour of each horizontal band, weighted by opacity; a band that is wholly clear carries on the colour of the band
+    above, bands above the first colour are null, images without any colour have no rows. px: (image, y, r, g, b, a)."""
+    band = F.floor((F.col("y") * n + n - 1) / height).cast("int") if height < n else F.floor(((F.col("y") + 1) * n - 1) / height).cast("int")
+    mean = lambda c: F.sum(F.col(c) * F.col("a")) / F.when(F.sum("a") > 0, F.sum("a"))
+    known = px.groupBy("image", band.alias("band")).agg(*(mean(c).alias(c) for c in "rgb"))
+    whole = known.groupBy("image").agg(F.max("r").alias("_any")).filter("_any is not null").select("image", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("band"))
+    above = Window.partitionBy("image").orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
+    out = whole.join(known, ["image", "band"], "left")
+    return out.select("image", "band", *(F.floor(F.last(c, ignorenulls=True).over(above)).cast("long").alias(c) for c in "rgb"))

@@ -31,12 +31,19 @@ def months_of_year(stamps: DataFrame, year: int, ts: str = "ts") -> DataFrame:
     return stamps.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month")).join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def month_band(stamps: DataFrame, ts: str = "ts", most: int = 240, base: float = 2.0, height: float = 20.0) -> DataFrame:
-    """(month, n, height, year_start) from the first to the last month; empty for one month or more than `most`. Heights follow the logarithm of the counts."""
+def month_band(stamps: DataFrame, ts: str = "ts", most: int = 240, base: float = 2.0, height: float = 20.0, crowded: int = 5) -> DataFrame:
+    """(month, n, height, year_start, label) from the first to the last month; empty for one month or more than `most`. Heights follow the logarithm of the counts.
+
+    Years label their January and the first month; the first label is left out if another follows within the next `crowded` - 1 months.
+    """
     counts = valid(stamps, ts).groupBy(F.trunc(ts, "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     ends = counts.agg(F.min("month").alias("a"), F.max("month").alias("b"), F.max("n").alias("top"))
     span = F.months_between("b", "a") + 1
     axis = ends.filter((span > 1) & (span <= most)).select("a", "top", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
     n = F.coalesce("n", F.lit(0))
     tall = F.when(n == 0, F.lit(base)).otherwise(base + (height - base) * F.log(1.0 + n) / F.log(1.0 + F.col("top")))
-    return axis.join(counts, "month", "left").select("month", n.cast("long").alias("n"), tall.alias("height"), ((F.month("month") == 1) | (F.col("month") == F.col("a"))).alias("year_start"))
+    band = axis.join(counts, "month", "left")
+    start = (F.month("month") == 1) | (F.col("month") == F.col("a"))
+    ahead = Window.orderBy("month").rowsBetween(1, crowded - 1)  # over `most` months at most
+    near = (F.col("month") == F.col("a")) & F.coalesce(F.max(start).over(ahead), F.lit(False))
+    return band.select("month", n.cast("long").alias("n"), tall.alias("height"), start.alias("year_start"), F.when(start & ~near, F.year("month").cast("string")).alias("label"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
-from ..functions import formats, text
-from ..operators import dedup, incremental, lists, rating, timeline
+from ..functions import formats, image_heads, text
+from ..operators import dedup, incremental, lists, rating, scope, timeline
 from ..operators.order_stats import numbered
 from .registry import registry
 
@@ -194,7 +196,7 @@ def prefix_suggest(spark, d):
 
 @query("prompt_template", "WITH q AS (SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, doc_id % 5 + 1), ' ') AS q FROM documents), n AS (SELECT *, len(list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda x: x <> '')) AS n FROM q) SELECT doc_id, CASE WHEN n = 1 THEN 'a photo of a ' || trim(q) WHEN n IN (2, 3) THEN 'a photo of ' || trim(q) ELSE q END AS prompt FROM n")
 def prompt_template(spark, d):
-    q = F.array_join(F.slice(F.split("text", " "), 1, (F.col("doc_id") % 5 + 1).cast("int")), " ")
+    q = F.array_join(F.slice(F.split("text", " "), 1, (F.col("doc_id") % 5 + 1).cast("int")), " ")  # a query of one to five words
     return table(spark, d, "documents").select("doc_id", text.prompt(q).alias("prompt"))
 
 
@@ -245,10 +247,10 @@ def timeline_months(spark, d):
     return timeline.months_of_year(table(spark, d, "orders").select(F.col("o_orderdate").alias("ts")), 1996).select(F.col("month").cast("long").alias("month"), "n")
 
 
-@query("month_band", "WITH c AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, count(*) AS n FROM lineitem GROUP BY 1), e AS (SELECT min(month) AS a, max(month) AS b, max(n) AS top FROM c), x AS (SELECT unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month, a, top FROM e WHERE datediff('month', a, b) BETWEEN 1 AND 239) SELECT strftime(x.month, '%Y-%m') AS month, coalesce(n, 0)::BIGINT AS n, round(CASE WHEN n IS NULL THEN 2 ELSE 2 + 18 * ln(1.0 + n) / ln(1.0 + top) END, 6) AS height, month(x.month) = 1 OR x.month = a AS year_start FROM x LEFT JOIN c USING (month)")
+@query("month_band", "WITH c AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, count(*) AS n FROM lineitem GROUP BY 1), e AS (SELECT min(month) AS a, max(month) AS b, max(n) AS top FROM c), x AS (SELECT unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month, a, top FROM e WHERE datediff('month', a, b) BETWEEN 1 AND 239) SELECT strftime(x.month, '%Y-%m') AS month, coalesce(n, 0)::BIGINT AS n, round(CASE WHEN n IS NULL THEN 2 ELSE 2 + 18 * ln(1.0 + n) / ln(1.0 + top) END, 6) AS height, month(x.month) = 1 OR x.month = a AS year_start, CASE WHEN month(x.month) = 1 AND x.month <> a OR x.month = a AND NOT (month(a) > 8 AND (SELECT count(*) FROM x) > 13 - month(a)) THEN year(x.month)::VARCHAR END AS label FROM x LEFT JOIN c USING (month)")
 def month_band(spark, d):
     out = timeline.month_band(table(spark, d, "lineitem").select(F.col("l_shipdate").alias("ts")))
-    return out.select(F.date_format("month", "yyyy-MM").alias("month"), "n", F.round("height", 6).alias("height"), "year_start")
+    return out.select(F.date_format("month", "yyyy-MM").alias("month"), "n", F.round("height", 6).alias("height"), "year_start", "label")
 
 
 @query("month_band_single", "SELECT count(DISTINCT date_trunc('month', ts))::BIGINT AS months, 0::BIGINT AS bars FROM events")
@@ -298,7 +300,7 @@ _TAILS = ["FFD9", "49454E44AE426082", "3B", "", "", "", "", ""]
 def _bytes(spark, d):
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("page_id") % 8 + 1).cast("int"))
     tail = F.when(F.col("page_id") % 3 == 0, pick(_TAILS)).otherwise(F.lit(""))
-    body = F.substring("html", 1, 20)
+    body = F.col("html")
     return table(spark, d, "pages").select("page_id", F.unhex(F.concat(pick(_HEADS), F.hex(body.cast("binary")), tail)).alias("content"), pick(_EXT).alias("extension"))
 
 
@@ -307,7 +309,7 @@ def magic_detect(spark, d):
     return _bytes(spark, d).select("page_id", formats.detected_format(F.col("content")).alias("format"))
 
 
-@query("truncation_check", "SELECT page_id, k IN (0, 1, 2) AND page_id % 3 <> 0 OR k = 7 OR k = 3 AND 16 > n OR k = 4 AND 18 > n OR k = 6 AND 22 > n AS truncated FROM (SELECT page_id, page_id % 8 AS k, strlen(left(html, 20)) + (ARRAY[4, 8, 6, 6, 15, 8, 6, 1])[page_id % 8 + 1] AS n FROM pages)")
+@query("truncation_check", "SELECT page_id, k IN (0, 1, 2) AND page_id % 3 <> 0 OR k = 7 OR k = 3 AND 16 > n OR k = 4 AND 18 > n OR k = 6 AND 22 > n AS truncated FROM (SELECT page_id, page_id % 8 AS k, strlen(html) + (ARRAY[4, 8, 6, 6, 15, 8, 6, 1])[page_id % 8 + 1] AS n FROM pages)")
 def truncation_check(spark, d):
     c = formats.checked(F.col("content"), F.col("extension"))
     return _bytes(spark, d).select("page_id", c.truncated.alias("truncated"))
@@ -411,10 +413,21 @@ def reference_outside_folder(spark, d):
 def query_row_resolution(spark, d):
     rows = table(spark, d, "pages").select("page_id", F.col("url").alias("path"), text.file_name(F.col("url")).alias("name"))
     asked = rows.select(F.col("page_id").alias("hit"), F.when(F.col("page_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("x/"), F.col("name"))).alias("path"), "name")
-    return dedup.lookup(asked, rows.withColumnRenamed("page_id", "row_id")).select(F.col("hit").alias("q"), "row_id")
+    return dedup.matched(asked, rows.withColumnRenamed("page_id", "row_id")).select(F.col("hit").alias("q"), "row_id")
+
+
+def _decoded(column: str) -> str:
+    """SQL for references by name, numbers up to 255, and the ampersand last, so that nothing is decoded twice."""
+    for name, code in [*name2codepoint.items(), ("apos", 39)]:
+        if name != "amp":
+            column = f"replace({column}, '&{name};', chr({code}))"
+    for code in range(32, 256):
+        if code != 38:
+            column = f"replace(replace({column}, '&#{code};', chr({code})), '&#x{code:x};', chr({code}))"
+    return f"replace({column}, '&amp;', '&')"
 
 
-@query("html_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""")
+@query("html_text", rf"""SELECT page_id, trim(regexp_replace({_decoded('html')}, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""")
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_decoded(F.col("html")).alias("text"))
 
@@ -446,3 +459,59 @@ def position_steps(spark, d):
     total = pages.agg(F.count(F.lit(1)).alias("total"))  # one row
     placed = numbered(pages, "url", "page_id").crossJoin(F.broadcast(total))
     return placed.select("page_id", *(f(F.col("position"), F.col("total")).cast("long").alias(n) for n, f in (("quarter", lists.quartile), ("eighth", lists.eighth))))
+
+
+@query("byte_equal_classes", "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text)::BIGINT AS members FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) > 1")
+def byte_equal_classes(spark, d):
+    """Documents as files, equal byte by byte, by blocks that grow from 256 bytes."""
+    f = files(spark, d).select("id", "size", "content")
+    return dedup.equal_classes(f.select("id", "size"), dedup.content_blocks(f), first=256)[0]
+
+
+# Parts as photographs: a JPEG head with what a camera writes, made of the part's columns; bytes of numbers in either order.
+def _photo(spark, d):
+    little = F.col("p_partkey") % 2 == 0
+    flip = lambda h, n: F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(n))))
+
+    def number(x, n, low=little):
+        h = F.lpad(F.hex(x if not isinstance(x, int) else F.lit(x)), 2 * n, "0")
+        return F.when(low, flip(h, n)).otherwise(h)
+
+    def entry(tag, kind, count, place):
+        return F.concat(number(tag, 2), number(kind, 2), number(count, 4), place)
+
+    text_ = lambda c: F.concat(F.hex(c.cast("binary")), F.lit("00"))
+    length = lambda c: F.octet_length(c) + 1
+    name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    taken = F.date_format(F.timestamp_seconds(F.col("p_partkey") * 86_461), "yyyy:MM:dd HH:mm:ss")
+    # First directory at 8 with four entries, the camera's at 62 with three, values from 104 on.
+    at = F.lit(104)
+    places = [at, at + 20, at + 20 + length(name), at + 20 + length(name) + length(brand), at + 20 + length(name) + length(brand) + length(kind)]
+    first = F.concat(number(4, 2), entry(0x010E, 2, length(name), number(places[1], 4)), entry(0x010F, 2, length(brand), number(places[2], 4)), entry(0x0110, 2, length(kind), number(places[3], 4)), entry(0x8769, 4, 1, number(62, 4)), number(0, 4))
+    camera = F.concat(number(3, 2), entry(0x829A, 5, 1, number(places[4], 4)), entry(0x8827, 3, 1, F.concat(number(F.col("p_size"), 2), F.lit("0000"))), entry(0x9003, 2, 20, number(places[0], 4)), number(0, 4))
+    block = F.concat(F.when(little, "49492A0008000000").otherwise("4D4D002A00000008"), first, camera, text_(taken), text_(name), text_(brand), text_(kind), number(1, 4), number(F.col("p_size") * 10, 4))
+    big = F.lit(False)
+    app = F.concat(F.lit("FFE1"), number(F.octet_length(F.unhex(block)) + 8, 2, big), F.lit("457869660000"), block)
+    frame = F.concat(F.lit("FFC0001108"), number(F.col("p_size") * 7, 2, big), number(F.col("p_partkey") % 60_000 + 1, 2, big), F.lit("03011100021100031100FFD9"))
+    return table(spark, d, "part").select("p_partkey", F.unhex(F.concat(F.lit("FFD8"), app, frame)).alias("head"))
+
+
+@query("capture_data", "SELECT p_partkey, strftime(make_timestamp(p_partkey * 86461000000), '%Y:%m:%d %H:%M:%S') AS taken, p_name AS description, p_brand AS make, p_type AS model, p_size::BIGINT AS iso, round(1.0 / (p_size * 10), 9) AS exposure FROM part")
+def capture_data(spark, d):
+    got = _photo(spark, d).select("p_partkey", image_heads.capture_fields(F.col("head")).alias("f"))
+    return got.select("p_partkey", "f.taken", "f.description", "f.make", "f.model", "f.iso", F.round("f.exposure", 9).alias("exposure"))
+
+
+@query("header_dimensions", "SELECT p_partkey, p_partkey % 60000 + 1 AS width, p_size::BIGINT * 7 AS height FROM part")
+def header_dimensions(spark, d):
+    return _photo(spark, d).select("p_partkey", image_heads.head_dimensions(F.col("head")).alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+_BRANCH = "SELECT DISTINCT path FROM (SELECT lower(source || '/' || lang) AS path FROM documents) WHERE path LIKE 'src1/%'"
+
+
+@query("search_scope", f"SELECT 'src1' AS path, true AS own UNION ALL SELECT path, false FROM ({_BRANCH})")
+def search_scope(spark, d):
+    folders = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("path"))
+    return scope.scope(folders.union(folders.select(F.upper("path"))), "SRC1/", scope.BRANCH).select(F.lower("path").alias("path"), "own")
+

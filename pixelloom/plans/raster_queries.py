@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cyclic_similarity
+from ..functions.vectors import cyclic_similarity, normalised
 from ..operators import masks, raster
 from .registry import registry
 from .vector_queries import emb
@@ -277,3 +277,54 @@ def mask_assignment(spark, d):
     known, sums, fresh = _catalogue(spark, d)
     out = masks.assigned(fresh, known, sums)
     return out.select(F.col("folder").cast("long").alias("folder"), F.col("mask").cast("long").alias("mask"), "way", F.round("worth", 5).alias("worth"), "accepted")
+
+
+def _grid(n: int, old: int = 8) -> str:
+    """SQL of the bilinear picture of n x n values: (image, x, y, v)."""
+    at = lambda c: f"{c} * {old - 1}::DOUBLE / {n - 1}"
+    return f"""g{n} AS (SELECT image, x, y, t + (b - t) * fy AS v FROM (SELECT p.image, c.x, c.y, c.fy,
+  sum(p.v * (CASE p.x WHEN c.x0 THEN 1 - c.fx ELSE 0 END + CASE p.x WHEN c.x1 THEN c.fx ELSE 0 END)) FILTER (p.y = c.y0) AS t,
+  sum(p.v * (CASE p.x WHEN c.x0 THEN 1 - c.fx ELSE 0 END + CASE p.x WHEN c.x1 THEN c.fx ELSE 0 END)) FILTER (p.y = c.y1) AS b
+  FROM (SELECT x, y, least(floor({at('x')}), {old - 1})::BIGINT AS x0, least(floor({at('x')}) + 1, {old - 1})::BIGINT AS x1, {at('x')} - floor({at('x')}) AS fx,
+    least(floor({at('y')}), {old - 1})::BIGINT AS y0, least(floor({at('y')}) + 1, {old - 1})::BIGINT AS y1, {at('y')} - floor({at('y')}) AS fy FROM range({n}) a(x), range({n}) b(y)) c
+  JOIN px p ON p.x IN (c.x0, c.x1) AND p.y IN (c.y0, c.y1) GROUP BY p.image, c.x, c.y, c.fy))"""
+
+
+def _pictures(spark, d, n=24):
+    return emb(spark, d).select(F.col("vec_id").alias("image"), raster.bilinear(F.col("embedding").cast("array<double>"), 8, 8, n, n).alias("values"))
+
+
+@query("bilinear_resample", f"WITH {_PX}, {_grid(24)} SELECT image, x::BIGINT AS x, y::BIGINT AS y, round(v, 6) AS v FROM g24")
+def bilinear_resample(spark, d):
+    px = _pictures(spark, d).select("image", F.posexplode("values").alias("p", "v"))
+    return _long(px.select("image", (F.col("p") % 24).alias("x"), F.floor(F.col("p") / 24).alias("y"), "v"), "v")
+
+
+@query("heat_map", f"""WITH {_PX}, {_grid(24)}, {_grid(6)}, q AS (SELECT x, y, v / sqrt(sum(v * v) OVER ()) AS v FROM g6 WHERE image = 0)
+ SELECT g.image, (g.y // 6)::BIGINT AS row, (g.x // 6)::BIGINT AS col, round(sum(g.v * q.v) / sqrt(sum(g.v * g.v)), 5) AS score FROM g24 g JOIN q ON q.x = g.x % 6 AND q.y = g.y % 6 GROUP BY ALL""")
+def heat_map(spark, d):
+    """Sixteen windows of each picture against the whole picture of vector 0."""
+    asked = _pictures(spark, d, 6).filter("image = 0").select(normalised(F.col("values")).alias("q")).limit(1)
+    score = lambda c: F.aggregate(F.zip_with(normalised(c), F.col("q"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    out = _pictures(spark, d).crossJoin(F.broadcast(asked)).select("image", F.explode(raster.heat_map(F.col("values"), 24, 24, score)).alias("w"))
+    return out.select("image", F.col("w.row").cast("long").alias("row"), F.col("w.col").cast("long").alias("col"), F.round("w.score", 5).alias("score"))
+
+
+@query("field_crops", f"""WITH {_PX}, {_grid(24)}, w(area, x0, y0) AS (VALUES (0, 7, 7), (1, 0, 0), (2, 14, 0), (3, 0, 14), (4, 14, 14))
+ SELECT image, area::BIGINT AS area, round(avg(v), 6) AS mean, round(max(v), 6) AS most, count(*)::BIGINT AS n FROM g24 JOIN w ON x BETWEEN x0 AND x0 + 9 AND y BETWEEN y0 AND y0 + 9 GROUP BY image, area""")
+def field_crops(spark, d):
+    """The five windows of 45 % of each picture's side."""
+    out = _pictures(spark, d).select("image", F.explode(raster.crops(F.col("values"), 24, 24)).alias("c")).select("image", F.col("c.area").cast("long").alias("area"), F.explode("c.values").alias("v"))
+    return out.groupBy("image", "area").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+@query("colour_bands_carried", f"""WITH {_PX}, c AS (SELECT image, x, y, floor((v + 1) / 2 * 255) AS g, CASE WHEN image % 3 = 0 AND y // 2 = image % 4 THEN 0 ELSE (x * 31 + image) % 256 END AS a FROM px),
+ b AS (SELECT image, (y // 2)::BIGINT AS band, sum(g * a) / nullif(sum(a), 0) AS r FROM c GROUP BY ALL)
+ SELECT image, band, floor(last_value(r IGNORE NULLS) OVER (PARTITION BY image ORDER BY band))::BIGINT AS r FROM b""")
+def colour_bands_carried(spark, d):
+    """Grey pictures with a planted opacity, wholly clear in one band of every third picture."""
+    clear = (F.col("image") % 3 == 0) & (F.floor(F.col("y") / 2) == F.col("image") % 4)
+    level = F.floor((F.col("v") + 1) / 2 * 255)
+    px = _px(spark, d).select("image", "y", level.alias("r"), level.alias("g"), level.alias("b"), F.when(clear, 0).otherwise((F.col("x") * 31 + F.col("image")) % 256).alias("a"))
+    return raster.colour_bands(px, 4, 8).select("image", F.col("band").cast("long").alias("band"), "r")
+

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import average_hash, calibrated_similarity, difference_hash, hamming, normalised
-from ..operators import calibration, preference, search, tagging
+from ..operators import calibration, preference, scope, search, tagging
 from ..operators.components import connected_components
 from ..operators.pairs import cosine_pairs, hamming_pairs
 from .registry import registry
@@ -277,3 +277,12 @@ def q_hamming_pairs(spark, d):
 @query("hamming_components", f"WITH RECURSIVE {_AHASH}, pairs AS (SELECT x.vec_id AS a, y.vec_id AS b FROM h x JOIN h y ON x.vec_id < y.vec_id AND {_DIST} <= 18), {_REACH} SELECT id, component FROM comp")
 def hamming_components(spark, d):
     return connected_components(hamming_pairs(_hashed(spark, d), 18)).select("id", "component")
+
+
+@query("scoped_search", f"WITH {_SCORED.replace('greatest(0.0, ', '(')} SELECT vec_id, 'set/' || label AS folder, round(score, 6) AS score FROM scored WHERE label % 2 = 0 ORDER BY scored.score DESC, vec_id LIMIT 10")
+def scoped_search(spark, d):
+    """The nearest to vector 0 among the folders of even labels, its own first; folders that can't hold a hit are not read."""
+    index = emb(spark, d).withColumn("folder", F.concat(F.lit("set/"), F.col("label").cast("string")))
+    known = index.filter("label % 2 = 0").select(F.col("folder").alias("path"))
+    hits, _ = scope.scoped_top_k(index, scope.summaries(index), scope.scope(known, "set/0"), _q0(spark, d).first()["embedding"], 10)
+    return hits.select("vec_id", "folder", F.round("score", 6).alias("score"))

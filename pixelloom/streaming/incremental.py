@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import write_table
-
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 64) -> DataFrame:
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
@@ -27,6 +25,6 @@ def index_sink(describe: Callable[[DataFrame], DataFrame], path: str) -> Callabl
     """For foreachBatch: describes a micro-batch into a partition of its own, which a retried batch replaces."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        write_table(describe(batch), f"{path}/epoch={epoch}")
+        describe(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write

@@ -1,4 +1,4 @@
-"""Every query of the catalogue with oracle SQL gives DuckDB's rows on the smallest tables."""
+"""Every query of the catalogue with oracle SQL gives DuckDB's rows on the tables of the correctness gate."""
 
 import math
 from pathlib import Path
@@ -8,7 +8,7 @@ import pytest
 
 from pixelloom.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables are not here")
 
