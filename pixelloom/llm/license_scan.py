@@ -7,66 +7,18 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences by identifier. "..." at the end: the sentence may go on; in the middle: words in between.
-SENTENCES = {
-    "mit-ref": "released under the MIT license",
-    "apache2-ref": "licensed under the Apache License, Version 2.0",
-    "gpl3-ref": "this work is licensed under the GNU General Public License version 3",
-    "ccbync4-ref": "licensed under CC BY-NC 4.0",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-    "spdx-apache2": "SPDX-License-Identifier: Apache-2.0",
-    "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
-    "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
-    "mit-grant": "Permission is hereby granted, free of charge, to ...",
-    "mit-notice": "The above copyright notice and this permission notice ...",
-    "mit-as-is": 'The software is provided "as is", without warranty ...',
-    "isc-grant": "Permission to use, copy, modify, and/or distribute this ...",
-    "isc-as-is": 'The software is provided "as is" and the ...',
-    "apache2-header": "Licensed under the Apache License, Version 2.0 (the ...",
-    "apache2-copy": "You may obtain a copy of the License ...",
-    "apache2-terms": "Terms and conditions for use, reproduction, and distribution",
-    "apache2-license": '"License" shall mean the terms and conditions for ...',
-    "apache2-licensor": '"Licensor" shall mean the copyright owner or entity ...',
-    "bsd-conditions": "Redistribution and use in source and binary forms ...",
-    "bsd-source": "Redistributions of source code must retain the above ...",
-    "bsd-binary": "Redistributions in binary form must reproduce the above ...",
-    "bsd-names": "Neither the name of ...",
-    "bsd-as-is": "This software is provided ...",
-    "gpl2-free": "This program is free software; you can redistribute ... either version 2 of the License ...",
-    "gpl3-free": "This program is free software: you can redistribute ... either version 3 of the License ...",
-    "gpl-useful": "This program is distributed in the hope that ...",
-    "gpl-verbatim": "Everyone is permitted to copy and distribute verbatim ...",
-    "gpl2-freedom": "The licenses for most software are designed to ...",
-    "gpl3-freedom": "The licenses for most software and other practical ...",
-    "mpl2-form": "This Source Code Form is subject to the ... Mozilla Public License ...",
-    "unlicense": "This is free and unencumbered software released into ...",
-}
-#: Sentences that are also found inside longer ones.
-REFERENCES = ["mit-ref", "apache2-ref", "gpl3-ref", "ccbync4-ref"]
-#: Ordered rules, each a licence and the identifiers that must follow each other in a document.
-RULES = [
-    ("MIT", ["mit-ref"]),
-    ("Apache-2.0", ["apache2-ref"]),
-    ("GPL-3.0", ["gpl3-ref"]),
-    ("CC-BY-NC-4.0", ["ccbync4-ref"]),
-    ("MIT", ["spdx-mit"]),
-    ("Apache-2.0", ["spdx-apache2"]),
-    ("BSD-2-Clause", ["spdx-bsd2"]),
-    ("BSD-3-Clause", ["spdx-bsd3"]),
-    ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
-    ("ISC", ["isc-grant", "isc-as-is"]),
-    ("Apache-2.0", ["apache2-header", "apache2-copy"]),
-    ("Apache-2.0", ["apache2-terms", "apache2-license", "apache2-licensor"]),
-    ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is"]),
-    ("BSD-2-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-as-is"]),
-    ("GPL-2.0", ["gpl2-free", "gpl-useful"]),
-    ("GPL-3.0", ["gpl3-free", "gpl-useful"]),
-    ("GPL-2.0", ["gpl-verbatim", "gpl2-freedom"]),
-    ("GPL-3.0", ["gpl-verbatim", "gpl3-freedom"]),
-    ("MPL-2.0", ["mpl2-form"]),
-    ("Unlicense", ["unlicense"]),
-]
+from .licenses import IDENTIFIERS, NEGATIONS, REFERENCES, RULES, SENTENCES
+
 #: A sentence ends at . ! ? before white space, or at a line without letters and digits; a single line break may only wrap it.
+#: An expression of licence identifiers after its tag, as far as it is well formed.
+_ID = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+EXPRESSION = rf"(?i)SPDX-License-Identifier:[ \t]*(\(*{_ID}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{_ID}\)*)*)"
+#: What stands in an expression beside licences: operators, an exception and its operator, brackets, versions.
+BESIDE = r"(?i)[ \t]+WITH[ \t]+[^ \t()]+|[()]"
+VERSION = r"(?i)(-only|-or-later|\+)$"
+#: Marks identifiers that come from an expression.
+NAMED = "spdx:"
+TAG = "spdx-license-identifier"
 SENTENCE_END = r"[.!?]+(?:[ \t\n\r\f]+|$)|\n[^\p{L}\p{Nd}\n]*\n"
 
 
@@ -89,9 +41,28 @@ def parsed(sentences: dict[str, str]) -> list[tuple[str, list[str], bool]]:
     return out
 
 
-def anchors(sentences: list[str]) -> str:
-    """Pattern of words of which every sentence has one: its longest, as long words are rare in other texts."""
-    return "(?iu)" + "|".join(sorted({re.escape(max(sorted(s.split()), key=len)) for s in sentences}))
+def anchors(sentences: list[list[str]]) -> list[str]:
+    """Few words of which every sentence, given by its words, has one, perhaps within a longer word: long ones, as these are rare in other texts, and of them the word of most sentences first."""
+    left, out = list(sentences), []
+    has = lambda s, w: any(w in x for x in s)
+    while left:
+        found = max({w for s in left for w in s}, key=lambda w: (min(len(w), 7), sum(has(s, w) for s in left), w))
+        out.append(found)
+        left = [s for s in left if not has(s, found)]
+    return out
+
+
+def negated(reference: str) -> str:
+    """Pattern of a normalised sentence that denies a reference: a negation up to three words before it."""
+    return rf"(^| )({'|'.join(NEGATIONS)})( [^ ]+){{0,3}} {re.escape(reference)}( |$)"
+
+
+def expressed(line: Column) -> Column:
+    """Marked identifiers of the licence expression of a line, in order, without repeats; empty where there is none."""
+    known = F.create_map(*(F.lit(x) for i in IDENTIFIERS for x in (i.lower(), NAMED + i)))
+    bare = F.regexp_replace(F.regexp_extract(line, EXPRESSION, 1), BESIDE, "")
+    words = F.filter(F.split(bare, r"[ \t]+"), lambda w: ~F.upper(w).isin("AND", "OR"))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(known, F.lower(F.regexp_replace(w, VERSION, "")))), lambda x: x.isNotNull()))
 
 
 def license_scan(
@@ -102,8 +73,8 @@ def license_scan(
     Sentences are cut at punctuation and blank lines and compared in normal form, so wrapped lines, comment marks and quotes
     don't matter. A sentence that isn't known is looked at line by line, for licence lines that follow others without a stop. A known sentence
     that ends in "..." is recognised by its opening words (and what it names after them); one listed in `references` also inside a longer sentence.
-    Of several known sentences that fit, references come last and otherwise the longer opening wins. A rule matches where its identifiers follow each other
-    in the sequence of known sentences.
+    Of several known sentences that fit, references come last and otherwise the longer opening wins; a reference that is denied just before is none. A rule matches
+    where its identifiers follow each other in the sequence of known sentences. A line with an SPDX expression names each of its licences itself.
 
     Only texts with a word of a known sentence are cut at all. Null and empty texts hold none; repeated rows are scanned one by one; a
     long text is scanned in one task, in time linear in its length. Every row is judged by itself, so there are no ties.
@@ -135,20 +106,25 @@ def license_scan(
                     for name, rest in entries:
                         if rest:
                             tries.append(F.when((head == k) & F.like(s, F.lit("%" + "%".join(rest) + "%")), F.lit(name)))
-            tries += [F.when(F.contains(F.concat(F.lit(" "), s, F.lit(" ")), F.lit(f" {p[0]} ")), F.lit(name)) for name, p, _ in known if name in within]
+            tries += [F.when(F.contains(F.concat(F.lit(" "), s, F.lit(" ")), F.lit(f" {p[0]} ")) & ~F.rlike(s, F.lit(negated(p[0]))), F.lit(name)) for name, p, _ in known if name in within]
             return F.coalesce(*tries)
 
         def of_sentence(s: Column) -> Column:
             own = F.transform(F.array(s), lambda x: identified(normalised(x)))
-            lines = F.transform(F.split(s, "\n"), lambda x: identified(normalised(x)))
-            return F.when(own[0].isNotNull(), own).otherwise(lines)
-
-        parts = F.when(body.rlike(anchors([p[0] for _, p, _ in known])), F.split(body, SENTENCE_END)).otherwise(none)
+            lines = F.flatten(F.transform(F.split(s, "\n"), lambda x: F.when(F.contains(F.lower(x), F.lit(TAG)), expressed(x)).otherwise(F.array(identified(normalised(x))))))
+            return F.when(own[0].isNotNull() & ~F.contains(F.lower(s), F.lit(TAG)), own).otherwise(lines)
+
+        low = F.lower(body)
+        worth = F.lit(False)
+        for word in [*anchors([" ".join(p).split() for _, p, _ in known]), TAG]:
+            worth = worth | F.contains(low, F.lit(word))
+        parts = F.when(worth, F.split(body, SENTENCE_END)).otherwise(none)
         ids = F.filter(F.flatten(F.transform(F.coalesce(parts, none), of_sentence)), lambda x: x.isNotNull())
         found = docs.select(F.col(key), ids.alias("sequence"))
     joined = F.concat(F.lit(","), F.array_join("sequence", ","), F.lit(","))
     hits = F.filter(F.array(*(F.when(joined.contains("," + ",".join(seq) + ","), F.lit(name)) for name, seq in rules)), lambda x: x.isNotNull()) if rules else none
-    return found.withColumn("licenses", F.array_sort(F.array_distinct(hits))).withColumn("license_list", F.array_join("licenses", ",")).withColumn("n_sentences", F.size("sequence").cast("long"))
+    named = F.transform(F.filter("sequence", lambda x: F.startswith(x, F.lit(NAMED))), lambda x: F.substring(x, F.lit(len(NAMED) + 1), F.char_length(x)))
+    return found.withColumn("licenses", F.array_sort(F.array_distinct(F.concat(hits, named)))).withColumn("license_list", F.array_join("licenses", ",")).withColumn("n_sentences", F.size("sequence").cast("long"))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -157,35 +133,40 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _values() -> str:
-    """(id, opening, words of it or 0 for a whole sentence, what follows as a pattern, found inside or not, order of preference)."""
+    """(id, opening, words of it or 0 for a whole sentence, what follows as a pattern, found inside or not, order of preference, pattern that denies it)."""
     rows = []
     for name, p, more in parsed(SENTENCES):
         n = len(p[0].split()) if more or len(p) > 1 else 0
-        rows.append((name, p[0], n, "%" + "%".join(p[1:]) + "%" if len(p) > 1 else "%", 0, -n if n else -1000))
+        rows.append((name, p[0], n, "%" + "%".join(p[1:]) + "%" if len(p) > 1 else "%", 0, -n if n else -1000, ""))
         if name in REFERENCES:
-            rows.append((name, p[0], 0, "%", 1, 1000))
-    return ", ".join(f"('{a}', '{b}', {c}, '{d}', {e}, {f})" for a, b, c, d, e, f in rows)
+            rows.append((name, p[0], 0, "%", 1, 1000, negated(p[0])))
+    return ", ".join(f"('{a}', '{b}', {c}, '{d}', {e}, {f}, '{g}')" for a, b, c, d, e, f, g in rows)
 
 
 _RULES = ", ".join(f"('{name}', ',{','.join(seq)},')" for name, seq in RULES)
-_FITS = "CASE WHEN k.inside = 1 THEN contains(' ' || x.s || ' ', ' ' || k.s || ' ') WHEN k.n = 0 THEN x.s = k.s ELSE (x.s = k.s OR starts_with(x.s, k.s || ' ')) AND x.s LIKE k.rest END"
+_FITS = "CASE WHEN k.inside = 1 THEN contains(' ' || x.s || ' ', ' ' || k.s || ' ') AND NOT regexp_matches(x.s, k.deny) WHEN k.n = 0 THEN x.s = k.s ELSE (x.s = k.s OR starts_with(x.s, k.s || ' ')) AND x.s LIKE k.rest END"
 _NORMAL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
 OP10_SQL = rf"""
-WITH k(id, s, n, rest, inside, pref) AS (VALUES {_values()}), rules(license, seq) AS (VALUES {_RULES}), d AS (
+WITH k(id, s, n, rest, inside, pref, deny) AS (VALUES {_values()}), rules(license, seq) AS (VALUES {_RULES}), names(id) AS (VALUES {', '.join(f"('{i}')" for i in IDENTIFIERS)}), d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_split_to_array(coalesce(text, ''), '{SENTENCE_END}') AS parts FROM documents
 ), p AS (
-  SELECT rid, i, 0 AS j, parts[i] AS raw, {_NORMAL.format('parts[i]')} AS s FROM (SELECT rid, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)
+  SELECT rid, i, 0 AS j, 0 AS o, parts[i] AS raw, {_NORMAL.format('parts[i]')} AS s FROM (SELECT rid, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)
 ), a AS (
-  SELECT rid, i, j, arg_min(id, pref) AS id FROM p x JOIN k ON {_FITS} GROUP BY ALL
+  SELECT rid, i, j, o, arg_min(id, pref) AS id FROM p x JOIN k ON {_FITS} WHERE NOT contains(lower(raw), '{TAG}') GROUP BY ALL
 ), ln AS (
-  SELECT rid, i, j, {_NORMAL.format('raw')} AS s FROM (SELECT rid, i, unnest(string_split(raw, chr(10))) AS raw, generate_subscripts(string_split(raw, chr(10)), 1) AS j FROM p ANTI JOIN a USING (rid, i))
+  SELECT rid, i, j, 0 AS o, raw, {_NORMAL.format('raw')} AS s FROM (SELECT rid, i, unnest(string_split(raw, chr(10))) AS raw, generate_subscripts(string_split(raw, chr(10)), 1) AS j FROM p ANTI JOIN a USING (rid, i))
 ), b AS (
-  SELECT rid, i, j, arg_min(id, pref) AS id FROM ln x JOIN k ON {_FITS} GROUP BY ALL
+  SELECT rid, i, j, o, arg_min(id, pref) AS id FROM ln x JOIN k ON {_FITS} WHERE NOT contains(lower(raw), '{TAG}') GROUP BY ALL
+), w AS (
+  SELECT rid, i, j, regexp_split_to_array(regexp_replace(regexp_extract(raw, '{EXPRESSION}', 1), '{BESIDE}', '', 'g'), '[ \t]+') AS l FROM ln WHERE contains(lower(raw), '{TAG}')
+), c AS (
+  SELECT rid, i, j, min(o) AS o, '{NAMED}' || n.id AS id FROM (SELECT rid, i, j, unnest(l) AS t, generate_subscripts(l, 1) AS o FROM w) x JOIN names n ON lower(n.id) = lower(regexp_replace(x.t, '{VERSION}', '')) GROUP BY ALL
 ), q AS (
-  SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY i, j) AS ids FROM (FROM a UNION ALL FROM b) GROUP BY rid
+  SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY i, j, o) AS ids FROM (FROM a UNION ALL FROM b UNION ALL FROM c) GROUP BY rid
 ), l AS (
-  SELECT rid, string_agg(license, ',' ORDER BY license) AS license_list
-  FROM (SELECT DISTINCT rid, license FROM q JOIN rules ON contains(',' || ids || ',', seq)) GROUP BY rid
+  SELECT rid, string_agg(license, ',' ORDER BY license) AS license_list FROM (
+    SELECT rid, license FROM q JOIN rules ON contains(',' || ids || ',', seq) UNION SELECT rid, substr(id, {len(NAMED) + 1}) FROM c
+  ) GROUP BY rid
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(license_list, '') AS license_list
 FROM d LEFT JOIN q USING (rid) LEFT JOIN l USING (rid)

@@ -789,6 +789,100 @@ GPL_TEXT = """                    GNU GENERAL PUBLIC LICENSE
 to take away your freedom to share and change {}."""
 
 
+AFFERO = GPL.format(":", ",", 3).replace("GNU General Public License as published", "GNU Affero General Public License as published")
+LESSER = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details."""
+ADVERTISING = """
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the organization.
+"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, subject to the following:
+
+The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted{}.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES."""
+NOTICE = """, provided that the above
+copyright notice and this permission notice appear in all copies"""
+VERBATIM = """
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+FREEDOM = """
+
+                            Preamble
+
+  The licenses for most software {}
+to take away your freedom to share and change {}."""
+
+
+def test_licenses_that_look_alike(spark):
+    texts = {
+        "AGPL-3.0": AFFERO, "LGPL-2.1": LESSER, "BSD-4-Clause": BSD2 + ADVERTISING + BSD3.replace("3.", "4.") + BSD_END, "BSL-1.0": BOOST, "Zlib": ZLIB, "ISC": ISC.format(NOTICE), "0BSD": ISC.format(""),
+        "LGPL-3.0": GPL.format(":", ",", 3).replace("GNU General Public License as", "GNU Lesser General Public License as"),
+        "AGPL-3.0 ": VERBATIM + "\n  The GNU Affero General Public License is a free, copyleft license for\nsoftware and other kinds of works." + FREEDOM.format("and other practical works are designed", "the works"),
+        "GPL-3.0 ": VERBATIM + "\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works." + FREEDOM.format("and other practical works are designed", "the works"),
+        "LGPL-2.1 ": VERBATIM + "\n[This is the first released version of the Lesser GPL.  It also counts\n as the successor of the GNU Library Public License, version 2, hence\n the version number 2.1.]" + FREEDOM.format("are designed", "it"),
+        "LGPL-3.0 ": VERBATIM + "\n  This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below.",
+    }
+    forms = {"wrapped": lambda t: t, "unwrapped": lambda t: unwrapped(t.replace("\n * ", "\n").replace("\n *\n", "\n\n")), "within": lambda t: "Some text before it.\n\n" + t + "\n\nAnd text after it."}
+    rows = [(name, form, f(t)) for name, t in texts.items() for form, f in forms.items()]
+    df = spark.createDataFrame([(f"{n}|{f}", t) for n, f, t in rows], "doc_id string, text string")
+    got = {r.doc_id: r.license_list for r in license_scan.license_scan(df).collect()}
+    assert got == {f"{n}|{f}": n.strip() for n, f, _ in rows}
+
+
+def test_license_expressions_and_denials(spark):
+    texts = {
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;": "GPL-2.0", "<!-- SPDX-License-Identifier: mit -->": "MIT",
+        "# SPDX-License-Identifier: (LGPL-2.1-or-later WITH Some-exception-1.0 OR MPL-2.0) AND ISC\nx": "ISC,LGPL-2.1,MPL-2.0", "SPDX-License-Identifier: GPL-3.0+": "GPL-3.0", "SPDX-License-Identifier: Nobody-1.0": "", "SPDX-License-Identifier:": "",
+        "One.\nSPDX-License-Identifier: BSD-3-Clause\nReleased under the MIT License.": "BSD-3-Clause,MIT", "MIT OR Apache-2.0": "",
+        "This project is not released under the MIT license.": "", "It isn't released under the MIT License": "", "No part was ever or is now released under the MIT license.": "MIT", "It is no longer being released under the MIT license.": "",
+        "This is neither yours nor released under the MIT license.": "", "Not all of it, but this file, is released under the MIT License.": "MIT", "Code that cannot be licensed under the Apache License, Version 2.0": "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.license_scan(df).collect()
+    assert {list(texts)[r.doc_id]: r.license_list for r in got} == texts
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {r[0]: (r[1], r[2]) for r in con.sql(f"SELECT doc_id, sentence_ids, license_list FROM ({license_scan.OP10_SQL})").fetchall()} == {r.doc_id: (",".join(r.sequence), r.license_list) for r in got}
+
+
+def test_anchors_hit_every_sentence():
+    known = [" ".join(p).split() for _, p, _ in license_scan.parsed(license_scan.SENTENCES)]
+    found = license_scan.anchors(known)
+    assert len(found) < 16 and all(len(w) > 5 for w in found) and all(any(w in x for w in found for x in s) for s in known)
+
+
 def unwrapped(text):
     return re.sub(r"(?<!\n)\n(?!\n)[ ]*", " ", text)
 
