@@ -17,7 +17,7 @@ from .shared import blocks, crc_of, hashed_words, mixed, most_frequent, stored
 END, BEGIN = (int(x) for x in mixed(np.array([77, 78], dtype=np.uint64)))
 ADD = 0.1
 #: Words whose counts are at hand everywhere: at most so many of the most frequent ones. Counts of other contexts come by a join.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: Smoothing mass of a context: this share of its count, a constant for BEGIN and for words that no training text has.
 SHARE, CONSTANT = 1.0, 8.0
 SHARD_TOKENS, CHUNK = 2_000_000, 4 << 20
@@ -28,24 +28,40 @@ _PAIR = np.uint64(int(mixed(np.array([79], dtype=np.uint64))[0]) | 1)
 class EliasFano:
     """A sorted sequence of numbers in a file: high parts in unary, low parts of a whole number of bytes, packed.
 
-    The file is memory-mapped, so low parts are read where they lie; only the select directory of the unary part is made on
-    opening, 8 bytes for each value of the high part.
+    The file is memory-mapped, and both parts are read where they lie. Beside it stands only a count of the zeros before each 64 bits of the
+    unary part, from which the place of any zero follows by halving the 64 bits that hold it.
     """
 
     def __init__(self, high: np.ndarray, low: np.ndarray, low_bytes: int, path: str):
         self.n, self.low_bytes = len(high), low_bytes
-        n_bits = self.n + (int(high[-1]) if self.n else 0) + 1
-        bits = np.zeros(n_bits, dtype=bool)
+        self.highs = int(high[-1]) + 1 if self.n else 1
+        bits = np.ones(-(-(self.n + self.highs) // 64) * 64, dtype=bool)  # what is beyond the end is no zero
+        bits[: self.n + self.highs] = False
         bits[high.astype(np.int64) + np.arange(self.n)] = True
         low = np.ascontiguousarray(low.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :low_bytes]
         with open(path, "wb") as f:
-            f.write(np.packbits(bits).tobytes())
+            f.write(np.packbits(bits, bitorder="little").tobytes())
             f.write(np.ascontiguousarray(low).tobytes())
-        cut = (n_bits + 7) // 8
+        cut = len(bits) // 8
         mapped = np.memmap(path, np.uint8, "r")
-        self.zeros = np.flatnonzero(np.unpackbits(mapped[:cut], count=n_bits) == 0)
+        self.unary = mapped[:cut].view("<u8")
+        zeros = 64 - np.bitwise_count(self.unary).astype(np.int64)
+        self.before = np.cumsum(zeros) - zeros
         self.low = mapped[cut:].reshape(self.n, low_bytes)
 
+    def zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero of the unary part, from 0."""
+        at = np.searchsorted(self.before, k, side="right") - 1
+        left, bits, place = k - self.before[at], ~self.unary[at], at * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            low = bits & np.uint64((1 << width) - 1)
+            n = np.bitwise_count(low)
+            above = left >= n
+            left = left - np.where(above, n, 0)
+            bits = np.where(above, bits >> np.uint64(width), low)
+            place = place + width * above
+        return place
+
     def low_at(self, rank: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rank), 8), dtype=np.uint8)
         out[:, : self.low_bytes] = self.low[rank]
@@ -54,20 +70,21 @@ class EliasFano:
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks [from, to) of the numbers with this high part."""
         high = high.astype(np.int64)
-        inside = (high >= 0) & (high < len(self.zeros))
+        inside = (high >= 0) & (high < self.highs)
         h = np.where(inside, high, 0)
-        to = self.zeros[h] - h
-        start = np.where(h > 0, self.zeros[np.maximum(h - 1, 0)] - h + 1, 0)
+        to = self.zero(h) - h
+        start = np.where(h > 0, self.zero(np.maximum(h - 1, 0)) - h + 1, 0)
         return np.where(inside, start, 0), np.where(inside, to, 0)
 
     def find(self, high: np.ndarray, want: np.ndarray) -> np.ndarray:
-        """Rank of each number given by its high and low part, or -1: successor search by halving within the bucket of the high part."""
-        found = np.full(len(high), -1, np.int64)
-        if not self.n or not len(high):
-            return found
-        lo, hi = self.bucket(high)
+        """Rank of each number given by its high and low part, or -1."""
+        return self.within(*self.bucket(high), want) if len(high) else np.zeros(0, np.int64)
+
+    def within(self, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """Rank of each low part among the ranks [lo, hi) of its bucket, or -1: successor search by halving."""
+        found, lo = np.full(len(want), -1, np.int64), lo.copy()
         open_ = np.flatnonzero(lo < hi)
-        end = hi.copy()
+        end, hi = hi, hi.copy()
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
             less = self.low_at(mid) < want[open_]
@@ -83,8 +100,8 @@ class EliasFano:
 class Trie:
     """Level 1: words, as leading 16 bits and 6 bytes, with counts. Level 2: the contexts seen before each word, found relative to
     it: the high part of an entry is the word's rank, so unary high parts are the monotone pointers from
-    words to their contexts; the low part has 6 bytes of the context's hash. Each entry holds the logarithm of its smoothed mass in 8 bits.
-    All levels are memory-mapped files of `folder`; nothing is kept beside them."""
+    words to their contexts; the low part is the context, 6 bytes of its hash. Each entry holds the logarithm of its smoothed mass in 8 bits.
+    All levels are memory-mapped files of `folder`; kept beside them is a number for each 64 bits of their unary parts."""
 
     def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, totals, prior, mass, folder: str):
         """Sorted pairs with their counts; totals(words, sums), prior(counts), mass(contexts) give word counts, P(word) and smoothing mass."""
@@ -98,20 +115,17 @@ class Trie:
         self.low, high = (float(value.min()), float(value.max())) if len(value) else (0.0, 0.0)
         self.step = max((high - self.low) / 255, 1e-9)
         self.level1 = EliasFano(words >> LOW_BITS, words & LOW_MASK, 6, f"{folder}/words")
-        self.level2 = EliasFano(rank, context >> np.uint64(16), 6, f"{folder}/contexts")
+        self.level2 = EliasFano(rank, context, 6, f"{folder}/contexts")
         self.count, self.code = (_mapped(f"{folder}/{name}", x) for name, x in (("counts", counts), ("codes", np.rint((value - self.low) / self.step).astype(np.uint8))))
 
     def word_rank(self, words: np.ndarray) -> np.ndarray:
         return self.level1.find(words >> LOW_BITS, words & LOW_MASK)
 
-    def log_mass(self, rank: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Quantised logarithm for the contexts below the words of these ranks; NaN where there is none."""
-        out = np.full(len(rank), np.nan)
-        at = np.flatnonzero(rank >= 0)
-        place = self.level2.find(rank[at], context[at] >> np.uint64(16))
-        good = place >= 0
-        out[at[good]] = self.low + self.step * self.code[place[good]]
-        return out
+    def log_mass(self, rank: np.ndarray, n_context: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Quantised logarithm for the contexts below words: each word's rank, how many of the contexts are asked below it, and these in order; NaN where there is none."""
+        lo, hi = (np.repeat(x, n_context) for x in self.level2.bucket(rank))
+        place = self.level2.within(lo, hi, context)
+        return np.where(place >= 0, self.low + self.step * self.code[np.maximum(place, 0)], np.nan) if len(self.code) else np.full(len(context), np.nan)
 
 
 def _mapped(path: str, x: np.ndarray) -> np.ndarray:
@@ -147,6 +161,17 @@ def _counts_pass(batches):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([other], pa.int64())], names=["word", "n"])
 
 
+def _six(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**48 as 6 bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
+
+
+def _of_six(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = x.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
     head = np.array([len(a) for a in arrays], dtype=np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
@@ -161,8 +186,10 @@ def _unpacked(blob: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
-#: word, contexts of each word, context, training count, texts of each pair, text, times in it
-_KINDS = "u8 u4 u8 u4 u4 u2 u4"
+#: word, contexts of each word, context (6 bytes), training count, texts of each pair, text, times in it
+_KINDS = "u8 u4 u1 u4 u4 u2 u4"
+#: 6 of the 8 bytes of a word's hash tell contexts apart.
+CONTEXT = np.uint64(16)
 
 
 def _shard_of(word: np.ndarray, context: np.ndarray, hot: np.ndarray, n_shards: int) -> np.ndarray:
@@ -230,7 +257,7 @@ def _pairs_pass(n_shards: int, hot):
                     n_entry = held_by[at]
                     total = int(n_entry.sum())
                     pick = np.repeat(e_first[at] - (np.cumsum(n_entry, dtype=np.int64) - n_entry), n_entry) + np.arange(total)
-                    blobs.append(_packed(w, n_context.astype(np.uint32), pc[at], trained[at].astype(np.uint32), n_entry, doc[e][pick].astype(np.uint16), times[pick]))
+                    blobs.append(_packed(w, n_context.astype(np.uint32), _six(pc[at] >> CONTEXT), trained[at].astype(np.uint32), n_entry, doc[e][pick].astype(np.uint16), times[pick]))
                 tokens = np.bincount(doc, minlength=rows)
                 name = (part << 32) | chunk
                 chunk += 1
@@ -257,10 +284,11 @@ def _shard_pass(shared):
 
     def run(table: pa.Table, rare: pa.Table) -> pa.Table:
         n_all, v_all, frequent, frequent_n = shared.value
+        frequent_contexts = frequent >> CONTEXT
         floor = ADD / (n_all + ADD * (v_all + 1))
         prior = lambda c: c / (n_all + ADD * (v_all + 1)) + floor
 
-        other = rare.column("word").to_numpy().view(np.uint64)
+        other = rare.column("word").to_numpy().view(np.uint64) >> CONTEXT
         order = np.argsort(other)
         other, other_n = other[order], rare.column("n").to_numpy()[order].astype(np.float64)
 
@@ -275,7 +303,7 @@ def _shard_pass(shared):
             return np.where((n > 0) & (words != END), SHARE * n, CONSTANT)  # END stands for BEGIN, which comes as often
 
         def mass(contexts):
-            there, n = known(contexts)
+            there, n = looked_up(contexts, frequent_contexts, frequent_n)
             also, m = looked_up(contexts, other, other_n)
             return mass_of(contexts, np.where(there, n, np.where(also, m, 0)))
 
@@ -284,6 +312,8 @@ def _shard_pass(shared):
             return np.where(there, n, sums).astype(np.int64)
 
         chunks = [_unpacked(b.as_py(), _KINDS) for b in table.column("blob")]
+        for c in chunks:
+            c[2] = _of_six(c[2])
         word = np.concatenate([np.repeat(c[0], c[1]) for c in chunks])
         context = np.concatenate([c[2] for c in chunks])
         count = np.concatenate([c[3] for c in chunks])
@@ -304,22 +334,21 @@ def _shard_pass(shared):
 
     def answered(table, chunks, trie, known, mass, mass_of, prior) -> pa.Table:
         sums = []
-        for (cw, n_context, cb, _, n_entry, doc, times), rows in zip(chunks, table.column("rows").to_pylist(), strict=True):
+        for cw, n_context, cb, _, n_entry, doc, times in chunks:
             rank = trie.word_rank(cw)
             n_word = np.where(rank >= 0, trie.count[np.maximum(rank, 0)], 0) if len(trie.count) else np.zeros(len(cw), np.int64)
             there, n = known(cw)  # a hot word's pairs are in many shards, its count is the same in all
             n_word = np.where(there, n, n_word).astype(np.int64)
             of = np.repeat(np.arange(len(cw)), n_context)
-            top = trie.log_mass(rank[of], cb)
+            top = trie.log_mass(rank, n_context, cb)
             missing = np.isnan(top)
             top[missing] = np.log10(mass(cb[missing]) * prior(n_word[of[missing]]))
             value = top - np.log10(n_word + mass_of(cw, n_word))[of]
             e = np.repeat(np.arange(len(cb)), n_entry)
             ew = of[e]
-            base = np.bincount(doc, times * np.log10(n_word + ADD)[ew], minlength=rows)
-            hits = np.bincount(doc, times * (n_word > 0)[ew], minlength=rows).astype(np.uint32)
-            sums.append(_packed(base, hits, np.bincount(doc, times * value[e], minlength=rows)))
-        return pa.table({"chunk": table.column("chunk"), "sums": pa.array(sums, pa.binary()), "ids": table.column("ids"), "held": table.column("held"), "tokens": table.column("tokens")})
+            texts, at = np.unique(doc, return_inverse=True)  # only texts that have a pair here
+            sums.append(_packed(texts, np.bincount(at, times * np.log10(n_word + ADD)[ew]), np.bincount(at, times * (n_word > 0)[ew]).astype(np.uint32), np.bincount(at, times * value[e])))
+        return pa.table({"chunk": table.column("chunk"), "sums": pa.array(sums, pa.binary()), "rows": table.column("rows"), "ids": table.column("ids"), "held": table.column("held"), "tokens": table.column("tokens")})
 
     return run
 
@@ -329,11 +358,11 @@ def _sum_pass(norm: float):
 
     def run(table: pa.Table) -> pa.Table:
         with_ids = max(range(table.num_rows), key=lambda i: len(table.column("ids")[i].values or []))
-        total = None
+        base, hits, model = np.zeros((3, table.column("rows")[0].as_py()))
         for blob in table.column("sums"):
-            part = [x.astype(np.float64) for x in _unpacked(blob.as_py(), "f8 u4 f8")]
-            total = part if total is None else [x + y for x, y in zip(total, part, strict=True)]
-        base, hits, model = total
+            texts, *part = _unpacked(blob.as_py(), "u2 f8 u4 f8")
+            for total, own in zip((base, hits, model), part, strict=True):
+                total[texts] += own
         tokens = table.column("tokens")[with_ids].values
         return pa.table({"id": table.column("ids")[with_ids].values, "held_out": table.column("held")[with_ids].values, "n_tokens": tokens, "n_known": pa.array(hits.astype(np.int64)), "base_score": pa.array(base - tokens.to_numpy() * norm), "score": pa.array(model)})
 
@@ -370,17 +399,19 @@ def lm_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text"
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("n"), F.count("word").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
     n_shards = max(6, -(-int(total["all"]) // SHARD_TOKENS))  # of all tokens: held-out pairs are dealt too
-    top = most_frequent(words, "n", FREQUENT).toPandas()  # at most 2 MB
+    top = most_frequent(words, "n", FREQUENT).toPandas()  # at most 16 MB
+    limit = max(int(total["all"]) / (8 * n_shards), 1)
     order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
     frequent, frequent_n = top["word"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
-    # Fewer than 8 * n_shards words can have so many tokens; all of them are among the frequent ones up to 16,384 shards.
-    hot = spark.sparkContext.broadcast(frequent[frequent_n > max(int(total["all"]) / (8 * n_shards), 1)])
+    # Fewer than 8 * n_shards words can have so many tokens, so there are at most 64 bytes of them for each shard.
+    heavy = words.filter(F.col("n") > limit).select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    hot = spark.sparkContext.broadcast(np.sort(heavy))
     shared = spark.sparkContext.broadcast((n_all, v_all, frequent, frequent_n.astype(np.float64)))
     lists = f"ids array<{kind}>, held array<boolean>, tokens array<long>"
     dealt = slim.mapInArrow(_pairs_pass(n_shards, hot), f"chunk long, shard int, rows int, blob binary, {lists}")
     wanted = slim.select("text").mapInArrow(_wanted_pass(n_shards, hot, shared), "word long, shard int").distinct()
     rare = wanted.join(words.hint("shuffle_hash"), "word").select("shard", "word", "n")
-    sums = dealt.groupBy("shard").cogroup(rare.groupBy("shard")).applyInArrow(_shard_pass(shared), f"chunk long, sums binary, {lists}")
+    sums = dealt.groupBy("shard").cogroup(rare.groupBy("shard")).applyInArrow(_shard_pass(shared), f"chunk long, sums binary, rows int, {lists}")
     norm = float(np.log10(n_all + ADD * (v_all + 1)))
     out = sums.groupBy("chunk").applyInArrow(_sum_pass(norm), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
