@@ -45,7 +45,8 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     wordless = F.when(~F.coalesce(F.rlike("text", F.lit(WORD)), F.lit(False)), F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
     slim = rows.select("_row", "doc_id", F.xxhash64(*COLUMNS).alias("_hash"), wordless.alias("_equal")).join(classes, "_row").withColumn("_class", F.when(F.col("n_shingles") > 0, F.col("component_id")))
     first = slim.groupBy("_class", "_equal").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "_row")).alias("m"))
-    return rows.join(stored(first.select(F.col("m._row").alias("_row")), "pipeline-near"), "_row", "left_semi").select(*COLUMNS)
+    near = stored(first.select(F.col("m._row").alias("_row")), "pipeline-near").hint("shuffle_hash")  # a row for each kept document: never broadcast
+    return rows.join(near, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
