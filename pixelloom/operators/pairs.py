@@ -1,30 +1,27 @@
-"""Exact pair joins on vectors and hashes, block against block.
+"""Exact pair joins on vectors and hashes.
 
-The blocks follow the number of rows, each pair of blocks is one task's matrix product, and only
-pairs that pass the threshold leave the task. All pairs are compared: the reference's self-joins have
-no other bound on a cosine. Hamming joins with a small distance use bands instead.
+Vectors are dealt to the cells of pivots, and a row meets only rows of its own cell and of cells that the triangle inequality leaves possible; large cells are dealt
+to blocks, each a matrix product of one task, and only pairs that pass the threshold leave it. Hamming joins with a small distance use bands instead.
+Where only groups matter, equal rows stand for each other: see cosine_links() and hamming_links().
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hamming
+from ..sources.scratch import stored
 
 BLOCK_ROWS = 1000
+#: At most so many pivots, one for each BLOCK_ROWS rows before that; every task holds them.
+PIVOTS = 4096
 
 
-def cosine_pairs(table: DataFrame, least: float, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(a, b, score) with a < b and dot product >= least; rows without a vector or key pair with nothing."""
-    rows = table.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).filter("k is not null and v is not null")
-    n = max(1, -(-rows.count() // BLOCK_ROWS))
-    own = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-    left = own.select(F.col("k").alias("ka"), F.col("v").alias("va"), F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(n - 1))).alias("j"))
-    right = own.select(F.col("k").alias("kb"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
-
+def _product(least: float):
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -34,7 +31,75 @@ def cosine_pairs(table: DataFrame, least: float, key: str = "vec_id", vec: str =
         keep = a < b if x["i"].iloc[0] == x["j"].iloc[0] else np.ones(len(a), bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[p, q][keep]})
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(product, "a long, b long, score double")
+    return product
+
+
+def _placed(pivots: np.ndarray, reach: float):
+    """(cell, own, k, v): each row in the cell of its nearest pivot, and a copy in each cell of a smaller number that may hold a partner."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            apart = np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * v @ pivots.T, 0))
+            own = apart.argmin(axis=1)
+            near = apart - apart[np.arange(len(v)), own][:, None] <= reach
+            near &= np.arange(len(pivots)) < own[:, None]
+            row, cell = np.nonzero(near)
+            row, cell = np.concatenate([np.arange(len(v)), row]), np.concatenate([own, cell])
+            owns = np.arange(len(row)) < len(v)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(owns), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "own", "k", "v"])
+
+    return run
+
+
+def cosine_pairs(table: DataFrame, least: float, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(a, b, score) with a < b and dot product >= least; rows without a vector or key pair with nothing.
+
+    Rows x, y with x.y >= least are at most sqrt(2 (R^2 - least)) apart, R being the largest norm. So a row of one cell can only have a partner of
+    another cell if the other's pivot is at most twice that farther from it than its own; there it gets a copy. Pairs of two cells are found in the cell of the
+    smaller number. Nothing is left out: where vectors lie everywhere alike, this is a join of all blocks.
+    """
+    spark = table.sparkSession
+    rows = table.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).filter("k is not null and v is not null")
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("most")).first()
+    pivots = rows.orderBy(F.xxhash64("k"), "k").limit(min(PIVOTS, max(1, -(-whole["n"] // BLOCK_ROWS)))).select("v").collect()
+    kind = rows.schema["k"].dataType.simpleString()
+    if not pivots:
+        return spark.createDataFrame([], "a long, b long, score double")
+    reach = 2 * np.sqrt(max(2 * (whole["most"] - least), 0.0)) + 1e-9
+    placed = rows.mapInArrow(_placed(np.array([p["v"] for p in pivots]), float(reach)), f"cell int, own boolean, k {kind}, v array<double>")
+    sides = lambda own: F.ceil(F.count_if(F.col("own") if own else ~F.col("own")) / BLOCK_ROWS).cast("int")
+    cells = F.broadcast(stored(placed.groupBy("cell").agg(sides(True).alias("s"), sides(False).alias("c")), "pair-cells"))  # a row for each pivot at most
+    side = F.when(F.col("own"), F.pmod(F.xxhash64("k"), F.col("s"))).otherwise(F.col("s") + F.pmod(F.xxhash64("k"), F.col("c"))).cast("int")
+    dealt = placed.join(cells, "cell").filter("s > 0").withColumn("side", side)
+    last = F.col("s") + F.col("c") - 1
+    left = dealt.filter("own").select("cell", F.col("k").alias("ka"), F.col("v").alias("va"), F.col("side").alias("i"), F.explode(F.sequence("side", last)).alias("j"))
+    upto = F.when(F.col("own"), F.col("side")).otherwise(F.col("s") - 1)
+    right = dealt.select(F.col("cell").alias("cell_b"), F.col("k").alias("kb"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), upto)).alias("i_b"), F.col("side").alias("j_b"))
+    return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell_b", "i_b", "j_b")).applyInPandas(_product(least), "a long, b long, score double")
+
+
+def _with_equals(rows: DataFrame, value: str, links, joined) -> DataFrame:
+    """(a, b): links among the least keys of equal values, and between each key and the least one, where `joined` holds for a value with itself."""
+    first = stored(rows.groupBy(value).agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("n")), "equal-rows")
+    others = rows.join(first.filter((F.col("n") > 1) & joined(F.col(value))).select(value, "least"), value).filter("k <> least")
+    return links(first.select(F.col("least").alias("k"), value)).select("a", "b").union(others.select(F.col("least").alias("a"), F.col("k").alias("b")))
+
+
+def cosine_links(table: DataFrame, least: float, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(a, b): as many pairs of cosine_pairs() as hold its groups together: equal vectors are linked to the one of the least key, which alone is compared with others."""
+    rows = table.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).filter("k is not null and v is not null")
+    return _with_equals(rows, "v", lambda r: cosine_pairs(r, least, "k", "v"), lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) >= least)
+
+
+def hamming_links(table: DataFrame, most: int, key: str = "vec_id", hash_col: str = "hash") -> DataFrame:
+    """(a, b): as many pairs of hamming_pairs() as hold its groups together: equal hashes are linked to the one of the least key, which alone is compared with others."""
+    rows = table.select(F.col(key).alias("k"), F.col(hash_col).alias("h")).filter("k is not null and h is not null")
+    return _with_equals(rows, "h", lambda r: hamming_pairs(r, most, "k", "h"), lambda h: F.lit(True))
 
 
 def hamming_pairs(table: DataFrame, most: int, key: str = "vec_id", hash_col: str = "hash") -> DataFrame:

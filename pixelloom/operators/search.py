@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import similarity
 from .components import connected_components
-from .pairs import cosine_pairs
+from .pairs import cosine_links
 
 
 def with_similarity(table: DataFrame, query: DataFrame, vec: str = "embedding", metric=similarity) -> DataFrame:
@@ -40,8 +40,7 @@ def chain(table: DataFrame, start: DataFrame, near: float, anchor: float, key: s
     """
     first = start.select(F.col(key).alias("_s"), F.col(vec)).limit(1)
     close = with_similarity(table, first, vec).filter(F.col("score") >= anchor).select(key, vec)
-    edges = cosine_pairs(close, near, key, vec).select("a", "b")
-    parts = connected_components(edges)
+    parts = connected_components(cosine_links(close, near, key, vec))
     own = parts.join(F.broadcast(first.select(F.col("_s").alias("id"))), "id").select("component")
     reached = parts.join(F.broadcast(own), "component").select(F.col("id").alias(key))
     return reached.union(first.select(F.col("_s").alias(key))).distinct()

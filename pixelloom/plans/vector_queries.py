@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import average_hash, calibrated_similarity, difference_hash, hamming, normalised
 from ..operators import calibration, preference, scope, search, tagging
 from ..operators.components import connected_components
-from ..operators.pairs import cosine_pairs, hamming_pairs
+from ..operators.pairs import cosine_links, cosine_pairs, hamming_links, hamming_pairs
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -76,7 +76,7 @@ def q_cosine_pairs(spark, d):
 
 @query("cosine_components", f"WITH RECURSIVE {_PAIRS}, {_REACH} SELECT id, component, count(*) OVER (PARTITION BY component)::BIGINT AS members FROM comp")
 def cosine_components(spark, d):
-    parts = connected_components(cosine_pairs(emb(spark, d), 0.40))
+    parts = connected_components(cosine_links(emb(spark, d), 0.40))
     return parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").select("id", "component", "members")
 
 
@@ -87,7 +87,7 @@ def cosine_groups_ranked(spark, d):
     from ..functions.vectors import similarity
 
     e = emb(spark, d)
-    parts = connected_components(cosine_pairs(e, 0.40))
+    parts = connected_components(cosine_links(e, 0.40))
     own, rep = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("component"), F.col("embedding").alias("y"))
     score = F.when(F.col("id") == F.col("component"), F.lit(1.0)).otherwise(similarity(F.col("x"), F.col("y")))
     return parts.join(own, "id").join(rep, "component").select("id", "component", F.round(score, 6).alias("score"))
@@ -276,7 +276,7 @@ def q_hamming_pairs(spark, d):
 
 @query("hamming_components", f"WITH RECURSIVE {_AHASH}, pairs AS (SELECT x.vec_id AS a, y.vec_id AS b FROM h x JOIN h y ON x.vec_id < y.vec_id AND {_DIST} <= 18), {_REACH} SELECT id, component FROM comp")
 def hamming_components(spark, d):
-    return connected_components(hamming_pairs(_hashed(spark, d), 18)).select("id", "component")
+    return connected_components(hamming_links(_hashed(spark, d), 18)).select("id", "component")
 
 
 @query("scoped_search", f"WITH {_SCORED.replace('greatest(0.0, ', '(')} SELECT vec_id, 'set/' || label AS folder, round(score, 6) AS score FROM scored WHERE label % 2 = 0 ORDER BY scored.score DESC, vec_id LIMIT 10")

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,33 @@ def test_hamming_pairs_by_bands_and_blocks(spark, most):
     assert got == want
 
 
+@pytest.mark.parametrize(("spread", "least"), [(0.05, 0.98), (0.4, 0.9), (3.0, 0.3)])
+def test_cosine_pairs_by_cells(spark, monkeypatch, spread, least):
+    """Clustered and even vectors, of unit norm and not, with copies: all pairs are found, and few rows are copied where vectors cluster."""
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 12)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(10, 8))[rng.integers(0, 10, 150)] + spread * rng.normal(size=(150, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True) * (1 if spread < 3 else rng.uniform(0.9, 1.1, (150, 1)))
+    v[140:] = v[0]
+    df = spark.createDataFrame([*((i, x.tolist()) for i, x in enumerate(v)), (900, None), (None, [1.0] * 8)], "vec_id long, embedding array<double>").repartition(3)
+    s = v @ v.T
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if s[i, j] >= least}
+    got = [(r.a, r.b) for r in pairs.cosine_pairs(df, least).collect()]
+    assert len(got) == len(set(got)) and {p for p in set(got) ^ want if abs(s[p] - least) > 1e-9} == set() and len(want) > 40
+    groups = {r.id: r.component for r in components.connected_components(pairs.cosine_pairs(df, least)).collect()}
+    assert {r.id: r.component for r in components.connected_components(pairs.cosine_links(df, least)).collect()} == groups
+    if spread < 0.1:
+        rows = [pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(v.tolist())], names=["k", "v"])]
+        assert sum(b.num_rows for b in pairs._placed(v[:13], 2 * math.sqrt(2 - 2 * least))(rows)) < 3 * 150
+
+
+def test_hamming_links_hold_the_groups(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, rng.choice([0, 1, 3, 255, 2**40, 2**40 + 1])) for i in range(60)] + [(99, 2**50 + 2**30 + 7 * 2**9)], "vec_id long, hash long")
+    part = lambda e: {r.id: r.component for r in components.connected_components(e).collect()}
+    assert part(pairs.hamming_links(df, 1)) == part(pairs.hamming_pairs(df, 1)) and pairs.hamming_links(df, 1).count() < 70
+
+
 def test_formats(spark):
     rows = [
         ("jpg", "FFD8FF0000FFD9", "jpeg", True), ("jpg", "FFD8FF0000", "jpeg", False), ("png", "FFD8FF0000FFD9", "jpeg", False),
