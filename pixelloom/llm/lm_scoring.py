@@ -399,12 +399,13 @@ def lm_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text"
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("n"), F.count("word").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
     n_shards = max(6, -(-int(total["all"]) // SHARD_TOKENS))  # of all tokens: held-out pairs are dealt too
-    top = most_frequent(words, "n", FREQUENT).toPandas()  # at most 16 MB
+    top = most_frequent(words, "n", FREQUENT).toArrow()  # at most 16 MB
     limit = max(int(total["all"]) / (8 * n_shards), 1)
-    order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
-    frequent, frequent_n = top["word"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
+    frequent, frequent_n = (top[c].to_numpy() for c in ("word", "n"))
+    order = np.argsort(frequent.view(np.uint64))
+    frequent, frequent_n = frequent.view(np.uint64)[order], frequent_n[order]
     # Fewer than 8 * n_shards words can have so many tokens, so there are at most 64 bytes of them for each shard.
-    heavy = words.filter(F.col("n") > limit).select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    heavy = words.filter(F.col("n") > limit).select("word").toArrow()["word"].to_numpy().view(np.uint64)
     hot = spark.sparkContext.broadcast(np.sort(heavy))
     shared = spark.sparkContext.broadcast((n_all, v_all, frequent, frequent_n.astype(np.float64)))
     lists = f"ids array<{kind}>, held array<boolean>, tokens array<long>"
