@@ -53,6 +53,29 @@ def duration(seconds: Column) -> Column:
     return F.when(s >= 60, F.format_string("%d:%02d min", F.floor(s / 60), s % 60)).otherwise(F.format_string("%d s", s))
 
 
+#: The wording of what is left, and of hits by name alone.
+REMAINING, NAME_ONLY, NAME_AND_SIZE = "noch ca. ", "nur Name", "nur Name — Bestand "
+
+
+def remaining(elapsed: Column, done: Column, total: Column) -> Column:
+    """What is left at the pace so far, in seconds or minutes, rounded up; empty before the first and after the last unit."""
+    left = F.ceil(elapsed / done * (total - done)).cast("long")
+    minutes = F.format_string("%d min", F.floor(left / 60))
+    shown = F.when(left < 60, F.format_string("%d s", left)).when(left % 60 > 0, F.concat(minutes, F.format_string(" %d s", left % 60))).otherwise(minutes)
+    return F.when((done > 0) & (done < total) & (left > 0), F.concat(F.lit(REMAINING), shown)).otherwise("")
+
+
+def hint_parts(hint: Column) -> Column:
+    """(field, value) of a hint: cut at its first colon, unless it begins with one; a hint without is a value alone."""
+    at = F.instr(hint, ":")
+    return F.when(at > 1, F.struct(F.substring(hint, F.lit(1), at - 1).alias("field"), F.trim(F.substring(hint, at + 1, F.char_length(hint))).alias("value"))).otherwise(F.struct(F.lit("").alias("field"), hint.alias("value")))
+
+
+def hit_hint(name_only: Column, size: Column, reference_size: Column) -> Column:
+    """How sure a duplicate is: empty where contents were compared, else that only the name agrees, and the other size if it differs."""
+    return F.when(~name_only, "").when(size != reference_size, F.concat(F.lit(NAME_AND_SIZE), readable_size(reference_size))).otherwise(NAME_ONLY)
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(F.substring_index(path, "/", -1), "\\", -1)
 

@@ -52,6 +52,25 @@ def folder_equality(left: DataFrame, right: DataFrame, content: str = "content")
     return both.agg(F.coalesce(F.sum(F.when(F.col("nr").isNull(), F.col("nl"))), F.lit(0)).alias("left_only"), F.coalesce(F.sum(F.when(F.col("nl").isNull(), F.col("nr"))), F.lit(0)).alias("right_only")).withColumn("equal", (F.col("left_only") == 0) & (F.col("right_only") == 0))
 
 
+def folder_comparison(left: DataFrame, right: DataFrame, content: str = "content", place: str = "place") -> DataFrame:
+    """One row about two folders of files (id, content, place): left and right files, how many lefts have no partner, distinct rights that are someone's
+    partner, rights that are nobody's, unreadable files (null contents), whether the folders hold the same, and whether equal files lie in the same places.
+
+    The partner of a left file is a right one of equal content, the one in the same place (case ignored) if there is one, else the one of the least id.
+    """
+    known = lambda df: df.filter(F.col(content).isNotNull()).select("id", F.lower(place).alias("place"), F.sha2(F.col(content).cast("binary"), 256).alias("sha"))
+    l, r = known(left), known(right)
+    first = r.groupBy("sha").agg(F.min("id").alias("first"))
+    same = r.groupBy("sha", "place").agg(F.min("id").alias("same"))
+    hits = l.join(first, "sha", "left").join(same, ["sha", "place"], "left").withColumn("partner", F.coalesce("same", "first"))
+    hits = hits.agg(F.count("partner").alias("hit"), F.count_distinct("partner").alias("matched"), F.count_if(F.col("partner").isNotNull() & F.col("same").isNull()).alias("moved"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name), F.count_if(F.col(content).isNull()).alias(f"{name}_unreadable"))  # noqa: E731  one row each
+    out = hits.crossJoin(F.broadcast(count(left, "lefts"))).crossJoin(F.broadcast(count(right, "rights")))
+    out = out.select("lefts", "rights", (F.col("lefts") - F.col("hit")).alias("without_partner"), "matched", F.greatest(F.lit(0), F.col("rights") - F.col("matched")).alias("right_only"), (F.col("lefts_unreadable") + F.col("rights_unreadable")).alias("unreadable"), "moved")
+    equal = (F.col("lefts") > 0) & (F.col("without_partner") == 0) & (F.col("right_only") == 0) & (F.col("unreadable") == 0)
+    return out.withColumn("equal", equal).withColumn("same_places", F.col("equal") & (F.col("moved") == 0)).drop("moved")
+
+
 def matched(hits: DataFrame, listed: DataFrame) -> DataFrame:
     """Every hit (hit, path, name) with its list row (row_id, path, name): by path, else by name (first row wins), else null."""
     by_path = listed.groupBy(F.lower("path").alias("lp")).agg(F.min("row_id").alias("r1"))

@@ -101,3 +101,38 @@ def quartile(position: Column, count: Column) -> Column:
 def eighth(position: Column, count: Column) -> Column:
     """Eighths of a list that are reached at the 0-based position, at most 8; null for an empty list."""
     return F.when(count > 0, F.least(F.ceil((position + 1) / count * 8), F.lit(8)))
+
+
+def newest_first(folders: DataFrame, stamp: str, key: str = "path") -> DataFrame:
+    """Adds the position, from 0, by stamp, the newest first; of one stamp by key, case ignored."""
+    return numbered(folders, F.coalesce(-F.unix_micros(F.col(stamp)), F.lit(0)) if dict(folders.dtypes)[stamp] == "timestamp" else -F.col(stamp), F.upper(key), key)
+
+
+def largest_first(groups: DataFrame, members: str, key: str) -> DataFrame:
+    """Adds the position, from 0, of groups by size, the largest first, then by key."""
+    return numbered(groups, -F.col(members), key)
+
+
+def first_files(files: DataFrame, n: int, folder: str = "folder", name: str = "name") -> DataFrame:
+    """The first n rows by folder and name, case ignored; no more than n rows leave any task."""
+    return files.orderBy(F.upper(folder), F.upper(name), folder, name).limit(n)
+
+
+def folder_state(wanted: DataFrame, files: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(folder, files, bytes, empty) of each wanted folder, everything below it included: -1 files and 0 bytes where the scan did not find it. Case is ignored.
+
+    scanned: (folder) that exist. A file counts for its folder and for all folders above it.
+    """
+    parts = F.split(F.lower("folder"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    sums = files.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).select(F.explode(above).alias("_f"), "n", "b").groupBy("_f").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    there = scanned.select(F.explode(above).alias("_s")).distinct()
+    out = wanted.join(there, F.lower(wanted["folder"]) == F.col("_s"), "left").join(sums, F.lower(wanted["folder"]) == F.col("_f"), "left")
+    n = F.when(F.col("_s").isNull() & F.col("n").isNull(), -1).otherwise(F.coalesce("n", F.lit(0)))
+    return out.select("folder", n.cast("long").alias("files"), F.coalesce("b", F.lit(0)).alias("bytes"), (n == 0).alias("empty"))
+
+
+def kept_with_unreadable(rows: DataFrame, found: DataFrame, unreadable: DataFrame, key: str = "path") -> DataFrame:
+    """Rows of a list that were found or that nothing could be said of, each once."""
+    keep = found.select(F.lower(key).alias("_k")).union(unreadable.select(F.lower(key))).distinct()
+    return rows.join(keep, F.lower(rows[key]) == F.col("_k"), "left_semi")

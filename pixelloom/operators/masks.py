@@ -173,6 +173,17 @@ def gate(old: Column, old_n: Column, new: Column, new_n: Column, proven: float =
     return F.when((old >= proven) & (new < proven), F.lit(False)).otherwise(F.coalesce(new / expected >= ratio, F.lit(False)))
 
 
+def catalogue_sums(masks: DataFrame) -> DataFrame:
+    """One row: masks, fields they were learnt from, and how many are proven."""
+    return masks.agg(F.count(F.lit(1)).alias("masks"), F.coalesce(F.sum("n"), F.lit(0)).alias("fields"), F.count_if(is_proven(F.col("separability"))).alias("proven"))
+
+
+def high_share(values: DataFrame, *by: str, q: float = 0.98) -> DataFrame:
+    """([by,] value): the value at `q` of the sorted positive ones, for scaling maps that few outliers must not flatten."""
+    ranked = cumulated(values.filter("value > 0"), "value", *by)
+    return ranked.filter(holds(F.least(F.floor(F.col("total") * q), F.col("total") - 1))).select(*by, "value")
+
+
 def usable(separability: Column) -> Column:
     """Masks that were ever measured take part in a check, weak ones too."""
     return separability.isNotNull()

@@ -74,6 +74,19 @@ def blended(own: np.ndarray | None, pooled: np.ndarray | None, n_small: int) ->
     return a * own / np.linalg.norm(own) + (1 - a) * pooled / np.linalg.norm(pooled)
 
 
+def folder_vector(table: DataFrame, sums: DataFrame, own, folder: str = "folder", vec: str = "embedding", least: int = 5) -> np.ndarray | None:
+    """The direction that ranks a folder: its own ridge direction, or its centroid difference where that has none, blended with the pooled direction of all other folders.
+
+    table: (bad, embedding) of the folder, sums: the sums of all folders. None if neither side has a direction.
+    """
+    first = lambda df: (lambda r: np.array(r["vector"]) if r else None)(as_vector(df).first())
+    mine = sums.filter(F.col(folder) == F.lit(own))
+    direction = ridge_direction(table, vec=vec, least=least)
+    direction = first(centroid_direction(mine, least)) if direction is None else direction
+    small = mine.agg(F.min(F.least("n_good", "n_bad"))).first()[0]
+    return blended(direction, first(pooled_direction(sums, own, folder, least)), int(small or 0))
+
+
 def positions(rated: DataFrame, key: str = "vec_id") -> DataFrame:
     """Adds the rank, from 1, by rating and then by key."""
     return numbered(rated, -F.col("rating"), key).withColumn("position", F.col("position") + 1)

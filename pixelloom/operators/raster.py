@@ -155,3 +155,22 @@ def colour_bands(px: DataFrame, n: int, height: int) -> DataFrame:
     above = Window.partitionBy("image").orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
     out = whole.join(known, ["image", "band"], "left")
     return out.select("image", "band", *(F.floor(F.last(c, ignorenulls=True).over(above)).cast("long").alias(c) for c in "rgb"))
+
+
+def has_grey_last_row(rows: DataFrame, share: float = 0.9, grey: int = 128) -> DataFrame:
+    """(image, grey): whether more than `share` of a picture's last row is exactly mid-grey, as a broken decode leaves it. rows: (image, width, height, x, y, r, g, b)."""
+    exact = (F.col("r") == grey) & (F.col("g") == grey) & (F.col("b") == grey)
+    return rows.filter(F.col("y") == F.col("height") - 1).groupBy("image").agg((F.count_if(exact) > F.floor(F.max("width") * share)).alias("grey"))
+
+
+#: Mean and standard deviation of the channels that the networks expect.
+MEANS, SPREADS = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)
+
+
+def network_input(channels: list[Column], width: int, height: int, side: int = 224) -> Column:
+    """One array, channel after channel, of a picture given by an array of 0..255 for each channel: on a square grid, rounded to bytes, scaled and standardised."""
+
+    def standard(mean: float, spread: float) -> Callable[[Column], Column]:
+        return lambda v: (F.floor(v + 0.5) / 255.0 - mean) / spread
+
+    return F.concat(*(F.transform(bilinear(c, width, height, side, side), standard(m, s)) for c, m, s in zip(channels, MEANS, SPREADS, strict=True)))

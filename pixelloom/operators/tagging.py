@@ -52,3 +52,12 @@ def with_tag(table: DataFrame, category: str, value: str) -> DataFrame:
 
 def with_concept(table: DataFrame, value: str) -> DataFrame:
     return table.filter(F.exists("concepts", lambda c: F.lower(c) == value.lower()))
+
+
+#: Fixed value: the category whose values are concepts.
+CONCEPTS = "Erkannt"
+
+
+def with_category(table: DataFrame, category: str, value: str) -> DataFrame:
+    """Rows with a concept, if the category is that of concepts, else with a tag."""
+    return with_concept(table, value) if category.lower() == CONCEPTS.lower() else with_tag(table, category, value)

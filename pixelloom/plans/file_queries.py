@@ -6,7 +6,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import functions as F
 
-from ..functions import formats, image_heads, text
+from ..functions import boxes, formats, image_heads, text
 from ..operators import dedup, incremental, lists, rating, scope, timeline
 from ..operators.order_stats import numbered
 from .registry import registry
@@ -515,3 +515,80 @@ def search_scope(spark, d):
     folders = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("path"))
     return scope.scope(folders.union(folders.select(F.upper("path"))), "SRC1/", scope.BRANCH).select(F.lower("path").alias("path"), "own")
 
+
+# Folders as catalogues and as lists.
+@query("folder_state", f"WITH {_FILES} SELECT folder, count(*)::BIGINT AS files, sum(size)::BIGINT AS bytes, false AS empty FROM files GROUP BY folder UNION ALL SELECT DISTINCT 'gone/' || folder, -1, 0, false FROM files UNION ALL SELECT folder || '/' || lang, count(*), sum(strlen(text))::BIGINT, false FROM files JOIN documents ON doc_id = id GROUP BY ALL")
+def folder_state(spark, d):
+    """Folders of sources with folders of languages in them, and folders that are not there."""
+    f = files(spark, d).select(F.col("name").alias("folder"), "size")
+    source = F.upper(F.substring_index("folder", "/", 1))
+    wanted = f.select(F.explode(F.array(source, F.upper("folder"), F.concat(F.lit("GONE/"), source))).alias("folder")).distinct()
+    return lists.folder_state(wanted, f, f.select("folder")).withColumn("folder", F.lower("folder"))
+
+
+@query("catalogue_newest", "SELECT source AS path, max(doc_id) AS stamp, row_number() OVER (ORDER BY max(doc_id) DESC, upper(source), source) - 1 AS position FROM documents GROUP BY source")
+def catalogue_newest(spark, d):
+    return lists.newest_first(table(spark, d, "documents").groupBy(F.col("source").alias("path")).agg(F.max("doc_id").alias("stamp")), "stamp")
+
+
+@query("groups_by_size", "SELECT sha256(text) AS sha, count(*)::BIGINT AS members, row_number() OVER (ORDER BY count(*) DESC, sha256(text)) - 1 AS position FROM documents GROUP BY text HAVING count(*) > 1")
+def groups_by_size(spark, d):
+    return lists.largest_first(dedup.hash_groups(files(spark, d), F.col("content")), "members", "sha").select("sha", "members", "position")
+
+
+@query("first_files", f"WITH {_FILES} SELECT id, folder, name FROM files ORDER BY upper(folder), upper(name), folder, name, id LIMIT 40")
+def first_files(spark, d):
+    """The first 40 files, by folder and by name, which ends in their number."""
+    f = files(spark, d).withColumn("sorted", F.concat("name", F.lpad(F.col("id").cast("string"), 12, "0")))
+    return lists.first_files(f, 40, name="sorted").select("id", "folder", "name")
+
+
+@query("folder_comparison", f"""WITH {_FILES}, l AS (SELECT id, sha256(content) AS sha, lower(split_part(name, '/', 2)) AS place FROM files WHERE NOT ref), r AS (SELECT id, sha256(content) AS sha, lower(split_part(name, '/', 2)) AS place FROM files WHERE ref),
+ h AS (SELECT l.id, (SELECT min(r.id) FROM r WHERE r.sha = l.sha AND r.place = l.place) AS same, (SELECT min(r.id) FROM r WHERE r.sha = l.sha) AS first FROM l),
+ n AS (SELECT (SELECT count(*) FROM files WHERE NOT ref) AS lefts, (SELECT count(*) FROM files WHERE ref) AS rights, count(first) AS hit, count(DISTINCT coalesce(same, first)) AS matched, count(*) FILTER (first IS NOT NULL AND same IS NULL) AS moved FROM h)
+ SELECT lefts, rights, lefts - hit AS without_partner, matched, greatest(0, rights - matched) AS right_only, 0::BIGINT AS unreadable, lefts > 0 AND lefts = hit AND rights <= matched AS equal, lefts > 0 AND lefts = hit AND rights <= matched AND moved = 0 AS same_places FROM n""")
+def folder_comparison(spark, d):
+    return dedup.folder_comparison(*(f.withColumn("place", F.substring_index("name", "/", -1)) for f in _sides(spark, d)))
+
+
+@query("text_boxes", """WITH p AS (SELECT p_partkey, p_size * 90 AS w, p_partkey % 3000 + 1 AS h, (p_partkey % 700 - 20)::DOUBLE AS x, p_size * 7.5::DOUBLE AS y, (p_size + 3)::DOUBLE AS bw, p_size / 2.0::DOUBLE AS bh FROM part),
+ s AS (SELECT *, CASE WHEN greatest(w, h) > 2600 THEN greatest(1, floor(w * (2600::DOUBLE / greatest(w, h)))) / w WHEN greatest(w, h) < 2000 THEN round_even(w * least(2.0, 2000::DOUBLE / greatest(w, h)), 0) / w ELSE 1 END AS f FROM p),
+ b AS (SELECT p_partkey, f, w, h, x / f AS x, y / f AS y, bw / f AS bw, bh / f AS bh, bh / f * 0.35::DOUBLE AS air FROM s),
+ c AS (SELECT p_partkey, f, floor(least(greatest(x - air, 0), w))::BIGINT AS l, floor(least(greatest(y - air, 0), h))::BIGINT AS t, ceil(least(greatest(x + bw + air, 0), w))::BIGINT AS r, ceil(least(greatest(y + bh + air, 0), h))::BIGINT AS u FROM b)
+ SELECT p_partkey, round(f, 9) AS scale, CASE WHEN r > l AND u > t THEN l END AS x, CASE WHEN r > l AND u > t THEN t END AS y, CASE WHEN r > l AND u > t THEN r - l END AS w, CASE WHEN r > l AND u > t THEN u - t END AS h FROM c""")
+def text_boxes(spark, d):
+    """Parts as pictures with one word each, read at a limit of 2,600 pixels."""
+    size = F.col("p_size").cast("double")
+    part = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 90).alias("w"), (F.col("p_partkey") % 3000 + 1).alias("h"), F.struct((F.col("p_partkey") % 700 - 20).cast("double").alias("x"), (size * 7.5).alias("y"), (size + 3).alias("w"), (size / 2).alias("h")).alias("box"))
+    scaled = part.withColumn("scale", boxes.reading_scale(F.col("w"), F.col("h"), 2600))
+    out = scaled.withColumn("b", boxes.padded(boxes.on_picture(F.col("box"), F.col("scale")), F.col("w"), F.col("h")))
+    return out.select("p_partkey", F.round("scale", 9).alias("scale"), "b.x", "b.y", "b.w", "b.h")
+
+
+@query("remaining_text", "SELECT o_orderkey, CASE WHEN d > 0 AND d < 50 AND s > 0 THEN 'noch ca. ' || CASE WHEN s < 60 THEN s || ' s' WHEN s % 60 > 0 THEN s // 60 || ' min ' || s % 60 || ' s' ELSE s // 60 || ' min' END ELSE '' END AS remaining FROM (SELECT o_orderkey, d, ceil(o_custkey::DOUBLE / d * (50 - d))::BIGINT AS s FROM (SELECT o_orderkey, o_custkey, nullif(o_orderkey % 52, 0) AS d FROM orders))")
+def remaining_text(spark, d):
+    done = F.col("o_orderkey") % 52
+    return table(spark, d, "orders").select("o_orderkey", text.remaining(F.col("o_custkey").cast("double"), F.when(done > 0, done), F.lit(50)).alias("remaining"))
+
+
+@query("hit_hints", f"WITH {_FILES}, n AS (SELECT lower(split_part(name, '/', 2)) AS k, arg_min(size, id) AS rs FROM files WHERE ref GROUP BY 1) SELECT f.id, CASE WHEN f.size = rs THEN 'nur Name' ELSE 'nur Name — Bestand ' || CASE WHEN rs < 1024 THEN rs || ' B' ELSE format('{{:.1f}} KB', floor(rs * 10 / 1024) / 10) END END AS hint FROM files f JOIN n ON lower(split_part(f.name, '/', 2)) = n.k WHERE NOT f.ref")
+def hit_hints(spark, d):
+    hits = dedup.duplicates_by_name(*_by_lang(spark, d))
+    return hits.select("id", text.hit_hint(F.lit(True), F.col("size"), F.col("reference_size")).alias("hint"))
+
+
+@query("hint_parts", "SELECT page_id, CASE WHEN strpos(url, ':') > 1 THEN left(url, strpos(url, ':') - 1) ELSE '' END AS field, CASE WHEN strpos(url, ':') > 1 THEN trim(substr(url, strpos(url, ':') + 1)) ELSE url END AS value FROM pages")
+def hint_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", text.hint_parts(F.col("url")).alias("h")).select("page_id", "h.field", "h.value")
+
+
+@query("kept_with_unreadable", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) OR doc_id % 7 = 0")
+def kept_with_unreadable(spark, d):
+    rows = _paths(spark, d, "documents")
+    found = table(spark, d, "labels").filter("quality = 1").select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string")).alias("path"))
+    return lists.kept_with_unreadable(rows, found, rows.filter("doc_id % 7 = 0").select("path")).select("doc_id")
+
+
+@query("row_chunks", "SELECT page_id, ((row_number() OVER (ORDER BY page_id) - 1) // 5)::BIGINT AS chunk FROM pages")
+def row_chunks(spark, d):
+    return lists.chunked(table(spark, d, "pages").select("page_id"), F.col("page_id")).select("page_id", "chunk")

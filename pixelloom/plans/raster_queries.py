@@ -328,3 +328,31 @@ def colour_bands_carried(spark, d):
     px = _px(spark, d).select("image", "y", level.alias("r"), level.alias("g"), level.alias("b"), F.when(clear, 0).otherwise((F.col("x") * 31 + F.col("image")) % 256).alias("a"))
     return raster.colour_bands(px, 4, 8).select("image", F.col("band").cast("long").alias("band"), "r")
 
+
+@query("network_input", f"""WITH {_PX}, {_grid(12)}, k(c, mul, m, s) AS (VALUES (0, 1.0, 0.48145466, 0.26862954), (1, -1.0, 0.4578275, 0.26130258), (2, 0.5, 0.40821073, 0.27577711)),
+ b AS (SELECT image, x, y, c, (floor((v * mul::DOUBLE + 1) / 2 * 255 + 0.5) / 255 - m::DOUBLE) / s::DOUBLE AS v FROM g12, k) SELECT image, c::BIGINT AS channel, round(avg(v), 5) AS mean, round(max(v), 5) AS most, count(*)::BIGINT AS n FROM b GROUP BY ALL""")
+def network_input(spark, d):
+    """Pictures of three channels made of a vector, on a grid of 12 x 12."""
+    plane = lambda f: F.transform(F.col("embedding").cast("array<double>"), lambda v: (v * f + 1) / 2 * 255)
+    out = emb(spark, d).select(F.col("vec_id").alias("image"), F.posexplode(raster.network_input([plane(1.0), plane(-1.0), plane(0.5)], 8, 8, 12)).alias("p", "v"))
+    return out.groupBy("image", F.floor(F.col("p") / 144).alias("channel")).agg(F.round(F.avg("v"), 5).alias("mean"), F.round(F.max("v"), 5).alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+@query("grey_last_row", f"WITH {_PX} SELECT image, (count(*) FILTER (image % 3 = 0 AND x <> image % 9 OR floor((v + 1) / 2 * 255) = 128)) > 7 AS grey FROM px WHERE y = 7 GROUP BY image")
+def grey_last_row(spark, d):
+    """Pictures whose last row is planted grey in every third, but for one pixel."""
+    planted = (F.col("image") % 3 == 0) & (F.col("y") == 7) & (F.col("x") != F.col("image") % 9)
+    level = F.when(planted, 128).otherwise(F.floor((F.col("v") + 1) / 2 * 255))
+    px = _px(spark, d).select("image", F.lit(8).alias("width"), F.lit(8).alias("height"), "x", "y", level.alias("r"), level.alias("g"), level.alias("b"))
+    return raster.has_grey_last_row(px)
+
+
+@query("mask_high_share", f"WITH {_F}, {_MASK}, {_VALUES}, l AS (SELECT mask, list_sort(list(value)) AS s FROM val WHERE value > 0 GROUP BY mask) SELECT mask::BIGINT AS mask, round(s[least(floor(len(s) * 0.98::DOUBLE), len(s) - 1)::BIGINT + 1], 5) AS value FROM l")
+def mask_high_share(spark, d):
+    values = masks.match(_fields(spark, d), _masks(spark, d)).select("mask", "value")
+    return masks.high_share(values, "mask").select("mask", F.round("value", 5).alias("value"))
+
+
+@query("mask_catalogue_sums", f"WITH {_CATALOGUE} SELECT count(*)::BIGINT AS masks, sum(n)::BIGINT AS fields, count(*) FILTER (sep >= 0.15)::BIGINT AS proven FROM cat")
+def mask_catalogue_sums(spark, d):
+    return masks.catalogue_sums(_catalogue(spark, d)[0])

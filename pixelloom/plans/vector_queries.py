@@ -149,12 +149,12 @@ def concept_facets(spark, d):
 
 @query("tag_filter", "SELECT vec_id FROM embeddings WHERE label = 3")
 def tag_filter(spark, d):
-    return tagging.with_tag(_tagged(spark, d), "Label", "l3").select("vec_id")
+    return tagging.with_category(_tagged(spark, d), "Label", "l3").select("vec_id")
 
 
 @query("concept_filter", "SELECT vec_id FROM embeddings WHERE vec_id % 7 = 4")
 def concept_filter(spark, d):
-    return tagging.with_concept(_tagged(spark, d), "c4").select("vec_id")
+    return tagging.with_category(_tagged(spark, d), "erkannt", "c4").select("vec_id")
 
 
 # Preference: odd ids are the rejected side, labels the folders.
@@ -286,3 +286,13 @@ def scoped_search(spark, d):
     known = index.filter("label % 2 = 0").select(F.col("folder").alias("path"))
     hits, _ = scope.scoped_top_k(index, scope.summaries(index), scope.scope(known, "set/0"), _q0(spark, d).first()["embedding"], 10)
     return hits.select("vec_id", "folder", F.round("score", 6).alias("score"))
+
+
+@query("fav_blended_rank")
+def fav_blended_rank(spark, d):
+    """Label 3 as a folder, ranked by its own direction blended with that of all others; no SQL, as it solves a system."""
+    t = _sides(spark, d)
+    own = t.filter("folder = 3")
+    direction = preference.folder_vector(own, preference.side_sums(t, "folder"), 3)
+    vector = spark.createDataFrame([([float(x) for x in direction],)] if direction is not None else [], "vector array<double>")
+    return preference.positions(preference.ranked(own, vector)).select("vec_id", F.round("rating", 5).alias("rating"), "position")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.functions import formats, text, vectors
-from pixelloom.operators import calibration, components, incremental, lists, masks, pairs, preference, rating, raster, search
+from pixelloom.operators import calibration, components, dedup, incremental, lists, masks, pairs, preference, rating, raster, search
 
 
 def one(spark, col, row="1 as x"):
@@ -149,6 +149,35 @@ def test_ridge_and_calibration(spark):
     assert calibration.fit(df.limit(2), 1) is None
 
 
+def test_folder_vector_blends_own_and_pooled(spark):
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(60, 4))
+    rows = [(i, i % 3, v[i].tolist(), i % 2 == 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, folder long, embedding array<double>, bad boolean")
+    sums = preference.side_sums(df, "folder")
+    own = df.filter("folder = 1")
+    unit = lambda x: x / np.linalg.norm(x)
+    rest = v[[i for i in range(60) if i % 3 != 1 and i % 2]].mean(0) - v[[i for i in range(60) if i % 3 != 1 and not i % 2]].mean(0)
+    want = 10 / 15 * unit(preference.ridge_direction(own)) + 5 / 15 * unit(rest)  # ten on the smaller side
+    assert preference.folder_vector(own, sums, 1) == pytest.approx(want)
+    few = df.filter("folder <> 1 or vec_id < 10")  # too few of its own: the others alone
+    got = preference.folder_vector(few.filter("folder = 1"), preference.side_sums(few, "folder"), 1)
+    assert unit(got) == pytest.approx(unit(rest))
+    assert preference.folder_vector(own.limit(2), preference.side_sums(own.limit(2), "folder"), 1) is None
+
+
+def test_folders_that_hold_the_same(spark):
+    cols = "id long, place string, content string"
+    left = spark.createDataFrame([(1, "a/x", "A"), (2, "b/y", "B"), (3, "C", "A")], cols)
+    right = spark.createDataFrame([(11, "A/X", "A"), (12, "q", "B"), (13, "c", "A")], cols)
+    row = lambda l, r: dedup.folder_comparison(l, r).first().asDict()
+    assert row(left, right) == {"lefts": 3, "rights": 3, "without_partner": 0, "matched": 3, "right_only": 0, "unreadable": 0, "equal": True, "same_places": False}
+    assert row(left, left)["same_places"] and row(left, left)["equal"]
+    lost = right.withColumn("content", F.when(F.col("id") < 13, F.col("content")))
+    assert row(left, lost) == {"lefts": 3, "rights": 3, "without_partner": 0, "matched": 2, "right_only": 1, "unreadable": 1, "equal": False, "same_places": False}
+    assert not row(left.limit(0), right.limit(0))["equal"]
+
+
 def test_cyclic_similarity_ignores_shifts(spark):
     v = [1.0, 0.0, 0.0, 0.5]
     assert one(spark, vectors.cyclic_similarity(F.array(*map(F.lit, v)), F.array(*map(F.lit, v[2:] + v[:2])), 4)) == pytest.approx(1.25)
