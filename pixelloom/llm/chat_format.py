@@ -24,7 +24,9 @@ def expand_prefixes(conversations: DataFrame, conv: str = "conv_id", turn: str =
 
     Turns that follow the last assistant turn come as one more example with an empty mask, so that the
     output holds the whole conversation. Turns are ordered by (turn, role, text), nulls last; null
-    roles and texts count as empty; rows with a null conversation are one conversation.
+    roles and texts count as empty; rows with a null conversation are one conversation; repeated rows are turns of their own. Other columns are
+    not looked at. A conversation is held by one task, and its examples repeat its earlier turns, so their length grows with the square of its turns; long
+    texts have no other bound than a row of Spark. An empty table gives an empty result.
     """
     rows = conversations.select(F.col(conv).alias("conv"), F.struct(F.col(turn).isNull().alias("last"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
     whole = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))

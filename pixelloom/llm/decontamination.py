@@ -46,7 +46,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     A window is `window` consecutive item words, or all words of a shorter item; a document word
     inside any occurrence of a window is hit. Null and empty texts have no words and no hits; an item
-    without words has no window; repeated rows are judged one by one. The windows are broadcast only
+    without words has no window; repeated rows are judged one by one, also of one key; equally rare shingles of a window go by their hash. Only the key and the text of a
+    document are looked at, so other columns may have any names. A text is judged in one task, in time linear in its length. The windows are broadcast only
     after their number was counted; beyond the bounds the join is shuffled, and rows carry only the
     words around their place.
     """

@@ -155,7 +155,8 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: tuple[float, ..
     is left, until that is next to nothing or no document fits; then one more document if that comes nearer.
 
     Rows are placed by a hash of all their columns, so reruns and other partitions agree; only rows equal in every column are taken
-    alike. Documents of size 0 (null, empty and blank texts) and empty tables take nothing. Input columns named
+    alike. Ties of place and size are taken together. A null array of sources is a pattern of its own that takes nothing. Documents of size 0 (null, empty and blank texts) and empty tables take nothing.
+    Long texts are only counted. Input columns whose names begin with _mix_ are dropped; those named
     like an output column are replaced. The driver holds a row for each pattern, some 600 bytes.
     """
     spark = docs.sparkSession

@@ -106,7 +106,10 @@ def train_classifier(labelled: DataFrame, text: str = "text", label: str = "labe
 
 
 def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per input row: key and score in 0..1, a sparse dot product over the whole text; a null or empty text has the bias alone."""
+    """Per input row: key and score in 0..1, a sparse dot product over the whole text; a null or empty text has the bias alone.
+
+    Rows are scored one by one, repeated ones alike; other columns are not looked at. A text is scored in one task, at some 60 bytes of memory a byte.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)  # 1 MB
 

@@ -114,7 +114,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None
 
     Null and empty texts have no words and fail the base; repeated rows are judged one by one; an
     empty table gives an empty result. Rules are ordered on at most sample_rows rows, chosen by a hash of the whole row, so
-    reruns and other partitions choose alike. Input columns named like an output column are replaced.
+    reruns and other partitions choose alike; equal ranks go by name. Input columns named like an output column, or _words, _lines, _three, _some or _placed, are replaced or dropped.
     A text is judged in one task; its words and three-word windows take some 30 bytes of memory a byte.
     """
     counted = with_base_counts(docs, text, keep=True)

@@ -120,7 +120,7 @@ def shard_by_curve(docs: DataFrame, n_shards: int = 40, text: str = "text", key:
     Ties on the curve go by text checksum (so equal texts are neighbours), then key. A global rank
     comes from a range-partitioned sort: rows of earlier partitions plus the place in the own one; no
     task sees more than its range. Null texts have size 16, null sources and
-    languages come first; rows equal in all of this are interchangeable; an empty table has no shards. A text is only measured, so its length does not matter.
+    languages come first, null keys last; rows equal in all of this are interchangeable; an empty table has no shards. Only key, text and dimensions are looked at. A text is only measured, so its length does not matter.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     if dims is None:
