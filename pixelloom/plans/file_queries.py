@@ -6,7 +6,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import functions as F
 
-from ..functions import boxes, formats, image_heads, text
+from ..functions import boxes, formats, image_heads, text, tokens
 from ..operators import dedup, incremental, lists, rating, scope, timeline
 from ..operators.order_stats import numbered
 from .registry import registry
@@ -592,3 +592,12 @@ def kept_with_unreadable(spark, d):
 @query("row_chunks", "SELECT page_id, ((row_number() OVER (ORDER BY page_id) - 1) // 5)::BIGINT AS chunk FROM pages")
 def row_chunks(spark, d):
     return lists.chunked(table(spark, d, "pages").select("page_id"), F.col("page_id")).select("page_id", "chunk")
+
+
+@query("vocabulary_words", r"""WITH v AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS e FROM benchmark), w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)
+ SELECT word, lower(word) IN (SELECT e FROM v) AS known FROM w""")
+def vocabulary_words(spark, d):
+    """Words of documents that are whole in the vocabulary of the benchmark's words; endings are marked as in public vocabularies."""
+    entries = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).select(F.explode(F.array(F.concat(F.lower("w"), F.lit("</w>")), F.col("w"))).alias("entry"))
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return tokens.with_vocabulary(words, entries)

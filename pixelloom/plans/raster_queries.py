@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cyclic_similarity, normalised
-from ..operators import masks, raster
+from ..operators import masks, pictures, raster
 from .registry import registry
 from .vector_queries import emb
 
@@ -19,6 +19,18 @@ def _px(spark, d):
     return raster.pixels(emb(spark, d), 8)
 
 
+def _rows(spark, d):
+    return pictures.from_vectors(emb(spark, d), 8)
+
+
+def _values(df):
+    return pictures.pixels(df, "values").withColumnRenamed("values", "v")
+
+
+def _gradients(spark, d):
+    return pictures.pixels(pictures.sobel(_rows(spark, d)), "magnitude", "orientation", margin=1)
+
+
 def _long(df, *values, digits=6):
     return df.select("image", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *(F.round(v, digits).alias(v) for v in values))
 
@@ -29,12 +41,12 @@ def _box(r: int, out: str) -> str:
 
 @query("box_highpass", _box(6, "a.v - avg(b.v)"))
 def box_highpass(spark, d):
-    return _long(raster.high_pass(_px(spark, d)), "v")
+    return _long(_values(pictures.high_pass(_rows(spark, d))), "v")
 
 
 @query("blur3x3", _box(1, "avg(b.v)"))
 def blur3x3(spark, d):
-    return _long(raster.blur(_px(spark, d)), "v")
+    return _long(_values(pictures.blurred(_rows(spark, d))), "v")
 
 
 _SOBEL = f"""{_PX}, g AS (SELECT a.image, a.x, a.y, sum(b.v * (b.x - a.x) * (2 - abs(b.y - a.y))) AS gx, sum(b.v * (b.y - a.y) * (2 - abs(b.x - a.x))) AS gy
@@ -44,13 +56,13 @@ _SOBEL = f"""{_PX}, g AS (SELECT a.image, a.x, a.y, sum(b.v * (b.x - a.x) * (2 -
 
 @query("sobel_edges", f"WITH {_SOBEL} SELECT image, x, y, round(m, 6) AS magnitude, round(o, 5) AS orientation FROM sob")
 def sobel_edges(spark, d):
-    out = raster.sobel(_px(spark, d))
+    out = _gradients(spark, d)
     return out.select("image", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.round("magnitude", 6).alias("magnitude"), F.round("orientation", 5).alias("orientation"))
 
 
 @query("contour_binary", f"WITH {_SOBEL} SELECT image, count(*)::BIGINT AS edge_pixels FROM sob WHERE m * 255 > 90 GROUP BY image")
 def contour_binary(spark, d):
-    return raster.sobel(_px(spark, d)).filter(F.col("magnitude") * 255 > 90).groupBy("image").agg(F.count(F.lit(1)).alias("edge_pixels"))
+    return _gradients(spark, d).filter(F.col("magnitude") * 255 > 90).groupBy("image").agg(F.count(F.lit(1)).alias("edge_pixels"))
 
 
 _SHAPE = f"""{_SOBEL}, k AS (SELECT image, m, o / (pi() / 36) AS pos FROM (SELECT *, max(m) OVER (PARTITION BY image) AS top FROM sob) WHERE m > top * 0.10),
@@ -59,18 +71,19 @@ _SHAPE = f"""{_SOBEL}, k AS (SELECT image, m, o / (pi() / 36) AS pos FROM (SELEC
 
 
 def _shape(spark, d):
-    return raster.shape_descriptor(raster.sobel(_px(spark, d)))
+    return pictures.shape_descriptors(_rows(spark, d))
 
 
 @query("shape_descriptor", f"WITH {_SHAPE} SELECT image, bin, round(w, 5) AS weight FROM shape")
 def shape_descriptor(spark, d):
-    return _shape(spark, d).select("image", F.col("bin").cast("long").alias("bin"), F.round("weight", 5).alias("weight"))
+    out = _shape(spark, d).select("image", F.posexplode("descriptor").alias("bin", "weight")).filter("weight > 0")
+    return out.select("image", F.col("bin").cast("long").alias("bin"), F.round("weight", 5).alias("weight"))
 
 
 @query("shape_similarity_cyclic", f"""WITH {_SHAPE}, sh AS (SELECT unnest(range(0, 36)) AS s), r AS (SELECT a.image, s, sum(a.w * q.w) AS t
  FROM shape a CROSS JOIN sh JOIN shape q ON q.image = 0 AND a.bin = (q.bin + s) % 36 GROUP BY a.image, s) SELECT image, round(max(t), 5) AS score FROM r GROUP BY image""")
 def shape_similarity_cyclic(spark, d):
-    v = raster.descriptor_array(_shape(spark, d))
+    v = _shape(spark, d)
     q = v.filter("image = 0").select(F.col("descriptor").alias("q")).limit(1)
     return v.crossJoin(F.broadcast(q)).select("image", F.round(cyclic_similarity(F.col("q"), F.col("descriptor"), 36), 5).alias("score"))
 

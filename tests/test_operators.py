@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.functions import formats, text, vectors
-from pixelloom.operators import calibration, components, dedup, incremental, lists, masks, pairs, preference, rating, raster, search
+from pixelloom.operators import calibration, components, dedup, incremental, lists, masks, pairs, pictures, preference, rating, raster, search
 
 
 def one(spark, col, row="1 as x"):
@@ -199,6 +199,23 @@ def test_raster_edges(spark):
     assert {(r.x, r.y, r.magnitude, r.orientation) for r in out} == {(x, y, 4.0, 0.0) for x in (1, 2) for y in (1, 2)}
 
 
+def test_pictures_equal_pixels(spark):
+    """Filters over whole pictures give what the windows over pixels give; damaged and small pictures."""
+    rng = np.random.default_rng(17)
+    shapes = [(5, 4), (5, 4), (3, 3), (8, 2), (1, 6)]
+    rows = [(i, w, h, rng.normal(size=w * h).tolist()) for i, (w, h) in enumerate(shapes)]
+    odd = [(7, 2, 2, [1.0]), (8, 2, 1, [None, 1.0]), (9, 0, 0, []), (10, 2, 2, None), (11, 4, 4, [1.0] * 16)]
+    df = spark.createDataFrame(rows + odd, "image long, width int, height int, values array<double>").repartition(2)
+    px = spark.createDataFrame([(i, p % w, p // w, v) for i, w, _, vs in [*rows, odd[-1]] for p, v in enumerate(vs)], "image long, x int, y int, v double")
+    shown = lambda d, *cols: sorted((r.image, r.x, r.y, *(round(r[c], 9) + 0.0 for c in cols)) for r in d.collect())
+    for ours, theirs in ((pictures.high_pass(df, 2), raster.high_pass(px, 2)), (pictures.blurred(df), raster.blur(px))):
+        assert shown(pictures.pixels(ours, "values"), "values") == shown(theirs, "v")
+    assert shown(pictures.pixels(pictures.sobel(df), "magnitude", "orientation", margin=1), "magnitude", "orientation") == shown(raster.sobel(px), "magnitude", "orientation")
+    got = {r.image: r.descriptor for r in pictures.shape_descriptors(df).collect()}
+    want = {r.image: r.descriptor for r in raster.descriptor_array(raster.shape_descriptor(raster.sobel(px))).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 11} and all(got[k] == pytest.approx(want.get(k, [0.0] * 36)) for k in got)
+
+
 def test_refresh(spark):
     cols = "path string, folder string, size long, mtime long"
     index = spark.createDataFrame([("A/1", "A", 1, 1), ("a/2", "a", 1, 1), ("b/1", "b", 1, 1)], cols)
