@@ -114,13 +114,14 @@ def license_scan(
             lines = F.flatten(F.transform(F.split(s, "\n"), lambda x: F.when(F.contains(F.lower(x), F.lit(TAG)), expressed(x)).otherwise(F.array(identified(normalised(x))))))
             return F.when(own[0].isNotNull() & ~F.contains(F.lower(s), F.lit(TAG)), own).otherwise(lines)
 
-        low = F.lower(body)
         worth = F.lit(False)
         for word in [*anchors([" ".join(p).split() for _, p, _ in known]), TAG]:
-            worth = worth | F.contains(low, F.lit(word))
+            worth = worth | F.contains("_low", F.lit(word))
+        body = F.col("_body")
+        lowered = docs.select(F.col(key), F.col(text).alias("_body"), F.lower(text).alias("_low"))  # of its own, so that it is made once for all words
         parts = F.when(worth, F.split(body, SENTENCE_END)).otherwise(none)
         ids = F.filter(F.flatten(F.transform(F.coalesce(parts, none), of_sentence)), lambda x: x.isNotNull())
-        found = docs.select(F.col(key), ids.alias("sequence"))
+        found = lowered.select(F.col(key), ids.alias("sequence"))
     joined = F.concat(F.lit(","), F.array_join("sequence", ","), F.lit(","))
     hits = F.filter(F.array(*(F.when(joined.contains("," + ",".join(seq) + ","), F.lit(name)) for name, seq in rules)), lambda x: x.isNotNull()) if rules else none
     named = F.transform(F.filter("sequence", lambda x: F.startswith(x, F.lit(NAMED))), lambda x: F.substring(x, F.lit(len(NAMED) + 1), F.char_length(x)))
