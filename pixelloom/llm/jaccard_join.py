@@ -102,14 +102,15 @@ def _sets_pass(n: int):
     return run
 
 
-def _classes_of(values: np.ndarray, known: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Class of each token, 0 for tokens that are not listed: buckets by leading bits (listed tokens are sorted hashes), then steps within a bucket."""
-    out = np.zeros(len(values), dtype=np.uint8)
-    if not len(known):
-        return out
+def _buckets_of(known: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """How far sorted hashes are shifted to their bucket by leading bits, and where each bucket begins; made once for all blocks of a task."""
     shift = np.uint64(64 - max(1, int(len(known)).bit_length()))
-    key = (known >> shift).astype(np.int64)
-    start = np.searchsorted(key, np.arange((1 << (64 - int(shift))) + 1))
+    return shift, np.searchsorted((known >> shift).astype(np.int64), np.arange((1 << (64 - int(shift))) + 1)).astype(np.int32)
+
+
+def _classes_of(values: np.ndarray, known: np.ndarray, classes: np.ndarray, shift: np.uint64, start: np.ndarray) -> np.ndarray:
+    """Class of each token, 0 for tokens that are not listed: its bucket among the listed ones, then steps within the bucket."""
+    out = np.zeros(len(values), dtype=np.uint8)
     bucket = (values >> shift).astype(np.int64)
     at, end = start[bucket], start[bucket + 1]
     left = np.flatnonzero(at < end)
@@ -127,6 +128,7 @@ def _prefix_pass(n: int, percent: int, hot):
 
     def run(batches):
         known, classes = hot.value
+        buckets = _buckets_of(known) if len(known) else None
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first, offsets, data in blocks(texts):
@@ -136,7 +138,7 @@ def _prefix_pass(n: int, percent: int, hot):
                     continue
                 size = np.bincount(docs, minlength=rows).astype(np.int64)
                 if len(known):
-                    order = _doc_order(docs, rows, (_classes_of(values, known, classes), 6), (values, 64))
+                    order = _doc_order(docs, rows, (_classes_of(values, known, classes, *buckets), 6), (values, 64))
                     docs, values = docs[order], values[order]
                 pos = np.arange(len(docs)) - np.searchsorted(docs, docs)
                 take = pos < (size - (percent * size + 99) // 100 + 1)[docs]
