@@ -106,6 +106,10 @@ _PROTO = """long AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, gen
  s AS (SELECT long.vec_id, proto.label, sum(long.x * proto.x) AS score FROM long JOIN proto USING (p) GROUP BY ALL)"""
 
 
+def _top_labels(spark, d):
+    return tagging.top_labels(emb(spark, d), tagging.prototypes(emb(spark, d)), 3, 0.05)
+
+
 def _scores(spark, d):
     return tagging.label_scores(emb(spark, d), tagging.prototypes(emb(spark, d)))
 
@@ -130,12 +134,12 @@ _TOP = f"{_PROTO}, top AS (SELECT vec_id, label::BIGINT AS label, score, row_num
 
 @query("open_vocab_topn", f"WITH {_TOP} SELECT vec_id, label, round(score, 5) AS score, rank::BIGINT AS rank FROM top")
 def open_vocab_topn(spark, d):
-    return tagging.top_concepts(_scores(spark, d), 3, 0.05).select("vec_id", F.col("label").cast("long").alias("label"), F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _top_labels(spark, d).select("vec_id", F.col("label").cast("long").alias("label"), F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("concept_overview", f"WITH {_TOP} SELECT label, count(*)::BIGINT AS n, min(vec_id) AS first FROM top GROUP BY label")
 def concept_overview(spark, d):
-    return tagging.concept_overview(tagging.top_concepts(_scores(spark, d), 3, 0.05)).select(F.col("label").cast("long").alias("label"), "n", "first")
+    return tagging.concept_overview(_top_labels(spark, d)).select(F.col("label").cast("long").alias("label"), "n", "first")
 
 
 def _tagged(spark, d):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.functions import formats, text, vectors
-from pixelloom.operators import calibration, components, dedup, incremental, lists, masks, pairs, pictures, preference, rating, raster, search
+from pixelloom.operators import calibration, components, dedup, incremental, lists, masks, pairs, pictures, preference, rating, raster, search, tagging
 
 
 def one(spark, col, row="1 as x"):
@@ -216,6 +216,22 @@ def test_pictures_equal_pixels(spark):
     assert set(got) == {0, 1, 2, 3, 4, 11} and all(got[k] == pytest.approx(want.get(k, [0.0] * 36)) for k in got)
 
 
+@pytest.mark.parametrize("block", [100, 7])
+def test_top_labels_in_blocks(spark, block):
+    rng = np.random.default_rng(19)
+    v, l = rng.normal(size=(40, 6)), rng.normal(size=(30, 6))
+    l[20] = l[3]  # equal scores go to the smaller label
+    rows = spark.createDataFrame([*((i, x.tolist()) for i, x in enumerate(v)), (99, None)], "vec_id long, embedding array<double>").repartition(3)
+    labels = spark.createDataFrame([*((f"l{i:02}", x.tolist()) for i, x in enumerate(l)), ("none", None)], "label string, vector array<double>")
+    got = sorted((r.vec_id, r["rank"], r.label) for r in tagging.top_labels(rows, labels, 4, 0.5, block=block).collect())
+    want = []
+    for i, x in enumerate(v @ l.T):
+        best = sorted((-round(s, 9), f"l{j:02}") for j, s in enumerate(x) if s >= 0.5)[:4]
+        want += [(i, k + 1, name) for k, (_, name) in enumerate(best)]
+    assert got == sorted(want) and len(want) > 80
+    assert tagging.top_labels(rows, labels.limit(0), 4, 0.5).count() == 0
+
+
 def test_refresh(spark):
     cols = "path string, folder string, size long, mtime long"
     index = spark.createDataFrame([("A/1", "A", 1, 1), ("a/2", "a", 1, 1), ("b/1", "b", 1, 1)], cols)
