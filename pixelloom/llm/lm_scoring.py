@@ -276,6 +276,16 @@ def _chunks(column):
             yield first + a, o - o[0], data[o[0] : o[-1]]
 
 
+def _present(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have a pair, in order, and the place of each entry's text among them: by marks where most texts have one, else by sorting."""
+    last = int(doc.max(initial=0)) + 1
+    if 8 * len(doc) < last:
+        return np.unique(doc, return_inverse=True)
+    seen = np.zeros(last, dtype=bool)
+    seen[doc] = True
+    return np.flatnonzero(seen).astype(doc.dtype), (np.cumsum(seen) - 1)[doc]
+
+
 def _shard_pass(shared):
     """Builds a shard's trie from the pairs of all chunks and answers the same pairs: sums for each text of a chunk.
 
@@ -346,7 +356,7 @@ def _shard_pass(shared):
             value = top - np.log10(n_word + mass_of(cw, n_word))[of]
             e = np.repeat(np.arange(len(cb)), n_entry)
             ew = of[e]
-            texts, at = np.unique(doc, return_inverse=True)  # only texts that have a pair here
+            texts, at = _present(doc)
             sums.append(_packed(texts, np.bincount(at, times * np.log10(n_word + ADD)[ew]), np.bincount(at, times * (n_word > 0)[ew]).astype(np.uint32), np.bincount(at, times * value[e])))
         return pa.table({"chunk": table.column("chunk"), "sums": pa.array(sums, pa.binary()), "rows": table.column("rows"), "ids": table.column("ids"), "held": table.column("held"), "tokens": table.column("tokens")})
 

@@ -700,6 +700,13 @@ def test_elias_fano_finds_all(tmp_path):
     assert (lm_scoring.EliasFano(*cut(v[:0]), 4, str(tmp_path / "none")).find(*cut(other)) == -1).all()
 
 
+def test_texts_of_a_shard():
+    for doc in ([3, 3, 1, 7], [60_000, 5], [], [0]):
+        doc = np.array(doc, np.uint16)
+        texts, at = lm_scoring._present(doc)
+        assert texts.tolist() == sorted(set(doc.tolist())) and texts[at].tolist() == doc.tolist() and texts.dtype == doc.dtype
+
+
 def test_lm_without_training_rows_is_dealt_to_many_shards(docs, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 500)
     got = lm_scoring.lm_scores(docs, F.lit(True)).collect()
