@@ -64,12 +64,15 @@ def contributions(fields: DataFrame, masks: DataFrame, least: float = 1e-9) -> D
 
     No rows where the weights or the spread of either side are below `least`.
     """
-    both = stored(fields.select("field", "p", "v").join(sized(stored(masks.select("mask", "p", "pattern", "weight"), "masks")), "p"), "contribution-pixels")
+    masks = stored(masks.select("mask", "p", "pattern", "weight"), "masks")
+    small = sized(masks)
+    both = fields.select("field", "p", "v").repartition("field").join(small, "p")
     a, b, w = F.col("pattern"), F.col("v"), F.col("weight")
     n, sa, sb = F.sum(w), F.sum(w * a), F.sum(w * b)
     spread = F.sqrt(F.greatest(F.sum(w * a * a) - sa * sa / n, F.lit(0.0))) * F.sqrt(F.greatest(F.sum(w * b * b) - sb * sb / n, F.lit(0.0)))
     whole = both.groupBy("field", "mask").agg(n.alias("_n"), (sa / n).alias("_a"), (sb / n).alias("_b"), spread.alias("_spread")).filter((F.col("_n") >= least) & (F.col("_spread") >= least))
-    return both.join(whole, ["field", "mask"]).select("field", "mask", "p", (w * (a - F.col("_a")) * (b - F.col("_b")) / F.col("_spread")).alias("share"))
+    # Beside small masks all pixels of a field stay in their partition, so sums meet pixels without another shuffle.
+    return both.join(whole.hint("merge" if small is masks else "shuffle_hash"), ["field", "mask"]).select("field", "mask", "p", (w * (a - F.col("_a")) * (b - F.col("_b")) / F.col("_spread")).alias("share"))
 
 
 def best_match(values: DataFrame, thresholds: DataFrame) -> DataFrame:
