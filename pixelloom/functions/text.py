@@ -7,6 +7,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import once
+
 #: Punctuation that is trimmed off tokens.
 TRIMMED = ".,;:!?\"'"
 
@@ -118,19 +120,31 @@ def new_lines(text: Column, more: Column) -> Column:
     return F.filter(fresh, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
 
+#: Tokens that are translated into one array; the arrays are joined, so that a long text is not copied for each of its tokens.
+RUN = 64
+
+
 def terms_translated(tokens: Column, phrases: Column, longest: int = 3) -> Column:
     """Greedy translation of a token array with a map from phrases to phrases: the longest known phrase first, then the stem of a token, unknown tokens kept."""
-    empty = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        taken = F.struct((acc.skip - 1).alias("skip"), acc.out.alias("out"))
-        best = F.struct(F.lit(0).alias("skip"), F.array_append(acc.out, F.coalesce(stem(F.get(tokens, i), phrases), F.get(tokens, i))).alias("out"))
-        for n in range(1, longest + 1):
-            known = F.try_element_at(phrases, F.array_join(F.slice(tokens, i + 1, n), " "))
-            best = F.when((i + n <= F.size(tokens)) & known.isNotNull(), F.struct(F.lit(n - 1).alias("skip"), F.array_append(acc.out, known).alias("out"))).otherwise(best)
-        return F.when(acc.skip > 0, taken).otherwise(best)
+    def translated(tokens: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            taken = F.struct((acc.skip - 1).alias("skip"), acc.out.alias("out"))
+            best = F.struct(F.lit(0).alias("skip"), F.array_append(acc.out, F.coalesce(stem(F.get(tokens, i), phrases), F.get(tokens, i))).alias("out"))
+            for n in range(1, longest + 1):
+                known = F.try_element_at(phrases, F.array_join(F.slice(tokens, i + 1, n), " "))
+                best = F.when((i + n <= F.size(tokens)) & known.isNotNull(), F.struct(F.lit(n - 1).alias("skip"), F.array_append(acc.out, known).alias("out"))).otherwise(best)
+            return F.when(acc.skip > 0, taken).otherwise(best)
+
+        def run(acc: Column, first: Column) -> Column:
+            none = F.struct(acc.skip.alias("skip"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(F.sequence(first, F.least(first + (RUN - 1), F.size(tokens) - 1)), none, step, lambda a: F.struct(a.skip.alias("skip"), F.array_append(acc.out, a.out).alias("out")))
+
+        empty = F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<string>>").alias("out"))
+        runs = F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(RUN)), empty, run, lambda a: a.out)
+        return F.when(F.size(tokens) > 0, F.array_join(F.flatten(runs), " ")).otherwise(F.lit(""))
 
-    return F.when(F.size(tokens) > 0, F.array_join(F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), empty, step, lambda a: a.out), " ")).otherwise(F.lit(""))
+    return once(tokens, translated)
 
 
 def stem(word: Column, known: Column) -> Column:

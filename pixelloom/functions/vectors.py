@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once for a row: inside the lambda of a higher-order function, an expression is made anew for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
