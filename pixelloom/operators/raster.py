@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import once
+
 
 def pixels(table: DataFrame, width: int, key: str = "vec_id", values: str = "embedding") -> DataFrame:
     long = table.select(F.col(key).alias("image"), F.posexplode(F.col(values).cast("array<double>")).alias("p", "v"))
@@ -96,21 +98,23 @@ def resampled(px: DataFrame, width: int, height: int, new_width: int, new_height
 
 def bilinear(values: Column, width: int, height: int, new_width: int, new_height: int) -> Column:
     """The picture on another grid whose corners are the old corners, by bilinear interpolation."""
-    k = F.sequence(F.lit(0), F.lit(new_width * new_height - 1))
 
-    def along(i: Column, n: int, new: int) -> tuple[Column, Column, Column]:
-        at = i * F.lit((n - 1) / (new - 1)) if new > 1 else F.lit(0.0)
-        low = F.least(F.floor(at).cast("int"), F.lit(n - 1))
-        return low, F.least(low + 1, F.lit(n - 1)), at - low
+    def along(n: int, new: int) -> Column:
+        """Where the new values of a side lie: between which old ones, and how far from the first."""
+        at = [i * ((n - 1) / (new - 1)) if new > 1 else 0.0 for i in range(new)]
+        low = [min(int(x), n - 1) for x in at]
+        return F.array(*(F.struct(F.lit(k).alias("low"), F.lit(min(k + 1, n - 1)).alias("high"), F.lit(x - k).alias("far")) for x, k in zip(at, low, strict=True)))
+
+    def picture(v: Column) -> Column:
+        def one(y: Column, x: Column) -> Column:
+            def between(row: Column) -> Column:
+                return F.get(v, row * width + x.low) + (F.get(v, row * width + x.high) - F.get(v, row * width + x.low)) * x.far
+
+            return between(y.low) + (between(y.high) - between(y.low)) * y.far
 
-    def one(i: Column) -> Column:
-        y0, y1, fy = along(F.floor(i / new_width), height, new_height)
-        x0, x1, fx = along(i % new_width, width, new_width)
-        v = lambda x, y: F.get(values, (y * width + x).cast("int"))
-        top, low = v(x0, y0) + (v(x1, y0) - v(x0, y0)) * fx, v(x0, y1) + (v(x1, y1) - v(x0, y1)) * fx
-        return top + (low - top) * fy
+        return F.flatten(F.transform(along(height, new_height), lambda y: F.transform(along(width, new_width), lambda x: one(y, x))))
 
-    return F.transform(k, one)
+    return once(values, picture)
 
 
 def crop(values: Column, width: int, x: Column | int, y: Column | int, w: int, h: int) -> Column:
