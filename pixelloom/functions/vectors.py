@@ -39,13 +39,13 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Unit vector; null for vectors of norm 1e-9 and below."""
-    return F.when(norm(v) > 1e-9, F.transform(as_double(v), lambda x: x / norm(v)))
+    return once(as_double(v), lambda a: once(norm(a), lambda n: F.when(n > 1e-9, F.transform(a, lambda x: x / n))))
 
 
 def cyclic_similarity(a: Column, b: Column, shifts: int) -> Column:
     """Best similarity over cyclic shifts of b, at least 0."""
-    doubled = F.concat(as_double(b), as_double(b))
-    return F.greatest(F.lit(0.0), F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shifts - 1)), lambda s: dot(a, F.slice(doubled, s + 1, F.size(a))))))
+    best = lambda x, twice: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shifts - 1)), lambda s: dot(x, F.slice(twice, s + 1, F.size(x)))))
+    return F.greatest(F.lit(0.0), once(as_double(a), lambda x: once(F.concat(as_double(b), as_double(b)), lambda twice: best(x, twice))))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -60,13 +60,11 @@ def hash_from_bits(bits: Column) -> Column:
 
 def average_hash(pixels: Column) -> Column:
     """Bit i set where pixel i is at least the mean of all."""
-    p = as_double(pixels)
-    mean = F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / F.size(p)
-    return hash_from_bits(F.transform(p, lambda x: x >= mean))
+    mean = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / F.size(p)
+    return once(as_double(pixels), lambda p: once(mean(p), lambda m: hash_from_bits(F.transform(p, lambda x: x >= m))))
 
 
 def difference_hash(pixels: Column, width: int) -> Column:
     """Bit set where a pixel is brighter than its right neighbour, over rows of width pixels (width - 1 bits each)."""
-    p = as_double(pixels)
-    at = F.filter(F.sequence(F.lit(0), F.size(p) - 2), lambda i: i % width != width - 1)
-    return hash_from_bits(F.transform(at, lambda i: F.get(p, i) > F.get(p, i + 1)))
+    at = lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 2), lambda i: i % width != width - 1)
+    return once(as_double(pixels), lambda p: hash_from_bits(F.transform(at(p), lambda i: F.get(p, i) > F.get(p, i + 1))))
